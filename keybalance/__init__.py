@@ -1 +1,9 @@
 """Partition-key health for Spark DataFrames: profile, score, measure, remedy."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python functions that run in tasks travel with the job, so executors
+# need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

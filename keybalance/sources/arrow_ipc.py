@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.ipc as ipc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 # Larger files are not passed through a binary column (2 GiB at most) but opened
 # by their address and read batch by batch.
@@ -34,8 +36,6 @@ def _decoder(names: list[str], target: pa.Schema):
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def decode(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for rows in files:
             for row in rows.to_pylist():
                 if row.get("content") is not None:
@@ -68,8 +68,6 @@ def _schema_of_first_file(files: DataFrame) -> T.StructType:
     first = files.select("content").limit(1).mapInArrow(describe, "s string").first()
     if first is None:
         raise ValueError("no Arrow IPC file to infer a schema from; give one")
-    import json
-
     return T.StructType.fromJson(json.loads(first["s"]))
 
 
@@ -81,8 +79,6 @@ def read_arrow_ipc(
     One task decodes a file, so many files load in parallel. With no ``schema`` the
     first file's schema is used.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     files = spark.read.format("binaryFile").load(path)
     if schema is None:
         schema = _schema_of_first_file(files)

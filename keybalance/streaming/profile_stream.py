@@ -11,7 +11,7 @@ from keybalance.functions.hashing import sha256_register
 from keybalance.functions.keys import Candidate, candidate_name, key_text, parse_candidates
 from keybalance.operators import hll
 from keybalance.operators.cms import CmsShape, cms_cells
-from keybalance.operators.frequency import TOP_K, TRACKED_KEYS, top_keys
+from keybalance.operators.frequency import TOP_K, TRACKED_KEYS, present_keys, top_keys
 from keybalance.operators.profile import assemble, requested_columns, with_top_keys
 from keybalance.plans.report import column_report, nested_report
 from keybalance.streaming.versions import Versions, state_rows
@@ -45,10 +45,28 @@ def _long_rows(df: DataFrame, candidates: list[Candidate], with_total: bool) ->
     return df.select(F.inline(F.array(*rows)))
 
 
-def _registers(freq: DataFrame, b: int) -> DataFrame:
+def _register_rows(freq: DataFrame, b: int) -> DataFrame:
+    """One state row per key; the merge keeps the largest rho of a register."""
     j, rho = sha256_register(F.col("key"), b)
-    hashed = freq.where(F.col("key").isNotNull()).select("column", j.alias("j"), rho.alias("n"))
-    return state_rows(hashed.groupBy("column", "j").agg(F.max("n").alias("n")), "register", slot="j")
+    hashed = present_keys(freq).select("column", j.alias("j"), rho.alias("n"))
+    return state_rows(hashed, "register", slot="j")
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """State rows summed up, registers by their maximum: one shuffle for all kinds."""
+    return rows.groupBy("column", "kind", "lane", "slot", "key").agg(
+        F.when(F.col("kind") == "register", F.max("n")).otherwise(F.sum("n")).alias("n")
+    )
+
+
+def _newest_top(counts: DataFrame, k: int) -> DataFrame:
+    """Top k keys of rows in which a key can occur twice, with an older and a newer count.
+
+    Counts only grow, so the larger one is the newer. The first 2 k rows hold the
+    first k keys; they are already partitioned by column, so the rest is local.
+    """
+    leading = top_keys(counts, 2 * k).groupBy("column", "key").agg(F.max("n").alias("n"))
+    return top_keys(leading, k)
 
 
 def profile_of_state(
@@ -131,21 +149,18 @@ def start_profile(
             every = changed.where(F.col("column").isNull()).select(
                 F.explode(F.array(*[F.lit(n) for n in names])).alias("column"), "n"
             )
-            news = (
-                state_rows(top_keys(keyed, k), "key", key="key")
-                .unionByName(_registers(keyed, b))
+            before = versions.previous(spark, batch_id)
+            old_keys = before.where(F.col("kind") == "key").select("column", "key", "n")
+            top = _newest_top(keyed.unionByName(old_keys), k)
+            grown = (
+                before.where(F.col("kind") != "key")
+                .unionByName(_register_rows(keyed, b))
                 .unionByName(state_rows(keyed.where(F.col("key").isNull()), "nulls"))
                 .unionByName(state_rows(every, "rows"))
-            )
-            merged = (
-                versions.previous(spark, batch_id)
-                .unionByName(news)
                 .groupBy("column", "kind", "lane", "slot", "key")
                 .agg(F.max("n").alias("n"))
             )
-            kept = merged.where(F.col("kind") != "key").unionByName(
-                state_rows(top_keys(merged.where(F.col("kind") == "key"), k), "key", key="key")
-            )
+            kept = grown.unionByName(state_rows(top, "key", key="key"))
             state = versions.save_state(kept, batch_id)
             versions.save_snapshot(
                 profile_of_state(state, candidates, k, b, batch_id + 1), batch_id
@@ -193,18 +208,14 @@ def start_bounded_profile(
             tracked = freq.select("column", "key", (F.col("n") + F.col("kept")).alias("n"))
             nulls = F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(0))
             counters = seen.groupBy("column").agg(F.sum("n").alias("rows"), nulls.alias("nulls"))
-            sketches = (
-                _registers(seen, b)
+            sketches = _merged(
+                _register_rows(seen, b)
                 .unionByName(
                     state_rows(cms_cells(seen, shape), "cell", lane="row", slot="cell", n="cnt")
                 )
                 .unionByName(state_rows(counters, "rows", n="rows"))
                 .unionByName(state_rows(counters, "nulls", n="nulls"))
                 .unionByName(before.where(F.col("kind") != "key"))
-                .groupBy("column", "kind", "lane", "slot", "key")
-                .agg(
-                    F.when(F.col("kind") == "register", F.max("n")).otherwise(F.sum("n")).alias("n")
-                )
             )
             state = versions.save_state(
                 sketches.unionByName(state_rows(top_keys(tracked, cap), "key", key="key")), batch_id
