@@ -331,8 +331,7 @@ def worker_load(spark, sf_dir):
 
 
 def top_key_packing(spark, sf_dir):
-    rows = profiles.profile(_hot(spark, sf_dir), HOT_COLUMNS)
-    return load.pack_top_keys(rows, WORKERS)
+    return load.pack_top_keys(_distribution(spark, sf_dir), WORKERS)
 
 
 def balanced_repartition(spark, sf_dir):

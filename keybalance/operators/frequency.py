@@ -27,14 +27,18 @@ def request_order(candidates: list[Candidate]) -> Column:
 
 
 def _pick(keys: list[Key], group_id: Column, value) -> Column:
-    """Per grouping set, the value of the one key that the set groups by."""
+    """Per grouping set, the value of the one key that the set groups by.
+
+    The last key is the default, so that a literal result is never null: a null
+    filter inferred for it would move below the aggregation.
+    """
     last = len(keys) - 1
     # Grouping id of the set {i}: every bit set but the one of column i.
     every = (1 << len(keys)) - 1
-    branches = F.when(group_id == every - (1 << last), value(0, keys[0]))
-    for i, key in enumerate(keys[1:], start=1):
+    branches = F
+    for i, key in enumerate(keys[:last]):
         branches = branches.when(group_id == every - (1 << (last - i)), value(i, key))
-    return branches
+    return branches.otherwise(value(last, keys[last]))
 
 
 def key_frequency(

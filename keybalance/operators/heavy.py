@@ -12,8 +12,13 @@ _MIN_BUCKETS = 1 << 16
 
 
 def hash_bucket(columns: Sequence[str], n: int) -> Column:
-    """The partition 0..n-1 that ``repartition(n, *columns)`` sends a row to."""
-    return F.pmod(F.hash(*[column_ref(c) for c in columns]), F.lit(n)).cast("int")
+    """The partition 0..n-1 that ``repartition(n, *columns)`` sends a row to.
+
+    A hash is never null. Saying so keeps null filters from being added on it, which
+    would tell apart the scans that different users of the buckets could share.
+    """
+    bucket = F.pmod(F.hash(*[column_ref(c) for c in columns]), F.lit(n))
+    return F.coalesce(bucket, F.lit(0)).cast("int")
 
 
 def bucket_number(parts: int, multiple_of: int = 1) -> int:

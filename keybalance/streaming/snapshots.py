@@ -15,6 +15,7 @@ from keybalance.operators.frequency import (
     present_keys,
     top_keys,
 )
+from keybalance.workdir import written
 
 
 def batch_snapshots(
@@ -29,12 +30,16 @@ def batch_snapshots(
     floor, so a key below it is not in that batch's top k; and as the floor only
     rises with b, an interval that starts below it never matters. This drops no
     key that can be ranked, whatever the choice of the k keys.
+
+    The counts and the intervals are used several times; each is written once to the
+    shared folder, so the input is scanned once.
     """
     candidates = parse_candidates(columns, df.columns)
     freq = key_frequency(df, candidates, by=batch).withColumnRenamed(batch, "batch")
+    freq = written(freq, "batch-counts")
     totals = _running_totals(freq)
     ordinals = totals.select("column", "batch", F.col("batch_count").alias("seq"), "last_seq")
-    intervals = _count_intervals(freq, ordinals)
+    intervals = written(_count_intervals(freq, ordinals), "intervals")
     floor = _floor(intervals, ordinals, k)
     rankable = intervals.join(floor, ["column", "seq"]).where(F.col("n") >= F.col("floor"))
     held = rankable.select(
