@@ -37,6 +37,12 @@ def bounded_state(
             for k, v in zip(keys, values)
         ],
         (F.spark_partition_id() % _SLICES).alias("__slice"),
+        F.lit(1).cast("bigint").alias("__one"),
+    )
+    # The sketches cannot be merged from no rows at all: one blank row, counted as zero.
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in wide.schema.fields[:-2]]
+    blank = df.sparkSession.range(1).select(
+        *nothing, F.lit(0).alias("__slice"), F.lit(0).cast("bigint").alias("__one")
     )
     sliced, merged, rows = [], [], []
     for i, (key, text, value) in enumerate(zip(keys, texts, values)):
@@ -56,17 +62,16 @@ def bounded_state(
         rows.append(
             F.struct(
                 F.lit(key.name).alias("column"),
-                F.coalesce("__total", F.lit(0)).alias("total_rows"),
-                (F.coalesce("__total", F.lit(0)) - F.coalesce(f"__n{i}", F.lit(0))).alias(
-                    "null_count"
-                ),
+                F.col("__total").alias("total_rows"),
+                (F.col("__total") - F.col(f"__n{i}")).alias("null_count"),
                 F.col(f"__k{i}").alias("tracked"),
                 F.col(f"__d{i}").alias("distinct"),
             )
         )
     return (
-        wide.groupBy("__slice")
-        .agg(F.count(F.lit(1)).alias("__total"), *sliced)
+        wide.unionByName(blank)
+        .groupBy("__slice")
+        .agg(F.sum("__one").alias("__total"), *sliced)
         .agg(F.sum("__total").alias("__total"), *merged)
         .select(F.inline(F.array(*rows)))
     )

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from keybalance.sources.arrow_ipc import read_arrow_ipc
 
 
+# A failed footer read surfaces as either, depending on where it is noticed.
+_READ_ERRORS = (PySparkException, Py4JError)
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -37,10 +42,10 @@ def load_table(spark: SparkSession, path: str, **csv_options) -> DataFrame:
         return read_arrow_ipc(spark, path)
     try:
         return read_parquet(spark, path)
-    except PySparkException as parquet_error:
+    except _READ_ERRORS as parquet_error:
         try:
             return read_csv(spark, path, **csv_options)
-        except PySparkException as csv_error:
+        except _READ_ERRORS as csv_error:
             raise ValueError(
                 f"could not read {path} as Parquet ({parquet_error}) or CSV ({csv_error})"
             ) from csv_error

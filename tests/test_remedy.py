@@ -82,14 +82,20 @@ def test_salted_join_equals_join(spark, hot, how):
 
 
 def test_salted_join_spreads_the_hot_key(spark, hot):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         small = hot.select("k").distinct().withColumn("v", F.lit(1))
         joined = remedy.salted_join(hot.select("event_id", "k"), small, ["k"], "left", hot_share=20)
         tasks = joined.where("k = 0").select(F.spark_partition_id().alias("p")).distinct().count()
         assert tasks > 1
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in settings:
+            spark.conf.unset(name)
 
 
 def test_salted_join_on_two_columns(hot):
