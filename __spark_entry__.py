@@ -402,36 +402,40 @@ def batch_snapshots(spark, sf_dir):
     )
 
 
-def _hot_stream(spark, sf_dir) -> DataFrame:
+def _event_stream(spark, sf_dir) -> DataFrame:
+    """The events as a stream, with ``hot_key`` and a skewed key of few values."""
     path, files = _stored_as(spark, sf_dir, "events")
     schema = _table(spark, sf_dir, "events").schema
     stream = streams.stream_files(spark, path, schema, files)
-    key = (
-        F.when(F.col("event_id") % 20 == 0, None)
-        .when(F.col("event_id") % 5 < 2, F.lit(0))
-        .otherwise(F.col("user_id"))
+    missing, hot = F.col("event_id") % 20 == 0, F.col("event_id") % 5 < 2
+    return stream.withColumns(
+        {
+            "hot_key": F.when(missing, None).when(hot, F.lit(0)).otherwise(F.col("user_id")),
+            "hot_prop": F.when(missing, None).when(hot, F.lit("none")).otherwise(F.col("props")),
+        }
     )
-    return stream.withColumn("hot_key", key)
 
 
-def _finished(spark, sf_dir, start, name: str) -> Versions:
+def _finished(spark, sf_dir, start, columns: list[str], name: str) -> Versions:
     versions = Versions(fresh_dir(spark, name))
-    start(_hot_stream(spark, sf_dir), HOT_COLUMNS, versions).awaitTermination()
+    start(_event_stream(spark, sf_dir), columns, versions).awaitTermination()
     return versions
 
 
 def stream_profile(spark, sf_dir):
-    versions = _finished(spark, sf_dir, streams.start_profile, "stream")
+    versions = _finished(spark, sf_dir, streams.start_profile, HOT_COLUMNS, "stream")
     return _flat_profile(versions.latest(spark)).drop("batch_count")
 
 
 def stream_bounded_state(spark, sf_dir):
-    versions = _finished(spark, sf_dir, streams.start_bounded_profile, "bounded")
+    """Columns with fewer values than tracked keys, for which the state is exact."""
+    columns = ["hot_prop", "event_type"]
+    versions = _finished(spark, sf_dir, streams.start_bounded_profile, columns, "bounded")
     return _flat_profile(versions.latest(spark)).drop("batch_count")
 
 
 def stream_summary(spark, sf_dir):
-    versions = _finished(spark, sf_dir, streams.start_profile, "summary")
+    versions = _finished(spark, sf_dir, streams.start_profile, HOT_COLUMNS, "summary")
     schema = tables.schema_info(_hot(spark, sf_dir))
     done = streams.final_summary(spark, versions, schema, WORKERS)
     return done.select(F.inline("scores"))

@@ -36,9 +36,12 @@ def _advice(composite: Column) -> Column:
 
 def _penalized(profiles: DataFrame) -> DataFrame:
     clamped = F.least("skew_ratio", F.lit(MAX_SKEW_RATIO))
-    return profiles.withColumn(
-        "null_penalty", F.lit(100.0) * F.col("null_fraction")
-    ).withColumn("skew_penalty", F.lit(100.0) * clamped / F.lit(MAX_SKEW_RATIO))
+    return profiles.withColumns(
+        {
+            "null_penalty": F.lit(100.0) * F.col("null_fraction"),
+            "skew_penalty": F.lit(100.0) * clamped / F.lit(MAX_SKEW_RATIO),
+        }
+    )
 
 
 SCORE_COLUMNS = [
@@ -60,12 +63,13 @@ def scored(profiles: DataFrame) -> DataFrame:
         + F.lit(0.3) * (F.lit(100.0) - F.col("skew_penalty"))
     )
     full = _penalized(with_normalized_entropy(profiles)).withColumn("composite", composite)
-    rounded = ["entropy_score", "null_penalty", "skew_penalty"]
-    return (
-        full.withColumn("advice", _advice(F.col("composite")))
-        .withColumn("composite_score", F.round("composite", 1))
-        .withColumns({c: F.round(c, 1) for c in rounded})
-        .select(*profiles.columns, *SCORE_COLUMNS[1:5], "advice.recommendation", "advice.severity")
+    advised = full.withColumn("advice", _advice(F.col("composite")))
+    return advised.select(
+        *profiles.columns,
+        F.round("composite", 1).alias("composite_score"),
+        *[F.round(c, 1).alias(c) for c in ("entropy_score", "null_penalty", "skew_penalty")],
+        "advice.recommendation",
+        "advice.severity",
     )
 
 

@@ -28,25 +28,29 @@ def _fold(array: Column, zero: Column, term) -> Column:
 
 def with_shape(df: DataFrame) -> DataFrame:
     """``df`` with what follows from its ``top_keys``: counts, mean, skew and entropy."""
-    counts = F.col("partition_counts")
+    top = F.coalesce("top_keys", F.array().cast(TOP_KEYS_TYPE))
+    counts, size = F.col("partition_counts"), F.size("partition_counts")
     total = F.col("top_rows").cast("double")
     n_log_n = _fold(counts, F.lit(0.0), lambda n: n.cast("double") * F.ln(n.cast("double")))
     # Rounding can leave a few ulps below zero.
     nats = F.greatest(F.ln(total) - n_log_n / total, F.lit(0.0))
-    empty = F.array().cast(TOP_KEYS_TYPE)
+    mean = F.when(size > 0, total / size)
     return (
-        df.withColumn("top_keys", F.coalesce("top_keys", empty))
-        .withColumn("partition_counts", F.transform("top_keys", lambda x: x["count"]))
-        .withColumn("top_key_count", F.size("top_keys"))
-        .withColumn("top_rows", _fold(counts, F.lit(0).cast("bigint"), lambda n: n))
-        .withColumn("max_count", F.array_max("partition_counts"))
-        .withColumn(
-            "mean_count", F.when(F.col("top_key_count") > 0, total / F.col("top_key_count"))
+        df.withColumns({"top_keys": top, "partition_counts": F.transform(top, lambda x: x["count"])})
+        .withColumns(
+            {
+                "top_key_count": size,
+                "top_rows": _fold(counts, F.lit(0).cast("bigint"), lambda n: n),
+                "max_count": F.array_max("partition_counts"),
+            }
         )
-        .withColumn(
-            "skew_ratio", F.coalesce(F.col("max_count") / F.col("mean_count"), F.lit(1.0))
+        .withColumns(
+            {
+                "mean_count": mean,
+                "skew_ratio": F.coalesce(F.col("max_count") / mean, F.lit(1.0)),
+                "entropy": F.when(size > 1, nats).otherwise(F.lit(0.0)),
+            }
         )
-        .withColumn("entropy", F.when(F.col("top_key_count") > 1, nats).otherwise(F.lit(0.0)))
     )
 
 

@@ -83,17 +83,14 @@ def assemble(
     counted: DataFrame, candidates: list[Candidate], b: int, batch_rows: int = BATCH_ROWS
 ) -> DataFrame:
     """Profile rows from one row per column of totals, distinct estimate and top keys."""
+    derived = {
+        "null_fraction": null_fraction(),
+        "hll_error": F.lit(hll.standard_error(b)),
+        "position": request_order(candidates),
+    }
     if "batch_count" not in counted.columns:
-        counted = counted.withColumn(
-            "batch_count", F.ceil(F.col("total_rows") / F.lit(batch_rows)).cast("bigint")
-        )
-    return (
-        with_shape(counted)
-        .withColumn("null_fraction", null_fraction())
-        .withColumn("hll_error", F.lit(hll.standard_error(b)))
-        .withColumn("position", request_order(candidates))
-        .select(*PROFILE_COLUMNS)
-    )
+        derived["batch_count"] = F.ceil(F.col("total_rows") / F.lit(batch_rows)).cast("bigint")
+    return with_shape(counted.withColumns(derived)).select(*PROFILE_COLUMNS)
 
 
 def with_top_keys(totals: DataFrame, top: DataFrame) -> DataFrame:

@@ -360,6 +360,10 @@ FROM hot LEFT JOIN customer ON hot_key = c_custkey""",
     "repartition_by_key": "SELECT * FROM orders",
     "batch_snapshots": SNAPSHOTS,
     "stream_profile": f"WITH {HOT_LONG}, {PROFILE_CTES} {_profile_select(batches=False)}",
-    "stream_bounded_state": f"WITH {HOT_LONG}, {PROFILE_CTES} {_profile_select(batches=False)}",
+    "stream_bounded_state": f"""WITH long AS (
+  SELECT 'hot_prop' AS col, CASE WHEN event_id % 20 = 0 THEN NULL
+    WHEN event_id % 5 < 2 THEN 'none' ELSE props END AS key FROM events
+  UNION ALL SELECT 'event_type', event_type FROM events),
+{PROFILE_CTES} {_profile_select(batches=False)}""",
     "stream_summary": f"WITH {HOT_LONG}, {SCORE_CTES} {SCORES}",
 }
