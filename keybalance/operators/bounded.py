@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F, types as T
-
-from keybalance.functions.keys import Candidate, parse_candidates, resolve_key
-from keybalance.operators.distribution import TOP_KEYS_TYPE
-from keybalance.operators.frequency import TOP_K, TRACKED_KEYS
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from keybalance.functions.keys import (
+    Candidate,
+    candidate_name,
+    key_text,
+    parse_candidates,
+    resolve_key,
+)
+from keybalance.operators.frequency import TOP_K, TRACKED_KEYS, top_keys
 from keybalance.operators.hll import DEFAULT_B, check_b
 
 # Types that the built-in distinct sketch takes as they are.
@@ -16,80 +21,80 @@ _SKETCHABLE = (T.IntegerType, T.LongType, T.StringType, T.BinaryType)
 _SLICES = 256
 
 
+def _key_hash(text: Column) -> Column:
+    return F.when(text.isNotNull(), F.xxhash64(text))
+
+
 def bounded_state(
     df: DataFrame,
     columns: str | Iterable[Candidate],
+    parts: Iterable[str] = ("tracked", "distinct", "spread"),
     cap: int = TRACKED_KEYS,
     b: int = DEFAULT_B,
+    k: int = TOP_K,
 ) -> DataFrame:
-    """(column, total_rows, null_count, tracked, distinct): counts and two built-in sketches.
+    """(column, total_rows, null_count, *parts): counts and the parts asked for.
+
+    ``tracked`` holds frequent items and ``distinct`` a distinct count, both in the
+    built-in sketches. ``spread`` is the hash of one key out of each of k ranges.
 
     One scan, and no key is shuffled: a task sends its sketches, first to one of 256
     slices and then merged to one row, so that no task receives the sketches of all
-    scan tasks. Unused parts are pruned.
+    scan tasks.
     """
-    keys = [resolve_key(df, c) for c in parse_candidates(columns, df.columns)]
-    texts, values = [f"__t{i}" for i in range(len(keys))], [f"__v{i}" for i in range(len(keys))]
-    wide = df.select(
-        *[k.text(k.value).alias(t) for k, t in zip(keys, texts)],
-        *[
-            (k.value if isinstance(k.group_type, _SKETCHABLE) else k.text(k.value)).alias(v)
-            for k, v in zip(keys, values)
-        ],
-        (F.spark_partition_id() % _SLICES).alias("__slice"),
+    parts = set(parts)
+    inputs = [
+        (F.spark_partition_id() % _SLICES).cast("int").alias("__slice"),
         F.lit(1).cast("bigint").alias("__one"),
-    )
+    ]
+    first, then = [F.sum("__one").alias("__total")], [F.sum("__total").alias("__total")]
+    rows = []
+
+    def summed(name: str, aggregate: Column, merge: Column) -> Column:
+        """Add an aggregate and its merge under one name; the merged column."""
+        first.append(aggregate.alias(name))
+        then.append(merge.alias(name))
+        return F.col(name)
+
+    for i, candidate in enumerate(parse_candidates(columns, df.columns)):
+        key = resolve_key(df, candidate)
+        text, value = f"__t{i}", f"__v{i}"
+        inputs.append(key.text(key.value).alias(text))
+        present = summed(f"__n{i}", F.count(text), F.sum(f"__n{i}"))
+        fields = [
+            F.lit(key.name).alias("column"),
+            F.col("__total").alias("total_rows"),
+            (F.col("__total") - present).alias("null_count"),
+        ]
+        if "tracked" in parts:
+            # Null would be tracked as an item.
+            items = F.expr(f"approx_top_k_accumulate({text}, {cap}) FILTER (WHERE {text} IS NOT NULL)")
+            merged = F.expr(f"approx_top_k_combine(__k{i}, {cap})")
+            fields.append(summed(f"__k{i}", items, merged).alias("tracked"))
+        if "distinct" in parts:
+            native = isinstance(key.group_type, _SKETCHABLE)
+            inputs.append((key.value if native else key.text(key.value)).alias(value))
+            sketch = F.hll_sketch_agg(value, check_b(b))
+            fields.append(summed(f"__d{i}", sketch, F.hll_union_agg(f"__d{i}")).alias("distinct"))
+        if "spread" in parts:
+            h, cell = F.col(f"__h{i}"), F.col(f"__c{i}")
+            inputs.append(_key_hash(key.text(key.value)).alias(f"__h{i}"))
+            inputs.append(F.pmod(_key_hash(key.text(key.value)), F.lit(k)).alias(f"__c{i}"))
+            least = [
+                summed(f"__h{i}_{r}", F.min(F.when(cell == r, h)), F.min(f"__h{i}_{r}"))
+                for r in range(k)
+            ]
+            fields.append(F.array(*least).alias("spread"))
+        rows.append(F.struct(*fields))
+    wide = df.select(*inputs)
     # The sketches cannot be merged from no rows at all: one blank row, counted as zero.
-    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in wide.schema.fields[:-2]]
     blank = df.sparkSession.range(1).select(
-        *nothing, F.lit(0).alias("__slice"), F.lit(0).cast("bigint").alias("__one")
-    )
-    sliced, merged, rows = [], [], []
-    for i, (key, text, value) in enumerate(zip(keys, texts, values)):
-        sliced += [
-            F.count(text).alias(f"__n{i}"),
-            # Null would be tracked as an item.
-            F.expr(
-                f"approx_top_k_accumulate({text}, {cap}) FILTER (WHERE {text} IS NOT NULL)"
-            ).alias(f"__k{i}"),
-            F.hll_sketch_agg(value, check_b(b)).alias(f"__d{i}"),
-        ]
-        merged += [
-            F.sum(f"__n{i}").alias(f"__n{i}"),
-            F.expr(f"approx_top_k_combine(__k{i}, {cap})").alias(f"__k{i}"),
-            F.hll_union_agg(f"__d{i}").alias(f"__d{i}"),
-        ]
-        rows.append(
-            F.struct(
-                F.lit(key.name).alias("column"),
-                F.col("__total").alias("total_rows"),
-                (F.col("__total") - F.col(f"__n{i}")).alias("null_count"),
-                F.col(f"__k{i}").alias("tracked"),
-                F.col(f"__d{i}").alias("distinct"),
-            )
-        )
-    return (
-        wide.unionByName(blank)
-        .groupBy("__slice")
-        .agg(F.sum("__one").alias("__total"), *sliced)
-        .agg(F.sum("__total").alias("__total"), *merged)
-        .select(F.inline(F.array(*rows)))
-    )
-
-
-def with_tracked_keys(state: DataFrame, k: int = TOP_K, cap: int = TRACKED_KEYS) -> DataFrame:
-    """``state`` with ``top_keys``: the k largest tracked counts, ties by key text."""
-    found = F.transform(
-        F.expr(f"approx_top_k_estimate(tracked, {cap})"),
-        lambda x: F.struct((-x["count"]).alias("order"), x["item"].alias("key"), x["count"].alias("count")),
-    )
-    ranked = F.slice(F.array_sort(found), 1, k)
-    return state.withColumn(
-        "top_keys",
-        F.transform(
-            ranked, lambda x: F.struct(x["key"].alias("key"), x["count"].alias("count"))
-        ).cast(TOP_KEYS_TYPE),
+        F.lit(0).alias("__slice"),
+        F.lit(0).cast("bigint").alias("__one"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in wide.schema.fields[2:]],
     )
+    state = wide.unionByName(blank).groupBy("__slice").agg(*first).agg(*then)
+    return state.select(F.inline(F.array(*rows)))
 
 
 def with_distinct(state: DataFrame) -> DataFrame:
@@ -103,21 +108,52 @@ def with_distinct(state: DataFrame) -> DataFrame:
 def approx_top_keys(
     df: DataFrame, columns: str | Iterable[Candidate], k: int = TOP_K, cap: int = TRACKED_KEYS
 ) -> DataFrame:
-    """(column, rank, key, n) from at most ``cap`` tracked keys per column.
+    """(column, rank, key, n) from at most ``cap`` tracked keys per column, in one scan.
 
-    Exact while a column has at most ``cap`` distinct keys.
+    Exact while a column has at most ``cap`` distinct keys. Beyond that the counts are
+    estimates, and only keys that are certainly frequent come out.
     """
-    state = with_tracked_keys(bounded_state(df, columns, cap), k, cap)
-    return state.select("column", F.posexplode("top_keys").alias("pos", "item")).select(
-        "column",
-        (F.col("pos") + 1).alias("rank"),
-        F.col("item.key").alias("key"),
-        F.col("item.count").alias("n"),
+    tracked = F.expr(f"inline(approx_top_k_estimate(tracked, {cap}))").alias("key", "n")
+    state = bounded_state(df, columns, ["tracked"], cap)
+    return top_keys(state.select("column", tracked), k)
+
+
+def recounted_top_keys(
+    df: DataFrame,
+    columns: str | Iterable[Candidate],
+    candidates: DataFrame,
+    k: int = TOP_K,
+) -> DataFrame:
+    """(column, rank, key, n): top k of the candidate keys, with exact counts.
+
+    ``candidates`` is (column, h) with the hashes of a bounded number of keys per
+    column, so it is broadcast; only rows of those keys are counted.
+    """
+    named = [
+        F.struct(F.lit(candidate_name(c)).alias("column"), key_text(df, c).alias("key"))
+        for c in parse_candidates(columns, df.columns)
+    ]
+    counted = (
+        df.select(F.inline(F.array(*named)))
+        .withColumn("h", _key_hash(F.col("key")))
+        .join(F.broadcast(candidates), ["column", "h"])
+        .groupBy("column", "key")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return top_keys(counted, k)
+
+
+def candidate_hashes(cap: int = TRACKED_KEYS) -> Column:
+    """Of a state row: hashes of its tracked keys and of its spread keys, cap + k at most."""
+    tracked = F.transform(
+        F.expr(f"approx_top_k_estimate(tracked, {cap})"), lambda x: _key_hash(x["item"])
     )
+    return F.filter(F.array_distinct(F.concat(tracked, "spread")), lambda h: h.isNotNull())
 
 
 def fast_distinct(
     df: DataFrame, columns: str | Iterable[Candidate], b: int = DEFAULT_B
 ) -> DataFrame:
     """(column, cardinality_estimate) from the built-in sketches."""
-    return with_distinct(bounded_state(df, columns, b=b)).select("column", "cardinality_estimate")
+    state = with_distinct(bounded_state(df, columns, ["distinct"], b=b))
+    return state.select("column", "cardinality_estimate")

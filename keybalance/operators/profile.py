@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, functions as F
 from keybalance.functions.hashing import sha256_register
 from keybalance.functions.keys import Candidate, candidate_name, parse_candidates
 from keybalance.operators import hll
-from keybalance.operators.bounded import bounded_state, with_distinct, with_tracked_keys
+from keybalance.operators.bounded import (
+    bounded_state,
+    candidate_hashes,
+    recounted_top_keys,
+    with_distinct,
+)
 from keybalance.operators.distribution import normalized_entropy, ranked_keys, with_shape
 from keybalance.operators.frequency import (
     TOP_K,
@@ -19,6 +24,7 @@ from keybalance.operators.frequency import (
     request_order,
     top_keys,
 )
+from keybalance.workdir import written
 
 BATCH_ROWS = 50_000
 
@@ -133,12 +139,28 @@ def profile_bounded(
 ) -> DataFrame:
     """The same profile from fixed-size state, for key sets too large to shuffle.
 
-    Row and null counts stay exact; top keys come from at most ``cap`` tracked keys
-    and the distinct estimate from the built-in sketch.
+    Row and null counts are exact and the distinct estimate comes from the built-in
+    sketch. The top keys are the tracked frequent keys, filled up with arbitrary other
+    keys where fewer than k are certainly frequent; a second scan counts these
+    candidates exactly. So every key above the tracking error has its true rank and
+    count, and the profile is exact up to ``cap`` distinct keys. The state of the
+    first scan, one small row per column, is written to the shared folder.
     """
-    candidates = parse_candidates(columns, df.columns)
-    state = with_tracked_keys(bounded_state(df, candidates, cap, b), k, cap)
-    return assemble(with_distinct(state), candidates, b, batch_rows)
+    requested = parse_candidates(columns, df.columns)
+    state = with_distinct(bounded_state(df, requested, cap=cap, b=b, k=k))
+    totals = written(
+        state.select(
+            "column",
+            "total_rows",
+            "null_count",
+            "cardinality_estimate",
+            candidate_hashes(cap).alias("candidates"),
+        ),
+        "bounded-state",
+    )
+    wanted = totals.select("column", F.explode("candidates").alias("h"))
+    top = recounted_top_keys(df, requested, wanted, k)
+    return assemble(with_top_keys(totals, top), requested, b, batch_rows)
 
 
 def column_profile(profiles: DataFrame, candidates: list[Candidate], column: str) -> DataFrame:

@@ -17,6 +17,9 @@ from keybalance.operators.frequency import (
 )
 from keybalance.workdir import written
 
+# The floor is taken among this many times k leading keys.
+_LEADERS = 10
+
 
 def batch_snapshots(
     df: DataFrame, columns: str | Iterable[Candidate], batch: str, k: int = TOP_K
@@ -25,11 +28,12 @@ def batch_snapshots(
 
     A key's running count holds from one of its batches to the next. Spreading
     every such interval over its batches would cost keys x batches rows, so an
-    interval is first compared with a floor: at batch b, the lowest running count
-    among k fixed keys (the overall top k). At least k keys are at or above the
-    floor, so a key below it is not in that batch's top k; and as the floor only
-    rises with b, an interval that starts below it never matters. This drops no
-    key that can be ranked, whatever the choice of the k keys.
+    interval is first compared with a floor: at each batch, the k-th largest running
+    count among some fixed keys (the overall leaders). At least k keys are at or
+    above the floor, so a key below it is not in that batch's top k; and as the floor
+    only rises, an interval ends for good where the floor passes its count, and one
+    that starts below it never matters. This drops no key that can be ranked,
+    whatever the choice of the fixed keys.
 
     The counts and the intervals are used several times; each is written once to the
     shared folder, so the input is scanned once.
@@ -42,11 +46,10 @@ def batch_snapshots(
     intervals = written(_count_intervals(freq, ordinals), "intervals")
     floor = _floor(intervals, ordinals, k)
     rankable = intervals.join(floor, ["column", "seq"]).where(F.col("n") >= F.col("floor"))
-    held = rankable.select(
-        "column", "key", "n", F.explode(F.sequence("seq", "until")).alias("seq")
-    )
-    above = held.join(floor, ["column", "seq"]).where(F.col("n") >= F.col("floor"))
-    ranked = ranked_keys(top_keys(above, k, ("column", "seq")), ("column", "seq"))
+    within = rankable.join(_last_above(rankable, floor), ["column", "n"])
+    span = F.sequence(F.col("seq"), F.least("until", "last"))
+    held = within.select("column", "key", "n", F.explode(span).alias("seq"))
+    ranked = ranked_keys(top_keys(held, k, ("column", "seq")), ("column", "seq"))
     joined = totals.withColumnRenamed("batch_count", "seq").join(ranked, ["column", "seq"], "left")
     return (
         with_shape(joined)
@@ -101,20 +104,34 @@ def _count_intervals(freq: DataFrame, ordinals: DataFrame) -> DataFrame:
 
 
 def _floor(intervals: DataFrame, ordinals: DataFrame, k: int) -> DataFrame:
-    """(column, seq, floor): lowest running count among the overall top k keys.
+    """(column, seq, floor): k-th largest running count among the overall leaders.
 
-    Zero while one of them has not occurred yet, or where there are fewer than k.
+    Zero while fewer than k of them have occurred.
     """
-    fixed = top_keys(intervals.where("latest"), k).select("column", "key")
-    # At most k keys per column, so this side is broadcast.
-    known = intervals.join(F.broadcast(fixed), ["column", "key"]).select(
-        "column", "key", "seq", "n"
+    leaders = top_keys(intervals.where("latest"), _LEADERS * k).select("column", "key")
+    # A fixed number of keys per column, so this side is broadcast.
+    held = intervals.join(F.broadcast(leaders), ["column", "key"]).select(
+        "column", "key", "n", F.explode(F.sequence("seq", "until")).alias("seq")
     )
-    grid = ordinals.join(F.broadcast(fixed), "column").select("column", "key", "seq")
-    so_far = Window.partitionBy("column", "key").orderBy("seq")
-    running = grid.join(known, ["column", "key", "seq"], "left").withColumn(
-        "n", F.coalesce(F.max("n").over(so_far), F.lit(0))
+    kth = top_keys(held, k, ("column", "seq")).where(F.col("rank") == k)
+    return (
+        ordinals.select("column", "seq")
+        .join(kth.select("column", "seq", F.col("n").alias("floor")), ["column", "seq"], "left")
+        .withColumn("floor", F.coalesce("floor", F.lit(0)))
     )
-    return running.groupBy("column", "seq").agg(
-        F.when(F.count("key") < k, F.lit(0)).otherwise(F.min("n")).alias("floor")
+
+
+def _last_above(rankable: DataFrame, floor: DataFrame) -> DataFrame:
+    """(column, n, last): the last batch whose floor does not exceed a count n.
+
+    Counts and floors are sorted together; only their distinct values take part.
+    """
+    counts = rankable.select("column", "n").distinct()
+    steps = floor.groupBy("column", F.col("floor").alias("n")).agg(F.max("seq").alias("upto"))
+    both = counts.withColumn("upto", F.lit(None).cast("int")).unionByName(steps)
+    up_to_n = Window.partitionBy("column").orderBy("n")
+    return (
+        both.withColumn("last", F.max("upto").over(up_to_n))
+        .where(F.col("upto").isNull())
+        .select("column", "n", "last")
     )

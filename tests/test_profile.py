@@ -193,6 +193,15 @@ def test_bounded_top_keys_beyond_cap_keep_the_heavy_key(spark):
     assert abs(estimate - 60_001) < 3 * 0.0082 * 60_001
 
 
+def test_bounded_profile_beyond_cap_counts_exactly(spark):
+    df = spark.range(90_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k")
+    )
+    row, exact = P.profile_bounded(df, "k").first(), P.profile(df, "k").first()
+    assert row.partition_counts == exact.partition_counts == [30_000] + [1] * 19
+    assert row.skew_ratio == exact.skew_ratio and row.entropy == pytest.approx(exact.entropy)
+
+
 def test_bounded_profile_of_empty_and_null_columns(keyed):
     for keys in ([], [None, None]):
         row = one(P.profile_bounded(keyed(keys), "k"))
