@@ -230,8 +230,16 @@ def hll_merge(spark, sf_dir):
 
 
 def hll_builtin(spark, sf_dir):
+    """Exact distinct counts, and whether the sketch is within three standard errors."""
+    columns = ["l_orderkey", "l_partkey", "l_shipdate"]
     lineitem = _table(spark, sf_dir, "lineitem")
-    return bounded.fast_distinct(lineitem, ["l_orderkey", "l_partkey", "l_shipdate"])
+    keys = frequency.present_keys(frequency.key_frequency(lineitem, columns))
+    exact = keys.groupBy("column").agg(F.count("key").alias("distinct_keys"))
+    error = F.abs(F.col("cardinality_estimate") / F.col("distinct_keys") - 1)
+    # One row per column on both sides.
+    return exact.join(F.broadcast(bounded.fast_distinct(lineitem, columns)), "column").select(
+        "column", "distinct_keys", (error <= 3 * hll.standard_error(14)).alias("within_bound")
+    )
 
 
 def cms_cells(spark, sf_dir):
@@ -311,7 +319,19 @@ def hash_bucket_load(spark, sf_dir):
 
 
 def physical_load(spark, sf_dir):
-    return load.hash_bucket_load(_hot(spark, sf_dir), HOT_COLUMNS, WORKERS)
+    """The predicted hash load against the layout that a repartition really gives."""
+    hot = _hot(spark, sf_dir)
+    predicted = load.hash_bucket_load(hot, ["hot_key"], WORKERS).select(
+        "slot", F.col("rows").alias("predicted")
+    )
+    laid_out = remedy.partition_layout(remedy.repartition_by_key(hot, ["hot_key"], WORKERS))
+    actual = laid_out.select(F.col("partition").alias("slot"), F.col("rows").alias("actual"))
+    differs = F.coalesce("predicted", F.lit(0)) != F.coalesce("actual", F.lit(0))
+    # At most one row per slot on both sides.
+    return predicted.join(actual, "slot", "full").agg(
+        F.sum("predicted").alias("total_rows"),
+        F.sum(differs.cast("bigint")).alias("slots_that_differ"),
+    )
 
 
 def _rounded(df: DataFrame, *names: str, digits: int = 9) -> DataFrame:

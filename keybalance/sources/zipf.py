@@ -10,6 +10,7 @@ from keybalance.functions.keys import column_ref
 
 # The cumulative table is two numbers per rank and is broadcast up to this size.
 BROADCAST_RANKS = 1 << 20
+_CHUNK = 1 << 16
 _UNIT = float(1 << 52)
 
 
@@ -21,25 +22,43 @@ def uniform(identity: Sequence[str], seed: str) -> Column:
 
 
 def zipf_cumulative(spark: SparkSession, n: int, exponent: float) -> DataFrame:
-    """(rank, low, high): the share of [0, 1) of each rank, weight 1 / rank^exponent."""
+    """(rank, low, high): the share of [0, 1) of each rank, weight 1 / rank^exponent.
+
+    The running sum is taken per chunk of ranks and over the chunks, so that no task
+    sorts all ranks.
+    """
     if n < 1:
         raise ValueError("n must be >= 1")
-    order = Window.partitionBy(F.lit(0)).orderBy("rank")
     weights = spark.range(1, n + 1).select(
         F.col("id").alias("rank"),
+        F.expr(f"id div {_CHUNK}").alias("chunk"),
         F.pow(F.col("id").cast("double"), F.lit(-float(exponent))).alias("w"),
     )
+    chunks = weights.groupBy("chunk").agg(F.sum("w").alias("of_chunk"))
+    in_order = Window.partitionBy(F.lit(0)).orderBy("chunk")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    up_to_here = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    offsets = chunks.select(
+        "chunk",
+        F.coalesce(F.sum("of_chunk").over(earlier), F.lit(0.0)).alias("offset"),
+        F.sum("of_chunk").over(up_to_here).alias("next_offset"),
+        F.sum("of_chunk").over(Window.partitionBy(F.lit(0))).alias("all"),
+    )
+    within = Window.partitionBy("chunk").orderBy("rank")
+    upto, before = F.sum("w").over(within), within.rowsBetween(Window.unboundedPreceding, -1)
     running = weights.select(
         "rank",
-        F.sum("w").over(order).alias("upto"),
-        F.sum("w").over(Window.partitionBy(F.lit(0))).alias("all"),
-    )
-    share = F.col("upto") / F.col("all")
+        "chunk",
+        upto.alias("upto"),
+        F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("before"),
+    ).join(F.broadcast(offsets), "chunk")
+    # A rank ends exactly where the next one starts, also across chunks.
+    ends_chunk = F.col("rank") % _CHUNK == _CHUNK - 1
+    end = F.when(ends_chunk, F.col("next_offset")).otherwise(F.col("offset") + F.col("upto"))
     return running.select(
         "rank",
-        F.coalesce(F.lag(share).over(order), F.lit(0.0)).alias("low"),
-        # Nothing may fall between the last rank and 1.
-        F.when(F.col("rank") == n, F.lit(1.0)).otherwise(share).alias("high"),
+        ((F.col("offset") + F.col("before")) / F.col("all")).alias("low"),
+        F.when(F.col("rank") == n, F.lit(1.0)).otherwise(end / F.col("all")).alias("high"),
     )
 
 

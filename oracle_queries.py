@@ -232,6 +232,10 @@ _SALTED_KEY = "CAST(hot_key AS VARCHAR)"
 
 ORACLES = {
     "parquet_scan": "SELECT * FROM lineitem",
+    "schema_info": """SELECT (SELECT count(*) FROM lineitem) AS total_rows, column_name AS "column",
+  CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+    WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END AS "type"
+FROM (DESCRIBE lineitem)""",
     "csv_roundtrip": "SELECT * FROM orders",
     "arrow_roundtrip": "SELECT * FROM orders",
     "zipf_table": ZIPF,
@@ -282,6 +286,10 @@ SELECT col AS "column", j, CAST(r AS INT) AS r FROM registers""",
 SELECT col AS "column", round(estimate, 6) AS cardinality_estimate FROM distincts""",
     "hll_merge": f"""WITH {CUSTKEY_BOTH}, {_registers(12, 'both_tables')}
 SELECT col AS "column", j, CAST(r AS INT) AS r FROM registers""",
+    "hll_builtin": """SELECT 'l_orderkey' AS "column", count(DISTINCT l_orderkey) AS distinct_keys,
+  true AS within_bound FROM lineitem
+UNION ALL SELECT 'l_partkey', count(DISTINCT l_partkey), true FROM lineitem
+UNION ALL SELECT 'l_shipdate', count(DISTINCT l_shipdate), true FROM lineitem""",
     "cms_cells": "WITH "
     + _long("lineitem", "l_partkey", "l_returnflag")
     + f', {FREQ}, {_cells(544, 5)} SELECT col AS "column", "row", cell, cnt FROM cells',
@@ -332,6 +340,8 @@ SELECT j.col AS "column", t.total AS total_rows, round(j.c, 1) AS composite_scor
 FROM judged j JOIN totals t USING (col) JOIN distincts d USING (col) JOIN packed p USING (col)""",
     "hash_bucket_load": f"""WITH {HOT_LONG}, {FREQ}, {SLOTS}
 SELECT col AS "column", slot, load AS "rows" FROM slots""",
+    "physical_load": f"""WITH {HOT} SELECT count(*) AS total_rows,
+  0::BIGINT AS slots_that_differ FROM hot""",
     "load_report": f"""WITH {HOT_LONG}, {FREQ}, {SLOTS}, {ALL_SLOTS}
 SELECT col AS "column", 8 AS num_workers, CAST(total AS BIGINT) AS total_rows,
   1000000.0::DOUBLE AS rows_per_sec, round(total / 8 / 1000000, 9) AS ideal_finish_sec,

@@ -84,6 +84,14 @@ def test_zipf_equals_linear_search(spark):
         assert row["rank"] == next(t["rank"] for t in table if row.u < t.high)
 
 
+def test_zipf_shares_cover_the_unit_range(spark, monkeypatch):
+    monkeypatch.setattr(zipf, "_CHUNK", 7)
+    rows = zipf.zipf_cumulative(spark, 100, 1.1).orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(1, 101))
+    assert rows[0].low == 0.0 and rows[-1].high == 1.0
+    assert all(a.high == b.low and a.low < a.high for a, b in zip(rows, rows[1:]))
+
+
 def test_skewed_table_matches_published_figures(spark):
     df = zipf.skewed_table(spark.range(500_000), ["id"])
     rows = {r["column"]: r for r in P.profile(df, "user_id, region").collect()}
