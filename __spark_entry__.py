@@ -58,12 +58,12 @@ def _hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored_as(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, int]:
     """(path, files per micro-batch) of a table for a file stream.
 
-    A stream reads a folder; a table stored as one file is staged as a few.
+    A stream reads a folder; a table stored as one file is staged as two.
     """
     path = f"{sf_dir}/{name}.parquet"
     if staging.is_directory(spark, path):
         return path, 1000
-    return staging.stage_parquet(_table(spark, sf_dir, name), 3), 1
+    return staging.stage_parquet(_table(spark, sf_dir, name), 2), 1
 
 
 def _joined(array: str):

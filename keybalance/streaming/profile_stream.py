@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from keybalance.functions.hashing import sha256_register
@@ -52,6 +52,31 @@ def _register_rows(freq: DataFrame, b: int) -> DataFrame:
     return state_rows(hashed, "register", slot="j")
 
 
+def _grown_rows(changed: DataFrame, names: list[str], b: int) -> DataFrame:
+    """State rows of changed counts, in one pass: row counts, null counts, registers.
+
+    The null column's count is the number of rows, the same for all columns.
+    """
+    j, rho = sha256_register(F.col("key"), b)
+    nothing, n = F.lit(None), F.col("n")
+
+    def row(column: Column, kind: str, slot: Column, value: Column) -> Column:
+        return F.struct(
+            column.alias("column"),
+            F.lit(kind).alias("kind"),
+            nothing.cast("int").alias("lane"),
+            slot.cast("int").alias("slot"),
+            nothing.cast("string").alias("key"),
+            value.cast("bigint").alias("n"),
+        )
+
+    rows = F.array(*[row(F.lit(c), "rows", nothing, n) for c in names])
+    nulls = F.array(row(F.col("column"), "nulls", nothing, n))
+    registers = F.array(row(F.col("column"), "register", j, rho))
+    is_total, is_null = F.col("column").isNull(), F.col("key").isNull()
+    return changed.select(F.inline(F.when(is_total, rows).when(is_null, nulls).otherwise(registers)))
+
+
 def _merged(rows: DataFrame) -> DataFrame:
     """State rows summed up, registers by their maximum: one shuffle for all kinds."""
     return rows.groupBy("column", "kind", "lane", "slot", "key").agg(
@@ -145,18 +170,12 @@ def start_profile(
         changed = changed.persist()  # every further read would run the stateful plan again
         try:
             keyed = changed.where(F.col("column").isNotNull())
-            # The null column's count is the number of rows, the same for all columns.
-            every = changed.where(F.col("column").isNull()).select(
-                F.explode(F.array(*[F.lit(n) for n in names])).alias("column"), "n"
-            )
             before = versions.previous(spark, batch_id)
             old_keys = before.where(F.col("kind") == "key").select("column", "key", "n")
             top = _newest_top(keyed.unionByName(old_keys), k)
             grown = (
                 before.where(F.col("kind") != "key")
-                .unionByName(_register_rows(keyed, b))
-                .unionByName(state_rows(keyed.where(F.col("key").isNull()), "nulls"))
-                .unionByName(state_rows(every, "rows"))
+                .unionByName(_grown_rows(changed, names, b))
                 .groupBy("column", "kind", "lane", "slot", "key")
                 .agg(F.max("n").alias("n"))
             )
