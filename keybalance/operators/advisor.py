@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keybalance.operators.profile import with_normalized_entropy
 
-# The skew ratio at which the penalty is full, the salt bucket count
-# that the advice names, and the advice sentences.
+# The skew ratio at which the penalty is full, and the advice sentences.
 MAX_SKEW_RATIO = 50.0
-SALT_BUCKETS = 8
 GOOD = "Good partition key candidate"
 MODERATE_SKEW = "Moderate skew — consider salting or composite key"
 HIGH_NULLS = "High null rate — add NOT NULL filter or composite key"
 ACCEPTABLE = "Acceptable partition key"
 HIGH_SKEW = "High skew — salting recommended before production use"
 SEVERE = "Severely skewed or sparse — repartition required"
+EXPLANATION = (
+    "Column '%s' has a skew ratio of %.1fx (top partition is %.1fx the mean). "
+    "Estimated cardinality: %s. %s"
+)
+SALTING = "Salting with 8 buckets should reduce hot-key concentration by ~8x."
+STANDARD = "Standard repartition should suffice."
 
 
 def _advice(composite: Column) -> Column:
@@ -108,19 +112,11 @@ def flags(profiles: DataFrame) -> DataFrame:
 
 def explanation() -> Column:
     """The advice sentence of a profile row."""
-    advice = F.when(
-        F.col("skew_ratio") > 5,
-        F.lit(
-            f"Salting with {SALT_BUCKETS} buckets should reduce hot-key "
-            f"concentration by ~{SALT_BUCKETS}x."
-        ),
-    ).otherwise(F.lit("Standard repartition should suffice."))
     return F.format_string(
-        "Column '%s' has a skew ratio of %.1fx (top partition is %.1fx the mean). "
-        "Estimated cardinality: %s. %s",
+        EXPLANATION,
         F.col("column"),
         F.col("skew_ratio"),
         F.col("skew_ratio"),
         F.format_number(F.floor("cardinality_estimate").cast("bigint"), 0),
-        advice,
+        F.when(F.col("skew_ratio") > 5, SALTING).otherwise(STANDARD),
     )

@@ -11,6 +11,7 @@ from keybalance.operators import advisor, load
 from keybalance.operators.profile import profile
 from keybalance.sources.tables import schema_info
 
+MAX_WORKERS = 1024
 STATS_COLUMNS = [
     "column",
     "total_rows",
@@ -71,6 +72,8 @@ def report(
     rows_per_sec: float = load.ROWS_PER_SEC,
 ) -> DataFrame:
     """The nested report of a table's candidate columns."""
+    if not 1 <= workers <= MAX_WORKERS:
+        raise ValueError(f"workers must be in 1..{MAX_WORKERS}, got {workers}")
     candidates = parse_candidates(columns, df.columns)
     rows = column_report(profile(df, candidates), workers, rows_per_sec)
     return nested_report(rows, schema_info(df))

@@ -119,6 +119,9 @@ def test_nested_report(events):
     assert {s["column"]: s["type"] for s in record["schema_info"]}["value"] == "double"
     assert len(record["loads"][0]["workers"]) == 4
     assert sum(w["is_straggler"] for w in record["loads"][0]["workers"]) == 1
+    for workers in (0, 1025):
+        with pytest.raises(ValueError):
+            R.report(events, "user_id", workers=workers)
 
 
 def test_report_of_all_null_column(keyed):

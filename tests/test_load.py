@@ -78,9 +78,8 @@ def test_rate_scales(spark):
 
 
 def test_arguments(spark):
-    for n in (0, 1025):
-        with pytest.raises(ValueError):
-            packed(spark, [100], n)
+    with pytest.raises(ValueError):
+        packed(spark, [100], 0)
     with pytest.raises(ValueError):
         report(spark, [100], 1, 0)
 
@@ -153,6 +152,34 @@ def test_key_with_a_third_of_all_rows_is_split(spark, tmp_path):
     assert max(cut) < 1.15 * 30_000 / 16 and sum(cut) == 30_000
 
 
+def test_packing_of_heavy_keys_is_longest_first(spark):
+    rng = random.Random(5)
+    counts = [rng.randint(300, 900) for _ in range(30)]
+    df = counted(spark, counts)
+    n, parts = 4, load._heavy_parts(4)
+    rows = {r.k: r.slots for r in load.slot_map(df, ["k"], n, split_oversized=False).collect()}
+    by_hash = {r.k: r.s for r in df.select("k", heavy.hash_bucket(["k"], n).alias("s")).distinct().collect()}
+    sizes = {f"k{i:03d}": c for i, c in enumerate(counts)}
+    big = {k: c for k, c in sizes.items() if c * parts > sum(counts)}
+    assert set(rows) == set(big)
+    loads = [0] * n
+    for k, c in sizes.items():
+        loads[by_hash[k]] += c if k not in big else 0
+    for k, c in sorted(big.items(), key=lambda kc: (-kc[1], kc[0])):
+        slot = loads.index(min(loads))
+        assert rows[k] == [slot]
+        loads[slot] += c
+
+
+def test_thousands_of_slots(spark):
+    df = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
+    row = load.slot_map(df, ["k"], 5000).collect()
+    assert [r.k for r in row] == [-1]
+    assert len(set(row[0].slots)) > 1000
+    loads = load.hash_bucket_load(df, ["k"], 5000)
+    assert load.load_report(loads, 5000).first().total_rows == 200_000
+
+
 def test_light_keys_keep_their_hash_slot(events):
     df = events.select("event_id", "user_id")
     assigned = load.assign_slots(df, ["event_id"], 4)
