@@ -40,7 +40,8 @@ def batch_snapshots(
     """
     candidates = parse_candidates(columns, df.columns)
     freq = key_frequency(df, candidates, by=batch).withColumnRenamed(batch, "batch")
-    freq = written(freq, "batch-counts")
+    given = F.when(F.col("batch").isNull(), F.raise_error(F.lit("batch id is null")))
+    freq = written(freq.withColumn("batch", given.otherwise(F.col("batch"))), "batch-counts")
     totals = _running_totals(freq)
     ordinals = totals.select("column", "batch", F.col("batch_count").alias("seq"), "last_seq")
     intervals = written(_count_intervals(freq, ordinals), "intervals")

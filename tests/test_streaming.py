@@ -66,6 +66,12 @@ def test_snapshots_of_null_batches(spark):
     assert (second.null_count, second.partition_counts) == (1, [1])
 
 
+def test_snapshots_need_a_batch_id(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "b")], "b int, k string")
+    with pytest.raises(Exception, match="batch id is null"):
+        batch_snapshots(df, "k", "b")
+
+
 @pytest.fixture(scope="module")
 def staged(events):
     key = F.when(F.col("event_id") % 9 > 0, F.col("user_id"))
