@@ -6,6 +6,7 @@ made skewed and partly null, as the tables themselves are near-uniform.
 
 from __future__ import annotations
 
+import importlib
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -519,13 +520,38 @@ def entry(spark: SparkSession) -> DataFrame:
     return advisor.rank(advisor.scored(profiles.profile(hot, [*HOT_COLUMNS, "user_id"])))
 
 
+def _optional(module: str):
+    """A module of the training-text part, or None where that part is not installed."""
+    try:
+        return importlib.import_module(module)
+    except ModuleNotFoundError as e:
+        if e.name in ("corpus_pipeline", "keybalance.llm"):
+            return None
+        raise
+
+
+LLM = _optional("keybalance.llm") and _optional("keybalance.llm.queries")
+LLM_SQL = LLM and _optional("keybalance.llm.oracles")
+PIPELINE = LLM and _optional("corpus_pipeline")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; each callable takes (spark, sf_dir)."""
-    return {q.__name__: q for q in QUERIES}
+    found = {q.__name__: q for q in QUERIES}
+    if LLM:
+        found |= {q.__name__: q for q in LLM.QUERIES}
+    if PIPELINE:
+        found["pipeline"] = PIPELINE.run
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results in SQL; see ``oracle_queries.py``."""
     from oracle_queries import ORACLES
 
-    return dict(ORACLES)
+    found = dict(ORACLES)
+    if LLM_SQL:
+        found |= LLM_SQL.ORACLES
+    if PIPELINE and PIPELINE.ORACLE_SQL:
+        found["pipeline"] = PIPELINE.ORACLE_SQL
+    return found
