@@ -42,4 +42,102 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM j
 """
 
-ORACLES = {"op8_quality_rules": OP8}
+OP2 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+repeats AS (
+  SELECT doc_id, i FROM windows
+  QUALIFY doc_id > min(doc_id) OVER (PARTITION BY s)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM repeats),
+held AS (
+  SELECT doc_id, w[p] AS word, p
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)
+  ANTI JOIN gone USING (doc_id, p)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM held GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_TOKENS = r"""regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+_OP4 = r"""
+WITH d AS (SELECT doc_id, TOKENS AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, TOKENS AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[i:i + 12], ' ') AS s
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT doc_id, item, i, n FROM places JOIN windows USING (n, s)),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (
+    SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+"""
+OP4 = _OP4.replace("TOKENS", _TOKENS) + """
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP6 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (
+  SELECT *, length(regexp_replace(text, '(\\|<\|im_start\|>|<\|im_next\|>|<\|im_end\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>)', '\1.', 'g')) AS size,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
+  FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(size + CASE WHEN role = before THEN 11 ELSE 12 + length(role) + 1 + 11 END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+OP10 = r"""
+WITH captures AS (
+  SELECT page_id, url, DATE '2024-01-01' + (page_id * 37 % 366)::INT AS fetched,
+    nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') AS host
+  FROM pages),
+asked AS (
+  SELECT DISTINCT host, array_to_string(l[i:], '.') AS key
+  FROM (SELECT host, l, unnest(range(1, greatest(len(l) - 1, 1) + 1)) AS i
+        FROM (SELECT DISTINCT host, string_split(host, '.') AS l FROM captures WHERE host IS NOT NULL))),
+h AS (
+  SELECT key, ('0x' || substr(md5(key), 1, 4))::INT AS h0, ('0x' || substr(md5(key), 5, 4))::INT AS h1,
+    ('0x' || substr(md5(key), 9, 4))::INT AS h2, ('0x' || substr(md5(key), 13, 4))::INT AS h3,
+    ('0x' || substr(md5(key), 17, 4))::INT AS h4
+  FROM (SELECT DISTINCT key FROM asked)),
+listed AS (
+  SELECT key, ['ads', 'adult', 'malware'][h0 % 3 + 1] AS list, DATE '2024-01-01' + h1 % 200 AS a,
+    CASE WHEN h3 % 4 > 0 THEN DATE '2024-01-01' + (h1 % 200 + h2 % 120 + 1) END AS r,
+    CASE WHEN h4 % 2 > 0 THEN DATE '2024-01-01' + (h1 % 200 + h2 % 120 + 41) END AS a2
+  FROM h WHERE h0 % 10 < 4),
+hits AS (
+  SELECT page_id, string_agg(list || ':' || key, ',' ORDER BY list || ':' || key) AS blocked_by
+  FROM captures JOIN asked USING (host) JOIN listed USING (key)
+  WHERE (fetched >= a AND (r IS NULL OR fetched < r)) OR fetched >= a2
+  GROUP BY page_id)
+SELECT page_id, url, fetched::VARCHAR AS fetched, coalesce(blocked_by, '') AS blocked_by,
+  blocked_by IS NOT NULL AS blocked
+FROM captures LEFT JOIN hits USING (page_id)
+"""
+
+ORACLES = {
+    "op2_substring_dedup": OP2,
+    "op4_decontamination": OP4,
+    "op6_chat_formatting": OP6,
+    "op8_quality_rules": OP8,
+    "op10_url_filters": OP10,
+}
