@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from keybalance.llm import batches as B
+from keybalance.llm.suffixes import suffix_array
 
 WIDTH = 13
 #: Words of the test set in one broadcast block (8 bytes each, and 24 for each window).
@@ -85,37 +86,6 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, width: int, size: int)
         yield block()
 
 
-def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the keys, and the dense rank of each."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    new = np.empty(len(keys), np.int64)
-    step = np.empty(len(keys), bool)
-    step[:1] = False
-    np.not_equal(ordered[1:], ordered[:-1], out=step[1:])
-    new[order] = np.cumsum(step)
-    return order, new
-
-
-def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``codes`` in the order of their first ``depth`` symbols or more."""
-    n = len(codes)
-    bits = int(codes.max(initial=1)).bit_length()
-    reach = max(1, min(depth, 62 // bits))
-    key = np.zeros(n, np.int64)
-    for k in range(reach):  # the first symbols fit into one key
-        key <<= bits
-        key[: n - k] |= codes[k:] if k else codes
-    order, rank = _ranks(key)
-    while reach < depth and n and rank[order[-1]] < n - 1:
-        step = min(reach, depth - reach)  # overlapping at the end: depth symbols exactly
-        behind = np.zeros(n, np.int64)
-        behind[: n - step] = rank[step:] + 1
-        order, rank = _ranks(rank * (n + 1) + behind)
-        reach += step
-    return order
-
-
 class Shard:
     """Suffix array over the words of some documents."""
 
@@ -194,6 +164,18 @@ class Shard:
         return length
 
 
+_TYPES = [
+    ("n_words", pa.int64()),
+    ("n_hit", pa.int64()),
+    ("n_items", pa.int64()),
+    ("items", pa.list_(pa.string())),
+    ("contaminated", pa.bool_()),
+    ("longest_words", pa.int64()),
+    ("longest_at", pa.int64()),
+    ("longest_item", pa.string()),
+]
+
+
 def judged(column, test: Iterable[Block], width: int = WIDTH) -> dict[str, list | np.ndarray]:
     """Contamination of each text of a shard."""
     words, first = tokens(column)
@@ -258,8 +240,10 @@ def contamination(
     def judge(parts):
         for shard in B.shards(parts):
             found = judged(shard["text"], (b.value for b in test), width)
-            out = pa.Table.from_pydict({"doc_id": shard["doc_id"], **found})
-            yield from out.to_batches()
+            columns = [pa.array(found[name], t) for name, t in _TYPES]
+            yield pa.RecordBatch.from_arrays(
+                [shard["doc_id"].combine_chunks(), *columns], ["doc_id", *[n for n, _ in _TYPES]]
+            )
 
     return slim.mapInArrow(judge, f"doc_id {kind}, {RESULT}")
 
