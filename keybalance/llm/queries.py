@@ -13,6 +13,7 @@ from keybalance.llm import (
     secret_scan,
     simhash,
     substring_dedup,
+    suffix_dedup,
     url_filter,
 )
 
@@ -36,6 +37,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(docs, with_text=False))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(docs, with_text=False))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, test = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.contamination(docs, test))
@@ -86,6 +92,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [
     op1_secret_scans,
     op2_substring_dedup,
+    op3_suffix_dedup,
     op4_decontamination,
     op5_pii,
     op6_chat_formatting,

@@ -191,7 +191,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, int]:
 RESULT = "n_words long, n_removed long, kept_text string, kept_sha256 string, intervals array<struct<start:long,end:long>>"
 
 
-def _intervals(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def merged(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal intervals covered by the spans."""
     order = np.argsort(starts)
     begin, end = starts[order], np.maximum.accumulate((starts + lengths)[order])
@@ -227,7 +227,7 @@ def remove_repeats(
             total.append(len(words))
             spans = found.get((i, m))
             if spans is not None:
-                begin, end = _intervals(*spans)
+                begin, end = merged(*spans)
                 keep = np.ones(len(words), bool)
                 for x, y in zip(begin.tolist(), end.tolist()):
                     keep[x:y] = False
