@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 #: setting counts rows only, so it is kept low; shards are put together from batches.
 ROWS_PER_BATCH = 512
 SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 LEAST = -(2**63)
 
 BLANK = np.zeros(256, bool)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from keybalance.llm import batches as B
 
 #: Bytes of text whose occurrences are resolved among themselves before any shuffle.
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 16 << 20
 
 
 def parts_of(spark: SparkSession) -> int:

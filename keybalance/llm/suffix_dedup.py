@@ -109,7 +109,7 @@ class Contexts:
         whole = roll(begin, end + self.width)
         self.rows.append(
             (
-                grams[a],
+                B.mixed(grams[a]),  # samples have small hashes; ranges need spread ones
                 B.mixed(whole ^ B.SYMBOL[offset]),
                 doc[begin] + np.int32(first_doc),
                 (begin - bounds[doc[begin]]).astype(np.int64),
@@ -340,7 +340,7 @@ def _low_gram(data: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
     total = np.zeros(len(at), np.uint64)
     for k in range(gram):
         total += B.SYMBOL[data[at + k]] * powers[k]
-    return (B.mixed(total) & _LOW).view(np.int64)
+    return (B.mixed(B.mixed(total)) & _LOW).view(np.int64)
 
 
 def _open_contexts(docs: DataFrame, verdicts: DataFrame, ranges: int, gram: int) -> DataFrame:
@@ -427,13 +427,21 @@ def _sorted_batch(bucket=(), spans=(), strings=None) -> pa.RecordBatch:
 
 
 def repeats_in(table: pa.Table, width: int):
-    """Suffix-sorts the contexts of a shard.
+    """Suffix-sorts the distinct contexts of a shard.
 
-    Gives (id, mark, start) of the strings that repeat an earlier one, and those with
+    Gives the spans (id, mark, start, length) of contexts that equal an earlier one, (id,
+    mark, start) of the strings that repeat an earlier one, and those with
     their hash of the first occurrences in contexts of split grams.
     """
     data, bounds = B.flat(table["body"])
     length = np.diff(bounds)
+    grams, hashes = table["gram"].to_numpy(), B.Rolling(B.SYMBOL[data])(bounds[:-1], bounds[1:])
+    place = [table[c].to_numpy() for c in ("id", "mark", "start")]
+    copy, _ = later((grams, hashes), *place)
+    whole = (*[x[copy] for x in place], length[copy])
+    table = table.filter(pa.array(~copy))
+    data, bounds = B.flat(table["body"])
+    length = np.diff(bounds)
     n = len(length)
     place = np.arange(len(data)) + np.repeat(np.arange(n), length)
     symbols = np.zeros(len(data) + n, np.uint16)
@@ -455,7 +463,7 @@ def repeats_in(table: pa.Table, width: int):
         padded = np.zeros(len(symbols), np.uint8)
         padded[place] = data
         hashes = B.Rolling(B.SYMBOL[padded])(at[split], at[split] + width)
-    return (ids[repeat], marks[repeat], starts[repeat]), (
+    return whole, (ids[repeat], marks[repeat], starts[repeat]), (
         hashes.view(np.int64), ids[split], marks[split], starts[split],
     )
 
@@ -481,10 +489,11 @@ def _sorted_shards(contexts: DataFrame, ranges: int, width: int, size: int) -> D
 
         def settle(table: pa.Table):
             nonlocal pending
-            repeat, first = repeats_in(table, width)
+            whole, repeat, first = repeats_in(table, width)
             spans = joined_spans(*repeat, width)
+            verdicts.add(*whole)
             verdicts.add(*spans)
-            pending += len(spans[0])
+            pending += len(whole[0]) + len(spans[0])
             if len(first[0]):
                 yield _sorted_batch(strings=first)
             if pending > 1 << 20:
