@@ -148,7 +148,7 @@ def reunited(
             F.col("spans").alias("body"),
         )
     )
-    dealt = both.repartition("bucket").sortWithinPartitions("bucket", "kind")
+    dealt = both.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
 
     def meet(parts):
         def run(bucket_rows: pa.Table, found: dict):

@@ -184,7 +184,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, int]:
         close()
         yield from verdicts.flush()
 
-    sent = docs.mapInArrow(send, SENT).repartition("part").sortWithinPartitions("part")
+    sent = docs.mapInArrow(send, SENT).repartitionById(ranges, F.col("part"))
     return sent.mapInArrow(judge, O.Verdicts.SCHEMA), ranges
 
 

@@ -327,7 +327,7 @@ def _reduced(docs: DataFrame, ranges: int, width: int, gram: int, split: int) ->
         if now is not None:
             yield from close()
 
-    sent = docs.mapInArrow(send, SENT).repartition("part").sortWithinPartitions("part")
+    sent = docs.mapInArrow(send, SENT).repartitionById(ranges, F.col("part"))
     return sent.mapInArrow(judge, "bucket int, kind int, spans binary")
 
 
