@@ -8,7 +8,7 @@ the sequence length that fall into it: a piece at a boundary belongs to the sequ
 that its offset names. Only the last sequence of the stream is padded.
 
 Words between blanks are tokenized independently of each other by the vocabularies
-this is made for, so each task keeps the ids of words it has seen, up to a fixed
+this is made for, so a worker keeps the ids of words it has seen, up to a fixed
 number of words, and looks words up instead of tokenizing them again.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed
@@ -18,7 +18,10 @@ gives no pieces.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +36,33 @@ END_ID = 1
 KNOWN_WORDS = 1 << 19
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they first come up."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies (a fixed mapping):
+    printable Latin-1 characters stand for themselves, the other bytes follow from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+#: Words whose pieces are certain: Latin letters, then marks of punctuation. Lower-casing and
+#: normal form concern each letter alone there, and the two runs are pieces of their own.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([.,;:!?#$%&*()-]*)")
+
+
 class WordIds:
-    """Token ids of words, remembered per word.
+    """Token ids of words between blanks, remembered per word.
 
-    ``arena`` holds the ids of all known words behind one another.
+    ``arena`` holds the ids of all known words behind one another. Plain words go to
+    the vocabulary's own model piece by piece, all others through the whole tokenizer.
     """
 
     def __init__(self, path: str, limit: int = KNOWN_WORDS):
@@ -44,49 +70,71 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
+        self.letters = _byte_letters()
+        self.by_piece = self._splits_like_words()
         self._forget()
 
+    def _splits_like_words(self) -> bool:
+        """Whether words may be taken apart: the tokenizer agrees on words of every kind."""
+        samples = ["Word", "\u00c9t\u00e9", "no,", "\u00e9t\u00e9...", "x!?", "##", "a", "Stra\u00dfe;", "\u00d1and\u00fa):"]
+        self.pieces: dict[str, list[int]] = {}
+        return all(
+            self._plain(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in samples
+        )
+
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbers()
+        self.pieces = {}
         self.start = np.zeros(1 << 10, np.int64)
         self.arena = np.empty(1 << 12, np.uint32)
-        self.used = 0
+        self.learned = self.used = 0
+
+    def _piece(self, piece: str) -> list[int]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            text = piece.encode().decode("latin-1").translate(self.letters)
+            ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(text)]
+        return ids
+
+    def _plain(self, word: str) -> list[int] | None:
+        m = _PLAIN.fullmatch(word)
+        if m is None:
+            return None
+        letters, marks = m.groups()
+        ids = self._piece(letters.lower()) if letters else []
+        return ids + self._piece(marks) if marks else ids
 
     def _learn(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch(
-            [w.decode("utf-8", "replace") for w in words], add_special_tokens=False
-        )
-        lists = [e.ids for e in encoded]
-        flat = np.array([i for ids in lists for i in ids], np.uint32)
-        count = len(self.known)
-        need = count + len(words) + 1
+        texts = [w.decode("utf-8", "replace") for w in words]
+        lists = [self._plain(t) if self.by_piece else None for t in texts]
+        other = [i for i, ids in enumerate(lists) if ids is None]
+        encoded = self.tokenizer.encode_batch([texts[i] for i in other], add_special_tokens=False)
+        for i, e in zip(other, encoded):
+            lists[i] = e.ids
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32)
+        need = self.learned + len(words) + 1
         if need > len(self.start):
             self.start = np.concatenate([self.start, np.zeros(need, np.int64)])
         while self.used + len(flat) > len(self.arena):
             self.arena = np.concatenate([self.arena, np.empty_like(self.arena)])
-        ends = self.used + np.cumsum([len(x) for x in lists])
-        self.start[count + 1 : count + 1 + len(words)] = ends
+        self.start[self.learned + 1 : need] = self.used + np.cumsum([len(x) for x in lists])
         self.arena[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        for i, w in enumerate(words, count):
-            self.known[w] = i
+        self.learned += len(words)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind one another, each closed by END_ID, and the texts' bounds."""
+        if self.learned > self.limit:
+            self._forget()
         split = [t.split() for t in texts]
         counts = np.array([len(w) for w in split], np.int64)
-        words = [w for ws in split for w in ws]
-        index = list(map(self.known.get, words))
-        fresh = {w: None for w, i in zip(words, index) if i is None} if None in index else {}
-        if fresh:
-            if len(self.known) + len(fresh) > self.limit:
-                self._forget()
-                fresh = dict.fromkeys(words)
-            self._learn(list(fresh))
-            index = list(map(self.known.__getitem__, words))
-        at = np.array(index, np.int64)
-        begin = self.start[at] if len(at) else at
-        size = self.start[at + 1] - begin if len(at) else at
+        self.known.fresh = []
+        words = chain.from_iterable(split)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, int(counts.sum()))
+        if self.known.fresh:
+            self._learn(self.known.fresh)
+        begin = self.start[at]
+        size = self.start[at + 1] - begin
         before = np.concatenate([[0], np.cumsum(size)])
         first = np.concatenate([[0], np.cumsum(counts)])
         bounds = before[first] + np.arange(len(texts) + 1)  # one end id a text
@@ -99,6 +147,12 @@ class WordIds:
         return out, bounds
 
 
+@cache
+def _word_ids(path: str) -> WordIds:
+    """One for all tasks of a worker process, as most words come up again."""
+    return WordIds(path)
+
+
 def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, part (partition), before (ids before it in its partition), tokens, ids (16 or 32 bits each)."""
     B.bound_batches(docs.sparkSession)
@@ -108,7 +162,7 @@ def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     kind = dict(slim.dtypes)["doc_id"]
 
     def encode(parts: Iterator[pa.RecordBatch]):
-        ids, total = WordIds(tokenizer), 0
+        ids, total = _word_ids(tokenizer), 0
         for table in B.shards(parts):
             texts = [t.as_py() or b"" for t in table["text"].cast(pa.binary())]
             values, bounds = ids(texts)
