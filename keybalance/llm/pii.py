@@ -34,6 +34,11 @@ SAMPLE_DOCS = 2000
 #: Marginal from which a token is taken.
 SURE = 0.9
 ROUNDS = 8
+#: Letters and digits that equal tokens need to be tied; short ones repeat by chance.
+MIN_FORM = 6
+#: Prior weight of agreement over a skip edge. Base labels miss the very mentions that
+#: skip edges are for, so a sample without ties that speak against it leaves it as it is.
+SKIP_PRIOR = 6.0
 #: Tokens apart at most for a chain edge.
 NEAR = 3
 
@@ -133,7 +138,9 @@ def _ties(tokens: list[str]) -> list[tuple[int, int]]:
     for i, t in enumerate(tokens):
         form = re.sub(r"[\W_]+", "", t).lower()
         digits = "".join(c for c in form if c.isdigit())
-        keys = {form} | ({"#" + digits[-7:]} if len(digits) >= 7 else set())
+        keys = {form} if len(form) >= MIN_FORM else set()
+        if len(digits) >= 7:
+            keys.add("#" + digits[-7:])
         found = {last[k] for k in keys if k in last}
         out += [(j, i) for j in found]
         for k in keys:
@@ -194,17 +201,18 @@ def fit(graphs: list[Graph], steps: int = 300, rate: float = 0.5, decay: float =
         np.add.at(n, e[:, 0], hot[e[:, 1]])
         np.add.at(n, e[:, 1], hot[e[:, 0]])
         around.append(n)
-    unary, pair = np.zeros((FEATURES, LABELS)), [np.zeros(LABELS), np.zeros(LABELS)]
+    prior = [np.zeros(LABELS), np.full(LABELS, SKIP_PRIOR)]
+    unary, pair = np.zeros((FEATURES, LABELS)), [p.copy() for p in prior]
     for _ in range(steps):
         score = x @ unary + sum(w * n for w, n in zip(pair, around))
         p = np.exp(score - score.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         miss = (hot - p) / len(y)
         unary += rate * (x.T @ miss - decay * unary)
-        for w, n in zip(pair, around):
+        for w, n, mean in zip(pair, around, prior):
             # an edge never makes its ends disagree
-            np.maximum(w + rate * ((n * miss).sum(axis=0) - decay * w), 0, out=w)
-    return Weights(unary, pair[0], np.maximum(pair[1], 1.0))
+            np.maximum(w + rate * ((n * miss).sum(axis=0) - decay * (w - mean)), 0, out=w)
+    return Weights(unary, *pair)
 
 
 def marginals(g: Graph, w: Weights, rounds: int = ROUNDS) -> np.ndarray:
