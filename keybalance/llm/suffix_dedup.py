@@ -559,6 +559,8 @@ def remove_repeats(
     with_text: bool = True,
 ) -> DataFrame:
     """doc_id and the columns of RESULT; without ``with_text`` the kept bytes are left out."""
+    if not 1 <= gram <= width <= 250:
+        raise ValueError(f"need 1 <= gram <= width <= 250, got {gram} and {width}")
     spark = docs.sparkSession
     B.bound_batches(spark)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
