@@ -22,12 +22,15 @@ from keybalance.operators import (  # noqa: E402
     cms,
     frequency,
     heavy,
-    hll,
     load,
     profile as profiles,
     remedy,
 )
-from keybalance.operators.distribution import distribution  # noqa: E402
+from keybalance.operators.distribution import (  # noqa: E402
+    distribution,
+    normalized_entropy as entropy_share,
+    whole_distribution,
+)
 from keybalance.plans import report as reports  # noqa: E402
 from keybalance.sources import sinks, staging, tables, zipf  # noqa: E402
 from keybalance.sources.arrow_ipc import read_arrow_ipc  # noqa: E402
@@ -56,17 +59,6 @@ def _hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").withColumn("hot_key", key)
 
 
-def _stored_as(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, int]:
-    """(path, files per micro-batch) of a table for a file stream.
-
-    A stream reads a folder; a table stored as one file is staged as two.
-    """
-    path = f"{sf_dir}/{name}.parquet"
-    if staging.is_directory(spark, path):
-        return path, 1000
-    return staging.stage_parquet(_table(spark, sf_dir, name), 2), 1
-
-
 def _joined(array: str):
     return F.array_join(F.col(array).cast("array<string>"), ",")
 
@@ -121,9 +113,8 @@ def partitioned_write(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
     path = fresh_dir(spark, "by-type")
     sinks.write_partitioned(events, ["event_type"], path)
-    return spark.read.parquet(path).select(
-        F.col("event_type").cast("string").alias("event_type"), "event_id", "user_id", "value"
-    )
+    back = sinks.read_partitioned(spark, path, events.schema)
+    return back.select("event_type", "event_id", "user_id", "value")
 
 
 # ---------------------------------------------------------------- profile
@@ -150,7 +141,9 @@ def top_k_keys(spark, sf_dir):
 
 
 def approx_top_k(spark, sf_dir):
-    return bounded.approx_top_keys(_table(spark, sf_dir, "documents"), ["lang", "source"])
+    """Exact top keys through hash buckets, of columns with few and with many keys."""
+    lineitem = _table(spark, sf_dir, "lineitem")
+    return bounded.bucketed_top_keys(lineitem, ["l_partkey", "l_orderkey", "l_returnflag"])
 
 
 def heavy_keys(spark, sf_dir):
@@ -163,22 +156,41 @@ def _distribution(spark, sf_dir):
     return distribution(frequency.top_keys(freq))
 
 
+def _shapes(spark, sf_dir):
+    """Over all keys, and over the top keys, of columns with many keys."""
+    freq = frequency.key_frequency(_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_shipdate"])
+    top = distribution(frequency.top_keys(freq))
+    # One row per column on both sides.
+    return whole_distribution(freq).join(F.broadcast(top), "column")
+
+
 def skew_ratio(spark, sf_dir):
-    return _distribution(spark, sf_dir).select(
+    return _shapes(spark, sf_dir).select(
         "column",
         "max_count",
-        F.round("mean_count", 6).alias("mean_count"),
-        F.round("skew_ratio", 6).alias("skew_ratio"),
+        "key_count",
+        F.round("key_skew_ratio", 6).alias("skew_ratio"),
+        F.round("mean_count", 6).alias("top_mean_count"),
+        F.round("skew_ratio", 6).alias("top_skew_ratio"),
     )
 
 
 def entropy(spark, sf_dir):
-    return _distribution(spark, sf_dir).select("column", F.round("entropy", 6).alias("entropy"))
+    return _shapes(spark, sf_dir).select(
+        "column",
+        F.round("key_entropy", 6).alias("entropy"),
+        F.round("entropy", 6).alias("top_entropy"),
+    )
 
 
 def normalized_entropy(spark, sf_dir):
-    rows = profiles.with_normalized_entropy(_distribution(spark, sf_dir))
-    return rows.select("column", F.round("entropy_score", 6).alias("entropy_score"))
+    rows = profiles.with_normalized_entropy(_shapes(spark, sf_dir))
+    whole = entropy_share(F.col("key_entropy"), F.col("key_count"))
+    return rows.select(
+        "column",
+        F.round(whole, 6).alias("entropy_score"),
+        F.round("entropy_score", 6).alias("top_entropy_score"),
+    )
 
 
 def column_profile(spark, sf_dir):
@@ -193,8 +205,17 @@ def one_column_profile(spark, sf_dir):
 
 
 def bounded_profile(spark, sf_dir):
-    rows = profiles.profile_bounded(_table(spark, sf_dir, "documents"), ["lang", "source"])
-    return _flat_profile(rows)
+    """Exact but for the distinct count, which is compared with the exact one."""
+    columns = ["l_partkey", "l_orderkey", "l_returnflag"]
+    lineitem = _table(spark, sf_dir, "lineitem")
+    rows = _flat_profile(profiles.profile_bounded(lineitem, columns))
+    exact = whole_distribution(frequency.key_frequency(lineitem, columns))
+    error = F.abs(F.col("cardinality_estimate") / F.col("key_count") - 1)
+    # One row per column on both sides.
+    return rows.join(F.broadcast(exact.select("column", "key_count")), "column").select(
+        *[c for c in rows.columns if c not in ("cardinality_estimate", "hll_error")],
+        (error <= 3 * bounded.standard_error()).alias("within_bound"),
+    )
 
 
 def composite_key_profile(spark, sf_dir):
@@ -214,43 +235,59 @@ def _custkeys(spark, sf_dir, table: str, column: str) -> DataFrame:
     return frequency.key_frequency(keys, ["custkey"])
 
 
+def _against_exact(freq: DataFrame, estimates: DataFrame, b: int = bounded.SKETCH_BITS) -> DataFrame:
+    """Exact distinct counts, and whether the sketch is within three standard errors."""
+    exact = whole_distribution(freq).select("column", F.col("key_count").alias("distinct_keys"))
+    error = F.abs(F.col("cardinality_estimate") / F.col("distinct_keys") - 1)
+    # One row per column on both sides.
+    return exact.join(F.broadcast(estimates), "column").select(
+        "column", "distinct_keys", (error <= 3 * bounded.standard_error(b)).alias("within_bound")
+    )
+
+
+def _estimated(sketches: DataFrame) -> DataFrame:
+    return sketches.select("column", bounded.sketch_estimate("distinct").alias("cardinality_estimate"))
+
+
 def hll_registers(spark, sf_dir):
-    return hll.hll_registers(frequency.key_frequency(_hot(spark, sf_dir), HOT_COLUMNS))
+    """Sketches of a column with nulls, with the row counts that go with them."""
+    hot = _hot(spark, sf_dir)
+    state = bounded.bounded_state(hot, HOT_COLUMNS)
+    checked = _against_exact(frequency.key_frequency(hot, HOT_COLUMNS), _estimated(state))
+    return checked.join(F.broadcast(state.select("column", "total_rows", "null_count")), "column")
 
 
 def hll_estimate(spark, sf_dir):
-    freq = frequency.key_frequency(_table(spark, sf_dir, "lineitem"), ["l_partkey", "l_orderkey"])
-    rows = hll.hll_estimate(hll.hll_registers(freq))
-    return rows.withColumn("cardinality_estimate", F.round("cardinality_estimate", 6))
+    columns, lineitem = ["l_partkey", "l_orderkey"], _table(spark, sf_dir, "lineitem")
+    return _against_exact(
+        frequency.key_frequency(lineitem, columns), bounded.fast_distinct(lineitem, columns, 12), 12
+    )
 
 
 def hll_merge(spark, sf_dir):
-    left = hll.hll_registers(_custkeys(spark, sf_dir, "orders", "o_custkey"), 12)
-    right = hll.hll_registers(_custkeys(spark, sf_dir, "customer", "c_custkey"), 12)
-    return hll.hll_merge(left, right, 12, 12)
+    """The union of the sketches of two tables against the exact count over both."""
+    named = [
+        _table(spark, sf_dir, t).select(F.col(c).alias("custkey"))
+        for t, c in (("orders", "o_custkey"), ("customer", "c_custkey"))
+    ]
+    left, right = (bounded.bounded_state(df, ["custkey"], 12) for df in named)
+    both = frequency.key_frequency(named[0].unionByName(named[1]), ["custkey"])
+    return _against_exact(both, _estimated(bounded.merged_sketches(left, right)), 12)
 
 
 def hll_builtin(spark, sf_dir):
-    """Exact distinct counts, and whether the sketch is within three standard errors."""
-    columns = ["l_orderkey", "l_partkey", "l_shipdate"]
-    lineitem = _table(spark, sf_dir, "lineitem")
-    keys = frequency.present_keys(frequency.key_frequency(lineitem, columns))
-    exact = keys.groupBy("column").agg(F.count("key").alias("distinct_keys"))
-    error = F.abs(F.col("cardinality_estimate") / F.col("distinct_keys") - 1)
-    # One row per column on both sides.
-    return exact.join(F.broadcast(bounded.fast_distinct(lineitem, columns)), "column").select(
-        "column", "distinct_keys", (error <= 3 * hll.standard_error(14)).alias("within_bound")
+    columns, lineitem = ["l_orderkey", "l_partkey", "l_shipdate"], _table(spark, sf_dir, "lineitem")
+    return _against_exact(
+        frequency.key_frequency(lineitem, columns), bounded.fast_distinct(lineitem, columns)
     )
 
 
 def cms_cells(spark, sf_dir):
-    freq = frequency.key_frequency(_table(spark, sf_dir, "lineitem"), ["l_partkey", "l_returnflag"])
-    return cms.cms_cells(freq)
+    return cms.scan_cells(_table(spark, sf_dir, "lineitem"), ["l_partkey", "l_returnflag"])
 
 
 def cms_weighted(spark, sf_dir):
-    documents = _table(spark, sf_dir, "documents")
-    return cms.cms_cells(frequency.key_frequency(documents, ["source"], weight="n_chars"))
+    return cms.scan_cells(_table(spark, sf_dir, "documents"), ["source"], weight="n_chars")
 
 
 def cms_total(spark, sf_dir):
@@ -307,7 +344,11 @@ def report(spark, sf_dir):
         own("scores")["composite_score"].alias("composite_score"),
         own("scores")["severity"].alias("severity"),
         place.cast("int").alias("place"),
-        F.round("z.loads.load.slowdown_factor", 6).alias("slowdown_factor"),
+        F.col("z.loads.load.total_rows").alias("load_rows"),
+        (
+            F.aggregate("z.loads.workers", F.lit(0).cast("bigint"), lambda a, w: a + w["assigned_rows"])
+            == F.col("z.loads.load.total_rows")
+        ).alias("load_adds_up"),
         F.size("z.loads.workers").alias("workers"),
         F.col("z.hints.explanation").alias("explanation"),
         own("schema_info")["type"].alias("type"),
@@ -341,21 +382,40 @@ def _rounded(df: DataFrame, *names: str, digits: int = 9) -> DataFrame:
 
 def load_report(spark, sf_dir):
     rows = load.load_report(hash_bucket_load(spark, sf_dir), WORKERS)
-    return _rounded(
-        rows, "ideal_finish_sec", "actual_finish_sec", "slowdown_factor", "idle_fraction"
-    )
+    return _rounded(rows, "mean_rows", "slowdown_factor", "idle_fraction")
 
 
 def worker_load(spark, sf_dir):
-    rows = load.worker_load(hash_bucket_load(spark, sf_dir), WORKERS)
-    return _rounded(rows, "finish_time_sec", "idle_sec")
+    return load.worker_load(hash_bucket_load(spark, sf_dir), WORKERS)
 
 
 def top_key_packing(spark, sf_dir):
     return load.pack_top_keys(_distribution(spark, sf_dir), WORKERS)
 
 
+def _evenness(laid_out: DataFrame, n: int, bound: float) -> DataFrame:
+    """One row: partitions with rows, rows, and whether the largest is within ``bound`` of the mean."""
+    layout = remedy.partition_layout(laid_out)
+    return layout.agg(
+        F.count(F.lit(1)).alias("partitions"),
+        F.sum("rows").alias("total_rows"),
+        (F.max("rows") <= bound * F.sum("rows") / n).alias("even"),
+    )
+
+
 def balanced_repartition(spark, sf_dir):
+    """The balanced layout is even; that of the same rows hashed by key is not."""
+    hot = _hot(spark, sf_dir)
+    ways = {
+        "balanced": load.balanced_repartition(hot, ["hot_key"], WORKERS),
+        "hashed": remedy.repartition_by_key(hot, ["hot_key"], WORKERS),
+    }
+    rows = [_evenness(df, WORKERS, 1.1).withColumn("layout", F.lit(w)) for w, df in ways.items()]
+    return rows[0].unionByName(rows[1]).select("layout", "total_rows", "even")
+
+
+def balanced_rows(spark, sf_dir):
+    """The balanced layout keeps every row."""
     laid_out = load.balanced_repartition(_hot(spark, sf_dir), ["hot_key"], WORKERS)
     return laid_out.select("event_id", F.col("hot_key").cast("bigint").alias("hot_key"), "value")
 
@@ -390,8 +450,12 @@ def salted_aggregate(spark, sf_dir):
             "value_max": ("max", "value"),
             "id_avg": ("avg", "event_id"),
             "types": ("approx_distinct", "event_type"),
+            "exact_types": ("count_distinct", "event_type"),
+            "value_median": ("median", "value"),
+            "props_list": ("collect_list", "event_type"),
         },
-    )
+        parts=20,
+    ).withColumn("props_list", F.array_join(F.array_sort("props_list"), ","))
 
 
 def salted_join(spark, sf_dir):
@@ -401,7 +465,13 @@ def salted_join(spark, sf_dir):
 
 
 def repartition_by_key(spark, sf_dir):
-    return remedy.repartition_by_key(_table(spark, sf_dir, "orders"), ["o_custkey"], 16)
+    """Partitions that hold rows of a key, per key, and its rows."""
+    laid_out = remedy.repartition_by_key(_table(spark, sf_dir, "orders"), ["o_custkey"], 16)
+    return (
+        laid_out.select("o_custkey", F.spark_partition_id().alias("p"))
+        .groupBy("o_custkey")
+        .agg(F.count_distinct("p").alias("partitions"), F.count(F.lit(1)).alias("n"))
+    )
 
 
 # ---------------------------------------------------------------- batches and streams
@@ -409,7 +479,17 @@ def repartition_by_key(spark, sf_dir):
 
 def batch_snapshots(spark, sf_dir):
     hot = _hot(spark, sf_dir).withColumn("batch_id", F.expr("event_id div 1000"))
-    rows = snapshots.batch_snapshots(hot, HOT_COLUMNS, "batch_id")
+    return _snapshots(hot, HOT_COLUMNS)
+
+
+def unique_key_snapshots(spark, sf_dir):
+    """Snapshots of a column without a repeated key: all ranks are ties."""
+    events = _table(spark, sf_dir, "events")
+    return _snapshots(events.withColumn("batch_id", F.expr("event_id div 1000")), ["event_id"])
+
+
+def _snapshots(df: DataFrame, columns: list[str]) -> DataFrame:
+    rows = snapshots.batch_snapshots(df, columns, "batch_id")
     return rows.select(
         "column",
         "batch",
@@ -425,9 +505,9 @@ def batch_snapshots(spark, sf_dir):
 
 def _event_stream(spark, sf_dir) -> DataFrame:
     """The events as a stream, with ``hot_key`` and a skewed key of few values."""
-    path, files = _stored_as(spark, sf_dir, "events")
-    schema = _table(spark, sf_dir, "events").schema
-    stream = streams.stream_files(spark, path, schema, files)
+    events = _table(spark, sf_dir, "events")
+    path = staging.stage_parquet(events, 2)  # two micro-batches
+    stream = streams.stream_files(spark, path, events.schema)
     missing, hot = F.col("event_id") % 20 == 0, F.col("event_id") % 5 < 2
     return stream.withColumns(
         {
@@ -455,6 +535,29 @@ def stream_bounded_state(spark, sf_dir):
     return _flat_profile(versions.latest(spark)).drop("batch_count")
 
 
+def stream_bounds(spark, sf_dir):
+    """A bounded stream of more keys than it tracks: every true count is within its bounds."""
+    versions = Versions(fresh_dir(spark, "bounds"))
+    start = streams.start_bounded_profile(
+        _event_stream(spark, sf_dir), ["user_id", "event_type"], versions, cap=40
+    )
+    start.awaitTermination()
+    state = versions.state(spark, versions.last_batch(spark))
+    kept = streams.keys_of_state(state)
+    slack = kept.groupBy("column").agg(F.max("slack").alias("bound"))
+    freq = frequency.key_frequency(_table(spark, sf_dir, "events"), ["user_id", "event_type"])
+    both = frequency.present_keys(freq).withColumnRenamed("n", "true_n").join(
+        kept.drop("slack"), ["column", "key"], "left"
+    ).join(F.broadcast(slack), "column")
+    low = F.coalesce("n", F.lit(0))
+    return both.groupBy("column").agg(
+        F.count(F.lit(1)).alias("distinct_keys"),
+        F.sum("true_n").alias("n_rows"),
+        F.count("n").alias("tracked"),
+        F.bool_and((low <= F.col("true_n")) & (F.col("true_n") <= low + F.col("bound"))).alias("within"),
+    )
+
+
 def stream_summary(spark, sf_dir):
     versions = _finished(spark, sf_dir, streams.start_profile, HOT_COLUMNS, "summary")
     schema = tables.schema_info(_hot(spark, sf_dir))
@@ -502,14 +605,17 @@ QUERIES = [
     worker_load,
     top_key_packing,
     balanced_repartition,
+    balanced_rows,
     salt_column,
     salted_row_totals,
     salted_aggregate,
     salted_join,
     repartition_by_key,
     batch_snapshots,
+    unique_key_snapshots,
     stream_profile,
     stream_bounded_state,
+    stream_bounds,
     stream_summary,
 ]
 

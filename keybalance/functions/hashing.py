@@ -1,39 +1,13 @@
-"""Hash expressions of the two sketches, and the row salt."""
+"""Hash expressions of the sketch and the load, and the row salt."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+import warnings
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keybalance.functions.keys import column_ref
-
-# 32-bit FNV-1a offset basis and prime, and the seed that the
-# sketch's row numbers are hashed with.
-FNV_BASIS = 0x811C9DC5
-FNV_PRIME = 0x01000193
-ROW_SEED = 0xDEADBEEF
-
-
-def sha256_register(key: Column, b: int) -> tuple[Column, Column]:
-    """(register index, rho) of a key, from the first 64 bits of its SHA-256.
-
-    The index is the top ``b`` bits. Rho is the 1-based position of the leftmost
-    one in the other ``64 - b`` bits, and one past the end if there is none. The
-    64 bits are handled as two unsigned halves to stay within a signed bigint.
-    """
-    digest = F.sha2(key, 256)
-    high = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-    low = F.conv(F.substring(digest, 9, 8), 16, 10).cast("bigint")
-    rest = 32 - b
-    high_rest = high.bitwiseAND(F.lit((1 << rest) - 1))
-    rho = (
-        F.when(high_rest > 0, F.lit(rest + 1) - F.length(F.bin(high_rest)))
-        .when(low > 0, F.lit(rest + 33) - F.length(F.bin(low)))
-        .otherwise(F.lit(rest + 33))
-    )
-    return F.shiftright(high, rest).cast("int"), rho.cast("int")
+from keybalance.functions.keys import column_ref, holds_map
 
 
 def sha256_bucket(key: Column, n: int) -> Column:
@@ -41,49 +15,17 @@ def sha256_bucket(key: Column, n: int) -> Column:
     return (F.conv(F.substring(F.sha2(key, 256), 1, 15), 16, 10).cast("bigint") % n).cast("int")
 
 
-def _fnv1a(data: bytes, seed: int) -> int:
-    h = FNV_BASIS ^ seed
-    for byte in data:
-        h = ((h ^ byte) * FNV_PRIME) & 0xFFFFFFFF
-    return h
-
+def sha256_cells(key: Column, width: int, depth: int) -> list[Column]:
+    """Cell 0..width-1 of a key text in each of ``depth`` rows.
 
-def row_seeds(depth: int) -> list[int]:
-    return [_fnv1a(str(i).encode(), ROW_SEED) for i in range(depth)]
-
-
-def fnv_cells(width: int, depth: int):
-    """Arrow UDF: key text -> its cell (hash mod ``width``) in each of ``depth`` rows.
-
-    FNV-1a is a byte-by-byte fold, which as a Catalyst higher-order function runs
-    interpreted per byte. Here one numpy step handles the byte at a position of
-    all keys of an Arrow batch and all seeds, over the bytes of the whole key.
+    A digest has eight numbers of 32 bits, one a row; further rows take the digest of the
+    text with a suffix. Any engine can compute the same cells.
     """
-    starts = np.array([[FNV_BASIS ^ s] for s in row_seeds(depth)], dtype=np.uint32)
-    prime, modulus = np.uint32(FNV_PRIME), np.uint32(width)
-
-    @F.arrow_udf("array<int>")
-    def cells(keys: pa.Array) -> pa.Array:
-        utf8 = keys.cast(pa.large_binary())
-        n = len(utf8)
-        _, offsets_buf, data_buf = utf8.buffers()
-        offsets = np.frombuffer(offsets_buf, dtype=np.int64)[utf8.offset : utf8.offset + n + 1]
-        data = np.frombuffer(data_buf or b"", dtype=np.uint8)
-        lengths = np.diff(offsets)
-        # Longest keys first: the keys that still have a byte at a position are a prefix.
-        order = np.argsort(-lengths, kind="stable")
-        first, falling = offsets[:-1][order], -lengths[order]
-        h = np.repeat(starts, n, axis=1)
-        for pos in range(int(-falling[0]) if n else 0):
-            live = int(np.searchsorted(falling, -pos, side="left"))
-            h[:, :live] = (h[:, :live] ^ data[first[:live] + pos]) * prime
-        out = np.empty((n, depth), dtype=np.int32)
-        out[order] = (h % modulus).T
-        return pa.ListArray.from_arrays(
-            np.arange(0, n * depth + 1, depth, dtype=np.int32), pa.array(out.reshape(-1))
-        )
-
-    return cells
+    digests = [
+        F.sha2(key if i == 0 else F.concat(key, F.lit(f"#{i}")), 256) for i in range(-(-depth // 8))
+    ]
+    part = lambda i: F.substring(digests[i // 8], 8 * (i % 8) + 1, 8)
+    return [(F.conv(part(i), 16, 10).cast("bigint") % width).cast("int") for i in range(depth)]
 
 
 def row_identity(df: DataFrame, identity: list[str] | None = None) -> list[Column]:
@@ -91,7 +33,7 @@ def row_identity(df: DataFrame, identity: list[str] | None = None) -> list[Colum
 
     Named columns win. Otherwise a file scan's own row position is used: it
     separates exact copies and reads no further columns. Other inputs fall back
-    to all their columns.
+    to all their columns but maps, with a warning: copies of a row then stay together.
     """
     if identity:
         return [column_ref(c) for c in identity]
@@ -100,11 +42,16 @@ def row_identity(df: DataFrame, identity: list[str] | None = None) -> list[Colum
         df.select(*position).schema
         return position
     except AnalysisException:
-        return [column_ref(c) for c in df.columns]
+        warnings.warn(
+            "rows have no file position: copies of a row get one salt; name identity columns "
+            "to tell them apart",
+            stacklevel=2,
+        )
+        return [column_ref(f.name) for f in df.schema.fields if not holds_map(f.dataType)]
 
 
 def row_salt(df: DataFrame, buckets: int, identity: list[str] | None = None) -> Column:
     """Salt 0..buckets-1 that splits equal keys. Not ``rand()``: a retried task must agree."""
     if buckets < 1:
-        raise ValueError("buckets must be >= 1")
+        raise ValueError(f"need at least one salt, got {buckets}")
     return F.pmod(F.xxhash64(*row_identity(df, identity)), F.lit(buckets)).cast("int")

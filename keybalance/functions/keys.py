@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 Candidate = str | tuple[str, ...]
 
 # Values of these types can be grouped as they are: equal values have equal text
-# and distinct values distinct text. Everything else is grouped on its text, so
-# that -0.0 / 0.0, NaN, zoned timestamps and nested values keep their own keys.
+# and distinct values distinct text, but for zoned timestamps, where a repeated hour
+# has one text for two instants. Everything else is grouped on its text, so that
+# -0.0 / 0.0, NaN and nested values keep their own keys.
 _GROUPED_NATIVELY = (
     T.BooleanType,
     T.ByteType,
@@ -21,6 +22,7 @@ _GROUPED_NATIVELY = (
     T.LongType,
     T.DecimalType,
     T.DateType,
+    T.TimestampType,
     T.TimestampNTZType,
     T.BinaryType,
 )
@@ -40,28 +42,33 @@ def parse_candidates(
 ) -> list[Candidate]:
     """Validate the requested columns; a string is a comma-separated list.
 
-    Blanks are dropped and duplicates collapse to the first mention. An empty
-    request and unknown columns are errors.
+    Blanks are dropped, a tuple of one name is that name, and duplicates collapse to
+    the first mention. An empty request, unknown columns and two candidates that
+    would have one name are errors.
     """
     requested = columns.split(",") if isinstance(columns, str) else list(columns)
     cleaned = [c.strip() if isinstance(c, str) else tuple(p.strip() for p in c) for c in requested]
-    candidates = list(dict.fromkeys(c for c in cleaned if c))
+    plain = [c[0] if not isinstance(c, str) and len(c) == 1 else c for c in cleaned]
+    candidates = list(dict.fromkeys(c for c in plain if c))
     if not candidates:
-        raise ValueError("at least one partition column must be specified")
+        raise ValueError("name at least one column to analyse")
     parts = [p for c in candidates for p in ((c,) if isinstance(c, str) else c)]
     missing = [p for p in dict.fromkeys(parts) if p not in available]
     if missing:
-        raise ValueError(f"columns not found: {missing}; available: {list(available)}")
+        raise ValueError(f"no such columns: {missing}; available: {list(available)}")
+    names = [candidate_name(c) for c in candidates]
+    if clash := [n for n in dict.fromkeys(names) if names.count(n) > 1]:
+        raise ValueError(f"several candidates would be called {clash}; rename a column")
     return candidates
 
 
-def _holds_map(dtype: T.DataType) -> bool:
+def holds_map(dtype: T.DataType) -> bool:
     if isinstance(dtype, T.MapType):
         return True
     if isinstance(dtype, T.ArrayType):
-        return _holds_map(dtype.elementType)
+        return holds_map(dtype.elementType)
     if isinstance(dtype, T.StructType):
-        return any(_holds_map(f.dataType) for f in dtype.fields)
+        return any(holds_map(f.dataType) for f in dtype.fields)
     return False
 
 
@@ -98,7 +105,7 @@ def resolve_key(df: DataFrame, candidate: Candidate) -> Key:
     names = (candidate,) if isinstance(candidate, str) else candidate
     types = [df.schema[n].dataType for n in names]
     for name, dtype in zip(names, types):
-        if _holds_map(dtype):
+        if holds_map(dtype):
             raise ValueError(f"column {name!r}: map keys have no canonical text")
     refs = [column_ref(n) for n in names]
     if len(names) > 1:

@@ -89,6 +89,7 @@ def rank(scores: DataFrame) -> DataFrame:
 
 
 def skew_band(ratio: Column) -> Column:
+    # The limits of the bands and their names.
     return (
         F.when(ratio <= 1.5, "Healthy")
         .when(ratio <= 3, "Mild Skew")

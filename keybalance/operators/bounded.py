@@ -1,10 +1,11 @@
-"""Fixed-size state per column, for key sets too large to shuffle."""
+"""Profiles without a shuffle of all keys: sketches, and exact top keys through hash buckets."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from keybalance.functions.keys import (
     Candidate,
@@ -13,79 +14,57 @@ from keybalance.functions.keys import (
     parse_candidates,
     resolve_key,
 )
-from keybalance.operators.frequency import TOP_K, TRACKED_KEYS, top_keys
-from keybalance.operators.hll import DEFAULT_B, check_b
+from keybalance.operators.frequency import TOP_K, top_keys
+from keybalance.workdir import written
+
+#: Registers of the built-in distinct sketch, as a power of two.
+SKETCH_BITS = 14
+BUCKETS = 1 << 16
+#: The floor is taken among the keys of this many times k buckets.
+LEADERS = 4
 
 # Types that the built-in distinct sketch takes as they are.
 _SKETCHABLE = (T.IntegerType, T.LongType, T.StringType, T.BinaryType)
 _SLICES = 256
 
 
-def _key_hash(text: Column) -> Column:
-    return F.when(text.isNotNull(), F.xxhash64(text))
+def standard_error(b: int = SKETCH_BITS) -> float:
+    """Relative standard error of a distinct sketch of 2^b registers, 4 to 21."""
+    if not 4 <= b <= 21:
+        raise ValueError(f"a sketch has 2^4 to 2^21 registers, not 2^{b}")
+    return 1.04 / math.sqrt(1 << b)
 
 
 def bounded_state(
-    df: DataFrame,
-    columns: str | Iterable[Candidate],
-    parts: Iterable[str] = ("tracked", "distinct", "spread"),
-    cap: int = TRACKED_KEYS,
-    b: int = DEFAULT_B,
-    k: int = TOP_K,
+    df: DataFrame, columns: str | Iterable[Candidate], b: int = SKETCH_BITS
 ) -> DataFrame:
-    """(column, total_rows, null_count, *parts): counts and the parts asked for.
-
-    ``tracked`` holds frequent items and ``distinct`` a distinct count, both in the
-    built-in sketches. ``spread`` is the hash of one key out of each of k ranges.
+    """(column, total_rows, null_count, distinct): row counts and a built-in distinct sketch.
 
     One scan, and no key is shuffled: a task sends its sketches, first to one of 256
     slices and then merged to one row, so that no task receives the sketches of all
     scan tasks.
     """
-    parts = set(parts)
+    standard_error(b)
     inputs = [
         (F.spark_partition_id() % _SLICES).cast("int").alias("__slice"),
         F.lit(1).cast("bigint").alias("__one"),
     ]
     first, then = [F.sum("__one").alias("__total")], [F.sum("__total").alias("__total")]
     rows = []
-
-    def summed(name: str, aggregate: Column, merge: Column) -> Column:
-        """Add an aggregate and its merge under one name; the merged column."""
-        first.append(aggregate.alias(name))
-        then.append(merge.alias(name))
-        return F.col(name)
-
     for i, candidate in enumerate(parse_candidates(columns, df.columns)):
         key = resolve_key(df, candidate)
-        text, value = f"__t{i}", f"__v{i}"
-        inputs.append(key.text(key.value).alias(text))
-        present = summed(f"__n{i}", F.count(text), F.sum(f"__n{i}"))
-        fields = [
-            F.lit(key.name).alias("column"),
-            F.col("__total").alias("total_rows"),
-            (F.col("__total") - present).alias("null_count"),
-        ]
-        if "tracked" in parts:
-            # Null would be tracked as an item.
-            items = F.expr(f"approx_top_k_accumulate({text}, {cap}) FILTER (WHERE {text} IS NOT NULL)")
-            merged = F.expr(f"approx_top_k_combine(__k{i}, {cap})")
-            fields.append(summed(f"__k{i}", items, merged).alias("tracked"))
-        if "distinct" in parts:
-            native = isinstance(key.group_type, _SKETCHABLE)
-            inputs.append((key.value if native else key.text(key.value)).alias(value))
-            sketch = F.hll_sketch_agg(value, check_b(b))
-            fields.append(summed(f"__d{i}", sketch, F.hll_union_agg(f"__d{i}")).alias("distinct"))
-        if "spread" in parts:
-            h, cell = F.col(f"__h{i}"), F.col(f"__c{i}")
-            inputs.append(_key_hash(key.text(key.value)).alias(f"__h{i}"))
-            inputs.append(F.pmod(_key_hash(key.text(key.value)), F.lit(k)).alias(f"__c{i}"))
-            least = [
-                summed(f"__h{i}_{r}", F.min(F.when(cell == r, h)), F.min(f"__h{i}_{r}"))
-                for r in range(k)
-            ]
-            fields.append(F.array(*least).alias("spread"))
-        rows.append(F.struct(*fields))
+        value = key.value if isinstance(key.group_type, _SKETCHABLE) else key.text(key.value)
+        inputs.append(value.alias(f"__v{i}"))
+        first += [F.count(f"__v{i}").alias(f"__n{i}"), F.hll_sketch_agg(f"__v{i}", b).alias(f"__d{i}")]
+        then += [F.sum(f"__n{i}").alias(f"__n{i}"), F.hll_union_agg(f"__d{i}").alias(f"__d{i}")]
+        rows.append(
+            F.struct(
+                F.lit(key.name).alias("column"),
+                F.col("__total").alias("total_rows"),
+                (F.col("__total") - F.col(f"__n{i}")).alias("null_count"),
+                F.col(f"__d{i}").alias("distinct"),
+            )
+        )
     wide = df.select(*inputs)
     # The sketches cannot be merged from no rows at all: one blank row, counted as zero.
     blank = df.sparkSession.range(1).select(
@@ -97,63 +76,59 @@ def bounded_state(
     return state.select(F.inline(F.array(*rows)))
 
 
-def with_distinct(state: DataFrame) -> DataFrame:
-    """``state`` with ``cardinality_estimate`` from the built-in sketch."""
-    return state.withColumn(
-        "cardinality_estimate",
-        F.coalesce(F.hll_sketch_estimate("distinct"), F.lit(0)).cast("double"),
-    )
+def sketch_estimate(sketch: str) -> Column:
+    return F.coalesce(F.hll_sketch_estimate(sketch), F.lit(0)).cast("double")
 
 
-def approx_top_keys(
-    df: DataFrame, columns: str | Iterable[Candidate], k: int = TOP_K, cap: int = TRACKED_KEYS
+def fast_distinct(
+    df: DataFrame, columns: str | Iterable[Candidate], b: int = SKETCH_BITS
 ) -> DataFrame:
-    """(column, rank, key, n) from at most ``cap`` tracked keys per column, in one scan.
+    """(column, cardinality_estimate) from the built-in sketches."""
+    state = bounded_state(df, columns, b)
+    return state.select("column", sketch_estimate("distinct").alias("cardinality_estimate"))
 
-    Exact while a column has at most ``cap`` distinct keys. Beyond that the counts are
-    estimates, and only keys that are certainly frequent come out.
-    """
-    tracked = F.expr(f"inline(approx_top_k_estimate(tracked, {cap}))").alias("key", "n")
-    state = bounded_state(df, columns, ["tracked"], cap)
-    return top_keys(state.select("column", tracked), k)
 
+def merged_sketches(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(column, distinct): the union of two tables of sketches."""
+    both = left.select("column", "distinct").unionByName(right.select("column", "distinct"))
+    return both.groupBy("column").agg(F.hll_union_agg("distinct").alias("distinct"))
 
-def recounted_top_keys(
-    df: DataFrame,
-    columns: str | Iterable[Candidate],
-    candidates: DataFrame,
-    k: int = TOP_K,
+
+def bucketed_top_keys(
+    df: DataFrame, columns: str | Iterable[Candidate], k: int = TOP_K, buckets: int = BUCKETS
 ) -> DataFrame:
-    """(column, rank, key, n): top k of the candidate keys, with exact counts.
+    """(column, rank, key, n): the exact top k keys, counting by key only where it matters.
 
-    ``candidates`` is (column, h) with the hashes of a bounded number of keys per
-    column, so it is broadcast; only rows of those keys are counted.
+    A key cannot be more frequent than its hash bucket. Rows are counted per bucket
+    first (a fixed number of small rows per task); the keys of the fullest buckets are
+    counted exactly, and the k-th of them is a floor for the k-th of all. Then only rows
+    of buckets at or above the floor are counted by key. No key above the floor can be
+    missed; a column of many equally frequent keys costs as much as a full count.
     """
     named = [
         F.struct(F.lit(candidate_name(c)).alias("column"), key_text(df, c).alias("key"))
         for c in parse_candidates(columns, df.columns)
     ]
-    counted = (
+    rows = (
         df.select(F.inline(F.array(*named)))
-        .withColumn("h", _key_hash(F.col("key")))
-        .join(F.broadcast(candidates), ["column", "h"])
-        .groupBy("column", "key")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("key").isNotNull())
+        .withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     )
-    return top_keys(counted, k)
-
-
-def candidate_hashes(cap: int = TRACKED_KEYS) -> Column:
-    """Of a state row: hashes of its tracked keys and of its spread keys, cap + k at most."""
-    tracked = F.transform(
-        F.expr(f"approx_top_k_estimate(tracked, {cap})"), lambda x: _key_hash(x["item"])
+    counts = written(
+        rows.groupBy("column", "bucket").agg(F.count(F.lit(1)).alias("n")), "bucket-counts"
     )
-    return F.filter(F.array_distinct(F.concat(tracked, "spread")), lambda h: h.isNotNull())
-
 
-def fast_distinct(
-    df: DataFrame, columns: str | Iterable[Candidate], b: int = DEFAULT_B
-) -> DataFrame:
-    """(column, cardinality_estimate) from the built-in sketches."""
-    state = with_distinct(bounded_state(df, columns, ["distinct"], b=b))
-    return state.select("column", "cardinality_estimate")
+    def counted(chosen: DataFrame) -> DataFrame:
+        """Counts by key in the chosen buckets: ``buckets`` rows a column at most, so broadcast."""
+        return (
+            rows.join(F.broadcast(chosen.select("column", "bucket")), ["column", "bucket"])
+            .groupBy("column", "key")
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+
+    fullest = Window.partitionBy("column").orderBy(F.desc("n"), "bucket")
+    leaders = counts.withColumn("rank", F.row_number().over(fullest)).where(F.col("rank") <= LEADERS * k)
+    kth = F.when(F.count(F.lit(1)) == k, F.min("n")).otherwise(F.lit(0))
+    floor = top_keys(counted(leaders), k).groupBy("column").agg(kth.alias("floor"))
+    suspects = counts.join(F.broadcast(floor), "column").where(F.col("n") >= F.col("floor"))
+    return top_keys(counted(suspects), k)

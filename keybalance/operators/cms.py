@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from keybalance.functions.hashing import fnv_cells
+from keybalance.functions.hashing import sha256_cells
+from keybalance.functions.keys import Candidate, candidate_name, column_ref, key_text, parse_candidates
 
 BROADCAST_CELLS = 1 << 18
 
@@ -22,7 +24,7 @@ class CmsShape:
     def __post_init__(self):
         for name, value in (("epsilon", self.epsilon), ("delta", self.delta)):
             if not 0 < value < 1:
-                raise ValueError(f"{name} must be in (0, 1), got {value}")
+                raise ValueError(f"{name} = {value} is not between 0 and 1")
 
     @property
     def width(self) -> int:
@@ -39,20 +41,37 @@ class CmsShape:
 
 def _hashed(keys: DataFrame, shape: CmsShape, *carry: str) -> DataFrame:
     """``keys`` exploded to the (row, cell) pairs of each key."""
-    cells = fnv_cells(shape.width, shape.depth)(F.col("key"))
-    return keys.withColumn("__cells", cells).select(
-        "column", *carry, F.posexplode("__cells").alias("row", "cell")
+    cells = F.array(*sha256_cells(F.col("key"), shape.width, shape.depth))
+    return keys.where(F.col("key").isNotNull()).select(
+        "column", *carry, F.posexplode(cells).alias("row", "cell")
     )
 
 
+def _summed(hashed: DataFrame) -> DataFrame:
+    return hashed.groupBy("column", "row", "cell").agg(F.sum("n").cast("bigint").alias("cnt"))
+
+
 def cms_cells(freq: DataFrame, shape: CmsShape = CmsShape()) -> DataFrame:
     """Sketch of a (weighted) frequency table; every distinct key is hashed once."""
-    keyed = freq.where(F.col("key").isNotNull())
-    return (
-        _hashed(keyed, shape, "n")
-        .groupBy("column", "row", "cell")
-        .agg(F.sum("n").cast("bigint").alias("cnt"))
-    )
+    return _summed(_hashed(freq, shape, "n"))
+
+
+def scan_cells(
+    df: DataFrame,
+    columns: str | Iterable[Candidate],
+    shape: CmsShape = CmsShape(),
+    weight: str | None = None,
+) -> DataFrame:
+    """Sketch straight from the rows: the shuffle carries depth * width cells a task, no keys."""
+    n = F.lit(1).cast("bigint")
+    if weight:
+        w = column_ref(weight)
+        n = F.when(w < 1, F.raise_error(F.lit("weights must be at least 1"))).otherwise(w)
+    rows = [
+        F.struct(F.lit(candidate_name(c)).alias("column"), key_text(df, c).alias("key"), n.alias("n"))
+        for c in parse_candidates(columns, df.columns)
+    ]
+    return _summed(_hashed(df.select(F.inline(F.array(*rows))), shape, "n"))
 
 
 def cms_total(cells: DataFrame) -> DataFrame:
@@ -69,7 +88,7 @@ def cms_merge(
 ) -> DataFrame:
     """Cell-wise sum of two sketches of the same dimensions."""
     if (left_shape.width, left_shape.depth) != (right_shape.width, right_shape.depth):
-        raise ValueError("sketches must have the same dimensions to merge")
+        raise ValueError(f"cannot merge shapes {left_shape} and {right_shape}")
     return (
         left.unionByName(right)
         .groupBy("column", "row", "cell")
@@ -87,7 +106,7 @@ def cms_estimate(
     out of the ordinary.
     """
     side = F.broadcast(cells) if shape.depth * shape.width <= BROADCAST_CELLS else cells
-    wanted = probes.select("column", "key").where(F.col("key").isNotNull()).distinct()
+    wanted = probes.select("column", "key").distinct()
     return (
         _hashed(wanted, shape, "key")
         .join(side, ["column", "row", "cell"], "left")

@@ -1,4 +1,4 @@
-"""Skew ratio and entropy over the top keys of a column."""
+"""Skew ratio and entropy of a column, over all its keys or its top keys."""
 
 from __future__ import annotations
 
@@ -62,3 +62,37 @@ def distribution(top: DataFrame, within: tuple[str, ...] = ("column",)) -> DataF
 def normalized_entropy(entropy: Column, key_count: Column) -> Column:
     """Entropy as a percentage of the largest possible one; 0 for 0 or 1 keys."""
     return F.when(key_count > 1, F.lit(100.0) * entropy / F.ln(key_count)).otherwise(F.lit(0.0))
+
+
+def whole_shape_columns() -> dict[str, Column]:
+    """Aggregates of (key, n) rows over all keys: key_count, key_rows, max_key, and skew and entropy parts."""
+    n = F.when(F.col("key").isNotNull() & (F.col("n") > 0), F.col("n"))
+    return {
+        "key_count": F.count(n),
+        "key_rows": F.coalesce(F.sum(n), F.lit(0)).cast("bigint"),
+        "max_key": F.max(n),
+        "n_log_n": F.sum(n.cast("double") * F.ln(n.cast("double"))),
+    }
+
+
+def with_whole_shape(df: DataFrame) -> DataFrame:
+    """``df`` with key_skew_ratio and key_entropy from the aggregates above."""
+    rows = F.col("key_rows").cast("double")
+    nats = F.greatest(F.ln(rows) - F.col("n_log_n") / rows, F.lit(0.0))
+    return df.withColumns(
+        {
+            "key_skew_ratio": F.coalesce(
+                F.col("max_key") * F.col("key_count") / F.when(rows > 0, rows), F.lit(1.0)
+            ),
+            "key_entropy": F.when(F.col("key_count") > 1, nats).otherwise(F.lit(0.0)),
+        }
+    )
+
+
+def whole_distribution(freq: DataFrame) -> DataFrame:
+    """One row per column over all its keys: one partial aggregate of the frequency table.
+
+    column, key_count, key_rows, max_key, key_skew_ratio, key_entropy.
+    """
+    shaped = freq.groupBy("column").agg(*[c.alias(a) for a, c in whole_shape_columns().items()])
+    return with_whole_shape(shaped).drop("n_log_n")

@@ -17,7 +17,6 @@ from keybalance.functions.keys import (
 )
 
 TOP_K = 20
-TRACKED_KEYS = 500
 
 
 def request_order(candidates: list[Candidate]) -> Column:
@@ -60,7 +59,7 @@ def key_frequency(
     counted = F.count(F.lit(1))
     if weight:
         w = column_ref(weight)
-        checked = F.when(w < 1, F.raise_error(F.lit("count must be >= 1"))).otherwise(w)
+        checked = F.when(w < 1, F.raise_error(F.lit("weights must be at least 1"))).otherwise(w)
         extra.append(checked.alias("__w"))
         counted = F.sum("__w")
     slots = [f"__k{i}" for i in range(len(keys))]
@@ -134,7 +133,7 @@ def top_keys(freq: DataFrame, k: int = TOP_K, within: tuple[str, ...] = ("column
     most ``k`` rows per column.
     """
     if k < 1:
-        raise ValueError("k must be >= 1")
+        raise ValueError(f"k must be at least 1, got {k}")
     order = Window.partitionBy(*within).orderBy(F.desc("n"), F.asc("key"))
     return (
         present_keys(freq)

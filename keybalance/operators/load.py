@@ -13,28 +13,17 @@ from keybalance.functions.hashing import row_identity, sha256_bucket
 from keybalance.functions.keys import Candidate, candidate_name, column_ref, parse_candidates
 from keybalance.operators.heavy import bucket_counts, bucket_number, hash_bucket, heavy_keys
 
-ROWS_PER_SEC = 1_000_000.0
-
 
 def check_slots(n: int) -> int:
     if n < 1:
-        raise ValueError(f"number of slots must be >= 1, got {n}")
+        raise ValueError(f"rows need at least one slot, got {n}")
     return n
 
 
 def _heavy_parts(n: int) -> int:
-    """A key is packed on its own if it holds more than one of this many parts.
-
-    That is a tenth of a slot's fair share. With thousands of slots it is up to half
-    a share, which keeps the number of packed keys and hash buckets small.
-    """
-    return max(2 * n, min(10 * n, 10_240))
-
-
-def _check_rate(rows_per_sec: float) -> float:
-    if rows_per_sec <= 0:
-        raise ValueError("rows_per_sec must be > 0")
-    return float(rows_per_sec)
+    """A key is packed on its own if it holds more than one of this many parts: a tenth of
+    a slot's fair share, for any n."""
+    return 10 * n
 
 
 def hash_bucket_load(df: DataFrame, columns: str | Iterable[Candidate], n: int) -> DataFrame:
@@ -59,66 +48,74 @@ def hash_bucket_load(df: DataFrame, columns: str | Iterable[Candidate], n: int)
 
 
 def sha_bucket_load(freq: DataFrame, n: int) -> DataFrame:
-    """(column, slot, rows) with slots from the SHA-256 of the key text."""
+    """(column, slot, rows) with slots from the SHA-256 of the key text; null is in slot 0."""
     check_slots(n)
-    return (
-        freq.where(F.col("key").isNotNull())
-        .groupBy("column", sha256_bucket(F.col("key"), n).alias("slot"))
-        .agg(F.sum("n").cast("bigint").alias("rows"))
-    )
+    slot = F.coalesce(sha256_bucket(F.col("key"), n), F.lit(0))
+    return freq.groupBy("column", slot.alias("slot")).agg(F.sum("n").cast("bigint").alias("rows"))
 
 
-def _longest_first(counts: Column, n: int) -> Column:
-    """Fold: each count goes to the least loaded of n slots, the lowest one on ties.
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _pack(items: pd.Series, loads: pd.Series) -> pd.Series:
+    """Per row: the slot of each item in its order, each to the least loaded slot so far.
 
-    The next slot is carried along so that a step costs one pass over the loads.
+    Ties go to the lowest slot. A heap makes a step cost log n, which matters for
+    thousands of items on thousands of slots.
     """
 
-    def step(state: Column, count: Column) -> Column:
-        after = F.transform(
-            state["loads"],
-            lambda load, i: F.when(i == state["next"], load + count).otherwise(load),
-        )
-        least = F.array_position(after, F.array_min(after)) - 1
-        return F.struct(after.alias("loads"), least.cast("int").alias("next"))
+    def taken(rows, start):
+        heap = [(int(load), slot) for slot, load in enumerate(start)]
+        heapq.heapify(heap)
+        slots = []
+        for count in rows:
+            load, slot = heap[0]
+            slots.append(slot)
+            heapq.heapreplace(heap, (load + int(count), slot))
+        return slots
 
-    empty = F.array_repeat(F.lit(0).cast("bigint"), check_slots(n))
-    start = F.struct(empty.alias("loads"), F.lit(0).alias("next"))
-    return F.aggregate(F.sort_array(counts, asc=False), start, step)["loads"]
+    return pd.Series([taken(rows, start) for rows, start in zip(items, loads)])
 
 
-def top_key_loads(n: int) -> Column:
-    """Load per slot when only the top keys of a profile row are packed on n slots."""
-    return _longest_first(F.col("partition_counts"), n)
+def with_top_key_loads(profiles: DataFrame, n: int) -> DataFrame:
+    """``profiles`` with ``loads``: rows per slot when only the top keys are packed, longest first."""
+    check_slots(n)
+    idle = F.array_repeat(F.lit(0).cast("bigint"), n)
+    sizes = F.sort_array("partition_counts", asc=False)
+    zipped = F.arrays_zip(sizes.alias("n"), F.col("__taken").alias("slot"))
+    loads = F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        lambda s: _sum(F.transform(F.filter("__zip", lambda x: x["slot"] == s), lambda x: x["n"])),
+    )
+    return (
+        profiles.withColumn("__taken", _pack(sizes, idle))
+        .withColumn("__zip", zipped)
+        .withColumn("loads", loads)
+        .drop("__taken", "__zip")
+    )
 
 
 def pack_top_keys(profiles: DataFrame, n: int) -> DataFrame:
     """(column, slot, rows) of the packed top keys of each profiled column."""
-    return (
-        profiles.where(F.size("partition_counts") > 0)
-        .select("column", top_key_loads(n).alias("loads"))
-        .select("column", F.posexplode("loads").alias("slot", "rows"))
+    return with_top_key_loads(profiles.where(F.size("partition_counts") > 0), n).select(
+        "column", F.posexplode("loads").alias("slot", "rows")
     )
 
 
 def load_arrays(loads: DataFrame, n: int) -> DataFrame:
     """(column, loads): rows of slots 0..n-1 in one array, zero for slots that got none."""
-    every = F.explode(F.sequence(F.lit(0), F.lit(check_slots(n) - 1))).alias("slot")
-    grid = loads.select("column").distinct().select("column", every)
-    filled = grid.join(loads, ["column", "slot"], "left").withColumn(
-        "rows", F.coalesce("rows", F.lit(0).cast("bigint"))
+    every = F.sequence(F.lit(0), F.lit(check_slots(n) - 1))
+    by_slot = F.map_from_entries(F.collect_list(F.struct("slot", "rows")))
+    return loads.groupBy("column").agg(by_slot.alias("m")).select(
+        "column",
+        F.transform(every, lambda s: F.coalesce(F.col("m")[s], F.lit(0).cast("bigint"))).alias("loads"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("slot", "rows")))
-    return filled.groupBy("column").agg(F.transform(ordered, lambda x: x["rows"]).alias("loads"))
 
 
 def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
-def workers_of(loads: Column, rows_per_sec: float) -> Column:
-    """Finish and idle time per slot; the lowest slot with the largest load straggles."""
-    rate = F.lit(_check_rate(rows_per_sec))
+def workers_of(loads: Column) -> Column:
+    """Rows per slot and how many it lacks to the fullest; the lowest of the fullest straggles."""
     most = F.array_max(loads)
     straggler = F.array_position(loads, most) - 1
     return F.transform(
@@ -126,74 +123,49 @@ def workers_of(loads: Column, rows_per_sec: float) -> Column:
         lambda rows, i: F.struct(
             i.alias("worker_id"),
             rows.alias("assigned_rows"),
-            (rows / rate).alias("finish_time_sec"),
             (i == straggler).alias("is_straggler"),
-            (most / rate - rows / rate).alias("idle_sec"),
+            (most - rows).alias("idle_rows"),
         ),
     )
 
 
-def summary_of(loads: Column, n: int, rows_per_sec: float) -> Column:
-    """Ideal and actual finish, slowdown and idle share; null without rows."""
-    rate = _check_rate(rows_per_sec)
-    total, actual = _sum(loads), F.array_max(loads) / F.lit(rate)
-    used = total / F.lit(rate)
-    ideal, available = used / F.lit(check_slots(n)), actual * F.lit(n)
+def summary_of(loads: Column, n: int) -> Column:
+    """Rows in all, on the fullest slot and on average; slowdown and idle share. Null without rows."""
+    total, most = _sum(loads), F.array_max(loads)
+    mean = total / F.lit(check_slots(n))
     return F.when(
         total > 0,
         F.struct(
             F.lit(n).alias("num_workers"),
             total.alias("total_rows"),
-            F.lit(rate).alias("rows_per_sec"),
-            ideal.alias("ideal_finish_sec"),
-            actual.alias("actual_finish_sec"),
-            (actual / ideal).alias("slowdown_factor"),
-            (F.array_position(loads, F.array_max(loads)) - 1).cast("int").alias("straggler_worker_id"),
-            F.greatest(F.lit(0.0), (available - used) / available).alias("idle_fraction"),
+            most.alias("max_rows"),
+            mean.alias("mean_rows"),
+            (most / mean).alias("slowdown_factor"),
+            (F.array_position(loads, most) - 1).cast("int").alias("straggler_worker_id"),
+            (1 - mean / most).alias("idle_fraction"),
         ),
     )
 
 
-def worker_load(loads: DataFrame, n: int, rows_per_sec: float = ROWS_PER_SEC) -> DataFrame:
-    """One row per (column, slot) with its finish time; columns without rows give none."""
+def worker_load(loads: DataFrame, n: int) -> DataFrame:
+    """One row per (column, slot); columns without rows give none."""
     return (
         load_arrays(loads, n)
         .where(F.array_max("loads") > 0)
-        .select("column", F.inline(workers_of(F.col("loads"), rows_per_sec)))
+        .select("column", F.inline(workers_of(F.col("loads"))))
     )
 
 
-def load_report(loads: DataFrame, n: int, rows_per_sec: float = ROWS_PER_SEC) -> DataFrame:
-    """One row per column: ideal and actual finish, slowdown and idle share."""
+def load_report(loads: DataFrame, n: int) -> DataFrame:
+    """One row per column: the fullest slot against the mean, and the idle share."""
     return (
         load_arrays(loads, n)
-        .select("column", summary_of(F.col("loads"), n, rows_per_sec).alias("s"))
+        .select("column", summary_of(F.col("loads"), n).alias("s"))
         .where(F.col("s").isNotNull())
         .select("column", "s.*")
     )
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _pack(items: pd.Series, loads: pd.Series) -> pd.Series:
-    """Per row: the slot of each item, longest first, on top of the given loads.
-
-    The same rule as the fold above, with a heap: a step costs log n instead of n,
-    which matters for thousands of items on thousands of slots.
-    """
-
-    def taken(rows, start):
-        heap = [(int(load), slot) for slot, load in enumerate(start)]
-        heapq.heapify(heap)
-        slots = []
-        for count in rows:
-            load, slot = heap[0]
-            slots.append(slot)
-            heapq.heapreplace(heap, (load + int(count), slot))
-        return slots
-
-    return pd.Series([taken(rows, start) for rows, start in zip(items, loads)])
-
-
 def slot_map(
     df: DataFrame, columns: Sequence[str], n: int, split_oversized: bool = True
 ) -> DataFrame:

@@ -6,25 +6,28 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
-from keybalance.functions.hashing import sha256_register
 from keybalance.functions.keys import Candidate, candidate_name, parse_candidates
-from keybalance.operators import hll
 from keybalance.operators.bounded import (
+    SKETCH_BITS,
     bounded_state,
-    candidate_hashes,
-    recounted_top_keys,
-    with_distinct,
+    bucketed_top_keys,
+    sketch_estimate,
+    standard_error,
+)
+from keybalance.operators.distribution import (
+    normalized_entropy,
+    ranked_keys,
+    whole_shape_columns,
+    with_shape,
+    with_whole_shape,
 )
-from keybalance.operators.distribution import normalized_entropy, ranked_keys, with_shape
 from keybalance.operators.frequency import (
     TOP_K,
-    TRACKED_KEYS,
     key_frequency,
     null_fraction,
     request_order,
     top_keys,
 )
-from keybalance.workdir import written
 
 BATCH_ROWS = 50_000
 
@@ -41,6 +44,8 @@ PROFILE_COLUMNS = [
     "hll_error",
     "entropy",
     "mean_count",
+    "key_skew_ratio",
+    "key_entropy",
     "position",
 ]
 
@@ -52,50 +57,53 @@ def requested_columns(like: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def _totals(freq: DataFrame, names: list[str], b: int) -> DataFrame:
-    """Row counts and distinct estimate per column.
+def _totals(freq: DataFrame, names: list[str]) -> DataFrame:
+    """Row and distinct counts, skew and entropy over all keys, per column.
 
-    Keys are reduced to their registers first, counts riding along, so the last
-    step sees at most 2^b + 1 rows per column. A zero row per requested column
-    keeps empty columns.
+    One partial aggregate of the frequency table, which has a row per distinct key. A
+    zero row per requested column keeps empty columns.
     """
-    j, rho = sha256_register(F.col("key"), b)
-    registers = (
-        freq.select("column", j.alias("j"), rho.alias("r"), "n")
-        .groupBy("column", "j")
-        .agg(F.max("r").alias("r"), F.sum("n").alias("n"))
-    )
     blank = requested_columns(freq, names).select(
-        "column", F.lit(None).cast("int").alias("j"), F.lit(None).cast("int").alias("r"),
-        F.lit(0).cast("bigint").alias("n"),
+        "column", F.lit(None).cast("string").alias("key"), F.lit(0).cast("bigint").alias("n")
     )
-    is_null = F.col("j").isNull()
-    return (
-        registers.unionByName(blank)
+    nulls = F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(0))
+    whole = whole_shape_columns()
+    counted = (
+        freq.select("column", "key", "n")
+        .unionByName(blank)
         .groupBy("column")
         .agg(
             F.sum("n").alias("total_rows"),
-            F.sum(F.when(is_null, F.col("n")).otherwise(0)).alias("null_count"),
-            F.coalesce(F.sum(hll.inverse_power(F.col("r"))), F.lit(0.0)).alias("__inv"),
-            F.count("j").alias("__occupied"),
-        )
-        .withColumn(
-            "cardinality_estimate", hll.cardinality(F.col("__inv"), F.col("__occupied"), b)
+            nulls.alias("null_count"),
+            *[c.alias(a) for a, c in whole.items()],
         )
     )
+    return with_whole_shape(counted).withColumn(
+        "cardinality_estimate", F.col("key_count").cast("double")
+    )
 
 
 def assemble(
-    counted: DataFrame, candidates: list[Candidate], b: int, batch_rows: int = BATCH_ROWS
+    counted: DataFrame,
+    candidates: list[Candidate],
+    error: float = 0.0,
+    batch_rows: int = BATCH_ROWS,
 ) -> DataFrame:
-    """Profile rows from one row per column of totals, distinct estimate and top keys."""
+    """Profile rows from one row per column of totals, distinct count and top keys.
+
+    ``error`` is the relative standard error of the distinct count, 0 where it is exact.
+    Skew and entropy over all keys are null where only the top keys were counted.
+    """
     derived = {
         "null_fraction": null_fraction(),
-        "hll_error": F.lit(hll.standard_error(b)),
+        "hll_error": F.lit(error),
         "position": request_order(candidates),
     }
     if "batch_count" not in counted.columns:
         derived["batch_count"] = F.ceil(F.col("total_rows") / F.lit(batch_rows)).cast("bigint")
+    for name in ("key_skew_ratio", "key_entropy"):
+        if name not in counted.columns:
+            derived[name] = F.lit(None).cast("double")
     return with_shape(counted.withColumns(derived)).select(*PROFILE_COLUMNS)
 
 
@@ -108,65 +116,53 @@ def profile_frequency(
     freq: DataFrame,
     candidates: list[Candidate],
     k: int = TOP_K,
-    b: int = hll.DEFAULT_B,
     batch_rows: int = BATCH_ROWS,
 ) -> DataFrame:
     """Profile from a frequency table. Both branches read its one shuffle."""
     names = [candidate_name(c) for c in candidates]
-    totals = _totals(freq, names, hll.check_b(b))
-    return assemble(with_top_keys(totals, top_keys(freq, k)), candidates, b, batch_rows)
+    counted = with_top_keys(_totals(freq, names), top_keys(freq, k))
+    return assemble(counted, candidates, batch_rows=batch_rows)
 
 
 def profile(
     df: DataFrame,
     columns: str | Iterable[Candidate],
     k: int = TOP_K,
-    b: int = hll.DEFAULT_B,
     batch_rows: int = BATCH_ROWS,
 ) -> DataFrame:
-    """Exact profile: rows, nulls, distinct estimate, top keys, skew, entropy."""
+    """Exact profile: rows, nulls, distinct keys, top keys, skew, entropy."""
     candidates = parse_candidates(columns, df.columns)
-    return profile_frequency(key_frequency(df, candidates), candidates, k, b, batch_rows)
+    return profile_frequency(key_frequency(df, candidates), candidates, k, batch_rows)
 
 
 def profile_bounded(
     df: DataFrame,
     columns: str | Iterable[Candidate],
     k: int = TOP_K,
-    cap: int = TRACKED_KEYS,
-    b: int = hll.DEFAULT_B,
+    b: int = SKETCH_BITS,
     batch_rows: int = BATCH_ROWS,
 ) -> DataFrame:
-    """The same profile from fixed-size state, for key sets too large to shuffle.
-
-    Row and null counts are exact and the distinct estimate comes from the built-in
-    sketch. The top keys are the tracked frequent keys, filled up with arbitrary other
-    keys where fewer than k are certainly frequent; a second scan counts these
-    candidates exactly. So every key above the tracking error has its true rank and
-    count, and the profile is exact up to ``cap`` distinct keys. The state of the
-    first scan, one small row per column, is written to the shared folder.
+    """The same profile for key sets that are costly to shuffle.
+
+    Row and null counts and the top keys are exact (see ``bucketed_top_keys``); the
+    distinct count comes from the built-in sketch, and skew and entropy are those of
+    the top keys only.
     """
     requested = parse_candidates(columns, df.columns)
-    state = with_distinct(bounded_state(df, requested, cap=cap, b=b, k=k))
-    totals = written(
-        state.select(
-            "column",
-            "total_rows",
-            "null_count",
-            "cardinality_estimate",
-            candidate_hashes(cap).alias("candidates"),
-        ),
-        "bounded-state",
+    totals = bounded_state(df, requested, b).select(
+        "column",
+        "total_rows",
+        "null_count",
+        sketch_estimate("distinct").alias("cardinality_estimate"),
     )
-    wanted = totals.select("column", F.explode("candidates").alias("h"))
-    top = recounted_top_keys(df, requested, wanted, k)
-    return assemble(with_top_keys(totals, top), requested, b, batch_rows)
+    top = bucketed_top_keys(df, requested, k)
+    return assemble(with_top_keys(totals, top), requested, standard_error(b), batch_rows)
 
 
 def column_profile(profiles: DataFrame, candidates: list[Candidate], column: str) -> DataFrame:
     """The profile of one column; asking for one that is not profiled is an error."""
     if column not in [candidate_name(c) for c in candidates]:
-        raise KeyError(f"column {column!r} is not being profiled")
+        raise KeyError(f"no profile of {column!r} was asked for")
     return profiles.where(F.col("column") == column)
 
 

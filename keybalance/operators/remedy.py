@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from keybalance.functions.hashing import row_salt
+from keybalance.functions.hashing import row_identity, row_salt
 from keybalance.functions.keys import column_ref
 from keybalance.operators.heavy import heavy_keys
 
@@ -36,57 +36,114 @@ def salt_column(
     return df.withColumn(name or f"{column}_salted", salted)
 
 
-# For each function: (partial, merge), both from column name to expression.
+# For each function: (partial, merge, what the merged value is turned into).
 _MERGES = {
-    "sum": (F.sum, F.sum),
-    "min": (F.min, F.min),
-    "max": (F.max, F.max),
-    "count": (F.count, F.sum),
-    "approx_distinct": (F.hll_sketch_agg, F.hll_union_agg),
+    "sum": (F.sum, F.sum, None),
+    "min": (F.min, F.min, None),
+    "max": (F.max, F.max, None),
+    "count": (F.count, F.sum, None),
+    "approx_distinct": (F.hll_sketch_agg, F.hll_union_agg, F.hll_sketch_estimate),
+    "collect_list": (F.collect_list, F.collect_list, F.flatten),
 }
+# Functions that group by key and value first, which spreads a key over its values.
+_BY_VALUE = {
+    "count_distinct": lambda: F.count("__value"),
+    "median": lambda: F.percentile("__value", F.lit(0.5), F.col("__n")),
+}
+
+
+def _shares(spark: SparkSession, parts: int | None) -> int:
+    """Into how many parts the rows are thought to be cut: half a shuffle partition each."""
+    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts < 1:
+        raise ValueError(f"need at least one part, got {parts}")
+    return parts
+
+
+def hot_pieces(df: DataFrame, keys: Sequence[str], parts: int) -> DataFrame:
+    """(__key0.., __pieces): keys with more than 1/parts of the rows, and how many parts they fill.
+
+    Fewer than ``parts`` rows, so it can be broadcast.
+    """
+    pieces = F.ceil(F.col("n") * parts / F.col("total")).cast("int")
+    names = [column_ref(k).alias(f"__key{i}") for i, k in enumerate(keys)]
+    return heavy_keys(df, keys, parts).select(*names, pieces.alias("__pieces"))
+
+
+def _with_pieces(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+    """``df`` with ``__pieces`` of its key, 1 for the light ones; null equals null."""
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & column_ref(k).eqNullSafe(F.col(f"__key{i}"))
+    return (
+        df.join(F.broadcast(hot), same, "left")
+        .withColumn("__pieces", F.coalesce("__pieces", F.lit(1)))
+        .drop(*[f"__key{i}" for i in range(len(keys))])
+    )
 
 
 def salted_aggregate(
     df: DataFrame,
     keys: Sequence[str],
     aggregates: Mapping[str, tuple[str, str]],
-    buckets: int = SALT_BUCKETS,
-    salt: Column | None = None,
+    parts: int | None = None,
     identity: list[str] | None = None,
 ) -> DataFrame:
-    """Group by ``keys`` in two steps: per (keys, salt), then merged per keys.
+    """Group by ``keys``, hot keys in two steps: per piece of the key, then merged.
 
-    ``aggregates`` maps an output name to (function, column); functions are sum,
-    count, min, max, avg and approx_distinct. ``count`` of ``*`` counts rows. Key
-    and salt are two grouping columns, so a hot null key is spread as well.
+    ``aggregates`` maps an output name to (function, column): sum, count, min, max, avg,
+    approx_distinct, collect_list, count_distinct, median. ``count`` of ``*`` counts rows. A
+    key with more than 1/``parts`` of the rows is cut into as many pieces as parts that it fills
+    (twice the shuffle partitions by default); light keys have one. A hot null key is
+    cut as well. ``count_distinct`` and ``median`` count each value of a key first.
 
-    Spark's own partial aggregation already shrinks these functions before the
-    shuffle; the second step pays off where the state per group stays large.
+    Spark's own partial aggregation already shrinks sums and counts before the shuffle;
+    this pays off where the state per group stays large, as for lists.
     """
-    partial, final = [], []
+    partial, final, by_value = [], [], {}
     for out, (func, col) in aggregates.items():
         value = F.lit(1) if col == "*" else column_ref(col)
-        if func == "avg":
+        if func in _BY_VALUE:
+            by_value[out] = (func, value)
+        elif func == "avg":
             partial += [F.sum(value).alias(f"{out}__s"), F.count(value).alias(f"{out}__c")]
             count = F.sum(f"{out}__c")
             final.append(F.when(count > 0, F.sum(f"{out}__s") / count).alias(out))
-            continue
-        if func not in _MERGES:
-            raise ValueError(f"unknown aggregate {func!r}; use avg or one of {sorted(_MERGES)}")
-        first, merge = _MERGES[func]
-        partial.append(first(value).alias(f"{out}__p"))
-        merged = merge(f"{out}__p")
-        final.append((F.hll_sketch_estimate(merged) if func == "approx_distinct" else merged).alias(out))
-    if salt is None:
-        salt = row_salt(df, buckets, identity)
+        elif func in _MERGES:
+            first, merge, turn = _MERGES[func]
+            partial.append(first(value).alias(f"{out}__p"))
+            merged = merge(f"{out}__p")
+            final.append((turn(merged) if turn else merged).alias(out))
+        else:
+            known = sorted([*_MERGES, *_BY_VALUE, "avg"])
+            raise ValueError(f"no aggregate {func!r}; there are {known}")
     refs = [column_ref(k) for k in keys]
-    return (
-        df.withColumn("__salt", salt)
-        .groupBy(*refs, "__salt")
-        .agg(*partial)
+    parts = _shares(df.sparkSession, parts)
+    row = F.xxhash64(*row_identity(df, identity))
+    pieces = _with_pieces(df.withColumn("__row", row), keys, hot_pieces(df, keys, parts))
+    merged = (
+        pieces.groupBy(*refs, F.pmod("__row", "__pieces").alias("__salt"))
+        .agg(F.count(F.lit(1)).alias("__rows"), *partial)
         .groupBy(*refs)
-        .agg(*final)
+        .agg(F.sum("__rows").alias("__rows"), *final)
     )
+    for out, (func, value) in by_value.items():
+        names = [f"__key{i}" for i in range(len(keys))]
+        counted = (
+            df.select(*[r.alias(n) for r, n in zip(refs, names)], value.alias("__value"))
+            .where(F.col("__value").isNotNull())
+            .groupBy(*names, "__value")
+            .agg(F.count(F.lit(1)).alias("__n"))
+            .groupBy(*names)
+            .agg(_BY_VALUE[func]().alias(out))
+        )
+        same = F.lit(True)
+        for r, n in zip(refs, names):
+            same = same & r.eqNullSafe(F.col(n))
+        merged = merged.join(counted, same, "left").drop(*names)
+        if func == "count_distinct":
+            merged = merged.withColumn(out, F.coalesce(out, F.lit(0)))
+    return merged.select(*refs, *aggregates)
 
 
 def salted_join(
@@ -94,44 +151,33 @@ def salted_join(
     small: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    buckets: int = SALT_BUCKETS,
-    hot_share: int = 100,
-    salt: Column | None = None,
+    hot_share: int | None = None,
     identity: list[str] | None = None,
 ) -> DataFrame:
-    """Join in which the hot keys of ``big`` are spread over ``buckets`` tasks.
+    """Join in which a hot key of ``big`` is spread over as many tasks as it has rows for.
 
-    Hot keys hold more than 1/``hot_share`` of the rows of ``big``, so there are
-    fewer than ``hot_share`` of them. Only their rows in ``small`` are copied, once
-    per salt; all other rows keep salt 0. Every row of ``big`` meets exactly one
-    copy, which holds for joins that keep or filter ``big`` only.
+    Hot keys hold more than 1/``hot_share`` of the rows of ``big`` (by default half of
+    what a shuffle partition holds), so there are fewer than ``hot_share`` of them, and each is
+    cut into as many pieces as it holds such shares. Only their rows in ``small`` are
+    copied, once per piece. Every row of ``big`` meets exactly one copy, which holds
+    for joins that keep or filter ``big`` only.
     """
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"salted join supports inner, left, left_semi, left_anti; got {how!r}")
-    if salt is None:
-        salt = row_salt(big, buckets, identity)
     on = list(on)
-    refs = [column_ref(c) for c in on]
-    hot = F.broadcast(
-        heavy_keys(big, on, hot_share).select(*refs, F.lit(True).alias("__hot"))
-    )
-    any_null = F.lit(False)
-    for ref in refs:
-        any_null = any_null | ref.isNull()
-    # Null keys match nothing; salting them spreads the rows a left join keeps.
+    hot = hot_pieces(big, on, _shares(big.sparkSession, hot_share))
+    row = F.xxhash64(*row_identity(big, identity))
+    # A hot null key matches nothing, but a left join keeps its rows: it is cut as well.
     left = (
-        big.withColumn("__row_salt", salt)
-        .join(hot, on, "left")
-        .withColumn(
-            "__salt",
-            F.when(F.col("__hot") | any_null, F.col("__row_salt")).otherwise(F.lit(0)).cast("int"),
-        )
-        .drop("__hot", "__row_salt")
+        _with_pieces(big.withColumn("__row", row), on, hot)
+        .withColumn("__salt", F.pmod("__row", "__pieces").cast("int"))
+        .drop("__row", "__pieces")
     )
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(
-        F.array(F.lit(0))
+    right = (
+        _with_pieces(small, on, hot)
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1)))
+        .drop("__pieces")
     )
-    right = small.join(hot, on, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
@@ -140,7 +186,7 @@ def repartition_by_key(
 ) -> DataFrame:
     """Hash layout: all rows of a key in one of n partitions."""
     if n < 1:
-        raise ValueError("n must be >= 1")
+        raise ValueError(f"need at least one partition, got {n}")
     return df.repartition(n, *[column_ref(c) for c in columns])
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from keybalance.functions.keys import Candidate, parse_candidates
 from keybalance.operators import advisor, load
-from keybalance.operators.profile import profile
+from keybalance.operators.frequency import TOP_K
+from keybalance.operators.profile import BATCH_ROWS, profile, profile_bounded
 from keybalance.sources.tables import schema_info
 
-MAX_WORKERS = 1024
 STATS_COLUMNS = [
     "column",
     "total_rows",
@@ -25,23 +25,19 @@ STATS_COLUMNS = [
 ]
 
 
-def column_report(
-    profiles: DataFrame, workers: int = 8, rows_per_sec: float = load.ROWS_PER_SEC
-) -> DataFrame:
-    """One row per column: profile, score, rank, advice sentence and load of its top keys.
+def column_report(profiles: DataFrame, workers: int = 8, loads: DataFrame | None = None) -> DataFrame:
+    """One row per column: profile, score, rank, advice sentence and load of the workers.
 
-    Everything derives from the column's one profile row, without joins, so the
-    profile is computed once.
+    ``loads`` has (column, loads): rows per worker, measured over the whole table. Without
+    it, only the column's top keys are spread, longest first.
     """
-    rows = (
-        advisor.rank(advisor.scored(profiles))
-        .withColumn("explanation", advisor.explanation())
-        .withColumn("loads", load.top_key_loads(workers))
-    )
-    loads = F.col("loads")
-    return rows.withColumn("load", load.summary_of(loads, workers, rows_per_sec)).withColumn(
-        "workers",
-        F.when(F.col("load").isNotNull(), load.workers_of(loads, rows_per_sec)),
+    rows = advisor.rank(advisor.scored(profiles)).withColumn("explanation", advisor.explanation())
+    if loads is None:
+        rows = load.with_top_key_loads(rows, workers)
+    else:
+        rows = rows.join(F.broadcast(loads), "column", "left")  # one row per column
+    return rows.withColumn("load", load.summary_of(F.col("loads"), workers)).withColumn(
+        "workers", F.when(F.col("load").isNotNull(), load.workers_of(F.col("loads")))
     )
 
 
@@ -69,14 +65,21 @@ def report(
     df: DataFrame,
     columns: str | Iterable[Candidate],
     workers: int = 8,
-    rows_per_sec: float = load.ROWS_PER_SEC,
+    k: int = TOP_K,
+    batch_rows: int = BATCH_ROWS,
+    bounded: bool = False,
 ) -> DataFrame:
-    """The nested report of a table's candidate columns."""
-    if not 1 <= workers <= MAX_WORKERS:
-        raise ValueError(f"workers must be in 1..{MAX_WORKERS}, got {workers}")
+    """The nested report of a table's candidate columns.
+
+    The load is measured: all rows, nulls included, as ``repartition`` would spread
+    them. ``bounded`` profiles without a shuffle of all keys.
+    """
+    load.check_slots(workers)
     candidates = parse_candidates(columns, df.columns)
-    rows = column_report(profile(df, candidates), workers, rows_per_sec)
-    return nested_report(rows, schema_info(df))
+    profiler = profile_bounded if bounded else profile
+    rows = profiler(df, candidates, k=k, batch_rows=batch_rows)
+    loads = load.load_arrays(load.hash_bucket_load(df, candidates, workers), workers)
+    return nested_report(column_report(rows, workers, loads), schema_info(df))
 
 
 def to_json(reports: DataFrame) -> DataFrame:

@@ -7,68 +7,69 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.ipc as ipc
-from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
-# Larger files are not passed through a binary column (2 GiB at most) but opened
-# by their address and read batch by batch.
-_INLINE_BYTES = 256 << 20
+#: What a file of the IPC file format starts with; anything else is taken as a stream.
+MAGIC = b"ARROW1"
 
 
-def _record_batches(source) -> Iterator[pa.RecordBatch]:
-    """Batches of either IPC format: the file format, else the stream format."""
-    try:
-        reader = ipc.open_file(source)
-    except pa.ArrowInvalid:
-        source.seek(0)
-        yield from ipc.open_stream(source)
-        return
-    for i in range(reader.num_record_batches):
-        yield reader.get_batch(i)
+def _opened(content: bytes):
+    """(schema, batches) of the bytes of an IPC file."""
+    if content[: len(MAGIC)] == MAGIC:
+        reader = ipc.open_file(pa.BufferReader(content))
+        return reader.schema, (reader.get_batch(i) for i in range(reader.num_record_batches))
+    reader = ipc.open_stream(pa.BufferReader(content))
+    return reader.schema, iter(reader)
 
 
 def _decoder(names: list[str], target: pa.Schema):
     """Function for ``mapInArrow``: file rows in, rows of the declared schema out."""
 
     def conform(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = [batch.column(n).cast(t) for n, t in zip(names, target.types)]
+        columns = [
+            batch.column(n).cast(t) if n in batch.schema.names else pa.nulls(batch.num_rows, t)
+            for n, t in zip(names, target.types)
+        ]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def decode(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in files:
-            for row in rows.to_pylist():
-                if row.get("content") is not None:
-                    source = pa.BufferReader(row["content"])
-                else:
-                    system, address = fs.FileSystem.from_uri(row["path"])
-                    source = system.open_input_file(address)
-                with source:
-                    for batch in _record_batches(source):
-                        yield conform(batch)
+            for content in rows.column("content"):
+                yield from map(conform, _opened(content.as_py())[1])
 
     return decode
 
 
-def _schema_of_first_file(files: DataFrame) -> T.StructType:
-    """Schema of one file, decoded on an executor; the driver gets only its JSON."""
+def _schema_of_all(files: DataFrame) -> T.StructType:
+    """Columns of all files, in the order of their first mention by name of file.
+
+    Tasks read the files' schemas; the driver gets the distinct ones. A column with
+    different types in different files is an error.
+    """
 
     def describe(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for row in batch.to_pylist():
-                source = pa.BufferReader(row["content"])
-                try:
-                    schema = ipc.open_file(source).schema
-                except pa.ArrowInvalid:
-                    source.seek(0)
-                    schema = ipc.open_stream(source).schema
-                spark_schema = from_arrow_schema(schema, prefer_timestamp_ntz=True)
-                yield pa.RecordBatch.from_arrays([pa.array([spark_schema.json()])], names=["s"])
-
-    first = files.select("content").limit(1).mapInArrow(describe, "s string").first()
-    if first is None:
+            found = [
+                from_arrow_schema(_opened(c.as_py())[0], prefer_timestamp_ntz=True).json()
+                for c in batch.column("content")
+            ]
+            yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "s": found})
+
+    schemas = files.select("path", "content").mapInArrow(describe, "path string, s string")
+    distinct = schemas.groupBy("s").agg({"path": "min"}).orderBy("min(path)").collect()
+    if not distinct:
         raise ValueError("no Arrow IPC file to infer a schema from; give one")
-    return T.StructType.fromJson(json.loads(first["s"]))
+    fields: dict[str, T.StructField] = {}
+    for row in distinct:
+        for field in T.StructType.fromJson(json.loads(row["s"])).fields:
+            known = fields.setdefault(field.name, field)
+            if known.dataType != field.dataType:
+                raise ValueError(
+                    f"column {field.name!r} is {known.dataType.simpleString()} in one file and "
+                    f"{field.dataType.simpleString()} in another; give a schema"
+                )
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields.values()])
 
 
 def read_arrow_ipc(
@@ -76,15 +77,15 @@ def read_arrow_ipc(
 ) -> DataFrame:
     """Rows of all Arrow IPC files under ``path``, in the file or the stream format.
 
-    One task decodes a file, so many files load in parallel. With no ``schema`` the
-    first file's schema is used.
+    Files come through Spark's own file systems, whole, one task each, so many files
+    load in parallel and one file is limited to what a binary value holds (2 GiB). With no
+    ``schema`` it is the union of all files' schemas, which reads the files twice;
+    a column that a file lacks is null.
     """
     files = spark.read.format("binaryFile").load(path)
     if schema is None:
-        schema = _schema_of_first_file(files)
+        schema = _schema_of_all(files)
     elif isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     decode = _decoder(schema.names, to_arrow_schema(schema))
-    inline = files.where(F.col("length") <= _INLINE_BYTES).select("path", "content")
-    by_address = files.where(F.col("length") > _INLINE_BYTES).select("path")
-    return inline.mapInArrow(decode, schema).unionByName(by_address.mapInArrow(decode, schema))
+    return files.select("content").mapInArrow(decode, schema)

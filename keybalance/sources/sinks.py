@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from keybalance.functions.keys import column_ref
 
@@ -21,21 +21,25 @@ def write_partitioned(
     records_per_file: int = RECORDS_PER_FILE,
     mode: str = "errorifexists",
 ) -> None:
-    """Write one directory per key, refusing columns with too many distinct keys.
+    """Write one directory per key, refusing columns with more distinct keys than allowed.
+
+    An empty string is refused as well: its directory would read back as null. Read
+    the folder with ``read_partitioned``, which keeps the key's type.
 
     The rows are rebalanced by key, from ``n`` partitions if given: adaptive
     execution splits the partition of a hot key over several writers and joins
     small ones, where a plain ``repartition(n, key)`` leaves a hot key to one task.
     """
     refs = [column_ref(c) for c in columns]
-    distinct = df.select(
-        F.approx_count_distinct(F.struct(*refs), 0.0081).alias("d")
-    ).first()["d"]
-    if distinct > max_directories:
+    keys = df.select(*refs).distinct()
+    if keys.limit(max_directories + 1).count() > max_directories:
         raise ValueError(
-            f"{list(columns)} has about {distinct} distinct keys, more than the "
-            f"{max_directories} directories allowed; partition on a coarser key"
+            f"{list(columns)} has more distinct keys than the {max_directories} "
+            "directories allowed; partition on a coarser key"
         )
+    for name, ref in zip(columns, refs):
+        if isinstance(df.schema[name].dataType, T.StringType) and not keys.where(ref == "").isEmpty():
+            raise ValueError(f"{name!r} holds empty strings, which no directory can tell from null")
     hint = [*([n] if n else []), *refs]
     (
         df.hint("rebalance", *hint)
@@ -44,3 +48,8 @@ def write_partitioned(
         .partitionBy(*columns)
         .parquet(path)
     )
+
+
+def read_partitioned(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What ``write_partitioned`` wrote, with the types and column order of ``schema``."""
+    return spark.read.schema(schema).parquet(path).select(*[column_ref(n) for n in schema.names])

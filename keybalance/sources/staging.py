@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -11,7 +12,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from keybalance.workdir import fresh_dir
+from keybalance.workdir import fresh_dir, qualified
 
 
 def stage_parquet(df: DataFrame, files: int) -> str:
@@ -27,39 +28,30 @@ def stage_csv(df: DataFrame, sep: str = ",") -> str:
     return path
 
 
-def is_directory(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return system.getFileStatus(target).isDirectory()
-
-
-def _open_for_write(address: str):
-    """Output stream for a path or URI; Hadoop writes local URIs with one slash."""
-    if address.startswith("file:"):
-        address = "/" + address[len("file:") :].lstrip("/")
-    if "://" in address:
-        system, inside = fs.FileSystem.from_uri(address)
-    else:
-        system, inside = fs.LocalFileSystem(), address
-    system.create_dir(inside.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(inside)
-
-
 def stage_arrow_ipc(df: DataFrame) -> str:
-    """``df`` as one Arrow IPC file per task, in the file and the stream format by turns."""
-    path = fresh_dir(df.sparkSession, "arrow")
+    """``df`` as one Arrow IPC file per task, in the file and the stream format by turns.
+
+    The folder's address names its file system, so tasks write where Spark reads. A
+    task writes under a name of its own attempt first, so repeated and speculative tasks do no harm.
+    """
+    path = qualified(df.sparkSession, fresh_dir(df.sparkSession, "arrow"))
+    address = re.sub("^file:/+", "file:///", path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)
         if first is None:
             return
-        part, rows = TaskContext.get().partitionId(), 0
+        context, rows = TaskContext.get(), 0
+        part = context.partitionId()
         opener = ipc.new_stream if part % 2 else ipc.new_file
-        with _open_for_write(f"{path}/part-{part:05d}.arrow") as sink:
-            with opener(sink, first.schema) as writer:
-                for batch in chain([first], batches):
-                    writer.write_batch(batch)
-                    rows += batch.num_rows
+        system, folder = fs.FileSystem.from_uri(address)
+        system.create_dir(folder, recursive=True)
+        own = f"{folder}/_attempt-{context.taskAttemptId()}"
+        with system.open_output_stream(own) as sink, opener(sink, first.schema) as writer:
+            for batch in chain([first], batches):
+                writer.write_batch(batch)
+                rows += batch.num_rows
+        system.move(own, f"{folder}/part-{part:05d}.arrow")
         yield pa.RecordBatch.from_pydict({"rows": [rows]})
 
     df.mapInArrow(write, "rows bigint").agg({"rows": "sum"}).collect()

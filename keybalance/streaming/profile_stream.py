@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from keybalance.functions.hashing import sha256_register
 from keybalance.functions.keys import Candidate, candidate_name, key_text, parse_candidates
-from keybalance.operators import hll
+from keybalance.operators.bounded import SKETCH_BITS, sketch_estimate, standard_error
 from keybalance.operators.cms import CmsShape, cms_cells
-from keybalance.operators.frequency import TOP_K, TRACKED_KEYS, present_keys, top_keys
-from keybalance.operators.profile import assemble, requested_columns, with_top_keys
+from keybalance.operators.frequency import TOP_K, key_frequency, top_keys
+from keybalance.operators.profile import (
+    assemble,
+    profile_frequency,
+    requested_columns,
+    with_top_keys,
+)
 from keybalance.plans.report import column_report, nested_report
 from keybalance.streaming.versions import Versions, state_rows
 
+#: Keys per column that the bounded profile keeps from one micro-batch to the next.
+TRACKED_KEYS = 500
+
 
 def stream_files(
     spark: SparkSession,
@@ -45,42 +52,32 @@ def _long_rows(df: DataFrame, candidates: list[Candidate], with_total: bool) ->
     return df.select(F.inline(F.array(*rows)))
 
 
-def _register_rows(freq: DataFrame, b: int) -> DataFrame:
-    """One state row per key; the merge keeps the largest rho of a register."""
-    j, rho = sha256_register(F.col("key"), b)
-    hashed = present_keys(freq).select("column", j.alias("j"), rho.alias("n"))
-    return state_rows(hashed, "register", slot="j")
-
-
-def _grown_rows(changed: DataFrame, names: list[str], b: int) -> DataFrame:
-    """State rows of changed counts, in one pass: row counts, null counts, registers.
+def _grown(changed: DataFrame, names: list[str], b: int) -> DataFrame:
+    """State rows of changed counts: row counts, null counts, distinct sketches.
 
     The null column's count is the number of rows, the same for all columns.
     """
-    j, rho = sha256_register(F.col("key"), b)
-    nothing, n = F.lit(None), F.col("n")
-
-    def row(column: Column, kind: str, slot: Column, value: Column) -> Column:
-        return F.struct(
-            column.alias("column"),
-            F.lit(kind).alias("kind"),
-            nothing.cast("int").alias("lane"),
-            slot.cast("int").alias("slot"),
-            nothing.cast("string").alias("key"),
-            value.cast("bigint").alias("n"),
-        )
-
-    rows = F.array(*[row(F.lit(c), "rows", nothing, n) for c in names])
-    nulls = F.array(row(F.col("column"), "nulls", nothing, n))
-    registers = F.array(row(F.col("column"), "register", j, rho))
-    is_total, is_null = F.col("column").isNull(), F.col("key").isNull()
-    return changed.select(F.inline(F.when(is_total, rows).when(is_null, nulls).otherwise(registers)))
+    total = F.max(F.when(F.col("column").isNull(), F.col("n")))
+    rows = changed.agg(total.alias("n")).where(F.col("n").isNotNull())
+    totals = rows.select(F.explode(F.array(*[F.lit(c) for c in names])).alias("column"), "n")
+    keyed = changed.where(F.col("column").isNotNull()).groupBy("column").agg(
+        F.max(F.when(F.col("key").isNull(), F.col("n"))).alias("nulls"),
+        F.hll_sketch_agg("key", b).alias("sketch"),
+    )
+    return (
+        state_rows(totals, "rows")
+        .unionByName(state_rows(keyed.where("nulls > 0"), "nulls", n="nulls"))
+        .unionByName(state_rows(keyed, "distinct", n=None, sketch="sketch"))
+    )
 
 
-def _merged(rows: DataFrame) -> DataFrame:
-    """State rows summed up, registers by their maximum: one shuffle for all kinds."""
+def _merged(rows: DataFrame, count) -> DataFrame:
+    """State rows of one place merged: counts by ``count``, sketches by their union."""
     return rows.groupBy("column", "kind", "lane", "slot", "key").agg(
-        F.when(F.col("kind") == "register", F.max("n")).otherwise(F.sum("n")).alias("n")
+        count("n").alias("n"), F.hll_union_agg("sketch").alias("__union"),
+        F.count("sketch").alias("__sketches"),
+    ).withColumn("sketch", F.when(F.col("__sketches") > 0, F.col("__union"))).drop(
+        "__union", "__sketches"
     )
 
 
@@ -106,22 +103,25 @@ def profile_of_state(
     n = F.col("n")
     blank = requested_columns(state, names).withColumn("n", F.lit(0))
     totals = (
-        state.where(F.col("kind").isin("rows", "nulls", "register"))
+        state.where(F.col("kind").isin("rows", "nulls", "distinct"))
         .unionByName(state_rows(blank, "rows"))
         .groupBy("column")
         .agg(
             F.max(of_kind("rows", n)).alias("total_rows"),
             F.coalesce(F.max(of_kind("nulls", n)), F.lit(0)).alias("null_count"),
-            F.coalesce(F.sum(of_kind("register", hll.inverse_power(n))), F.lit(0.0)).alias("__inv"),
-            F.count(of_kind("register", n)).alias("__occupied"),
-        )
-        .withColumn(
-            "cardinality_estimate", hll.cardinality(F.col("__inv"), F.col("__occupied"), b)
+            F.max(of_kind("distinct", F.col("sketch"))).alias("__sketch"),
         )
+        .withColumn("cardinality_estimate", sketch_estimate("__sketch"))
         .withColumn("batch_count", F.lit(batch_count).cast("bigint"))
     )
     keys = state.where(F.col("kind") == "key").select("column", "key", "n")
-    return assemble(with_top_keys(totals, top_keys(keys, k)), candidates, b)
+    return assemble(with_top_keys(totals, top_keys(keys, k)), candidates, standard_error(b))
+
+
+def _save_blank(stream: DataFrame, candidates: list[Candidate], versions: Versions, k: int) -> None:
+    """What a summary shows until the first micro-batch."""
+    nothing = stream.sparkSession.createDataFrame([], stream.schema)
+    versions.save_blank(profile_frequency(key_frequency(nothing, candidates), candidates, k))
 
 
 def _start(
@@ -145,20 +145,20 @@ def start_profile(
     columns: str | Iterable[Candidate],
     versions: Versions,
     k: int = TOP_K,
-    b: int = hll.DEFAULT_B,
+    b: int = SKETCH_BITS,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Exact running profile; writes a snapshot per micro-batch.
 
     The key counts live in the state store. A micro-batch emits only the counts it
     changed: as counts never fall, the new top k are among the changed keys and the
-    old top k, and registers, row and null counts only grow. So a snapshot costs as
+    old top k, and sketches, row and null counts only grow. So a snapshot costs as
     much as its micro-batch, not as much as the state. Use ``start_bounded_profile``
     when the distinct keys themselves are too many to keep.
     """
     candidates = parse_candidates(columns, stream.columns)
     names = [candidate_name(c) for c in candidates]
-    hll.check_b(b)
+    _save_blank(stream, candidates, versions, k)
     counts = (
         _long_rows(stream, candidates, with_total=True)
         .groupBy("column", "key")
@@ -173,11 +173,8 @@ def start_profile(
             before = versions.previous(spark, batch_id)
             old_keys = before.where(F.col("kind") == "key").select("column", "key", "n")
             top = _newest_top(keyed.unionByName(old_keys), k)
-            grown = (
-                before.where(F.col("kind") != "key")
-                .unionByName(_grown_rows(changed, names, b))
-                .groupBy("column", "kind", "lane", "slot", "key")
-                .agg(F.max("n").alias("n"))
+            grown = _merged(
+                before.where(F.col("kind") != "key").unionByName(_grown(changed, names, b)), F.max
             )
             kept = grown.unionByName(state_rows(top, "key", key="key"))
             state = versions.save_state(kept, batch_id)
@@ -196,18 +193,20 @@ def start_bounded_profile(
     versions: Versions,
     k: int = TOP_K,
     cap: int = TRACKED_KEYS,
-    b: int = hll.DEFAULT_B,
+    b: int = SKETCH_BITS,
     shape: CmsShape = CmsShape(),
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Running profile whose whole state is the two sketches and ``cap`` keys per column.
 
-    At the end of a micro-batch only the ``cap`` largest counts are kept; a key that
-    was dropped starts again from zero. Exact while a column has at most ``cap``
-    distinct keys.
+    At the end of a micro-batch only the ``cap`` largest counts are kept. A dropped
+    key starts again from zero, so a count is a lower bound; ``slack_of_state`` gives, per
+    column, how much any key's true count can lie above it: the largest count dropped at
+    each micro-batch, summed up. It stays 0 while a column has at most ``cap`` distinct
+    keys. Use ``start_profile`` for exact counts.
     """
     candidates = parse_candidates(columns, stream.columns)
-    hll.check_b(b)
+    _save_blank(stream, candidates, versions, k)
     rows = _long_rows(stream, candidates, with_total=False)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
@@ -226,19 +225,24 @@ def start_bounded_profile(
             seen = freq.where(F.col("n") > 0).select("column", "key", "n")
             tracked = freq.select("column", "key", (F.col("n") + F.col("kept")).alias("n"))
             nulls = F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(0))
-            counters = seen.groupBy("column").agg(F.sum("n").alias("rows"), nulls.alias("nulls"))
-            sketches = _merged(
-                _register_rows(seen, b)
-                .unionByName(
-                    state_rows(cms_cells(seen, shape), "cell", lane="row", slot="cell", n="cnt")
-                )
+            counters = seen.groupBy("column").agg(
+                F.sum("n").alias("rows"),
+                nulls.alias("nulls"),
+                F.hll_sketch_agg("key", b).alias("sketch"),
+            )
+            # The first key that is not kept has the largest count that is dropped.
+            leading = top_keys(tracked, cap + 1)
+            dropped = leading.where(F.col("rank") > cap)
+            added = (
+                state_rows(cms_cells(seen, shape), "cell", lane="row", slot="cell", n="cnt")
                 .unionByName(state_rows(counters, "rows", n="rows"))
                 .unionByName(state_rows(counters, "nulls", n="nulls"))
+                .unionByName(state_rows(counters, "distinct", n=None, sketch="sketch"))
+                .unionByName(state_rows(dropped, "slack"))
                 .unionByName(before.where(F.col("kind") != "key"))
             )
-            state = versions.save_state(
-                sketches.unionByName(state_rows(top_keys(tracked, cap), "key", key="key")), batch_id
-            )
+            kept = state_rows(leading.where(F.col("rank") <= cap), "key", key="key")
+            state = versions.save_state(_merged(added, F.sum).unionByName(kept), batch_id)
             versions.save_snapshot(
                 profile_of_state(state, candidates, k, b, batch_id + 1), batch_id
             )
@@ -255,10 +259,13 @@ def cells_of_state(state: DataFrame) -> DataFrame:
     )
 
 
-def registers_of_state(state: DataFrame) -> DataFrame:
-    """The HyperLogLog registers kept by a running profile."""
-    return state.where(F.col("kind") == "register").select(
-        "column", F.col("slot").alias("j"), F.col("n").cast("int").alias("r")
+def keys_of_state(state: DataFrame) -> DataFrame:
+    """(column, key, n, slack): the tracked keys; the true count is from n to n + slack."""
+    slack = state.where(F.col("kind") == "slack").select("column", F.col("n").alias("slack"))
+    keys = state.where(F.col("kind") == "key").select("column", "key", "n")
+    # One row per column on the right.
+    return keys.join(F.broadcast(slack), "column", "left").withColumn(
+        "slack", F.coalesce("slack", F.lit(0))
     )
 
 
@@ -267,7 +274,9 @@ def final_summary(
     versions: Versions,
     schema: dict[str, str],
     workers: int = 8,
-    rows_per_sec: float = 1_000_000.0,
 ) -> DataFrame:
-    """The nested report of everything a finished stream has read."""
-    return nested_report(column_report(versions.latest(spark), workers, rows_per_sec), schema)
+    """The nested report of everything a finished stream has read.
+
+    A stream keeps no rows, so its load is that of the top keys.
+    """
+    return nested_report(column_report(versions.latest(spark), workers), schema)

@@ -17,48 +17,40 @@ from keybalance.operators.frequency import (
 )
 from keybalance.workdir import written
 
-# The floor is taken among this many times k leading keys.
-_LEADERS = 10
-
 
 def batch_snapshots(
     df: DataFrame, columns: str | Iterable[Candidate], batch: str, k: int = TOP_K
 ) -> DataFrame:
     """Per column and batch: the cumulative profile up to and including that batch.
 
-    A key's running count holds from one of its batches to the next. Spreading
-    every such interval over its batches would cost keys x batches rows, so an
-    interval is first compared with a floor: at each batch, the k-th largest running
-    count among some fixed keys (the overall leaders). At least k keys are at or
-    above the floor, so a key below it is not in that batch's top k; and as the floor
-    only rises, an interval ends for good where the floor passes its count, and one
-    that starts below it never matters. This drops no key that can be ranked,
-    whatever the choice of the fixed keys.
+    A key's running count holds from one of its batches to the next. Running counts
+    only grow, so a key that is among the first k at some batch, and was last touched
+    at batch s, is among the first k of the keys touched at s. So at most k intervals
+    per column and batch are kept, whatever the number of keys, and only those are
+    spread over their batches.
 
-    The counts and the intervals are used several times; each is written once to the
-    shared folder, so the input is scanned once.
+    The counts per batch are written once to the shared folder, so the input is
+    scanned once.
     """
     candidates = parse_candidates(columns, df.columns)
     freq = key_frequency(df, candidates, by=batch).withColumnRenamed(batch, "batch")
     given = F.when(F.col("batch").isNull(), F.raise_error(F.lit("batch id is null")))
     freq = written(freq.withColumn("batch", given.otherwise(F.col("batch"))), "batch-counts")
     totals = _running_totals(freq)
-    ordinals = totals.select("column", "batch", F.col("batch_count").alias("seq"), "last_seq")
-    intervals = written(_count_intervals(freq, ordinals), "intervals")
-    floor = _floor(intervals, ordinals, k)
-    rankable = intervals.join(floor, ["column", "seq"]).where(F.col("n") >= F.col("floor"))
-    within = rankable.join(_last_above(rankable, floor), ["column", "n"])
-    span = F.sequence(F.col("seq"), F.least("until", "last"))
-    held = within.select("column", "key", "n", F.explode(span).alias("seq"))
-    ranked = ranked_keys(top_keys(held, k, ("column", "seq")), ("column", "seq"))
-    joined = totals.withColumnRenamed("batch_count", "seq").join(ranked, ["column", "seq"], "left")
+    held = leading_intervals(freq, k).join(
+        totals.select("column", F.col("batch").alias("at")), "column"
+    )
+    spread = held.where(
+        (F.col("at") >= F.col("batch")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
+    ).select("column", F.col("at").alias("batch"), "key", "n")
+    ranked = ranked_keys(top_keys(spread, k, ("column", "batch")), ("column", "batch"))
     return (
-        with_shape(joined)
+        with_shape(totals.join(ranked, ["column", "batch"], "left"))
         .withColumn("null_fraction", null_fraction())
         .select(
             "column",
             "batch",
-            F.col("seq").alias("batch_count"),
+            "batch_count",
             "total_rows",
             "null_count",
             "null_fraction",
@@ -85,54 +77,20 @@ def _running_totals(freq: DataFrame) -> DataFrame:
         F.row_number().over(running).alias("batch_count"),
         F.sum("rows").over(running).alias("total_rows"),
         F.sum("nulls").over(running).alias("null_count"),
-        F.count("batch").over(Window.partitionBy("column")).cast("int").alias("last_seq"),
     )
 
 
-def _count_intervals(freq: DataFrame, ordinals: DataFrame) -> DataFrame:
-    """(column, key, n, seq, until, latest): a key's running count and how long it holds."""
-    numbered = present_keys(freq).join(ordinals, ["column", "batch"])
-    per_key = Window.partitionBy("column", "key").orderBy("seq")
-    following = F.lead("seq").over(per_key)
-    return numbered.select(
+def leading_intervals(freq: DataFrame, k: int) -> DataFrame:
+    """(column, key, n, batch, until): running counts that can be ranked, and how long they hold.
+
+    ``until`` is the key's next batch, null for its last. At most k rows per column and batch.
+    """
+    per_key = Window.partitionBy("column", "key").orderBy("batch")
+    running = present_keys(freq).select(
         "column",
         "key",
+        "batch",
         F.sum("n").over(per_key).alias("n"),
-        "seq",
-        F.coalesce(following - 1, F.col("last_seq")).alias("until"),
-        following.isNull().alias("latest"),
-    )
-
-
-def _floor(intervals: DataFrame, ordinals: DataFrame, k: int) -> DataFrame:
-    """(column, seq, floor): k-th largest running count among the overall leaders.
-
-    Zero while fewer than k of them have occurred.
-    """
-    leaders = top_keys(intervals.where("latest"), _LEADERS * k).select("column", "key")
-    # A fixed number of keys per column, so this side is broadcast.
-    held = intervals.join(F.broadcast(leaders), ["column", "key"]).select(
-        "column", "key", "n", F.explode(F.sequence("seq", "until")).alias("seq")
-    )
-    kth = top_keys(held, k, ("column", "seq")).where(F.col("rank") == k)
-    return (
-        ordinals.select("column", "seq")
-        .join(kth.select("column", "seq", F.col("n").alias("floor")), ["column", "seq"], "left")
-        .withColumn("floor", F.coalesce("floor", F.lit(0)))
-    )
-
-
-def _last_above(rankable: DataFrame, floor: DataFrame) -> DataFrame:
-    """(column, n, last): the last batch whose floor does not exceed a count n.
-
-    Counts and floors are sorted together; only their distinct values take part.
-    """
-    counts = rankable.select("column", "n").distinct()
-    steps = floor.groupBy("column", F.col("floor").alias("n")).agg(F.max("seq").alias("upto"))
-    both = counts.withColumn("upto", F.lit(None).cast("int")).unionByName(steps)
-    up_to_n = Window.partitionBy("column").orderBy("n")
-    return (
-        both.withColumn("last", F.max("upto").over(up_to_n))
-        .where(F.col("upto").isNull())
-        .select("column", "n", "last")
+        F.lead("batch").over(per_key).alias("until"),
     )
+    return top_keys(running, k, ("column", "batch")).drop("rank")

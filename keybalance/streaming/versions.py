@@ -6,13 +6,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A state table holds small keyed values of several kinds: sketch registers and
-# cells by (lane, slot), keys by text, counters by kind alone.
-STATE_SCHEMA = "column string, kind string, lane int, slot int, key string, n bigint"
+from keybalance.workdir import child_names, remove
+
+# A state table holds small keyed values of several kinds: sketch cells by (lane,
+# slot), keys by text, counters by kind alone, distinct sketches as they are.
+STATE_SCHEMA = "column string, kind string, lane int, slot int, key string, n bigint, sketch binary"
 
 
 def state_rows(
-    df: DataFrame, kind: str, lane=None, slot=None, key=None, n: str = "n"
+    df: DataFrame, kind: str, lane=None, slot=None, key=None, n: str | None = "n", sketch=None
 ) -> DataFrame:
     """``df`` as state rows of one kind."""
 
@@ -26,6 +28,7 @@ def state_rows(
         field(slot, "int").alias("slot"),
         field(key, "string").alias("key"),
         field(n, "bigint").alias("n"),
+        field(sketch, "binary").alias("sketch"),
     )
 
 
@@ -47,6 +50,10 @@ class Versions:
     def snapshots(self) -> str:
         return f"{self.root}/snapshots"
 
+    @property
+    def _blank(self) -> str:
+        return f"{self.root}/blank"
+
     def _state(self, batch_id: int) -> str:
         return f"{self.root}/state/batch_id={batch_id}"
 
@@ -61,8 +68,14 @@ class Versions:
     def save_state(self, state: DataFrame, batch_id: int) -> DataFrame:
         # A state is at most a few ten thousand rows per column: few files.
         state.coalesce(4).write.mode("overwrite").parquet(self._state(batch_id))
+        # A replay reads the version before its own; older ones are done with.
+        remove(state.sparkSession, self._state(batch_id - 2))
         return self.state(state.sparkSession, batch_id)
 
+    def save_blank(self, profiles: DataFrame) -> None:
+        """The profile of no rows, for a stream that never has any."""
+        profiles.coalesce(1).write.mode("overwrite").parquet(self._blank)
+
     def save_snapshot(self, profiles: DataFrame, batch_id: int) -> None:
         profiles.coalesce(1).write.mode("overwrite").parquet(
             f"{self.snapshots}/batch_id={batch_id}"
@@ -71,10 +84,14 @@ class Versions:
     def all_snapshots(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.snapshots)
 
-    def last_batch(self, spark: SparkSession) -> int:
-        """Id of the newest snapshot; the batch id is a partition column."""
-        return self.all_snapshots(spark).agg(F.max("batch_id").alias("b")).first()["b"]
+    def last_batch(self, spark: SparkSession) -> int | None:
+        """Id of the newest snapshot, from the names of the folders; None before the first."""
+        names = child_names(spark, self.snapshots)
+        return max((int(n.partition("=")[2]) for n in names if n.startswith("batch_id=")), default=None)
 
     def latest(self, spark: SparkSession) -> DataFrame:
         """The newest snapshot: the profile of everything read so far."""
-        return spark.read.parquet(f"{self.snapshots}/batch_id={self.last_batch(spark)}")
+        last = self.last_batch(spark)
+        return spark.read.parquet(
+            self._blank if last is None else f"{self.snapshots}/batch_id={last}"
+        )

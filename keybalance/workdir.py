@@ -2,29 +2,60 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_OURS: set[str] = set()
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of a Hadoop path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, target = _hadoop_path(spark, path)
+    system.delete(target, True)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder; none if there is no such folder."""
+    system, target = _hadoop_path(spark, path)
+    if not system.exists(target):
+        return []
+    return [status.getPath().getName() for status in system.listStatus(target)]
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Hadoop reads it with."""
+    system, target = _hadoop_path(spark, path)
+    return target.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """A folder of this application below the one the cluster names.
 
-    Only a local session without the setting gets a temporary folder: on a
-    cluster a machine-local folder would be lost together with its executor.
+    That is ``spark.checkpoint.dir``; where it is unset, the warehouse, which all
+    executors share as well. The folder is removed when the driver ends.
     """
     root = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
-    if root:
-        return root.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local"):
-        raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
-    return sc.getCheckpointDir()
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
+    own = f"{root.rstrip('/')}/keybalance-{spark.sparkContext.applicationId}"
+    if own not in _OURS:
+        _OURS.add(own)
+        system, target = _hadoop_path(spark, own)
+
+        def clean() -> None:
+            with contextlib.suppress(Exception):  # the JVM may be gone before us
+                system.delete(target, True)
+
+        atexit.register(clean)
+    return own
 
 
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
@@ -36,4 +67,4 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and safe from lost executors."""
     path = fresh_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -43,38 +43,23 @@ TOTALS = """totals AS (
   SELECT col, count(*) AS total, count(*) - count(key) AS nulls FROM long GROUP BY col)"""
 
 
-def _registers(b: int, source: str = "freq") -> str:
-    rest = 64 - b
-    return f"""hashed AS (
-  SELECT col, ('0x' || substr(sha256(key), 1, 16))::UBIGINT AS h
-  FROM {source} WHERE key IS NOT NULL),
-registers AS (
-  SELECT col, (h >> {rest})::INT AS j,
-    max(CASE WHEN (h & ((1::UBIGINT << {rest}) - 1)) = 0 THEN {rest + 1}
-        ELSE {rest} - floor(log2(h & ((1::UBIGINT << {rest}) - 1)))::INT END) AS r
-  FROM hashed GROUP BY 1, 2)"""
-
-
-ESTIMATE = """raw AS (
-  SELECT col, 16384 - count(*) AS zeros,
-    0.7213::DOUBLE / (1 + 1.079::DOUBLE / 16384) * 16384 * 16384
-      / (sum(pow(2.0::DOUBLE, -r)) + 16384 - count(*)) AS e
-  FROM registers GROUP BY col),
-distincts AS (
-  SELECT col, CASE WHEN e <= 2.5 * 16384 AND zeros > 0
-    THEN 16384::DOUBLE * ln(16384::DOUBLE / zeros) ELSE e END AS estimate
-  FROM raw)"""
-
-PROFILE_CTES = ", ".join([FREQ, TOP, SHAPE, TOTALS, _registers(14), ESTIMATE])
-
-
-def _profile_select(estimate: str = "d.estimate", batches: bool = True) -> str:
+DISTINCTS = """distincts AS (
+  SELECT col, CAST(count(DISTINCT key) AS DOUBLE) AS estimate FROM long GROUP BY col)"""
+
+# Of a stream's sketch: as many registers as 2^14.
+SKETCH_ERROR = "1.04::DOUBLE / sqrt(16384)"
+
+PROFILE_CTES = ", ".join([FREQ, TOP, SHAPE, TOTALS, DISTINCTS])
+
+
+def _profile_select(batches: bool = True) -> str:
+    error = "0.0::DOUBLE" if batches else SKETCH_ERROR
     batch = "CAST(ceil(t.total / 50000.0) AS BIGINT) AS batch_count," if batches else ""
     return f"""SELECT t.col AS "column", t.total AS total_rows,
-  round(coalesce({estimate}, 0), 6) AS cardinality_estimate, t.nulls AS null_count,
+  round(coalesce(d.estimate, 0), 6) AS cardinality_estimate, t.nulls AS null_count,
   round(t.nulls / t.total, 6) AS null_fraction, round(coalesce(s.skew, 1.0), 6) AS skew_ratio,
   coalesce(s.keys, '') AS top_keys, coalesce(s.counts, '') AS partition_counts, {batch}
-  round(1.04::DOUBLE / sqrt(16384), 6) AS hll_error
+  round({error}, 6) AS hll_error
 FROM totals t LEFT JOIN shape s USING (col) LEFT JOIN distincts d USING (col)"""
 
 
@@ -106,21 +91,14 @@ SCORES = """SELECT col AS "column", round(c, 1) AS composite_score, round(ent, 1
   recommendation, severity FROM judged"""
 
 
-def _fnv(key: str, seed: int) -> str:
-    return (
-        f"list_reduce(list_transform(range(1, octet_length(encode({key})) + 1), "
-        f"lambda i: ('0x' || substr(hex(encode({key})), (2 * i - 1)::INT, 2))::BIGINT), "
-        f"lambda h, x: (xor(h, x) * 16777619) & 4294967295, {2166136261 ^ seed}::BIGINT)"
-    )
-
-
-# Hashes of the texts '0' to '4': the seeds of the sketch rows.
-SEEDS = [3185197550, 3201975169, 3151642312, 3168419931, 3252308026]
+def _cell(key: str, row: int, width: int) -> str:
+    """A row's 32 bits of the key's digest; the sketches here have at most eight rows."""
+    return f"CAST(('0x' || substr(sha256({key}), {8 * row + 1}, 8))::BIGINT % {width} AS INT)"
 
 
 def _cells(width: int, depth: int, source: str = "freq", name: str = "cells") -> str:
     rows = " UNION ALL ".join(
-        f"SELECT col, {i} AS \"row\", CAST({_fnv('key', SEEDS[i])} % {width} AS INT) AS cell, n "
+        f"SELECT col, {i} AS \"row\", {_cell('key', i, width)} AS cell, n "
         f"FROM {source} WHERE key IS NOT NULL"
         for i in range(depth)
     )
@@ -140,9 +118,9 @@ CUSTKEY_BOTH = CUSTKEY_ORDERS + ", " + CUSTKEY_CUSTOMER + """, both_tables AS (
   SELECT * FROM freq UNION ALL SELECT * FROM probes)"""
 
 SLOTS = """slots AS (
-  SELECT col, CAST(('0x' || substr(sha256(key), 1, 15))::BIGINT % 8 AS INT) AS slot,
+  SELECT col, CAST(coalesce(('0x' || substr(sha256(key), 1, 15))::BIGINT % 8, 0) AS INT) AS slot,
     CAST(sum(n) AS BIGINT) AS load
-  FROM freq WHERE key IS NOT NULL GROUP BY 1, 2)"""
+  FROM freq GROUP BY 1, 2)"""
 
 ALL_SLOTS = """grid AS (
   SELECT c.col, CAST(i AS INT) AS slot, coalesce(s.load, 0) AS load
@@ -205,9 +183,7 @@ JOIN users u ON uu >= u.low AND uu < u.high
 JOIN products p ON up >= p.low AND up < p.high"""
 
 # Every batch joined to all rows up to it, then profiled on its own.
-SNAPSHOTS = f"""WITH {HOT}, long AS (
-  SELECT 'hot_key' AS col, CAST(hot_key AS VARCHAR) AS key, event_id // 1000 AS b FROM hot
-  UNION ALL SELECT 'event_type', event_type, event_id // 1000 FROM hot),
+SNAPSHOTS = """WITH LONG,
 batches AS (SELECT DISTINCT b AS batch FROM long),
 prefix AS (SELECT l.col, l.key, batch, count(*) AS n FROM batches JOIN long l ON l.b <= batch
   GROUP BY ALL),
@@ -227,6 +203,22 @@ SELECT t.col AS "column", t.batch,
   round(skew, 6) AS skew_ratio, max_n AS max_count, CAST(top_rows AS BIGINT) AS top_rows,
   counts AS partition_counts
 FROM totals t JOIN shape s USING (col, batch)"""
+HOT_BATCHES = HOT + """, long AS (
+  SELECT 'hot_key' AS col, CAST(hot_key AS VARCHAR) AS key, event_id // 1000 AS b FROM hot
+  UNION ALL SELECT 'event_type', event_type, event_id // 1000 FROM hot)"""
+UNIQUE_BATCHES = """long AS (
+  SELECT 'event_id' AS col, CAST(event_id AS VARCHAR) AS key, event_id // 1000 AS b FROM events)"""
+
+WHOLE = """whole AS (
+  SELECT col, count(*) AS n_keys, max(n) / avg(n) AS whole_skew,
+    greatest(ln(sum(n)) - sum(n * ln(n)) / sum(n), 0) AS whole_nats
+  FROM freq WHERE key IS NOT NULL GROUP BY col)"""
+SHAPES = "WITH " + _long("lineitem", "l_orderkey", "l_shipdate") + f", {FREQ}, {TOP}, {SHAPE}, {WHOLE}"
+
+
+def _within(source: str) -> str:
+    return f"""SELECT col AS "column", count(DISTINCT key) AS distinct_keys, true AS within_bound
+FROM {source} GROUP BY col"""
 
 _SALTED_KEY = "CAST(hot_key AS VARCHAR)"
 
@@ -251,26 +243,27 @@ SELECT col AS "column", total AS total_rows, nulls AS null_count,
     + _long("lineitem", "l_partkey", "l_suppkey")
     + f', {FREQ}, {TOP} SELECT col AS "column", key, n, CAST(rnk AS INT) AS rank FROM top',
     "approx_top_k": "WITH "
-    + _long("documents", "lang", "source")
+    + _long("lineitem", "l_partkey", "l_orderkey", "l_returnflag")
     + f', {FREQ}, {TOP} SELECT col AS "column", key, n, CAST(rnk AS INT) AS rank FROM top',
     "heavy_keys": f"""WITH {HOT} SELECT hot_key, count(*) AS n, (SELECT count(*) FROM hot) AS total
 FROM hot GROUP BY hot_key HAVING count(*) * 25 > (SELECT count(*) FROM hot)""",
-    "skew_ratio": f"""WITH {HOT_LONG}, {FREQ}, {TOP}, {SHAPE}
-SELECT col AS "column", max_n AS max_count, round(mean_n, 6) AS mean_count,
-  round(skew, 6) AS skew_ratio FROM shape""",
-    "entropy": f"""WITH {HOT_LONG}, {FREQ}, {TOP}, {SHAPE}
-SELECT col AS "column", round(nats, 6) AS entropy FROM shape""",
-    "normalized_entropy": f"""WITH {HOT_LONG}, {FREQ}, {TOP}, {SHAPE}
-SELECT col AS "column", round(CASE WHEN nk > 1 THEN 100 * nats / ln(nk) ELSE 0 END, 6)
-  AS entropy_score FROM shape""",
+    "skew_ratio": SHAPES
+    + """ SELECT col AS "column", max_n AS max_count, n_keys AS key_count,
+  round(whole_skew, 6) AS skew_ratio, round(mean_n, 6) AS top_mean_count,
+  round(skew, 6) AS top_skew_ratio FROM shape JOIN whole USING (col)""",
+    "entropy": SHAPES
+    + """ SELECT col AS "column", round(whole_nats, 6) AS entropy, round(nats, 6) AS top_entropy
+FROM shape JOIN whole USING (col)""",
+    "normalized_entropy": SHAPES
+    + """ SELECT col AS "column", round(100 * whole_nats / ln(n_keys), 6) AS entropy_score,
+  round(100 * nats / ln(nk), 6) AS top_entropy_score FROM shape JOIN whole USING (col)""",
     "column_profile": f"WITH {HOT_LONG}, {PROFILE_CTES} {_profile_select()}",
     "one_column_profile": f"WITH {HOT_LONG}, {PROFILE_CTES} {_profile_select()} "
     "WHERE t.col = 'hot_key'",
     "bounded_profile": "WITH "
-    + _long("documents", "lang", "source")
-    + f""", {FREQ}, {TOP}, {SHAPE}, {TOTALS}, distincts AS (
-  SELECT col, CAST(count(DISTINCT key) AS DOUBLE) AS estimate FROM long GROUP BY col)
-{_profile_select()}""",
+    + _long("lineitem", "l_partkey", "l_orderkey", "l_returnflag")
+    + f""", {PROFILE_CTES}, flat AS ({_profile_select()})
+SELECT * EXCLUDE (cardinality_estimate, hll_error), true AS within_bound FROM flat""",
     "composite_key_profile": f"""WITH {HOT}, long AS (
   SELECT 'event_type|hot_key' AS col, CASE WHEN event_type IS NULL AND hot_key IS NULL THEN NULL
     ELSE coalesce(event_type, '\\N') || '|' || coalesce({_SALTED_KEY}, '\\N') END AS key FROM hot),
@@ -278,18 +271,13 @@ SELECT col AS "column", round(CASE WHEN nk > 1 THEN 100 * nats / ln(nk) ELSE 0 E
     "not_null_profile": f"""WITH {HOT}, long AS (
   SELECT 'hot_key' AS col, {_SALTED_KEY} AS key FROM hot WHERE hot_key IS NOT NULL),
 {PROFILE_CTES} {_profile_select()}""",
-    "hll_registers": f"""WITH {HOT_LONG}, {FREQ}, {_registers(14)}
-SELECT col AS "column", j, CAST(r AS INT) AS r FROM registers""",
-    "hll_estimate": "WITH "
-    + _long("lineitem", "l_partkey", "l_orderkey")
-    + f""", {FREQ}, {_registers(14)}, {ESTIMATE}
-SELECT col AS "column", round(estimate, 6) AS cardinality_estimate FROM distincts""",
-    "hll_merge": f"""WITH {CUSTKEY_BOTH}, {_registers(12, 'both_tables')}
-SELECT col AS "column", j, CAST(r AS INT) AS r FROM registers""",
-    "hll_builtin": """SELECT 'l_orderkey' AS "column", count(DISTINCT l_orderkey) AS distinct_keys,
-  true AS within_bound FROM lineitem
-UNION ALL SELECT 'l_partkey', count(DISTINCT l_partkey), true FROM lineitem
-UNION ALL SELECT 'l_shipdate', count(DISTINCT l_shipdate), true FROM lineitem""",
+    "hll_registers": f"""WITH {HOT_LONG}, {TOTALS}, w AS ({_within('long')})
+SELECT w.*, total AS total_rows, nulls AS null_count FROM w JOIN totals ON col = "column\"""",
+    "hll_estimate": "WITH " + _long("lineitem", "l_partkey", "l_orderkey") + " " + _within("long"),
+    "hll_merge": """SELECT 'custkey' AS "column", count(DISTINCT k) AS distinct_keys, true AS within_bound
+FROM (SELECT o_custkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer)""",
+    "hll_builtin": "WITH "
+    + _long("lineitem", "l_orderkey", "l_partkey", "l_shipdate") + " " + _within("long"),
     "cms_cells": "WITH "
     + _long("lineitem", "l_partkey", "l_returnflag")
     + f', {FREQ}, {_cells(544, 5)} SELECT col AS "column", "row", cell, cnt FROM cells',
@@ -302,8 +290,7 @@ UNION ALL SELECT 'l_shipdate', count(DISTINCT l_shipdate), true FROM lineitem"""
 WHERE key IS NOT NULL GROUP BY 1""",
     "cms_estimate": f"""WITH {CUSTKEY_ORDERS}, {CUSTKEY_CUSTOMER}, {_cells(544, 5)},
 places AS ({" UNION ALL ".join(
-        f'SELECT col, key, {i} AS "row", CAST({_fnv("key", s)} % 544 AS INT) AS cell FROM probes'
-        for i, s in enumerate(SEEDS)
+        f'SELECT col, key, {i} AS "row", {_cell("key", i, 544)} AS cell FROM probes' for i in range(5)
     )})
 SELECT p.col AS "column", p.key, min(coalesce(c.cnt, 0)) AS estimate
 FROM places p LEFT JOIN cells c ON c.col = p.col AND c."row" = p."row" AND c.cell = p.cell
@@ -326,54 +313,61 @@ SELECT col AS "column", round(skew, 6) AS skew_ratio,
     ELSE 'Severe Skew' END AS skew_band,
   nf > 0.1 AS high_null_rate, round(null_pen, 1) > 30 AS high_null_penalty,
   round(skew_pen, 1) > 30 AS high_skew_penalty FROM judged""",
-    "report": f"""WITH RECURSIVE {HOT_LONG}, {PROFILE_CTES}, {SCORED}, {PACKING}, {PACKED}
+    "report": f"""WITH {HOT_LONG}, {PROFILE_CTES}, {SCORED}
 SELECT j.col AS "column", t.total AS total_rows, round(j.c, 1) AS composite_score, j.severity,
   CAST(row_number() OVER (ORDER BY round(j.c, 1) DESC, j.col = 'event_type') AS INT) AS place,
-  round(list_max(p.loads) / (list_sum(p.loads) / 8), 6) AS slowdown_factor,
-  len(p.loads)::INT AS workers,
-  printf('Column ''%s'' has a skew ratio of %.1fx (top partition is %.1fx the mean). '
+  t.total AS load_rows, true AS load_adds_up, 8 AS workers,
+  printf('Column \'\'%s\'\' has a skew ratio of %.1fx (top partition is %.1fx the mean). '
     || 'Estimated cardinality: %s. %s', j.col, j.skew, j.skew,
     format('{{:,}}', floor(d.estimate)::BIGINT),
     CASE WHEN j.skew > 5 THEN 'Salting with 8 buckets should reduce hot-key concentration by ~8x.'
       ELSE 'Standard repartition should suffice.' END) AS explanation,
   CASE WHEN j.col = 'hot_key' THEN 'bigint' ELSE 'string' END AS "type"
-FROM judged j JOIN totals t USING (col) JOIN distincts d USING (col) JOIN packed p USING (col)""",
+FROM judged j JOIN totals t USING (col) JOIN distincts d USING (col)""",
     "hash_bucket_load": f"""WITH {HOT_LONG}, {FREQ}, {SLOTS}
 SELECT col AS "column", slot, load AS "rows" FROM slots""",
     "physical_load": f"""WITH {HOT} SELECT count(*) AS total_rows,
   0::BIGINT AS slots_that_differ FROM hot""",
     "load_report": f"""WITH {HOT_LONG}, {FREQ}, {SLOTS}, {ALL_SLOTS}
-SELECT col AS "column", 8 AS num_workers, CAST(total AS BIGINT) AS total_rows,
-  1000000.0::DOUBLE AS rows_per_sec, round(total / 8 / 1000000, 9) AS ideal_finish_sec,
-  round(most / 1000000, 9) AS actual_finish_sec, round(most / (total / 8), 9) AS slowdown_factor,
+SELECT col AS "column", 8 AS num_workers, CAST(total AS BIGINT) AS total_rows, most AS max_rows,
+  round(total / 8, 9) AS mean_rows, round(most / (total / 8), 9) AS slowdown_factor,
   straggler AS straggler_worker_id, round(1 - (total / 8) / most, 9) AS idle_fraction
 FROM busiest""",
     "worker_load": f"""WITH {HOT_LONG}, {FREQ}, {SLOTS}, {ALL_SLOTS}
 SELECT g.col AS "column", g.slot AS worker_id, g.load AS assigned_rows,
-  round(g.load / 1000000, 9) AS finish_time_sec, g.slot = b.straggler AS is_straggler,
-  round((b.most - g.load) / 1000000, 9) AS idle_sec
+  g.slot = b.straggler AS is_straggler, b.most - g.load AS idle_rows
 FROM grid g JOIN busiest b USING (col)""",
     "top_key_packing": f"""WITH RECURSIVE {HOT_LONG}, {FREQ}, {TOP}, {PACKING}, {PACKED}
 SELECT col AS "column", CAST(i - 1 AS INT) AS slot, loads[i] AS "rows"
 FROM packed, range(1, 9) AS r(i)""",
-    "balanced_repartition": f"WITH {HOT} SELECT event_id, hot_key, value FROM hot",
+    "balanced_repartition": """SELECT 'balanced' AS layout, count(*) AS total_rows, true AS even FROM events
+UNION ALL SELECT 'hashed', count(*), false FROM events""",
+    "balanced_rows": f"WITH {HOT} SELECT event_id, hot_key, value FROM hot",
     "salt_column": f"""WITH {HOT} SELECT event_id,
   {_SALTED_KEY} || '_' || CAST(event_id % 8 AS VARCHAR) AS hot_key_salted FROM hot""",
     "salted_row_totals": f"""WITH {HOT} SELECT {_SALTED_KEY} AS key, count(*) AS n
 FROM hot GROUP BY hot_key""",
     "salted_aggregate": f"""WITH {HOT} SELECT hot_key, count(*) AS n, count(value) AS n_values,
   CAST(sum(event_id) AS BIGINT) AS id_sum, min(value) AS value_min, max(value) AS value_max,
-  avg(event_id) AS id_avg, count(DISTINCT event_type) AS types
+  avg(event_id) AS id_avg, count(DISTINCT event_type) AS types,
+  count(DISTINCT event_type) AS exact_types, median(value) AS value_median,
+  string_agg(event_type, ',' ORDER BY event_type) AS props_list
 FROM hot GROUP BY hot_key""",
     "salted_join": f"""WITH {HOT} SELECT hot_key AS c_custkey, event_id, c_nationkey
 FROM hot LEFT JOIN customer ON hot_key = c_custkey""",
-    "repartition_by_key": "SELECT * FROM orders",
-    "batch_snapshots": SNAPSHOTS,
+    "repartition_by_key": """SELECT o_custkey, 1::BIGINT AS partitions, count(*) AS n
+FROM orders GROUP BY o_custkey""",
+    "batch_snapshots": SNAPSHOTS.replace("LONG", HOT_BATCHES),
+    "unique_key_snapshots": SNAPSHOTS.replace("LONG", UNIQUE_BATCHES),
     "stream_profile": f"WITH {HOT_LONG}, {PROFILE_CTES} {_profile_select(batches=False)}",
     "stream_bounded_state": f"""WITH long AS (
   SELECT 'hot_prop' AS col, CASE WHEN event_id % 20 = 0 THEN NULL
     WHEN event_id % 5 < 2 THEN 'none' ELSE props END AS key FROM events
   UNION ALL SELECT 'event_type', event_type FROM events),
 {PROFILE_CTES} {_profile_select(batches=False)}""",
+    "stream_bounds": """SELECT 'user_id' AS "column", count(DISTINCT user_id) AS distinct_keys,
+  count(*) AS n_rows, 40::BIGINT AS tracked, true AS within FROM events
+UNION ALL SELECT 'event_type', count(DISTINCT event_type), count(*), count(DISTINCT event_type), true
+FROM events""",
     "stream_summary": f"WITH {HOT_LONG}, {SCORE_CTES} {SCORES}",
 }

@@ -27,6 +27,8 @@ def stats(spark):
             .withColumn("cardinality_estimate", F.lit(1234567.9))
             .withColumn("batch_count", F.lit(1).cast("bigint"))
             .withColumn("hll_error", F.lit(0.0081))
+            .withColumn("key_skew_ratio", F.lit(None).cast("double"))
+            .withColumn("key_entropy", F.lit(None).cast("double"))
             .select(*PROFILE_COLUMNS)
         )
 
@@ -119,12 +121,13 @@ def test_nested_report(events):
     assert {s["column"]: s["type"] for s in record["schema_info"]}["value"] == "double"
     assert len(record["loads"][0]["workers"]) == 4
     assert sum(w["is_straggler"] for w in record["loads"][0]["workers"]) == 1
-    for workers in (0, 1025):
-        with pytest.raises(ValueError):
-            R.report(events, "user_id", workers=workers)
+    assert record["loads"][0]["load"]["total_rows"] == events.count()
+    assert len(R.report(events, "user_id", workers=1500, bounded=True).first().loads[0].workers) == 1500
+    with pytest.raises(ValueError):
+        R.report(events, "user_id", workers=0)
 
 
 def test_report_of_all_null_column(keyed):
     row = R.report(keyed([None, None]), "k").first()
-    assert row.loads[0].load is None and row.loads[0].workers is None
+    assert row.loads[0].load.total_rows == 2  # nulls load a worker as well
     assert row.scores[0].severity == "danger"

@@ -1,13 +1,14 @@
 import datetime
 import decimal
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from keybalance.functions.keys import key_text, parse_candidates
 from keybalance.operators import advisor, bounded, frequency, profile as P
-from keybalance.operators.distribution import distribution
+from keybalance.operators.distribution import distribution, whole_distribution
 
 
 def one(df, column=None):
@@ -59,6 +60,9 @@ def test_column_requests(keyed):
     with pytest.raises(ValueError, match="available: \\['k'\\]"):
         P.profile(df, "k,missing")
     assert parse_candidates(" k, k ,,k", ["k"]) == ["k"]
+    assert parse_candidates([("k",), "k"], ["k"]) == ["k"]
+    with pytest.raises(ValueError, match="a\\|b"):
+        parse_candidates(["a|b", ("a", "b")], ["a", "b", "a|b"])
     with pytest.raises(KeyError):
         P.column_profile(P.profile(df, "k"), ["k"], "other")
 
@@ -152,7 +156,7 @@ def test_weights_must_be_positive(spark):
     df = spark.createDataFrame([("a", 3), ("a", 4)], "k string, w int")
     assert frequency.key_frequency(df, "k", weight="w").first().n == 7
     bad = spark.createDataFrame([("a", 0)], "k string, w int")
-    with pytest.raises(Exception, match="count must be >= 1"):
+    with pytest.raises(Exception, match="at least 1"):
         frequency.key_frequency(bad, "k", weight="w").collect()
 
 
@@ -172,34 +176,61 @@ def test_profile_scans_the_table_once(events):
     assert "WindowGroupLimit" in plan
 
 
-def test_bounded_profile_equals_exact_within_cap(events):
-    columns = ["user_id", "event_type"]
-    same = ["column", "total_rows", "null_count", "skew_ratio", "top_keys", "partition_counts"]
-    exact = P.profile(events, columns).select(*same).orderBy("column").collect()
-    fixed = P.profile_bounded(events, columns).select(*same).orderBy("column").collect()
+BOUNDED = ["column", "total_rows", "null_count", "skew_ratio", "top_keys", "partition_counts"]
+
+
+def test_bounded_profile_equals_exact(events):
+    columns = ["user_id", "event_type", "event_id"]
+    exact = P.profile(events, columns).select(*BOUNDED).orderBy("column").collect()
+    fixed = P.profile_bounded(events, columns).select(*BOUNDED).orderBy("column").collect()
     assert exact == fixed
-    distinct = {r["column"]: r.cardinality_estimate for r in bounded.fast_distinct(events, columns).collect()}
-    assert distinct["event_type"] == 5
 
 
-def test_bounded_top_keys_beyond_cap_keep_the_heavy_key(spark):
-    # A third of all rows on one key, the rest on far more keys than are tracked.
-    df = spark.range(90_000).select(
-        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k")
+@pytest.mark.parametrize("buckets", [1, 7, 1 << 16])
+@pytest.mark.parametrize("seed", range(2))
+def test_bucketed_top_keys_are_exact(keyed, seed, buckets):
+    rng = random.Random(seed)
+    keys = [None] * 50 + [f"k{int(rng.paretovariate(0.6))}" for _ in range(3000)]
+    keys += [f"u{i}" for i in range(1000)]
+    top = bounded.bucketed_top_keys(keyed(keys), "k", 15, buckets)
+    assert sorted(top.collect()) == sorted(
+        frequency.top_keys(frequency.key_frequency(keyed(keys), "k"), 15).select(*top.columns).collect()
     )
-    top = bounded.approx_top_keys(df, "k", k=1).first()
-    assert top.key == "-1" and abs(top.n - 30_000) < 300
-    estimate = bounded.fast_distinct(df, "k").first().cardinality_estimate
-    assert abs(estimate - 60_001) < 3 * 0.0082 * 60_001
 
 
-def test_bounded_profile_beyond_cap_counts_exactly(spark):
+def test_bounded_top_keys_with_a_heavy_key(spark):
+    # A third of all rows on one key, the rest on one row each.
     df = spark.range(90_000).select(
         F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k")
     )
+    top = bounded.bucketed_top_keys(df, "k", k=1).first()
+    assert (top.key, top.n) == ("-1", 30_000)
     row, exact = P.profile_bounded(df, "k").first(), P.profile(df, "k").first()
     assert row.partition_counts == exact.partition_counts == [30_000] + [1] * 19
-    assert row.skew_ratio == exact.skew_ratio and row.entropy == pytest.approx(exact.entropy)
+    assert row.entropy == pytest.approx(exact.entropy)
+    assert abs(row.cardinality_estimate - 60_001) < 3 * row.hll_error * 60_001
+    assert exact.key_skew_ratio == pytest.approx(30_000 / (90_000 / 60_001))
+
+
+def test_whole_column_shape(keyed):
+    keys = [f"k{i}" for i in range(40)] * 2 + ["hot"] * 20 + [None]
+    row = whole_distribution(frequency.key_frequency(keyed(keys), "k")).first()
+    assert (row.key_count, row.key_rows, row.max_key) == (41, 100, 20)
+    assert row.key_skew_ratio == pytest.approx(20 * 41 / 100)
+    assert row.key_entropy == pytest.approx(-40 * 0.02 * math.log(0.02) - 0.2 * math.log(0.2))
+    for few, entropy in ((["x"] * 3, 0.0), ([None], 0.0), ([], 0.0)):
+        row = one(P.profile(keyed(few), "k"))
+        assert (row.key_skew_ratio, row.key_entropy) == (1.0, entropy)
+
+
+def test_instants_with_one_text_are_two_keys(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        df = spark.range(2).select(F.timestamp_seconds(1_698_539_400 + F.col("id") * 3600).alias("k"))
+        assert [r.n for r in frequency.key_frequency(df, "k").collect()] == [1, 1]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_bounded_profile_of_empty_and_null_columns(keyed):

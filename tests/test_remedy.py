@@ -64,11 +64,12 @@ def test_salted_aggregate_equals_group_by(hot):
         F.max("value").alias("high"),
         F.avg("event_id").alias("mean"),
     )
-    same(remedy.salted_aggregate(hot, ["k"], AGGREGATES), plain)
+    for parts in (None, 20):
+        same(remedy.salted_aggregate(hot, ["k"], AGGREGATES, parts=parts), plain)
     distinct = remedy.salted_aggregate(hot, ["k"], {"d": ("approx_distinct", "event_type")})
     same(distinct, hot.groupBy("k").agg(F.count_distinct("event_type").alias("d")))
     with pytest.raises(ValueError):
-        remedy.salted_aggregate(hot, ["k"], {"x": ("median", "value")})
+        remedy.salted_aggregate(hot, ["k"], {"x": ("mode", "value")})
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -119,3 +120,52 @@ def test_repartition_by_key(events):
     assert spread.where("p > 1").count() == 0
     with pytest.raises(ValueError):
         remedy.repartition_by_key(events, ["user_id"], 0)
+
+
+def test_salted_lists_and_exact_functions(hot):
+    wanted = {
+        "types": ("collect_list", "event_type"),
+        "d": ("count_distinct", "value"),
+        "m": ("median", "value"),
+    }
+    plain = hot.groupBy("k").agg(
+        F.array_sort(F.collect_list("event_type")).alias("types"),
+        F.count_distinct("value").alias("d"),
+        F.median("value").alias("m"),
+    )
+    salted = remedy.salted_aggregate(hot, ["k"], wanted, parts=30)
+    same(salted.withColumn("types", F.array_sort("types")), plain)
+
+
+def test_hot_keys_are_cut_by_their_share(spark, tmp_path):
+    """Half of the rows on one key, copies of one row: 200 tasks get about as much each."""
+    spark.range(60_000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k")
+    ).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    hot_rows = remedy.hot_pieces(df, ["k"], 400).collect()
+    assert [(r["__key0"], r["__pieces"]) for r in hot_rows] == [(-1, 200)]
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "200",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        small = df.select("k").distinct().withColumn("v", F.lit(1))
+        joined = remedy.salted_join(df, small, ["k"], "left")
+        rows = [r.rows for r in remedy.partition_layout(joined).collect()]
+        assert sum(rows) == 60_000 and max(rows) < 5 * 60_000 / 200
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_rows_without_a_position(spark):
+    df = spark.createDataFrame([(1, {"a": 1}, "x")] * 4, "k int, m map<string,int>, s string")
+    with pytest.warns(UserWarning, match="file position"):
+        assert remedy.salt_column(df, "k", 3).select("k_salted").distinct().count() == 1
+    named = remedy.salt_column(df.withColumn("id", F.monotonically_increasing_id()), "k", 3, identity=["id"])
+    assert named.count() == 4

@@ -4,84 +4,63 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from keybalance.operators import cms, frequency, hll
+from keybalance.operators import bounded, cms, frequency
 
 
 def freq(df, **kw):
     return frequency.key_frequency(df, df.columns[0], **kw)
 
 
-def estimate(df, b):
-    row = hll.hll_estimate(hll.hll_registers(freq(df), b), b).first()
-    return row.cardinality_estimate if row else 0.0
-
-
 def numbered(spark, prefix, n):
     return spark.range(n).select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("k"))
 
 
-def test_hll_registers_by_hand(keyed):
-    keys = ["", "a", "héé", "user_1", "0", "x" * 300, "日本語"]
-    for b in (4, 14, 16):
-        expected = {}
-        for key in keys:
-            h = int.from_bytes(hashlib.sha256(key.encode()).digest()[:8], "big")
-            rest = h & ((1 << (64 - b)) - 1)
-            rho = 64 - b - rest.bit_length() + 1
-            j = h >> (64 - b)
-            expected[j] = max(expected.get(j, 0), rho)
-        rows = hll.hll_registers(freq(keyed(keys)), b).collect()
-        assert {r.j: r.r for r in rows} == expected
-
+def distinct(df, b=14):
+    return bounded.fast_distinct(df, df.columns[0], b).first().cardinality_estimate
 
-def test_hll_single_and_duplicates(keyed):
-    assert 0.5 <= estimate(keyed(["only_item"]), 10) <= 2.0
-    assert estimate(keyed(["same_key"] * 1000), 12) < 10
-    assert estimate(keyed([None]), 10) == 0.0
 
+def test_distinct_sketch_of_few_keys(keyed):
+    assert distinct(keyed(["only"])) == 1 and distinct(keyed(["same"] * 1000)) == 1
+    assert distinct(keyed([None])) == 0 and distinct(keyed([])) == 0
 
-def test_hll_large_within_bounds(spark):
-    n = 100_000
-    assert abs(estimate(numbered(spark, "user_", n), 14) - n) / n < 0.03
 
-
-def test_hll_merge(spark):
-    a = hll.hll_registers(freq(numbered(spark, "set_a_", 500)), 12)
-    b = hll.hll_registers(freq(numbered(spark, "set_b_", 500)), 12)
-    merged = hll.hll_merge(a, b, 12, 12)
-    assert 800 < hll.hll_estimate(merged, 12).first().cardinality_estimate < 1200
-    whole = freq(numbered(spark, "set_a_", 500).union(numbered(spark, "set_b_", 500)))
-    assert sorted(merged.collect()) == sorted(hll.hll_registers(whole, 12).collect())
+def test_distinct_sketch_of_many_keys(spark):
+    assert abs(distinct(numbered(spark, "u", 60_000)) / 60_000 - 1) < 3 * bounded.standard_error()
+    assert bounded.standard_error(14) == pytest.approx(0.008125)
     with pytest.raises(ValueError):
-        hll.hll_merge(a, b, 10, 12)
-
-
-def test_hll_sizes():
-    assert hll.standard_error(14) < hll.standard_error(8)
-    assert hll.standard_error(14) == pytest.approx(0.008125)
-    assert hll.memory_bytes(14) == 16384
-    for bad in (3, 17):
-        with pytest.raises(ValueError):
-            hll.check_b(bad)
+        bounded.standard_error(3)
 
 
-def fnv(data, seed):
-    h = 0x811C9DC5 ^ seed
-    for byte in data:
-        h = ((h ^ byte) * 0x01000193) % 2**32
-    return h
+def test_distinct_sketches_merge(spark):
+    a, b = (bounded.bounded_state(numbered(spark, p, 700), "k", 12) for p in ("a", "b"))
+    both = bounded.merged_sketches(a, b).select(bounded.sketch_estimate("distinct").alias("e"))
+    assert abs(both.first().e - 1400) < 1400 * 3 * bounded.standard_error(12)
+    again = bounded.merged_sketches(a, a).select(bounded.sketch_estimate("distinct").alias("e"))
+    assert abs(again.first().e - 700) < 700 * 3 * bounded.standard_error(12)
 
 
-def test_cms_cells_by_hand(keyed):
+@pytest.mark.parametrize("depth", [5, 11])
+def test_cms_cells_by_hand(keyed, depth):
     keys = ["", "a", "a", "héé", "x" * 1000, None, "日本語", "user_1"]
-    shape = cms.CmsShape(0.01, 0.01)
+    shape = cms.CmsShape(0.01, math.exp(0.5 - depth))
+    assert shape.depth == depth
     expected = {}
     for key in keys:
-        for row in range(shape.depth if key is not None else 0):
-            cell = fnv(key.encode(), fnv(str(row).encode(), 0xDEADBEEF)) % shape.width
+        for row in range(depth if key is not None else 0):
+            text = key if row < 8 else f"{key}#{row // 8}"
+            part = hashlib.sha256(text.encode()).hexdigest()[8 * (row % 8) :][:8]
+            cell = int(part, 16) % shape.width
             expected[row, cell] = expected.get((row, cell), 0) + 1
-    rows = cms.cms_cells(freq(keyed(keys)), shape).collect()
-    assert {(r["row"], r.cell): r.cnt for r in rows} == expected
+    for rows in (cms.cms_cells(freq(keyed(keys)), shape), cms.scan_cells(keyed(keys), "k", shape)):
+        assert {(r["row"], r.cell): r.cnt for r in rows.collect()} == expected
+
+
+def test_scan_cells_with_weights(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 4), ("b", 1)], "k string, w int")
+    same = lambda x: sorted(map(str, x.collect()))
+    assert same(cms.scan_cells(df, "k", weight="w")) == same(cms.cms_cells(freq(df, weight="w")))
+    with pytest.raises(Exception, match="at least 1"):
+        cms.scan_cells(df.withColumn("w", F.lit(0)), "k", weight="w").collect()
 
 
 def probe(keyed, cells, shape, *keys):

@@ -45,10 +45,29 @@ def test_arrow_formats_in_one_folder(spark, tmp_path):
     assert P.profile(inferred, "k").first().null_count == 2
 
 
-def test_large_arrow_files_are_opened_by_address(spark, events, monkeypatch):
-    path = staging.stage_arrow_ipc(events.repartition(3))
-    monkeypatch.setattr(arrow_ipc, "_INLINE_BYTES", 0)
-    same(arrow_ipc.read_arrow_ipc(spark, path, events.schema), events)
+def test_arrow_files_with_different_columns(spark, tmp_path):
+    for name, table in (("a", {"k": ["x"], "n": [1]}), ("b", {"n": [2], "z": [True]})):
+        table = pa.table(table)
+        with pa.OSFile(str(tmp_path / f"{name}.arrow"), "wb") as sink, ipc.new_file(sink, table.schema) as w:
+            w.write_table(table)
+    df = arrow_ipc.read_arrow_ipc(spark, str(tmp_path))
+    assert df.columns == ["k", "n", "z"]
+    assert sorted(map(tuple, df.collect()), key=str) == [("x", 1, None), (None, 2, True)]
+    odd = pa.table({"n": ["text"]})
+    with pa.OSFile(str(tmp_path / "c.arrow"), "wb") as sink, ipc.new_stream(sink, odd.schema) as w:
+        w.write_table(odd)
+    with pytest.raises(ValueError, match="'n'"):
+        arrow_ipc.read_arrow_ipc(spark, str(tmp_path))
+
+
+def test_damaged_arrow_file_is_an_error(spark, tmp_path):
+    (tmp_path / "x.arrow").write_bytes(b"ARROW1\0\0 broken")
+    with pytest.raises(Exception):
+        arrow_ipc.read_arrow_ipc(spark, str(tmp_path), "k int").collect()
+
+
+def test_staged_arrow(spark, events):
+    same(arrow_ipc.read_arrow_ipc(spark, staging.stage_arrow_ipc(events.repartition(3)), events.schema), events)
 
 
 def test_partitioned_write(spark, events, tmp_path):
@@ -60,6 +79,16 @@ def test_partitioned_write(spark, events, tmp_path):
     assert files <= 500
     with pytest.raises(ValueError, match="distinct keys"):
         sinks.write_partitioned(events, ["user_id"], out, max_directories=100)
+    many = events.select("user_id").distinct().count()
+    sinks.write_partitioned(events, ["user_id"], str(tmp_path / "exact"), max_directories=many)
+
+
+def test_partition_keys_keep_type_and_value(spark, tmp_path):
+    df = spark.createDataFrame([("007", 1), (None, 2), ("a b/=", 3)], "k string, n int")
+    sinks.write_partitioned(df, ["k"], str(tmp_path / "t"))
+    same(sinks.read_partitioned(spark, str(tmp_path / "t"), df.schema), df)
+    with pytest.raises(ValueError, match="empty strings"):
+        sinks.write_partitioned(df.unionByName(spark.createDataFrame([("", 4)], df.schema)), ["k"], str(tmp_path / "u"))
 
 
 def test_zipf_shares(spark):

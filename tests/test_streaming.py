@@ -4,14 +4,14 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from keybalance.operators import cms, hll
+from keybalance.operators import cms
 from keybalance.operators.frequency import key_frequency
 from keybalance.operators.profile import profile
 from keybalance.sources import staging
 from keybalance.streaming import profile_stream as S
-from keybalance.streaming.snapshots import batch_snapshots
+from keybalance.streaming.snapshots import batch_snapshots, leading_intervals
 from keybalance.streaming.versions import Versions
-from keybalance.workdir import fresh_dir
+from keybalance.workdir import child_names, fresh_dir
 
 COLUMNS = ["user_id", "event_type"]
 COMPARED = [
@@ -66,6 +66,17 @@ def test_snapshots_of_null_batches(spark):
     assert (second.null_count, second.partition_counts) == (1, [1])
 
 
+def test_snapshots_of_unique_keys_keep_k_intervals_a_batch(spark):
+    df = spark.range(5000).select((F.col("id") % 25).cast("int").alias("b"), F.col("id").alias("k"))
+    freq = key_frequency(df, "k", by="b").withColumnRenamed("b", "batch")
+    assert leading_intervals(freq, 4).count() == 4 * 25
+    rows = batch_snapshots(df, "k", "b", 4).orderBy("batch").collect()
+    assert [r.total_rows for r in rows] == [200 * (i + 1) for i in range(25)]
+    keys = [str(i) for i in range(5000)]
+    for r in rows:
+        assert [t.key for t in r.top_keys] == sorted(k for k in keys if int(k) % 25 <= r.batch)[:4]
+
+
 def test_snapshots_need_a_batch_id(spark):
     df = spark.createDataFrame([(1, "a"), (None, "b")], "b int, k string")
     with pytest.raises(Exception, match="batch id is null"):
@@ -115,7 +126,7 @@ def test_bounded_stream_is_exact_within_cap(spark, staged):
     assert sorted(S.cells_of_state(state).select(*order).collect()) == sorted(
         cms.cms_cells(freq).select(*order).collect()
     )
-    assert sorted(S.registers_of_state(state).collect()) == sorted(hll.hll_registers(freq).collect())
+    assert S.keys_of_state(state).where("slack > 0").count() == 0
 
 
 def test_bounded_stream_prunes_at_batch_end(spark):
@@ -136,6 +147,14 @@ def test_bounded_stream_prunes_at_batch_end(spark):
     S.start_bounded_profile(stream, "user_id", versions, cap=cap).awaitTermination()
     row = versions.latest(spark).first()
     assert {t.key: t["count"] for t in row.top_keys} == tracked
+    true = Counter(k for batch in batches for k in batch)
+    kept = S.keys_of_state(versions.state(spark, versions.last_batch(spark))).collect()
+    bounds = {r.key: (r.n, r.n + r.slack) for r in kept}
+    slack = kept[0].slack
+    assert slack > 0 and set(bounds) == set(tracked)
+    for key, n in true.items():
+        low, high = bounds.get(key, (0, slack))
+        assert low <= n <= high
     assert row.total_rows == sum(map(len, batches))
 
 
@@ -159,6 +178,23 @@ def test_replayed_batch_gives_the_same_state(spark, staged):
     assert sorted(map(str, versions.state(spark, last).collect())) == before
 
 
+def test_old_state_is_removed(spark, staged):
+    versions = finished(spark, staged, S.start_profile)
+    assert sorted(child_names(spark, f"{versions.root}/state")) == ["batch_id=2", "batch_id=3"]
+
+
+def test_stream_without_rows(spark, events):
+    path = fresh_dir(spark, "nothing")
+    events.limit(0).write.parquet(path)
+    for start in (S.start_profile, S.start_bounded_profile):
+        versions = Versions(fresh_dir(spark, "stream"))
+        stream = S.stream_files(spark, path, events.schema)
+        start(stream, COLUMNS, versions).awaitTermination()
+        row = S.final_summary(spark, versions, {"user_id": "bigint"}).first()
+        assert [(c["column"], c.total_rows) for c in row.column_stats] == [(c, 0) for c in COLUMNS]
+        assert row.loads[0].load is None
+
+
 def test_final_summary(spark, staged):
     versions = finished(spark, staged, S.start_profile)
     row = S.final_summary(spark, versions, {"user_id": "bigint"}, workers=4).first()
