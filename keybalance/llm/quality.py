@@ -240,8 +240,10 @@ def judge(
     """``docs`` with the name of the rejecting rule, null for what is kept."""
     rules = rules or RULES
     order = order or ordered(estimate(docs, rules, text))
-    judged = once(F.struct(first_rejecting(order, Parts(text_of(text))).alias(verdict)))
-    return docs.drop(verdict).select("*", judged)
+    body = text_of(text)
+    # almost every text needs its words, so they are split once
+    by = let(words_of(body), lambda w: first_rejecting(order, Parts(body, w)))
+    return docs.drop(verdict).select("*", once(F.struct(by.alias(verdict))))
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
