@@ -17,8 +17,8 @@ Components come from alternating large-star and small-star steps over those fore
 each written to the shared folder.
 
 Defined results: a text without words (null, empty, blank) has fingerprint zero and is
-linked like any other; a null id takes part but names no component as long as
-the component has another; repeated rows are copies of each other; extra columns are kept by
+linked like any other; a null id takes part but names a component only if no other
+id does; repeated rows are copies of each other; extra columns are kept by
 ``drop_near_duplicates`` and ignored by ``components``.
 """
 
@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from keybalance.llm import batches as B
 from keybalance.workdir import written
@@ -330,7 +330,7 @@ def components(
     width: int = SHINGLE,
     radius: int = RADIUS,
 ) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable) of every document."""
+    """doc_id, fp, component_id (smallest doc_id reachable) and root (its fingerprint) of every document."""
     hashed = written(fingerprints(docs, doc_id, text, width), "fingerprints")
     distinct = hashed.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected(links(distinct.select("fp"), radius))
@@ -339,8 +339,8 @@ def components(
     )
     rooted = written(rooted, "roots")
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return hashed.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = rooted.join(named, "root").select("fp", "component_id", "root")
+    return hashed.join(by_fp, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def drop_near_duplicates(
@@ -352,12 +352,29 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id.
 
-    Of repeated rows with that id one stays.
+    Of repeated rows with that id one stays, and of a component without any id one row.
     """
     found = components(docs, doc_id, text, width, radius)
-    keep = found.select(F.col("component_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs[doc_id].eqNullSafe(keep["_keep"]), "left_semi")
-    return kept.dropDuplicates([doc_id])
+    named = F.col("component_id").isNotNull()
+    keep = found.where(named).select(F.col("component_id").alias("_keep")).distinct()
+    # the join leaves rows of one id together, so dropping repeats moves nothing
+    kept = docs.join(keep, docs[doc_id] == keep["_keep"], "left_semi").dropDuplicates([doc_id])
+
+    mark = "_fp"
+    while mark in docs.columns:
+        mark += "_"
+
+    def marked(parts):
+        for batch in parts:
+            texts = batch.column(text).cast(pa.binary())
+            fps = [fingerprint(t.as_py() or b"", width) for t in texts]
+            yield batch.append_column(mark, pa.array(np.array(fps, np.uint64).view(np.int64)))
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])
+    orphans = found.where(~named).select(F.col("fp").alias("_orphan"), F.col("root").alias("_root")).distinct()
+    unnamed = docs.where(F.col(doc_id).isNull()).mapInArrow(marked, schema)
+    single = unnamed.join(orphans, unnamed[mark] == orphans["_orphan"]).dropDuplicates(["_root"])
+    return kept.unionByName(single.select(*docs.columns))
 
 
 def digest(found: DataFrame) -> DataFrame:

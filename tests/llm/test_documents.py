@@ -255,3 +255,12 @@ def test_simhash_edges(edges, no_rows):
     assert kept.columns == edges.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 7]
     assert simhash.components(no_rows).count() == 0 and simhash.drop_near_duplicates(no_rows).count() == 0
+
+
+def test_simhash_without_ids(documents):
+    words = "aa bb cc dd ee ff gg hh"
+    rows = [(None, words), (None, words), (None, words[::-1]), (None, "x y z"), (3, "x y z")]
+    kept = simhash.drop_near_duplicates(documents(rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted(
+        [("None", words), ("None", words[::-1]), ("3", "x y z")]
+    )
