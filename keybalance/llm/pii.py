@@ -8,13 +8,16 @@ Tokens of base spans are observed; loopy belief propagation carries their labels
 the skip edges to further mentions, so that one document labels an entity the same way
 throughout. A mention without any tie to a base span adds nothing.
 
-The weights are fitted on a sample of documents, bounded by ``SAMPLE_DOCS``, with the
-base spans as labels, by pseudo-likelihood: each token's label given its features and
-its neighbours' labels.
+The weights are fitted on all documents, with the base spans as labels, by
+pseudo-likelihood: each token's label given its features and its neighbours' labels.
+That depends only on how often each pattern (features, label, labels around) occurs, so
+tasks count patterns and the driver gets one row for each, whatever the number and length
+of documents. The documents of each kind, and those without personal data, weigh equally
+much in sum, so a kind that is rare in the table is fitted like a frequent one.
 
 Defined results: a null or empty text has no spans; rows are judged one by one, so
 repeated rows and null ids make no difference; extra columns are ignored; without any
-labelled token in the sample the field adds nothing.
+labelled token in the whole table the field adds nothing.
 """
 
 from __future__ import annotations
@@ -29,15 +32,13 @@ from pyspark.sql import DataFrame, functions as F
 from keybalance.llm import batches as B
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Rows of the sample that the weights are fitted on.
-SAMPLE_DOCS = 2000
 #: Marginal from which a token is taken.
 SURE = 0.9
 ROUNDS = 8
 #: Letters and digits that equal tokens need to be tied; short ones repeat by chance.
 MIN_FORM = 6
 #: Prior weight of agreement over a skip edge. Base labels miss the very mentions that
-#: skip edges are for, so a sample without ties that speak against it leaves it as it is.
+#: skip edges are for, so a table without ties that speak against it leaves it as it is.
 SKIP_PRIOR = 6.0
 #: Tokens apart at most for a chain edge.
 NEAR = 3
@@ -182,32 +183,52 @@ class Weights:
     skip: np.ndarray
 
 
-def fit(graphs: list[Graph], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Weights | None:
-    """Weights by gradient ascent on the pseudo-likelihood of the sample's labels."""
-    graphs = [g for g in graphs if len(g.start)]
-    if not any((g.label >= 0).any() for g in graphs):
+#: Bits of a pattern: features, counts of each label along chain and skip edges, label, kinds of the document.
+_CHAIN_AT, _SKIP_AT, _LABEL_AT, _KINDS_AT = FEATURES, FEATURES + 3 * LABELS, FEATURES + 6 * LABELS, 57
+
+
+def patterns(g: Graph) -> np.ndarray:
+    """Features, label and labels around of each token as one number.
+
+    Tokens that no base span holds but skip edges tie to one are left out, as tokens and as
+    neighbours: they are what the field is to find, and no pattern says that they are nothing.
+    """
+    y = np.where(g.label >= 0, g.label, O)
+    known = (g.label >= 0) | ~_supported(g)
+    code = (g.x.astype(np.int64) << np.arange(FEATURES)).sum(axis=1) | (y << _LABEL_AT)
+    for e, at in ((g.chain, _CHAIN_AT), (g.skip, _SKIP_AT)):
+        e = e[known[e].all(axis=1)]
+        # at most four such edges of a kind meet at a token: three bits hold a count
+        np.add.at(code, e[:, 0], 1 << (at + 3 * y[e[:, 1]]))
+        np.add.at(code, e[:, 1], 1 << (at + 3 * y[e[:, 0]]))
+    return code[known]
+
+
+def fit(graphs: list[Graph], **how) -> Weights | None:
+    """Weights from graphs, each of which counts once."""
+    code = np.concatenate([np.empty(0, np.int64), *[patterns(g) for g in graphs if len(g.start)]])
+    return fit_patterns(*np.unique(code, return_counts=True), **how)
+
+
+def fit_patterns(
+    code: np.ndarray, weight: np.ndarray, steps: int = 300, rate: float = 0.5, decay: float = 1e-3
+) -> Weights | None:
+    """Weights by gradient ascent on the pseudo-likelihood of the labels in weighted patterns."""
+    y = (code >> _LABEL_AT) & 7
+    if not (y != O).any():
         return None
-    x = np.concatenate([g.x for g in graphs])
-    y = np.concatenate([np.where(g.label >= 0, g.label, O) for g in graphs])
-    base = np.cumsum([0] + [len(g.start) for g in graphs])
-    edges = [
-        np.concatenate([getattr(g, kind) + b for g, b in zip(graphs, base)])
-        for kind in ("chain", "skip")
-    ]
-    around = []
+    x = ((code[:, None] >> np.arange(FEATURES)) & 1).astype(float)
+    labels = 3 * np.arange(LABELS)
+    around = [((code[:, None] >> (at + labels)) & 7).astype(float) for at in (_CHAIN_AT, _SKIP_AT)]
     hot = np.eye(LABELS)[y]
-    for e in edges:
-        n = np.zeros((len(y), LABELS))
-        np.add.at(n, e[:, 0], hot[e[:, 1]])
-        np.add.at(n, e[:, 1], hot[e[:, 0]])
-        around.append(n)
+    share = (weight / weight.sum())[:, None]
     prior = [np.zeros(LABELS), np.full(LABELS, SKIP_PRIOR)]
     unary, pair = np.zeros((FEATURES, LABELS)), [p.copy() for p in prior]
     for _ in range(steps):
         score = x @ unary + sum(w * n for w, n in zip(pair, around))
         p = np.exp(score - score.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        miss = (hot - p) / len(y)
+        miss = (hot - p) * share
         unary += rate * (x.T @ miss - decay * unary)
         for w, n, mean in zip(pair, around, prior):
             # an edge never makes its ends disagree
@@ -277,46 +298,35 @@ def added_spans(text: str, spans: list[tuple[int, int, int]], w: Weights | None)
 # ---------------------------------------------------------------- Spark
 
 
-def train(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS, seed: int = 7) -> Weights | None:
-    """Weights from about ``rows`` sampled documents."""
-    total = docs.count()
-    if not total:
-        return None
-    sample = docs.select(F.col(text).alias("text")).sample(min(1.0, rows / total), seed)
+def train(docs: DataFrame, text: str = "text") -> Weights | None:
+    """Weights from the patterns of all documents; none only if no document has a base span."""
 
-    def graphs(parts):
+    def count(parts):
         for batch in parts:
-            for t in batch.column("text").to_pylist():
-                g = graph(t or "", base_spans(t or ""))
+            found, kinds = [], []
+            for t in batch.column("text"):
+                t = t.as_py() or ""
+                spans = base_spans(t)
+                g = graph(t, spans)
                 if len(g.start):
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "x": [g.x.ravel().tolist()],
-                            "label": [g.label.tolist()],
-                            "chain": [g.chain.ravel().tolist()],
-                            "skip": [g.skip.ravel().tolist()],
-                        },
-                        schema=pa.schema(
-                            [
-                                ("x", pa.list_(pa.float64())),
-                                *((k, pa.list_(pa.int64())) for k in ("label", "chain", "skip")),
-                            ]
-                        ),
-                    )
-
-    found = sample.mapInArrow(
-        graphs, "x array<double>, label array<long>, chain array<long>, skip array<long>"
-    ).collect()  # bounded by ``rows``
-    pair = lambda e: np.array(e, np.int64).reshape(-1, 2)
-    return fit(
-        [
-            Graph(
-                list(r["label"]), [], np.array(r["x"]).reshape(-1, FEATURES),
-                np.array(r["label"]), pair(r["chain"]), pair(r["skip"]),
-            )
-            for r in found
-        ]
-    )
+                    kinds.append(sum(1 << k for k in {k for _, k, _ in spans}))
+                    found.append(patterns(g) | (kinds[-1] << _KINDS_AT))
+            if found:
+                # documents by their kinds stand below zero, patterns above
+                code = np.concatenate([*found, -1 - np.array(kinds, np.int64)])
+                code, n = np.unique(code, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
+
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(count, "code long, n long")
+    counted = rows.groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()  # one row a pattern
+    code, n = np.array([tuple(r) for r in counted], np.int64).reshape(-1, 2).T
+    seen = {-1 - int(c): int(k) for c, k in zip(code, n) if c < 0}
+    of_kind = [sum(k for m, k in seen.items() if m >> i & 1) for i in range(len(KINDS))]
+    worth = np.zeros(1 << len(KINDS))
+    for m in seen:
+        worth[m] = max([1 / of_kind[i] for i in range(len(KINDS)) if m >> i & 1], default=1 / seen[m])
+    code, n = code[code >= 0], n[code >= 0]
+    return fit_patterns(code, n * worth[code >> _KINDS_AT])
 
 
 RESULT = "base array<struct<start:long,kind:string,end:long>>, spans array<struct<start:long,kind:string,end:long>>"

@@ -97,6 +97,26 @@ def test_field_labels_further_mentions(documents):
     assert all(r.spans == r.base for i, r in found.items() if i != 999)
 
 
+def test_one_private_document_among_many(documents):
+    """The field is fitted on the whole table, however rare its labels are."""
+    again = "reach +15555550123 by day. " + "word " * 40 + "At night 5555550123 works."
+    rows = [(i, f"page {i} of 2024-01-0{i % 9 + 1}, part {i % 50}") for i in range(30000)]
+    found = pii.find(documents([*rows, (30001, again)])).where("size(spans) > 0").collect()
+    assert [r.doc_id for r in found] == [30001]
+    assert [again[s.start : s.end] for s in found[0].spans] == ["+15555550123", "5555550123"]
+
+
+def test_patterns_are_counted_not_sampled(documents):
+    """Weights depend on the shares of documents only, and every kind weighs as much as the others."""
+    rows = [(i, f"page {i} of 2024, mail p{i}@mail.example.com, call +1 212 555-{1000 + i}") for i in range(40)]
+    rows += [(100 + i, f"page {i} of 2024") for i in range(300)]
+    rows.append((999, "from 10.1.2.3 on"))
+    once, thrice = pii.train(documents(rows)), pii.train(documents(rows * 3))
+    assert abs(once.unary - thrice.unary).max() < 1e-9 and abs(once.skip - thrice.skip).max() < 1e-9
+    shape = pii._features("10.1.2.3") @ once.unary
+    assert shape.argmax() == pii.KINDS.index("ip")
+
+
 def test_private_edges(edges, no_rows):
     assert pii.find(edges).where(F.size("spans") > 0).count() == 0
     assert pii.find(no_rows).count() == 0
