@@ -6,7 +6,9 @@ potentials, and distant tokens that repeat or resemble each other (equal letters
 digits, or one ending in seven or more digits of the other) share skip potentials.
 Tokens of base spans are observed; loopy belief propagation carries their labels over
 the skip edges to further mentions, so that one document labels an entity the same way
-throughout. A mention without any tie to a base span adds nothing.
+throughout: each mention is tied to the one before it and to an observed one, however far
+away, and messages pass until they stop changing. A mention without any tie to a base span
+adds nothing.
 
 The weights are fitted on all documents, with the base spans as labels, by
 pseudo-likelihood: each token's label given its features and its neighbours' labels.
@@ -34,7 +36,11 @@ from keybalance.llm import batches as B
 KINDS = ["email", "ip", "card", "phone"]
 #: Marginal from which a token is taken.
 SURE = 0.9
-ROUNDS = 8
+#: Rounds of messages, beside one for each token: no path is longer than the tokens, and
+#: messages that go round in loops fade within these.
+ROUNDS = 64
+#: Change of a message that is passed on.
+STILL = 1e-6
 #: Letters and digits that equal tokens need to be tied; short ones repeat by chance.
 MIN_FORM = 6
 #: Prior weight of agreement over a skip edge. Base labels miss the very mentions that
@@ -132,21 +138,34 @@ class Graph:
     skip: np.ndarray
 
 
-def _ties(tokens: list[str]) -> list[tuple[int, int]]:
-    """Each token with the one before that has the same letters and digits, or the same last seven digits."""
+def _ties(tokens: list[str], label: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of tokens with the same letters and digits, or the same last seven digits.
+
+    Each token is tied to the one before it, and one that no base span holds to the observed
+    one before it too, or else to the first behind it.
+    """
     last: dict[str, int] = {}
-    out = []
+    seen: dict[str, int] = {}
+    waiting: dict[str, list[int]] = {}
+    out = set()
     for i, t in enumerate(tokens):
         form = re.sub(r"[\W_]+", "", t).lower()
         digits = "".join(c for c in form if c.isdigit())
         keys = {form} if len(form) >= MIN_FORM else set()
         if len(digits) >= 7:
             keys.add("#" + digits[-7:])
-        found = {last[k] for k in keys if k in last}
-        out += [(j, i) for j in found]
         for k in keys:
+            if k in last:
+                out.add((last[k], i))
+            if label[i] >= 0:
+                out.update((j, i) for j in waiting.pop(k, ()))
+                seen[k] = i
+            elif k in seen:
+                out.add((seen[k], i))
+            else:
+                waiting.setdefault(k, []).append(i)
             last[k] = i
-    return out
+    return sorted(out)
 
 
 def graph(text: str, spans: list[tuple[int, int, int]]) -> Graph:
@@ -173,7 +192,7 @@ def graph(text: str, spans: list[tuple[int, int, int]]) -> Graph:
     chain = [(i, i + 1) for i in range(len(place) - 1) if place[i + 1] - place[i] <= NEAR]
     pair = lambda e: np.array(e, np.int64).reshape(-1, 2)
     x = np.array([_features(w) for w in words]).reshape(-1, FEATURES)
-    return Graph(start, end, x, label, pair(chain), pair(_ties(words)))
+    return Graph(start, end, x, label, pair(chain), pair(_ties(words, label)))
 
 
 @dataclass(frozen=True)
@@ -236,13 +255,16 @@ def fit_patterns(
     return Weights(unary, *pair)
 
 
-def marginals(g: Graph, w: Weights, rounds: int = ROUNDS) -> np.ndarray:
-    """Label distribution of each token by loopy sum-product; observed tokens stay fixed."""
+def marginals(g: Graph, w: Weights, rounds: int | None = None) -> np.ndarray:
+    """Label distribution of each token by loopy sum-product; observed tokens stay fixed.
+
+    Runs until no message changes; a round sends only from tokens that messages have changed.
+    """
     n = len(g.start)
-    own = g.x @ w.unary
+    belief = g.x @ w.unary
     seen = g.label >= 0
-    own[seen] = -50.0
-    own[np.flatnonzero(seen), g.label[seen]] = 0.0
+    belief[seen] = -50.0
+    belief[np.flatnonzero(seen), g.label[seen]] = 0.0
     edges = np.concatenate([g.chain, g.skip])
     gain = np.concatenate([np.tile(w.chain, (len(g.chain), 1)), np.tile(w.skip, (len(g.skip), 1))])
     source = np.concatenate([edges[:, 0], edges[:, 1]])
@@ -250,32 +272,45 @@ def marginals(g: Graph, w: Weights, rounds: int = ROUNDS) -> np.ndarray:
     bonus = np.expm1(np.concatenate([gain, gain]))
     back = np.roll(np.arange(len(source)), len(edges))
     message = np.zeros((len(source), LABELS))
-    belief = own
-    for _ in range(rounds if len(source) else 0):
-        out = belief[source] - message[back]
+    heard = np.flatnonzero(~seen[target])
+    by_source = heard[np.argsort(source[heard], kind="stable")]
+    first = np.searchsorted(source[by_source], np.arange(n + 1))
+    active = by_source
+    for _ in range(n + ROUNDS if rounds is None else rounds):
+        out = belief[source[active]] - message[back[active]]
         out = np.exp(out - out.max(axis=1, keepdims=True))
         # potential: exp(gain) where labels agree, 1 elsewhere
-        sent = np.log(out.sum(axis=1, keepdims=True) + bonus * out)
-        message = sent - sent.max(axis=1, keepdims=True)
-        total = np.zeros((n, LABELS))
-        np.add.at(total, target, message)
-        belief = own + total
+        sent = np.log(out.sum(axis=1, keepdims=True) + bonus[active] * out)
+        change = sent - sent.max(axis=1, keepdims=True) - message[active]
+        moved = (np.abs(change) > STILL).any(axis=1)
+        if not moved.any():
+            break
+        active, change = active[moved], change[moved]
+        message[active] += change
+        np.add.at(belief, target[active], change)
+        new = np.unique(target[active])
+        count = first[new + 1] - first[new]
+        offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        active = by_source[np.repeat(first[new], count) + offset]
     p = np.exp(belief - belief.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
 
 def _supported(g: Graph) -> np.ndarray:
     """Tokens that skip edges tie, over any number of steps, to an observed one."""
-    held = g.label >= 0
-    while len(g.skip):
-        a, b = g.skip.T
-        more = held.copy()
-        more[a] |= held[b]
-        more[b] |= held[a]
-        if (more == held).all():
-            break
-        held = more
-    return held
+    root = list(range(len(g.start)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in g.skip.tolist():
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    held = {find(i) for i in np.flatnonzero(g.label >= 0).tolist()}
+    return np.array([find(i) in held for i in range(len(root))], bool)
 
 
 def added_spans(text: str, spans: list[tuple[int, int, int]], w: Weights | None) -> list[tuple[int, int, int]]:

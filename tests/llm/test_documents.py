@@ -4,6 +4,7 @@ import base64
 import random
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,29 @@ def test_patterns_are_counted_not_sampled(documents):
     assert shape.argmax() == pii.KINDS.index("ip")
 
 
+def test_messages_reach_the_end_of_a_chain():
+    """40 tokens in a row, the first observed: agreement fades by a fixed factor each step."""
+    n, gain = 40, 6.0
+    label = np.full(n, -1)
+    label[0] = 3
+    chain, skip = np.empty((0, 2), np.int64), np.array([(i, i + 1) for i in range(n - 1)])
+    row = pii.Graph(list(range(n)), list(range(n)), np.zeros((n, pii.FEATURES)), label, chain, skip)
+    flat = pii.Weights(np.zeros((pii.FEATURES, pii.LABELS)), np.zeros(pii.LABELS), np.full(pii.LABELS, gain))
+    fade = (np.exp(gain) - 1) / (np.exp(gain) + pii.LABELS - 1)
+    want = 1 / pii.LABELS + (1 - 1 / pii.LABELS) * fade ** np.arange(n)
+    assert np.abs(pii.marginals(row, flat)[:, 3] - want).max() < 1e-4
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_every_further_mention_is_found(documents, first):
+    whole, short = ["reach +15555550123 by day."], ["word " * 8 + "then 5555550123 again."] * 30
+    text = " ".join(whole + short if first else short + whole)
+    rows = [(i, f"call +1 212 555-{1000 + i} on page {i}") for i in range(50)]
+    found = pii.find(documents([*rows, (999, text)])).where("doc_id = 999").first()
+    added = [text[s.start : s.end] for s in found.spans if s not in found.base]
+    assert added == ["5555550123"] * 30
+
+
 def test_private_edges(edges, no_rows):
     assert pii.find(edges).where(F.size("spans") > 0).count() == 0
     assert pii.find(no_rows).count() == 0
