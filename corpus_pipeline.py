@@ -4,7 +4,8 @@ Every stage calls one operator of ``keybalance.llm`` on all that the stage befor
 The first four return the columns of documents:
 
 1. quality rules: documents that a rule rejects go;
-2. SimHash near-dedup: of each group of linked documents the one with the smallest id stays;
+2. SimHash near-dedup: of each group of linked documents the one with the smallest id stays
+   (unlike texts under one id are documents of their own);
 3. benchmark decontamination: contaminated documents go;
 4. secret scans: secrets in texts are masked, no document goes;
 5. packing: pieces of full-length token sequences.
@@ -24,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return simhash.drop_near_duplicates(docs, by_id=False)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -349,32 +349,48 @@ def drop_near_duplicates(
     text: str = "text",
     width: int = SHINGLE,
     radius: int = RADIUS,
+    by_id: bool = True,
 ) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id.
 
-    Of repeated rows with that id one stays, and of a component without any id one row.
+    Rows are told apart by id and fingerprint, so an id that stands for unlike texts keeps
+    no copy of another document in place of its own. Of a component's equal rows by that, and
+    of a component without any id, one stays, the same in every run. With ``by_id`` at
+    most one row of an id stays; without, unlike texts of one id all stay.
     """
     found = components(docs, doc_id, text, width, radius)
-    named = F.col("component_id").isNotNull()
-    keep = found.where(named).select(F.col("component_id").alias("_keep")).distinct()
-    # the join leaves rows of one id together, so dropping repeats moves nothing
-    kept = docs.join(keep, docs[doc_id] == keep["_keep"], "left_semi").dropDuplicates([doc_id])
-
-    mark = "_fp"
-    while mark in docs.columns:
-        mark += "_"
+    key = lambda c: [F.coalesce(c.cast("string"), F.lit("")), c.isNull()]
+    names = ["_id", "_none", "_fp"]
+    while set(names) & set(docs.columns):
+        names = [f"{n}_" for n in names]
+    id_, none, fp = names
+
+    keep = (
+        found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("root", "component_id")
+        .agg(F.min("fp").alias(fp))
+        .select(*[c.alias(n) for c, n in zip(key(F.col("component_id")), (id_, none))], fp)
+    )
 
     def marked(parts):
         for batch in parts:
             texts = batch.column(text).cast(pa.binary())
             fps = [fingerprint(t.as_py() or b"", width) for t in texts]
-            yield batch.append_column(mark, pa.array(np.array(fps, np.uint64).view(np.int64)))
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])
-    orphans = found.where(~named).select(F.col("fp").alias("_orphan"), F.col("root").alias("_root")).distinct()
-    unnamed = docs.where(F.col(doc_id).isNull()).mapInArrow(marked, schema)
-    single = unnamed.join(orphans, unnamed[mark] == orphans["_orphan"]).dropDuplicates(["_root"])
-    return kept.unionByName(single.select(*docs.columns))
+            yield batch.append_column(fp, pa.array(np.array(fps, np.uint64).view(np.int64)))
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
+    own = [c.alias(n) for c, n in zip(key(F.col(f"`{doc_id}`")), (id_, none))]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = (
+        docs.mapInArrow(marked, schema)
+        .select(row.alias("row"), *own, fp)
+        .join(keep, names, "left_semi")
+    )
+    # grouped by the columns of the join: dropping repeats moves nothing
+    last = F.when(F.col(none), F.col(fp)).alias(fp) if by_id else fp
+    order = F.struct(F.col(fp), F.xxhash64(F.to_json("row")))
+    single = kept.groupBy(id_, none, last).agg(F.min_by("row", order).alias("row"))
+    return single.select("row.*")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -308,3 +308,29 @@ def test_simhash_without_ids(documents):
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted(
         [("None", words), ("None", words[::-1]), ("3", "x y z")]
     )
+
+
+def test_simhash_with_clashing_ids(spark, documents):
+    """One id for unlike texts: copies of others go, the id's own texts stay."""
+    import corpus_pipeline
+
+    first, own, more = "aa bb cc dd ee ff gg hh", "one two three four five", "red green blue white black"
+    rows = [(1, first), (9, first), (9, own), (9, more), (9, own), (12, more)]
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    for n in (1, 5):
+        docs = documents(rows).repartition(n)
+        assert sorted((r.doc_id, r.text) for r in stage(spark, docs, "").collect()) == sorted(
+            [(1, first), (9, own), (9, more)]
+        )
+    kept = simhash.drop_near_duplicates(documents(rows)).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 9] and all(r.text != first for r in kept if r.doc_id == 9)
+
+
+def test_simhash_keeps_the_same_row_of_repeats(documents):
+    text = "aa bb cc dd ee ff gg hh"
+    for i in (4, None):
+        docs = documents([(i, text)]).withColumn("bucket", F.explode(F.sequence(F.lit(1), F.lit(40))))
+        kept = {
+            tuple(simhash.drop_near_duplicates(docs.repartition(n).orderBy(F.rand(n))).first()) for n in (1, 3, 7)
+        }
+        assert len(kept) == 1
