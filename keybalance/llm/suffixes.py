@@ -9,9 +9,11 @@ in descending order the S suffixes. Every queue entry is a tuple of a position a
 length of the prefix it shares with the entry before it; the shared prefix of two
 entries is one more than the smallest one passed in the scan between their sources.
 
-A queue holds its entries in blocks and writes blocks to an unlinked file when
-they outgrow its share of memory, as Spark's own sorts do, so what a scan keeps in memory
-is one symbol's entries. Scans work on whole blocks in numpy.
+A shard has to fit in memory: its text with a key of eight bytes for each position, the L
+entries of all symbols and the whole order stay there. Only a queue can write its blocks to
+an unlinked file, once they outgrow ``QUEUE_BYTES``. An entry has five bytes, so the shards
+that ``suffix_dedup`` cuts at 4 MB never get there, and no shard larger than memory can
+be sorted. Scans work on whole blocks in numpy.
 """
 
 from __future__ import annotations
