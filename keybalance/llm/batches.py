@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,6 +30,17 @@ def bound_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
         spark.conf.set(SETTING, str(rows))
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> Iterator[None]:
+    """Within it, jobs hand Python at most ``rows`` rows at once; the session's own setting returns."""
+    before = spark.conf.get(SETTING)
+    bound_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(SETTING, before)
+
+
 def shards(
     batches: Iterable[pa.RecordBatch], target: int = SHARD_BYTES, column: str = "text"
 ) -> Iterator[pa.Table]:

@@ -134,10 +134,36 @@ SELECT page_id, url, fetched::VARCHAR AS fetched, coalesce(blocked_by, '') AS bl
 FROM captures LEFT JOIN hits USING (page_id)
 """
 
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, TERMS AS w FROM documents),
+size AS (
+  SELECT count(*) FILTER (len(w) > 0) AS documents, sum(len(w))::BIGINT AS terms FROM d),
+q AS (SELECT DISTINCT item_id, unnest(TERMS) AS term FROM benchmark),
+tf AS (
+  SELECT r, doc_id, n, term, count(*) AS tf
+  FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d)
+  SEMI JOIN q USING (term) GROUP BY ALL),
+weight AS (
+  SELECT term, floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), size),
+score AS (
+  SELECT item_id, r, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * documents) // terms))))::BIGINT AS score
+  FROM tf JOIN weight USING (term) JOIN q USING (term), size
+  GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank
+  FROM score WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+""".replace("TERMS", r"""regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')""")
+
 ORACLES = {
     "op2_substring_dedup": OP2,
     "op4_decontamination": OP4,
     "op6_chat_formatting": OP6,
     "op8_quality_rules": OP8,
     "op10_url_filters": OP10,
+    "op11_lexical_search": OP11,
 }

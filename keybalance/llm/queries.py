@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from keybalance.llm import (
     chat_format,
     decontaminate,
+    lexical_search,
     packing,
     pii,
     quality,
@@ -89,6 +90,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return lexical_search.search(docs, items)
+
+
 QUERIES = [
     op1_secret_scans,
     op2_substring_dedup,
@@ -100,4 +106,5 @@ QUERIES = [
     op8_quality_rules,
     op9_packing,
     op10_url_filters,
+    op11_lexical_search,
 ]

@@ -1,8 +1,9 @@
 """Plain versions of the operators, straight from their definitions."""
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import xxhash
 
@@ -160,3 +161,31 @@ def measures(text):
         len(covered),
         n < 50 or 100 * len(covered) > 50 * n,
     )
+
+
+def search(docs, items, k=10):
+    """(item, rank, doc_id, score) from the whole score of every document."""
+    terms = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    split = lambda t: terms.findall((t or "").translate(LOWER))
+    wanted = defaultdict(set)
+    for item, t in items:
+        wanted[item] |= set(split(t))
+    words = [split(t) for _, t in docs]
+    n_docs, total = sum(map(bool, words)), sum(map(len, words))
+    df = Counter(t for w in words for t in set(w))
+    weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * c + 1))) for t, c in df.items()}
+    counts = [Counter(w) for w in words]
+    out = []
+    for item, own in wanted.items():
+        found = []
+        for (i, _), w, tf in zip(docs, words, counts):
+            m = 10 + 90 * len(w) * n_docs // total if w else 0
+            score = sum(weight[t] * (10**9 * tf[t] // (1000 * tf[t] + 8 * m)) for t in own if t in tf)
+            if score > 0:
+                found.append((-score, i is not None, i))
+        out += [(item, r, i, -s) for r, (s, _, i) in enumerate(sorted(found, key=_null_first)[:k], 1)]
+    return out
+
+
+def _null_first(row):
+    return row[0], row[1], row[2] if row[1] else 0
