@@ -159,6 +159,42 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')""")
 
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+words AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (
+  SELECT lang, term, count(*) AS in_lang FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+cells AS (
+  SELECT g.lang, g.source, k.term, in_lang, coalesce(n, 0) AS n
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON (c.lang, c.source, c.term) = (g.lang, g.source, k.term)),
+shares AS (
+  SELECT lang, source, term, n,
+    1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER w + 5 * count(*) OVER w) AS p,
+    1 + (1000000000::HUGEINT * (in_lang + 5)) // (sum(in_lang) OVER w + 5 * count(*) OVER w) AS q
+  FROM cells WINDOW w AS (PARTITION BY lang, source)),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON (x.lang, x.source, x.item) = (a.lang, a.source, b.source)),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value
+  FROM shares WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM (FROM pairs UNION ALL FROM terms)
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
 ORACLES = {
     "op2_substring_dedup": OP2,
     "op4_decontamination": OP4,
@@ -166,4 +202,5 @@ ORACLES = {
     "op8_quality_rules": OP8,
     "op10_url_filters": OP10,
     "op11_lexical_search": OP11,
+    "op13_source_divergence": OP13,
 }

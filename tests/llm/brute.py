@@ -189,3 +189,31 @@ def search(docs, items, k=10):
 
 def _null_first(row):
     return row[0], row[1], row[2] if row[1] else 0
+
+
+def divergence(rows, min_docs=30, top=50):
+    """(lang, source, part, item, value, rank) of (text, lang, source) rows."""
+    terms = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    n, docs, groups = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for text, lang, source in rows:
+        lang, source = lang or "", source or ""
+        words = terms.findall((text or "").translate(LOWER))
+        groups[lang].add(source)
+        n[lang, source].update(words)
+        n[lang].update(words)
+        docs[lang].update(set(words))
+    out = []
+    for lang, sources in groups.items():
+        kept = [t for t, c in docs[lang].items() if c >= min_docs]
+
+        def shares(key):
+            total = sum(n[key][t] for t in kept) + 5 * len(kept)
+            return {t: 1 + 10**9 * (n[key][t] + 5) // total for t in kept}
+
+        p, q = {s: shares((lang, s)) for s in sources}, shares(lang)
+        for s in sources:
+            pairs = [(-sum(abs(p[s][t] - p[o][t]) for t in kept), o) for o in sources if o != s]
+            own = [(q[t] - p[s][t], t) for t in kept if n[lang, s][t] and p[s][t] > q[t]]
+            for part, found in (("pair", sorted(pairs)), ("term", sorted(own)[:top])):
+                out += [(lang, s, part, item, -v, r) for r, (v, item) in enumerate(found, 1)]
+    return out
