@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keybalance.llm import (
     chat_format,
+    classifier,
     decontaminate,
+    divergence,
     lexical_search,
     packing,
     pii,
@@ -95,6 +97,15 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(docs, items)
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return classifier.score_quality(docs, labels)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = [
     op1_secret_scans,
     op2_substring_dedup,
@@ -107,4 +118,6 @@ QUERIES = [
     op9_packing,
     op10_url_filters,
     op11_lexical_search,
+    op12_quality_classifier,
+    op13_source_divergence,
 ]
