@@ -84,7 +84,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         out += [(a, 0, b) for a, b in _emails(text)]
     if _DIGITS.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
+            parts = [p.lstrip("0") or "0" for p in m.groups()]
+            if all(len(p) <= 3 and int(p) <= 255 for p in parts):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if 14 <= m.end() - m.start():
