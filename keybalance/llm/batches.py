@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import SparkSession
 
 #: Rows that Spark hands to Python at once. Long texts make large batches, and the
@@ -161,5 +162,25 @@ class Rolling:
         return mixed((p[width:] - p[: n - width + 1]) * powers(_INVERSE, n)[: n - width + 1])
 
 
+class _WordHashes(dict):
+    """XXH3 of words. Frequent words are looked up; what is kept is bounded."""
+
+    MOST, LONGEST = 1 << 18, 64
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = value
+        return value
+
+
+_WORDS = _WordHashes()
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Rolling(SYMBOL[data])(starts, ends)
+    """64 bits for each word. Not a polynomial: words of any length and structure tell apart."""
+    raw = memoryview(np.ascontiguousarray(data)).tobytes()
+    words = (raw[a:b] for a, b in zip(starts.tolist(), ends.tolist()))
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(starts))

@@ -9,7 +9,8 @@ searched where the documents lie; no document is shuffled.
 The test words travel to the tasks in blocks of bounded size, one broadcast each; a
 larger test set makes more blocks, and each shard is searched with all of them.
 
-Words are compared by 64-bit hashes.
+Words are compared by 64 bits of XXH3, not by a polynomial, so that no structure of a word makes
+it equal to another.
 
 Defined results: a null or empty text has no words, is not hit and is kept; an item
 without words has no window; items with equal ids count once, a null id is written
@@ -261,12 +262,16 @@ def remove_contaminated(
     B.bound_batches(docs.sparkSession)
     test = _test_set(benchmark, item_id, item_text, width, block_words)
 
+    # tasks get columns by plain names: those with dots cannot be handed to Python
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    body = f"c{docs.columns.index(text)}"
+
     def keep(parts):
-        for shard in B.shards(parts, column=text):
-            found = judged(shard[text], (b.value for b in test), width)
+        for shard in B.shards(parts, column=body):
+            found = judged(shard[body], (b.value for b in test), width)
             yield from shard.filter(pa.array(~found["contaminated"])).to_batches()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:
