@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from keybalance.llm import batches as B
 
@@ -22,13 +22,31 @@ from keybalance.llm import batches as B
 GROUP_BYTES = 16 << 20
 
 
-def parts_of(spark: SparkSession) -> int:
-    """Hash ranges: the power of two at or above the session's shuffle partitions, 64 at least.
+#: Bytes of input files for one hash range; what a task holds of a range is a few times that.
+RANGE_BYTES = 4 << 20
+#: Ranges up to which they stay that small; beyond, one is up to WIDE_BYTES first.
+MANY_RANGES, WIDE_BYTES = 1 << 18, 64 << 20
+#: Sizes from here on stand for "not known" in a plan.
+_UNKNOWN = 1 << 60
 
-    More data wants more shuffle partitions, as for any other Spark job.
+
+def input_bytes(docs: DataFrame) -> int | None:
+    """Bytes of the tables that ``docs`` comes from, by Spark's plan; None where it does not know."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(s >= _UNKNOWN for s in sizes) else sum(sizes)
+
+
+def parts_of(docs: DataFrame) -> int:
+    """Hash ranges, a power of two: so many that one holds a fixed share of the input.
+
+    At least 64 and at least the session's shuffle partitions, which alone decide for input
+    whose size is not known.
     """
-    wanted = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return 1 << (wanted - 1).bit_length()
+    size = input_bytes(docs) or 0
+    wanted = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by_size = min(size // RANGE_BYTES, max(MANY_RANGES, size // WIDE_BYTES))
+    return 1 << (max(wanted, by_size) - 1).bit_length()
 
 
 def text_marks(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:

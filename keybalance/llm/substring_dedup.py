@@ -10,7 +10,8 @@ themselves: of the documents of a group that share a window only the smallest on
 sends it, the others are repeats already. So a window that stands in a third of all
 documents is sent once a group.
 
-Windows are compared by 62 bits or more of hash.
+Windows are compared by 62 bits or more of a polynomial over 64-bit hashes of their words. Ids must be
+integers.
 
 Defined results: a null or empty text has no words; a null id counts as the smallest;
 rows with equal ids never make repeats of each other, and each is judged for itself;
@@ -145,7 +146,7 @@ def _received(rows: list[dict]):
 
 def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, int]:
     """Verdicts (spans of repeated windows per bucket of documents) and the number of buckets."""
-    ranges = O.parts_of(docs.sparkSession)
+    ranges = O.parts_of(docs)
 
     def send(parts):
         group = Windows(width)

@@ -564,7 +564,7 @@ def remove_repeats(
     spark = docs.sparkSession
     B.bound_batches(spark)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    ranges = O.parts_of(spark)
+    ranges = O.parts_of(slim)
     reduced = written(_reduced(slim, ranges, width, gram, split), "contexts")
     open_ = _open_contexts(
         slim, reduced.where(F.col("kind") == OPEN).select("bucket", "spans"), ranges, gram

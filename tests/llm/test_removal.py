@@ -144,3 +144,20 @@ def test_blobs_come_back():
     arrays = [np.array([5, -3, 2**62]), np.array([], np.int64), np.arange(7)]
     for a, b in zip(arrays, occurrences.unpacked(occurrences.packed(*arrays))):
         assert a.tolist() == b.tolist()
+
+
+def test_ranges_follow_the_input(spark, documents, tmp_path, monkeypatch):
+    rows = texts(7, 200)
+    documents(rows).write.parquet(f"file://{tmp_path}/docs")
+    stored = spark.read.parquet(f"file://{tmp_path}/docs")
+    size = occurrences.input_bytes(stored.select("doc_id", "text"))
+    assert size == sum(p.stat().st_size for p in (tmp_path / "docs").glob("*.parquet"))
+    assert occurrences.parts_of(stored) == 64
+    monkeypatch.setattr(occurrences, "RANGE_BYTES", size // 200)
+    assert occurrences.parts_of(stored) == 256
+    monkeypatch.setattr(occurrences, "MANY_RANGES", 100)
+    assert occurrences.parts_of(stored) == 128
+    assert occurrences.parts_of(documents(rows)) == 64
+    found = substring_dedup.remove_repeats(stored, width=6).collect()
+    have = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found)
+    assert have == sorted(brute.word_repeats(rows, 6))
