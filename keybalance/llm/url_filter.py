@@ -22,7 +22,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from keybalance.llm.native import once
+from keybalance.functions.keys import column_ref
+from keybalance.llm.native import free_name, once
 
 #: Captures of one key that one slot takes, as a share of all captures.
 SLOT_SHARE = 400
@@ -97,50 +98,37 @@ def active_entries(
         F.pmod(F.xxhash64("host", "fetched"), of_key).cast("int").alias("slot"),
         F.col("fetched").alias("at"),
         "host",
-        F.lit(None).cast("string").alias("list"),
-        F.lit(None).cast("boolean").alias("on"),
+        F.lit(None).cast("array<string>").alias("by"),
     )
     valid = intervals(entries)
     if lists is not None:
         valid = valid.where(F.col("list").isin(lists))
-    edges = valid.select(
-        "list",
-        "key",
-        F.inline(
-            F.array(
-                F.struct(F.col("since").alias("at"), F.lit(True).alias("on")),
-                F.struct(F.col("until").alias("at"), F.lit(False).alias("on")),
-            )
-        ),
-    ).where(F.col("at").isNotNull())
-    # back to back spans end and start at one instant: in force
-    edges = edges.groupBy("list", "key", "at").agg(F.bool_or("on").alias("on"))
-    # all lists' states of a key at an instant, in one map
-    right = edges.join(slots, "key", "left").select(
+    none = F.array().cast("array<string>")
+    # what is listed for a key from each instant of a change on, until the next
+    bounds = F.array(F.struct(F.col("since").alias("at")), F.struct(F.col("until").alias("at")))
+    changes = valid.select("key", F.inline(bounds)).where(F.col("at").isNotNull()).distinct()
+    held = (F.col("since") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
+    listed = (
+        changes.join(valid.withColumnRenamed("key", "__key"), (F.col("key") == F.col("__key")) & held, "left")
+        .groupBy("key", "at")
+        .agg(F.collect_set(F.concat_ws(":", "list", "__key")).alias("found"), F.count("list").alias("n"))
+        .select("key", "at", F.when(F.col("n") > 0, F.col("found")).otherwise(none).alias("by"))
+    )
+    right = listed.join(slots, "key", "left").select(
         "key",
         F.explode(F.sequence(F.lit(0), of_key - 1)).alias("slot"),
         "at",
         F.lit(None).cast("string").alias("host"),
-        "list",
-        "on",
+        "by",
     )
-    names = lists or [r["list"] for r in valid.select("list").distinct().orderBy("list").collect()]
     past = (
         Window.partitionBy("key", "slot")
         .orderBy("at")
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    both = left.unionByName(right)
-    in_force = [
-        F.when(
-            F.last(F.when(F.col("list") == name, F.col("on")), ignorenulls=True).over(past),
-            F.concat_ws(":", F.lit(name), F.col("key")),
-        )
-        for name in names
-    ]
-    found = F.array_compact(F.array(*in_force)) if names else F.array().cast("array<string>")
     return (
-        both.withColumn("by", found)
+        left.unionByName(right)
+        .withColumn("by", F.last("by", ignorenulls=True).over(past))
         .where(F.col("host").isNotNull() & (F.size("by") > 0))
         .select("host", F.col("at").alias("fetched"), "by")
         .groupBy("host", "fetched")
@@ -151,20 +139,18 @@ def active_entries(
 def filter_captures(
     captures: DataFrame, entries: DataFrame, lists: list[str] | None = None
 ) -> DataFrame:
-    """``captures`` with blocked_by (listed keys in force at its fetch, empty if none)."""
-    verdict = active_entries(captures, entries, lists).withColumnsRenamed(
-        {"host": "_host", "fetched": "_fetched"}
-    )
-    keyed = captures.drop("blocked_by").withColumn("_key", host_of(F.col("url")))
-    return (
-        keyed.join(
-            verdict,
-            (F.col("_key") == F.col("_host")) & (F.col("fetched") == F.col("_fetched")),
-            "left",
-        )
-        .withColumn("blocked_by", F.coalesce("blocked_by", F.array().cast("array<string>")))
-        .drop("_key", "_host", "_fetched")
+    """``captures`` with blocked_by (listed keys in force at its fetch, empty if none), as the last column.
+
+    A capture's own column of that name stays; the new one's then ends in an underscore more.
+    """
+    verdict = active_entries(captures, entries, lists)
+    row = F.struct(*[column_ref(c) for c in captures.columns])
+    asked = captures.select(
+        row.alias("row"), host_of(F.col("url")).alias("host"), F.col("fetched").alias("fetched")
     )
+    none = F.array().cast("array<string>")
+    found = F.coalesce("blocked_by", none).alias(free_name("blocked_by", captures.columns))
+    return asked.join(verdict, ["host", "fetched"], "left").select("row.*", found)
 
 
 def dated_entries(pages: DataFrame, url: str = "url") -> DataFrame:
