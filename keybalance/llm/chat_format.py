@@ -23,7 +23,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keybalance.llm.native import let
+from keybalance.llm.native import cut, let, running
 
 OPEN, NEXT, CLOSE = "<|im_start|>", "<|im_next|>", "<|im_end|>"
 #: Strings that a trained model may treat as control.
@@ -93,21 +93,20 @@ def pieces(turns: Column) -> Column:
 
 def _mask(parts: Column, trained: str) -> Column:
     """Code point spans of the trained role's texts; running sums over the turns."""
-    kind = "array<struct<start:int,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(state: Column, p: Column) -> Column:
-        begin = state["at"] + F.length(p["head"])
-        end = begin + F.length(p["body"])
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct(
-            end.alias("at"),
-            F.when(p["role"] == trained, F.concat(state["out"], span))
-            .otherwise(state["out"])
-            .alias("out"),
+    lengths = F.transform(parts, lambda p: F.length(p["head"]) + F.length(p["body"]))
+
+    def spans(ends: Column) -> Column:
+        every = F.zip_with(
+            parts,
+            ends,
+            lambda p, end: F.struct(
+                p["role"].alias("role"), (end - F.length(p["body"])).alias("start"), end.alias("end")
+            ),
         )
+        held = F.filter(every, lambda s: s["role"] == trained)
+        return F.transform(held, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-    return F.aggregate(parts, start, step, lambda s: s["out"])
+    return let(running(lengths), spans)
 
 
 def format_chats(conversations: DataFrame, trained: str = "assistant") -> DataFrame:
@@ -159,13 +158,7 @@ def read_back(formatted: Column) -> Column:
 
 def masked_text(formatted: Column, spans: Column) -> Column:
     """What the loss mask covers, unescaped, in order."""
-    return F.array_join(
-        F.transform(
-            spans,
-            lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"])),
-        ),
-        "",
-    )
+    return F.array_join(F.transform(cut(formatted, spans), unescape), "")
 
 
 def digest(formatted: DataFrame) -> DataFrame:

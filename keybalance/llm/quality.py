@@ -19,7 +19,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keybalance.llm.native import BLANKS, let, once, text_of, words_of
+from keybalance.functions.keys import column_ref
+from keybalance.llm.native import BLANKS, free_name, let, once, text_of, words_of
 
 SYMBOLS = "[#*$%&|<>]"
 #: Fixed limits of the rules, in percent where they are shares.
@@ -237,22 +238,24 @@ def judge(
     order: list[Rule] | None = None,
     verdict: str = "rejected_by",
 ) -> DataFrame:
-    """``docs`` with the name of the rejecting rule, null for what is kept."""
+    """``docs`` with the name of the rejecting rule, null for what is kept, as the last column.
+
+    A column of that name stays; the verdict's then ends in an underscore more.
+    """
     rules = rules or RULES
     order = order or ordered(estimate(docs, rules, text))
     body = text_of(text)
     # almost every text needs its words, so they are split once
     by = let(words_of(body), lambda w: first_rejecting(order, Parts(body, w)))
-    return docs.drop(verdict).select("*", once(F.struct(by.alias(verdict))))
+    verdict = free_name(verdict, docs.columns)
+    return docs.select("*", once(F.struct(by.alias(verdict))))
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """The rows that no rule rejects, with the columns of ``docs``."""
-    columns = docs.columns
-    mark = "_rejected_by"
-    while mark in columns:
-        mark += "_"
-    return judge(docs, text, rules, verdict=mark).where(F.col(mark).isNull()).select(*columns)
+    judged = judge(docs, text, rules)
+    rejected = column_ref(judged.columns[-1])
+    return judged.where(rejected.isNull()).select(*[column_ref(c) for c in docs.columns])
 
 
 def measures(
@@ -295,4 +298,4 @@ def measures(
             ),
         )
 
-    return docs.select(F.col(doc_id).alias("doc_id"), once(let(words_of(body), row)))
+    return docs.select(column_ref(doc_id).alias("doc_id"), once(let(words_of(body), row)))

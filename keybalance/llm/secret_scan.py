@@ -24,7 +24,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keybalance.llm.native import let, matches, once, text_of
+from keybalance.functions.keys import column_ref
+from keybalance.llm.native import cut, free_name, let, matches, once, running, text_of
 from keybalance.workdir import written
 
 #: The base patterns in their order, and how many characters count.
@@ -300,23 +301,24 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
-    """The text with every span, or run of overlapping spans, replaced by ``mask``."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        overlap = (s["start"] < state["at"]) & (F.size(state["out"]) > 0)
-        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(overlap, state["out"])
-            .otherwise(F.concat(state["out"], F.array(F.concat(gap, F.lit(mask)))))
-            .alias("out"),
+    """The text with every span, or run of overlapping spans, replaced by ``mask``; spans by start."""
+
+    def by(upto: Column) -> Column:
+        gaps = F.transform(
+            spans,
+            lambda s, i: F.struct(
+                F.when(i == 0, F.lit(0)).otherwise(F.get(upto, i - 1)).alias("start"),
+                s["start"].alias("end"),
+                i.alias("i"),
+            ),
         )
+        apart = F.filter(gaps, lambda g: (g["i"] == 0) | (g["end"] >= g["start"]))
+        kept = F.transform(cut(text, apart), lambda gap: F.concat(gap, F.lit(mask)))
+        rest = F.substring(text, F.element_at(upto, -1) + 1, F.length(text))
+        return F.concat(F.array_join(kept, ""), rest)
 
-    return let(
-        F.aggregate(spans, start, step),
-        lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))),
-    )
+    ends = F.transform(spans, lambda s: s["end"])
+    return F.when(F.size(spans) > 0, let(running(ends, F.greatest), by)).otherwise(text)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -326,20 +328,18 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     body = text_of(text)
     limits = thresholds(docs.select(once(F.struct(candidates(body).alias("runs")))))
-
-    def clean(base: Column) -> Column:
-        return let(
-            _sorted(F.concat(base, discovered(candidates(body), base, limits))),
-            lambda spans: F.when(F.size(spans) > 0, masked(body, spans)),
-        )
-
     columns = docs.columns
-    new = "_masked"
-    while new in columns:
-        new += "_"
-    out = docs.select("*", once(F.struct(let(base_spans(body), clean).alias(new))))
+    base, spans, new = (free_name(n, columns) for n in ("_base", "_spans", "_masked"))
+    # one step after another: nested in one expression, the analyzer would give up on its depth
+    every = _sorted(F.concat(base, discovered(candidates(body), F.col(base), limits)))
+    hidden = F.when(F.size(spans) > 0, masked(body, F.col(spans)))
+    out = (
+        docs.select("*", once(F.struct(base_spans(body).alias(base))))
+        .select("*", once(F.struct(every.alias(spans))))
+        .select("*", once(F.struct(hidden.alias(new))))
+    )
     hit = F.col(new).isNotNull()
-    changed = {text: F.when(hit, F.col(new)).otherwise(F.col(text))}
+    changed = {text: F.when(hit, F.col(new)).otherwise(column_ref(text))}
     if "n_chars" in columns and text != "n_chars":
         changed["n_chars"] = F.when(hit, F.length(new).cast("long")).otherwise(F.col("n_chars"))
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in columns])
+    return out.select(*[changed[c].alias(c) if c in changed else column_ref(c) for c in columns])

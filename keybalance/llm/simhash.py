@@ -360,10 +360,11 @@ def drop_near_duplicates(
     """
     found = components(docs, doc_id, text, width, radius)
     key = lambda c: [F.coalesce(c.cast("string"), F.lit("")), c.isNull()]
-    names = ["_id", "_none", "_fp"]
-    while set(names) & set(docs.columns):
-        names = [f"{n}_" for n in names]
-    id_, none, fp = names
+    # tasks get columns by plain names: those with dots cannot be handed to Python
+    columns = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    names = id_, none, fp = ["_id", "_none", "_fp"]
+    body = f"c{columns.index(text)}"
 
     keep = (
         found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -374,15 +375,15 @@ def drop_near_duplicates(
 
     def marked(parts):
         for batch in parts:
-            texts = batch.column(text).cast(pa.binary())
+            texts = batch.column(body).cast(pa.binary())
             fps = [fingerprint(t.as_py() or b"", width) for t in texts]
             yield batch.append_column(fp, pa.array(np.array(fps, np.uint64).view(np.int64)))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
-    own = [c.alias(n) for c, n in zip(key(F.col(f"`{doc_id}`")), (id_, none))]
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    schema = T.StructType([*plain.schema.fields, T.StructField(fp, T.LongType())])
+    own = [c.alias(n) for c, n in zip(key(F.col(f"c{columns.index(doc_id)}")), (id_, none))]
+    row = F.struct(*plain.columns)
     kept = (
-        docs.mapInArrow(marked, schema)
+        plain.mapInArrow(marked, schema)
         .select(row.alias("row"), *own, fp)
         .join(keep, names, "left_semi")
     )
@@ -390,7 +391,7 @@ def drop_near_duplicates(
     last = F.when(F.col(none), F.col(fp)).alias(fp) if by_id else fp
     order = F.struct(F.col(fp), F.xxhash64(F.to_json("row")))
     single = kept.groupBy(id_, none, last).agg(F.min_by("row", order).alias("row"))
-    return single.select("row.*")
+    return single.select("row.*").toDF(*columns)
 
 
 def digest(found: DataFrame) -> DataFrame:
