@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import importlib
 import sys
+import warnings
 from collections.abc import Callable
 from pathlib import Path
 
@@ -25,6 +26,7 @@ from keybalance.operators import (  # noqa: E402
     load,
     profile as profiles,
     remedy,
+    summary,
 )
 from keybalance.operators.distribution import (  # noqa: E402
     distribution,
@@ -355,9 +357,36 @@ def report(spark, sf_dir):
     )
 
 
+LOAD_COLUMNS = [*HOT_COLUMNS, "user_id"]
+
+
+def _measured_load(spark, sf_dir):
+    """Rows per hash partition of each column, counted over all rows."""
+    return load.hash_bucket_load(_hot(spark, sf_dir), LOAD_COLUMNS, WORKERS)
+
+
+def _hottest(spark, sf_dir):
+    """(column, hottest): rows of the most frequent key of each column, null among the keys."""
+    freq = frequency.key_frequency(_hot(spark, sf_dir), LOAD_COLUMNS)
+    return freq.groupBy("column").agg(F.max("n").alias("hottest"))
+
+
 def hash_bucket_load(spark, sf_dir):
-    freq = frequency.key_frequency(_hot(spark, sf_dir), HOT_COLUMNS)
-    return load.sha_bucket_load(freq, WORKERS)
+    """Every row is in one slot, and some slot holds all rows of the hottest key."""
+    per_column = _measured_load(spark, sf_dir).groupBy("column").agg(
+        F.sum("rows").alias("total_rows"),
+        F.max("rows").alias("most"),
+        ((F.min("slot") >= 0) & (F.max("slot") < WORKERS)).alias("slots_in_range"),
+        (F.count_distinct("slot") == F.count("slot")).alias("one_row_a_slot"),
+    )
+    # One row per column on both sides.
+    return per_column.join(F.broadcast(_hottest(spark, sf_dir)), "column").select(
+        "column",
+        "total_rows",
+        "slots_in_range",
+        "one_row_a_slot",
+        (F.col("most") >= F.col("hottest")).alias("holds_hottest"),
+    )
 
 
 def physical_load(spark, sf_dir):
@@ -376,21 +405,46 @@ def physical_load(spark, sf_dir):
     )
 
 
-def _rounded(df: DataFrame, *names: str, digits: int = 9) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) for n in names})
-
-
 def load_report(spark, sf_dir):
-    rows = load.load_report(hash_bucket_load(spark, sf_dir), WORKERS)
-    return _rounded(rows, "mean_rows", "slowdown_factor", "idle_fraction")
+    """Totals and means by value; the other figures as what they follow from."""
+    rows = load.load_report(_measured_load(spark, sf_dir), WORKERS)
+    near = lambda a, b: F.abs(a - b) < 1e-9
+    straggler = F.col("straggler_worker_id")
+    # One row per column on both sides.
+    return rows.join(F.broadcast(_hottest(spark, sf_dir)), "column").select(
+        "column",
+        "num_workers",
+        "total_rows",
+        F.round("mean_rows", 9).alias("mean_rows"),
+        ((F.col("max_rows") >= F.col("hottest")) & (F.col("max_rows") <= F.col("total_rows"))).alias("max_in_range"),
+        near(F.col("slowdown_factor"), F.col("max_rows") / F.col("mean_rows")).alias("slowdown_agrees"),
+        near(F.col("idle_fraction"), 1 - 1 / F.col("slowdown_factor")).alias("idle_agrees"),
+        ((straggler >= 0) & (straggler < WORKERS)).alias("straggler_in_range"),
+    )
 
 
 def worker_load(spark, sf_dir):
-    return load.worker_load(hash_bucket_load(spark, sf_dir), WORKERS)
+    """All workers of a column: they add up, one straggles, and none is idle but by its lack of rows."""
+    rows = load.worker_load(_measured_load(spark, sf_dir), WORKERS)
+    most = F.max("assigned_rows")
+    return rows.groupBy("column").agg(
+        F.count_distinct("worker_id").alias("workers"),
+        F.sum("assigned_rows").alias("assigned_rows"),
+        F.count_if("is_straggler").alias("stragglers"),
+        (F.max_by("is_straggler", F.struct("assigned_rows", -F.col("worker_id")))).alias("fullest_straggles"),
+        (F.sum("idle_rows") == most * WORKERS - F.sum("assigned_rows")).alias("idle_agrees"),
+    )
 
 
 def top_key_packing(spark, sf_dir):
-    return load.pack_top_keys(_distribution(spark, sf_dir), WORKERS)
+    """Where the balanced layout puts keys, measured: rows of each, and whether it was cut."""
+    laid_out = load.balanced_repartition(_hot(spark, sf_dir), ["hot_key"], WORKERS)
+    places = laid_out.groupBy("hot_key", F.spark_partition_id().alias("slot")).agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+    return places.groupBy(F.col("hot_key").cast("string").alias("key")).agg(
+        F.sum("rows").alias("rows"), (F.count("slot") > 1).alias("is_cut")
+    )
 
 
 def _evenness(laid_out: DataFrame, n: int, bound: float) -> DataFrame:
@@ -528,41 +582,103 @@ def stream_profile(spark, sf_dir):
     return _flat_profile(versions.latest(spark)).drop("batch_count")
 
 
-def stream_bounded_state(spark, sf_dir):
-    """Columns with fewer values than tracked keys, for which the state is exact."""
-    columns = ["hot_prop", "event_type"]
-    versions = _finished(spark, sf_dir, streams.start_bounded_profile, columns, "bounded")
-    return _flat_profile(versions.latest(spark)).drop("batch_count")
+BOUNDED_CAP = 40
 
 
-def stream_bounds(spark, sf_dir):
-    """A bounded stream of more keys than it tracks: every true count is within its bounds."""
-    versions = Versions(fresh_dir(spark, "bounds"))
+def _bounded_stream(spark, sf_dir, columns: list[str]) -> Versions:
+    versions = Versions(fresh_dir(spark, "bounded"))
     start = streams.start_bounded_profile(
-        _event_stream(spark, sf_dir), ["user_id", "event_type"], versions, cap=40
+        _event_stream(spark, sf_dir), columns, versions, cap=BOUNDED_CAP
     )
     start.awaitTermination()
+    return versions
+
+
+def stream_bounded_state(spark, sf_dir):
+    """The snapshot of a stream with far more keys than counters.
+
+    Row and null counts are exact, the error it carries is within its bound, the top keys'
+    true counts are within that error, and a key with a tenth of the rows leads.
+    """
+    snapshot = _bounded_stream(spark, sf_dir, LOAD_COLUMNS).latest(spark)
+    freq = frequency.key_frequency(_hot(spark, sf_dir), LOAD_COLUMNS)
+    true = freq.select("column", "key", F.col("n").alias("true_n"))
+    counters = snapshot.select("column", "count_error", F.inline("top_keys"))
+    over = F.col("true_n") - F.col("count")
+    within = (
+        counters.join(true, ["column", "key"])
+        .groupBy("column")
+        .agg(F.bool_and((over >= 0) & (over <= F.col("count_error"))).alias("within_error"))
+    )
+    first = F.get("top_keys", 0)
+    # One row per column on both sides.
+    return snapshot.join(F.broadcast(within), "column").select(
+        "column",
+        "total_rows",
+        "null_count",
+        (F.col("count_error") * (BOUNDED_CAP + 1) <= F.col("total_rows")).alias("error_in_bound"),
+        "within_error",
+        F.when(first["count"] * 10 > F.col("total_rows"), first["key"]).alias("leader"),
+    )
+
+
+def stream_bounds(spark, sf_dir):
+    """Every key of the table against the counters of the state, held or not."""
+    columns = ["user_id", "event_type"]
+    versions = _bounded_stream(spark, sf_dir, columns)
     state = versions.state(spark, versions.last_batch(spark))
     kept = streams.keys_of_state(state)
-    slack = kept.groupBy("column").agg(F.max("slack").alias("bound"))
-    freq = frequency.key_frequency(_table(spark, sf_dir, "events"), ["user_id", "event_type"])
+    error = streams.errors_of_state(state).withColumnRenamed("count_error", "bound")
+    freq = frequency.key_frequency(_table(spark, sf_dir, "events"), columns)
     both = frequency.present_keys(freq).withColumnRenamed("n", "true_n").join(
-        kept.drop("slack"), ["column", "key"], "left"
-    ).join(F.broadcast(slack), "column")
+        kept.drop("count_error"), ["column", "key"], "left"
+    ).join(F.broadcast(error), "column")
     low = F.coalesce("n", F.lit(0))
     return both.groupBy("column").agg(
         F.count(F.lit(1)).alias("distinct_keys"),
         F.sum("true_n").alias("n_rows"),
-        F.count("n").alias("tracked"),
+        (F.count("n") <= BOUNDED_CAP).alias("held_in_cap"),
         F.bool_and((low <= F.col("true_n")) & (F.col("true_n") <= low + F.col("bound"))).alias("within"),
     )
 
 
 def stream_summary(spark, sf_dir):
+    """Scores of everything a stream has read, and its load against that of the same rows as a table."""
     versions = _finished(spark, sf_dir, streams.start_profile, HOT_COLUMNS, "summary")
-    schema = tables.schema_info(_hot(spark, sf_dir))
-    done = streams.final_summary(spark, versions, schema, WORKERS)
-    return done.select(F.inline("scores"))
+    hot = _hot(spark, sf_dir)
+    done = streams.final_summary(spark, versions, tables.schema_info(hot), WORKERS)
+    measured = load.load_arrays(load.hash_bucket_load(hot, HOT_COLUMNS, WORKERS), WORKERS)
+    scores, loads = done.select(F.inline("scores")), done.select(F.inline("loads"))
+    assigned = F.transform("workers", lambda w: w["assigned_rows"])
+    # One row per column on all sides.
+    return scores.join(F.broadcast(loads), "column").join(F.broadcast(measured), "column").select(
+        *scores.columns,
+        F.col("load.total_rows").alias("load_rows"),
+        F.size("workers").alias("workers"),
+        (assigned == F.col("loads")).alias("load_as_table"),
+    )
+
+
+def heavy_hitter_summary(spark, sf_dir):
+    """A summary of few counters per part of the table, merged: its bound, and all keys within it."""
+    lineitem, columns, cap = _table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"], 60
+    parts = [lineitem.where(F.col("l_linenumber") % 3 == i) for i in range(3)]
+    each = [summary.summarize(part, columns, cap) for part in parts]
+    merged = summary.merge(each[0].unionByName(each[1]).unionByName(each[2]), cap)
+    counters = merged.select("column", F.inline("keys"))
+    bounds = merged.select("column", "rows", "error", F.size("keys").alias("held"))
+    freq = frequency.present_keys(frequency.key_frequency(lineitem, columns))
+    both = freq.select("column", "key", F.col("n").alias("true_n")).join(
+        counters, ["column", "key"], "left"
+    ).join(F.broadcast(bounds), "column")
+    lost = F.col("true_n") - F.coalesce("n", F.lit(0))
+    return both.groupBy("column").agg(
+        F.count(F.lit(1)).alias("distinct_keys"),
+        F.max("rows").alias("rows"),
+        (F.max("held") <= cap).alias("held_in_cap"),
+        (F.max("error") * (cap + 1) <= F.max("rows")).alias("error_in_bound"),
+        F.bool_and((lost >= 0) & (lost <= F.col("error"))).alias("within_error"),
+    )
 
 
 QUERIES = [
@@ -617,6 +733,7 @@ QUERIES = [
     stream_bounded_state,
     stream_bounds,
     stream_summary,
+    heavy_hitter_summary,
 ]
 
 
@@ -627,13 +744,13 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _optional(module: str):
-    """A module of the training-text part, or None where that part is not installed."""
+    """A module of the training-text part, or None where it, or a package that it needs, is not installed."""
     try:
         return importlib.import_module(module)
-    except ModuleNotFoundError as e:
-        if e.name in ("corpus_pipeline", "keybalance.llm"):
-            return None
-        raise
+    except ImportError as e:
+        if e.name not in ("corpus_pipeline", "keybalance.llm"):
+            warnings.warn(f"{module} left out: {e}", stacklevel=2)
+        return None
 
 
 LLM = _optional("keybalance.llm") and _optional("keybalance.llm.queries")

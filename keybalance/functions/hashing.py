@@ -1,4 +1,4 @@
-"""Hash expressions of the sketch and the load, and the row salt."""
+"""Hash expressions of the sketch, and the row salt."""
 
 from __future__ import annotations
 
@@ -10,11 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from keybalance.functions.keys import column_ref, holds_map
 
 
-def sha256_bucket(key: Column, n: int) -> Column:
-    """Bucket 0..n-1 of a key text from its SHA-256: engine-independent."""
-    return (F.conv(F.substring(F.sha2(key, 256), 1, 15), 16, 10).cast("bigint") % n).cast("int")
-
-
 def sha256_cells(key: Column, width: int, depth: int) -> list[Column]:
     """Cell 0..width-1 of a key text in each of ``depth`` rows.
 

@@ -9,7 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from keybalance.functions.hashing import row_identity, sha256_bucket
+from keybalance.functions.hashing import row_identity
 from keybalance.functions.keys import Candidate, candidate_name, column_ref, parse_candidates
 from keybalance.operators.heavy import bucket_counts, bucket_number, hash_bucket, heavy_keys
 
@@ -47,13 +47,6 @@ def hash_bucket_load(df: DataFrame, columns: str | Iterable[Candidate], n: int)
     )
 
 
-def sha_bucket_load(freq: DataFrame, n: int) -> DataFrame:
-    """(column, slot, rows) with slots from the SHA-256 of the key text; null is in slot 0."""
-    check_slots(n)
-    slot = F.coalesce(sha256_bucket(F.col("key"), n), F.lit(0))
-    return freq.groupBy("column", slot.alias("slot")).agg(F.sum("n").cast("bigint").alias("rows"))
-
-
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _pack(items: pd.Series, loads: pd.Series) -> pd.Series:
     """Per row: the slot of each item in its order, each to the least loaded slot so far.
@@ -75,39 +68,22 @@ def _pack(items: pd.Series, loads: pd.Series) -> pd.Series:
     return pd.Series([taken(rows, start) for rows, start in zip(items, loads)])
 
 
-def with_top_key_loads(profiles: DataFrame, n: int) -> DataFrame:
-    """``profiles`` with ``loads``: rows per slot when only the top keys are packed, longest first."""
-    check_slots(n)
-    idle = F.array_repeat(F.lit(0).cast("bigint"), n)
-    sizes = F.sort_array("partition_counts", asc=False)
-    zipped = F.arrays_zip(sizes.alias("n"), F.col("__taken").alias("slot"))
-    loads = F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda s: _sum(F.transform(F.filter("__zip", lambda x: x["slot"] == s), lambda x: x["n"])),
-    )
-    return (
-        profiles.withColumn("__taken", _pack(sizes, idle))
-        .withColumn("__zip", zipped)
-        .withColumn("loads", loads)
-        .drop("__taken", "__zip")
-    )
-
+def load_arrays(loads: DataFrame, n: int) -> DataFrame:
+    """(column, loads): rows of slots 0..n-1 in one array, zero for slots that got none.
 
-def pack_top_keys(profiles: DataFrame, n: int) -> DataFrame:
-    """(column, slot, rows) of the packed top keys of each profiled column."""
-    return with_top_key_loads(profiles.where(F.size("partition_counts") > 0), n).select(
-        "column", F.posexplode("loads").alias("slot", "rows")
-    )
+    The slots that got rows are sorted, and the gaps between them filled: linear in n.
+    """
+    zero = F.lit(0).cast("bigint")
+    sorted_ = F.array_sort(F.collect_list(F.struct("slot", F.col("rows").cast("bigint").alias("rows"))))
+    by_column = loads.groupBy("column").agg(sorted_.alias("found"))
+    found = F.col("found")
 
+    def with_gap(x: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(-1)).otherwise(F.get(found, i - 1)["slot"])
+        return F.concat(F.array_repeat(zero, x["slot"] - before - 1), F.array(x["rows"]))
 
-def load_arrays(loads: DataFrame, n: int) -> DataFrame:
-    """(column, loads): rows of slots 0..n-1 in one array, zero for slots that got none."""
-    every = F.sequence(F.lit(0), F.lit(check_slots(n) - 1))
-    by_slot = F.map_from_entries(F.collect_list(F.struct("slot", "rows")))
-    return loads.groupBy("column").agg(by_slot.alias("m")).select(
-        "column",
-        F.transform(every, lambda s: F.coalesce(F.col("m")[s], F.lit(0).cast("bigint"))).alias("loads"),
-    )
+    rest = F.array_repeat(zero, F.lit(check_slots(n) - 1) - F.element_at(found, -1)["slot"])
+    return by_column.select("column", F.concat(F.flatten(F.transform(found, with_gap)), rest).alias("loads"))
 
 
 def _sum(array: Column) -> Column:

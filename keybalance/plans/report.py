@@ -25,17 +25,13 @@ STATS_COLUMNS = [
 ]
 
 
-def column_report(profiles: DataFrame, workers: int = 8, loads: DataFrame | None = None) -> DataFrame:
+def column_report(profiles: DataFrame, workers: int, loads: DataFrame) -> DataFrame:
     """One row per column: profile, score, rank, advice sentence and load of the workers.
 
-    ``loads`` has (column, loads): rows per worker, measured over the whole table. Without
-    it, only the column's top keys are spread, longest first.
+    ``loads`` has (column, loads): rows per worker, measured over all rows.
     """
     rows = advisor.rank(advisor.scored(profiles)).withColumn("explanation", advisor.explanation())
-    if loads is None:
-        rows = load.with_top_key_loads(rows, workers)
-    else:
-        rows = rows.join(F.broadcast(loads), "column", "left")  # one row per column
+    rows = rows.join(F.broadcast(loads), "column", "left")  # one row per column
     return rows.withColumn("load", load.summary_of(F.col("loads"), workers)).withColumn(
         "workers", F.when(F.col("load").isNotNull(), load.workers_of(F.col("loads")))
     )

@@ -11,17 +11,21 @@ from keybalance.functions.keys import Candidate, candidate_name, key_text, parse
 from keybalance.operators.bounded import SKETCH_BITS, sketch_estimate, standard_error
 from keybalance.operators.cms import CmsShape, cms_cells
 from keybalance.operators.frequency import TOP_K, key_frequency, top_keys
+from keybalance.operators.heavy import hash_bucket
+from keybalance.operators.load import check_slots, load_arrays
 from keybalance.operators.profile import (
     assemble,
     profile_frequency,
     requested_columns,
     with_top_keys,
 )
+from keybalance.operators.summary import CAP, cuts, held, leading
 from keybalance.plans.report import column_report, nested_report
 from keybalance.streaming.versions import Versions, state_rows
 
-#: Keys per column that the bounded profile keeps from one micro-batch to the next.
-TRACKED_KEYS = 500
+#: Hash buckets whose rows a stream counts. A load over n workers needs n to divide it:
+#: 1 to 10, 12, 14 to 16, 18, 20, 24, 30, 32, 40, 48, 60, 64, 80, 96, 120, 160, 192, 240 and more.
+LOAD_BUCKETS = 20_160
 
 
 def stream_files(
@@ -40,27 +44,46 @@ def stream_files(
     )
 
 
-def _long_rows(df: DataFrame, candidates: list[Candidate], with_total: bool) -> DataFrame:
-    """(column, key) rows; with a further null column per row, which counts all rows."""
-    rows = [
-        F.struct(F.lit(candidate_name(c)).alias("column"), key_text(df, c).alias("key"))
-        for c in candidates
-    ]
+def _long_rows(
+    df: DataFrame, candidates: list[Candidate], buckets: int, with_total: bool
+) -> DataFrame:
+    """(column, key, slot) rows: one per candidate with its key, and one with its hash bucket.
+
+    The bucket is the one that ``repartition`` would use, nulls included. ``with_total``
+    adds a row without a column, which counts all rows.
+    """
+    no_key, no_slot = F.lit(None).cast("string"), F.lit(None).cast("int")
+    row = lambda column, key, slot: F.struct(
+        column.alias("column"), key.alias("key"), slot.alias("slot")
+    )
+    rows = []
+    for c in candidates:
+        name, parts = F.lit(candidate_name(c)), (c,) if isinstance(c, str) else c
+        rows.append(row(name, key_text(df, c), no_slot))
+        rows.append(row(name, no_key, hash_bucket(parts, buckets)))
     if with_total:
-        nothing = F.lit(None).cast("string")
-        rows.append(F.struct(nothing.alias("column"), nothing.alias("key")))
+        rows.append(row(no_key, no_key, no_slot))
     return df.select(F.inline(F.array(*rows)))
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("column").isNotNull() & F.col("slot").isNull()).drop("slot")
+
+
+def _loads(rows: DataFrame) -> DataFrame:
+    """State rows of the counts per hash bucket."""
+    return state_rows(rows.where(F.col("slot").isNotNull()), "load", slot="slot")
+
+
 def _grown(changed: DataFrame, names: list[str], b: int) -> DataFrame:
-    """State rows of changed counts: row counts, null counts, distinct sketches.
+    """State rows of changed counts: row counts, null counts, distinct sketches, loads.
 
     The null column's count is the number of rows, the same for all columns.
     """
     total = F.max(F.when(F.col("column").isNull(), F.col("n")))
     rows = changed.agg(total.alias("n")).where(F.col("n").isNotNull())
     totals = rows.select(F.explode(F.array(*[F.lit(c) for c in names])).alias("column"), "n")
-    keyed = changed.where(F.col("column").isNotNull()).groupBy("column").agg(
+    keyed = _keyed(changed).groupBy("column").agg(
         F.max(F.when(F.col("key").isNull(), F.col("n"))).alias("nulls"),
         F.hll_sketch_agg("key", b).alias("sketch"),
     )
@@ -68,6 +91,7 @@ def _grown(changed: DataFrame, names: list[str], b: int) -> DataFrame:
         state_rows(totals, "rows")
         .unionByName(state_rows(keyed.where("nulls > 0"), "nulls", n="nulls"))
         .unionByName(state_rows(keyed, "distinct", n=None, sketch="sketch"))
+        .unionByName(_loads(changed))
     )
 
 
@@ -94,7 +118,7 @@ def _newest_top(counts: DataFrame, k: int) -> DataFrame:
 def profile_of_state(
     state: DataFrame, candidates: list[Candidate], k: int, b: int, batch_count: int
 ) -> DataFrame:
-    """Profile rows from a state table."""
+    """Profile rows from a state table, with ``count_error``: 0 where counts are exact."""
     names = [candidate_name(c) for c in candidates]
 
     def of_kind(kind: str, value):
@@ -115,13 +139,23 @@ def profile_of_state(
         .withColumn("batch_count", F.lit(batch_count).cast("bigint"))
     )
     keys = state.where(F.col("kind") == "key").select("column", "key", "n")
-    return assemble(with_top_keys(totals, top_keys(keys, k)), candidates, standard_error(b))
+    profiles = assemble(with_top_keys(totals, top_keys(keys, k)), candidates, standard_error(b))
+    # One row per column on both sides.
+    return profiles.join(F.broadcast(errors_of_state(state)), "column", "left").withColumn(
+        "count_error", F.coalesce("count_error", F.lit(0).cast("bigint"))
+    )
+
+
+def errors_of_state(state: DataFrame) -> DataFrame:
+    """(column, count_error): what a key's true count can lie above its counter at most."""
+    return state.where(F.col("kind") == "error").select("column", F.col("n").alias("count_error"))
 
 
 def _save_blank(stream: DataFrame, candidates: list[Candidate], versions: Versions, k: int) -> None:
     """What a summary shows until the first micro-batch."""
     nothing = stream.sparkSession.createDataFrame([], stream.schema)
-    versions.save_blank(profile_frequency(key_frequency(nothing, candidates), candidates, k))
+    blank = profile_frequency(key_frequency(nothing, candidates), candidates, k)
+    versions.save_blank(blank.withColumn("count_error", F.lit(0).cast("bigint")))
 
 
 def _start(
@@ -146,13 +180,14 @@ def start_profile(
     versions: Versions,
     k: int = TOP_K,
     b: int = SKETCH_BITS,
+    buckets: int = LOAD_BUCKETS,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Exact running profile; writes a snapshot per micro-batch.
 
     The key counts live in the state store. A micro-batch emits only the counts it
     changed: as counts never fall, the new top k are among the changed keys and the
-    old top k, and sketches, row and null counts only grow. So a snapshot costs as
+    old top k, and sketches, row, null and bucket counts only grow. So a snapshot costs as
     much as its micro-batch, not as much as the state. Use ``start_bounded_profile``
     when the distinct keys themselves are too many to keep.
     """
@@ -160,8 +195,8 @@ def start_profile(
     names = [candidate_name(c) for c in candidates]
     _save_blank(stream, candidates, versions, k)
     counts = (
-        _long_rows(stream, candidates, with_total=True)
-        .groupBy("column", "key")
+        _long_rows(stream, candidates, buckets, with_total=True)
+        .groupBy("column", "key", "slot")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -169,7 +204,7 @@ def start_profile(
         spark = changed.sparkSession
         changed = changed.persist()  # every further read would run the stateful plan again
         try:
-            keyed = changed.where(F.col("column").isNotNull())
+            keyed = _keyed(changed)
             before = versions.previous(spark, batch_id)
             old_keys = before.where(F.col("kind") == "key").select("column", "key", "n")
             top = _newest_top(keyed.unionByName(old_keys), k)
@@ -192,56 +227,61 @@ def start_bounded_profile(
     columns: str | Iterable[Candidate],
     versions: Versions,
     k: int = TOP_K,
-    cap: int = TRACKED_KEYS,
+    cap: int = CAP,
     b: int = SKETCH_BITS,
     shape: CmsShape = CmsShape(),
+    buckets: int = LOAD_BUCKETS,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Running profile whose whole state is the two sketches and ``cap`` keys per column.
+    """Running profile whose state does not grow with the keys.
 
-    At the end of a micro-batch only the ``cap`` largest counts are kept. A dropped
-    key starts again from zero, so a count is a lower bound; ``slack_of_state`` gives, per
-    column, how much any key's true count can lie above it: the largest count dropped at
-    each micro-batch, summed up. It stays 0 while a column has at most ``cap`` distinct
+    It keeps two sketches, the rows per hash bucket and a heavy-hitter summary of ``cap`` counters
+    per column (see ``operators.summary``). A micro-batch's counts merge into the summary, so a
+    counter is a lower bound, and no true count lies above it by more than ``count_error`` of
+    the snapshot. That is at most rows / (cap + 1), and 0 while a column has at most ``cap`` distinct
     keys. Use ``start_profile`` for exact counts.
     """
     candidates = parse_candidates(columns, stream.columns)
     _save_blank(stream, candidates, versions, k)
-    rows = _long_rows(stream, candidates, with_total=False)
+    rows = _long_rows(stream, candidates, buckets, with_total=False)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = versions.previous(spark, batch_id)
-        kept_keys = before.where(F.col("kind") == "key")
-        # The kept keys join the count of the batch's own rows: one shuffle for both.
+        counters = before.where(F.col("kind") == "key")
+        nothing = F.lit(0).cast("bigint")
+        # The counters join the count of the batch's own rows: one shuffle for both.
         freq = (
-            batch.select("column", "key", F.lit(1).cast("bigint").alias("n"), F.lit(0).alias("kept"))
-            .unionByName(kept_keys.select("column", "key", F.lit(0).alias("n"), F.col("n").alias("kept")))
-            .groupBy("column", "key")
+            batch.select("column", "key", "slot", F.lit(1).cast("bigint").alias("n"), nothing.alias("kept"))
+            .unionByName(
+                counters.select(
+                    "column", "key", F.lit(None).cast("int").alias("slot"), nothing.alias("n"), F.col("n").alias("kept")
+                )
+            )
+            .groupBy("column", "key", "slot")
             .agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"))
             .persist()
         )
         try:
-            seen = freq.where(F.col("n") > 0).select("column", "key", "n")
-            tracked = freq.select("column", "key", (F.col("n") + F.col("kept")).alias("n"))
+            seen = _keyed(freq.where(F.col("n") > 0)).select("column", "key", "n")
             nulls = F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(0))
-            counters = seen.groupBy("column").agg(
+            counted = seen.groupBy("column").agg(
                 F.sum("n").alias("rows"),
                 nulls.alias("nulls"),
                 F.hll_sketch_agg("key", b).alias("sketch"),
             )
-            # The first key that is not kept has the largest count that is dropped.
-            leading = top_keys(tracked, cap + 1)
-            dropped = leading.where(F.col("rank") > cap)
+            both = _keyed(freq).select("column", "key", (F.col("n") + F.col("kept")).alias("n"))
+            lead = leading(both, cap)
             added = (
                 state_rows(cms_cells(seen, shape), "cell", lane="row", slot="cell", n="cnt")
-                .unionByName(state_rows(counters, "rows", n="rows"))
-                .unionByName(state_rows(counters, "nulls", n="nulls"))
-                .unionByName(state_rows(counters, "distinct", n=None, sketch="sketch"))
-                .unionByName(state_rows(dropped, "slack"))
+                .unionByName(state_rows(counted, "rows", n="rows"))
+                .unionByName(state_rows(counted, "nulls", n="nulls"))
+                .unionByName(state_rows(counted, "distinct", n=None, sketch="sketch"))
+                .unionByName(state_rows(cuts(lead), "error", n="cut"))
+                .unionByName(_loads(freq))
                 .unionByName(before.where(F.col("kind") != "key"))
             )
-            kept = state_rows(leading.where(F.col("rank") <= cap), "key", key="key")
+            kept = state_rows(held(lead), "key", key="key")
             state = versions.save_state(_merged(added, F.sum).unionByName(kept), batch_id)
             versions.save_snapshot(
                 profile_of_state(state, candidates, k, b, batch_id + 1), batch_id
@@ -260,23 +300,40 @@ def cells_of_state(state: DataFrame) -> DataFrame:
 
 
 def keys_of_state(state: DataFrame) -> DataFrame:
-    """(column, key, n, slack): the tracked keys; the true count is from n to n + slack."""
-    slack = state.where(F.col("kind") == "slack").select("column", F.col("n").alias("slack"))
+    """(column, key, n, count_error): the counters; a true count is from n to n + count_error.
+
+    A key without a counter occurred count_error times at most.
+    """
     keys = state.where(F.col("kind") == "key").select("column", "key", "n")
     # One row per column on the right.
-    return keys.join(F.broadcast(slack), "column", "left").withColumn(
-        "slack", F.coalesce("slack", F.lit(0))
+    return keys.join(F.broadcast(errors_of_state(state)), "column", "left").withColumn(
+        "count_error", F.coalesce("count_error", F.lit(0).cast("bigint"))
     )
 
 
+def load_of_state(state: DataFrame, workers: int, buckets: int = LOAD_BUCKETS) -> DataFrame:
+    """(column, slot, rows): all rows read so far, as ``repartition(workers, column)`` would spread them."""
+    if buckets % check_slots(workers):
+        raise ValueError(f"the stream counts rows in {buckets} buckets, which {workers} does not divide")
+    loads = state.where(F.col("kind") == "load")
+    slot = (F.col("slot") % workers).alias("slot")
+    return loads.groupBy("column", slot).agg(F.sum("n").alias("rows"))
+
+
 def final_summary(
     spark: SparkSession,
     versions: Versions,
     schema: dict[str, str],
     workers: int = 8,
+    buckets: int = LOAD_BUCKETS,
 ) -> DataFrame:
-    """The nested report of everything a finished stream has read.
+    """The nested report of everything that a stream has read.
 
-    A stream keeps no rows, so its load is that of the top keys.
+    A stream keeps no rows, but it has counted all of them per hash bucket: the load is that
+    of the whole table, nulls and rare keys included.
     """
-    return nested_report(column_report(versions.latest(spark), workers), schema)
+    last = versions.last_batch(spark)
+    loads = load_of_state(versions.state(spark, -1 if last is None else last), workers, buckets)
+    return nested_report(
+        column_report(versions.latest(spark), workers, load_arrays(loads, workers)), schema
+    )

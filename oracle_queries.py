@@ -117,33 +117,10 @@ CUSTKEY_CUSTOMER = """probes AS (
 CUSTKEY_BOTH = CUSTKEY_ORDERS + ", " + CUSTKEY_CUSTOMER + """, both_tables AS (
   SELECT * FROM freq UNION ALL SELECT * FROM probes)"""
 
-SLOTS = """slots AS (
-  SELECT col, CAST(coalesce(('0x' || substr(sha256(key), 1, 15))::BIGINT % 8, 0) AS INT) AS slot,
-    CAST(sum(n) AS BIGINT) AS load
-  FROM freq GROUP BY 1, 2)"""
-
-ALL_SLOTS = """grid AS (
-  SELECT c.col, CAST(i AS INT) AS slot, coalesce(s.load, 0) AS load
-  FROM (SELECT DISTINCT col FROM slots) c CROSS JOIN range(8) AS r(i)
-  LEFT JOIN slots s ON s.col = c.col AND s.slot = r.i),
-busiest AS (
-  SELECT col, sum(load) AS total, max(load) AS most, arg_min(slot, (-load, slot)) AS straggler
-  FROM grid GROUP BY col)"""
-
-# Longest first: one step per key, each to the least loaded slot.
-PACKING = """packing AS (
-  SELECT col, 0 AS done, [0::BIGINT for i in range(8)] AS loads
-  FROM (SELECT DISTINCT col FROM top)
-  UNION ALL
-  SELECT p.col, p.done + 1,
-    list_transform(range(1, 9), lambda i: p.loads[i] + CASE
-      WHEN i = list_position(p.loads, list_min(p.loads)) THEN t.n ELSE 0 END)
-  FROM packing p JOIN top t ON t.col = p.col AND t.rnk = p.done + 1)"""
-
-PACKED = """packed AS (
-  SELECT p.col, p.loads FROM packing p
-  JOIN (SELECT col, max(rnk) AS last FROM top GROUP BY col) e
-    ON e.col = p.col AND p.done = e.last)"""
+LOADED = HOT + """, long AS (
+  SELECT 'hot_key' AS col, CAST(hot_key AS VARCHAR) AS key FROM hot
+  UNION ALL SELECT 'event_type', event_type FROM hot
+  UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR) FROM hot)"""
 
 
 def _uniform(purpose: str) -> str:
@@ -324,22 +301,17 @@ SELECT j.col AS "column", t.total AS total_rows, round(j.c, 1) AS composite_scor
       ELSE 'Standard repartition should suffice.' END) AS explanation,
   CASE WHEN j.col = 'hot_key' THEN 'bigint' ELSE 'string' END AS "type"
 FROM judged j JOIN totals t USING (col) JOIN distincts d USING (col)""",
-    "hash_bucket_load": f"""WITH {HOT_LONG}, {FREQ}, {SLOTS}
-SELECT col AS "column", slot, load AS "rows" FROM slots""",
+    "hash_bucket_load": f"""WITH {LOADED} SELECT col AS "column", count(*) AS total_rows,
+  true AS slots_in_range, true AS one_row_a_slot, true AS holds_hottest FROM long GROUP BY col""",
     "physical_load": f"""WITH {HOT} SELECT count(*) AS total_rows,
   0::BIGINT AS slots_that_differ FROM hot""",
-    "load_report": f"""WITH {HOT_LONG}, {FREQ}, {SLOTS}, {ALL_SLOTS}
-SELECT col AS "column", 8 AS num_workers, CAST(total AS BIGINT) AS total_rows, most AS max_rows,
-  round(total / 8, 9) AS mean_rows, round(most / (total / 8), 9) AS slowdown_factor,
-  straggler AS straggler_worker_id, round(1 - (total / 8) / most, 9) AS idle_fraction
-FROM busiest""",
-    "worker_load": f"""WITH {HOT_LONG}, {FREQ}, {SLOTS}, {ALL_SLOTS}
-SELECT g.col AS "column", g.slot AS worker_id, g.load AS assigned_rows,
-  g.slot = b.straggler AS is_straggler, b.most - g.load AS idle_rows
-FROM grid g JOIN busiest b USING (col)""",
-    "top_key_packing": f"""WITH RECURSIVE {HOT_LONG}, {FREQ}, {TOP}, {PACKING}, {PACKED}
-SELECT col AS "column", CAST(i - 1 AS INT) AS slot, loads[i] AS "rows"
-FROM packed, range(1, 9) AS r(i)""",
+    "load_report": f"""WITH {LOADED} SELECT col AS "column", 8 AS num_workers, count(*) AS total_rows,
+  round(count(*) / 8, 9) AS mean_rows, true AS max_in_range, true AS slowdown_agrees, true AS idle_agrees,
+  true AS straggler_in_range FROM long GROUP BY col""",
+    "worker_load": f"""WITH {LOADED} SELECT col AS "column", 8::BIGINT AS workers, count(*) AS assigned_rows,
+  1::BIGINT AS stragglers, true AS fullest_straggles, true AS idle_agrees FROM long GROUP BY col""",
+    "top_key_packing": f"""WITH {HOT} SELECT CAST(hot_key AS VARCHAR) AS key, count(*) AS "rows",
+  count(*) * 8 > (SELECT count(*) FROM hot) AS is_cut FROM hot GROUP BY hot_key""",
     "balanced_repartition": """SELECT 'balanced' AS layout, count(*) AS total_rows, true AS even FROM events
 UNION ALL SELECT 'hashed', count(*), false FROM events""",
     "balanced_rows": f"WITH {HOT} SELECT event_id, hot_key, value FROM hot",
@@ -360,14 +332,17 @@ FROM orders GROUP BY o_custkey""",
     "batch_snapshots": SNAPSHOTS.replace("LONG", HOT_BATCHES),
     "unique_key_snapshots": SNAPSHOTS.replace("LONG", UNIQUE_BATCHES),
     "stream_profile": f"WITH {HOT_LONG}, {PROFILE_CTES} {_profile_select(batches=False)}",
-    "stream_bounded_state": f"""WITH long AS (
-  SELECT 'hot_prop' AS col, CASE WHEN event_id % 20 = 0 THEN NULL
-    WHEN event_id % 5 < 2 THEN 'none' ELSE props END AS key FROM events
-  UNION ALL SELECT 'event_type', event_type FROM events),
-{PROFILE_CTES} {_profile_select(batches=False)}""",
+    "stream_bounded_state": f"""WITH {LOADED}, {FREQ}, {TOP}, {TOTALS}
+SELECT t.col AS "column", total AS total_rows, nulls AS null_count, true AS error_in_bound,
+  true AS within_error, CASE WHEN f.n * 10 > total THEN f.key END AS leader
+FROM totals t JOIN top f ON f.col = t.col AND f.rnk = 1""",
     "stream_bounds": """SELECT 'user_id' AS "column", count(DISTINCT user_id) AS distinct_keys,
-  count(*) AS n_rows, 40::BIGINT AS tracked, true AS within FROM events
-UNION ALL SELECT 'event_type', count(DISTINCT event_type), count(*), count(DISTINCT event_type), true
-FROM events""",
-    "stream_summary": f"WITH {HOT_LONG}, {SCORE_CTES} {SCORES}",
+  count(*) AS n_rows, true AS held_in_cap, true AS within FROM events
+UNION ALL SELECT 'event_type', count(DISTINCT event_type), count(*), true, true FROM events""",
+    "stream_summary": f"""WITH {HOT_LONG}, {SCORE_CTES}, s AS ({SCORES})
+SELECT s.*, total AS load_rows, 8 AS workers, true AS load_as_table FROM s JOIN totals ON col = "column\"""",
+    "heavy_hitter_summary": "WITH "
+    + _long("lineitem", "l_partkey", "l_suppkey")
+    + """ SELECT col AS "column", count(DISTINCT key) AS distinct_keys, count(*) AS "rows",
+  true AS held_in_cap, true AS error_in_bound, true AS within_error FROM long GROUP BY col""",
 }

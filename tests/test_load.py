@@ -4,8 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from keybalance.operators import frequency, heavy, load
-from keybalance.operators.distribution import distribution
+from keybalance.operators import heavy, load
 from keybalance.operators.remedy import partition_layout
 
 
@@ -15,72 +14,47 @@ def counted(spark, counts):
     return rows.select("k", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("x"))
 
 
-def packed(spark, counts, n, k=20):
-    freq = spark.createDataFrame(
-        [("c", f"k{i:03d}", c) for i, c in enumerate(counts)], "column string, key string, n bigint"
-    )
-    return load.pack_top_keys(distribution(frequency.top_keys(freq, k)), n)
-
-
-def report(spark, counts, n):
-    return load.load_report(packed(spark, counts, n), n).first()
-
-
-def lpt(counts, n):
-    loads = [0] * n
-    for c in sorted(counts, reverse=True):
-        loads[loads.index(min(loads))] += c
-    return loads
+def slots(spark, counts):
+    """Rows per slot; slots without rows are absent, as a count gives them."""
+    rows = [("c", i, n) for i, n in enumerate(counts) if n]
+    return spark.createDataFrame(rows, "column string, slot int, rows bigint")
 
 
-@pytest.mark.parametrize("n", [1, 3, 8])
-def test_packing_is_longest_first(spark, n):
+@pytest.mark.parametrize("n", [1, 2, 7, 40, 500])
+def test_report_and_workers_against_counting(spark, n):
     rng = random.Random(n)
-    counts = [rng.randint(1, 1000) for _ in range(20)]
-    got = [r.rows for r in packed(spark, counts, n).orderBy("slot").collect()]
-    assert got == lpt(counts, n)
-
-
-def test_uniform_has_no_slowdown(spark):
-    assert report(spark, [100] * 4, 4).slowdown_factor == pytest.approx(1.0)
-
-
-def test_skew_slows_down_and_idle_follows(spark):
-    row = report(spark, [1000] + [10] * 9, 4)
-    assert row.slowdown_factor == pytest.approx(1000 / (1090 / 4))
-    assert row.idle_fraction == pytest.approx(1 - 1 / row.slowdown_factor)
-    assert 0.0 <= row.idle_fraction <= 1.0
-
-
-def test_single_worker(spark):
-    row = report(spark, [100, 200, 300], 1)
-    assert (row.num_workers, row.total_rows, row.idle_fraction) == (1, 600, 0.0)
-    assert (row.max_rows, row.mean_rows) == (600, 600.0)
-
-
-def test_straggler_is_the_lowest_busiest_slot(spark):
-    workers = load.worker_load(packed(spark, [10_000, 100, 100], 3), 3).orderBy("worker_id").collect()
-    assert [w.is_straggler for w in workers] == [True, False, False]
-    assert [w.assigned_rows for w in workers] == [10_000, 100, 100]
-    assert [w.idle_rows for w in workers] == [0, 9_900, 9_900]
-    tied = load.worker_load(packed(spark, [5, 5], 2), 2).orderBy("worker_id").collect()
-    assert [w.is_straggler for w in tied] == [True, False]
-
-
-def test_empty_slots_are_filled(spark):
-    workers = load.worker_load(packed(spark, [7], 3), 3).orderBy("worker_id").collect()
-    assert [w.assigned_rows for w in workers] == [7, 0, 0]
+    counts = [rng.choice([0, rng.randint(1, 10**6)]) for _ in range(n - 1)] + [rng.randint(1, 10**6)]
+    mean, most = sum(counts) / n, max(counts)
+    row = load.load_report(slots(spark, counts), n).first()
+    assert (row.num_workers, row.total_rows, row.max_rows) == (n, sum(counts), most)
+    assert row.mean_rows == pytest.approx(mean)
+    assert row.slowdown_factor == pytest.approx(most / mean)
+    assert row.idle_fraction == pytest.approx(1 - mean / most)
+    assert row.straggler_worker_id == counts.index(most)
+    workers = load.worker_load(slots(spark, counts), n).orderBy("worker_id").collect()
+    assert [w.assigned_rows for w in workers] == counts
+    assert [w.idle_rows for w in workers] == [most - c for c in counts]
+    assert [w.worker_id for w in workers if w.is_straggler] == [counts.index(most)]
+
+
+def test_columns_are_reported_apart(spark):
+    rows = [("a", 2, 5), ("a", 0, 5), ("b", 1, 9)]
+    loads = spark.createDataFrame(rows, "column string, slot int, rows bigint")
+    got = {r["column"]: r.loads for r in load.load_arrays(loads, 4).collect()}
+    assert got == {"a": [5, 0, 5, 0], "b": [0, 9, 0, 0]}
+    assert {r["column"]: r.straggler_worker_id for r in load.load_report(loads, 4).collect()} == {"a": 0, "b": 1}
 
 
 def test_arguments(spark):
-    with pytest.raises(ValueError):
-        packed(spark, [100], 0)
-    with pytest.raises(ValueError):
-        load.hash_bucket_load(spark.range(3), "id", 0)
+    for n in (0, -1):
+        with pytest.raises(ValueError):
+            load.load_report(slots(spark, [3]), n)
+        with pytest.raises(ValueError):
+            load.hash_bucket_load(spark.range(3), "id", n)
 
 
 def test_no_rows_no_report(spark):
-    assert load.load_report(packed(spark, [], 2), 2).count() == 0
+    assert load.load_report(slots(spark, []), 2).count() == 0
 
 
 def test_hash_load_is_the_physical_layout(events):
@@ -184,10 +158,8 @@ def test_light_keys_keep_their_hash_slot(events):
 
 def test_loads_count_every_row(events):
     df = events.withColumn("user_id", F.when(F.col("event_id") % 7 > 0, F.col("user_id")))
-    by_text = load.sha_bucket_load(frequency.key_frequency(df, "user_id"), 8)
-    native = load.hash_bucket_load(df, "user_id", 8)
-    for loads in (by_text, native):
-        assert load.load_report(loads, 8).first().total_rows == df.count()
+    row = load.load_report(load.hash_bucket_load(df, "user_id", 8), 8).first()
+    assert row.total_rows == df.count()
 
 
 def test_load_report_scans_once(events):

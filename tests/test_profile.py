@@ -2,6 +2,7 @@ import datetime
 import decimal
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,40 +17,41 @@ def one(df, column=None):
     return rows[column] if column else next(iter(rows.values()))
 
 
-def test_total_rows(keyed):
-    assert one(P.profile(keyed(["a", "b", "a", "c"]), "k")).total_rows == 4
-
-
-def test_uniform_skew_is_one(keyed):
-    assert one(P.profile(keyed(list("abcd")), "k")).skew_ratio == pytest.approx(1.0)
-
-
-def test_hot_key_skew(keyed):
-    row = one(P.profile(keyed(["a"] * 100 + ["b"]), "k"))
-    assert row.skew_ratio == pytest.approx(100 / 50.5)
-    assert [tuple(t) for t in row.top_keys] == [("a", 100), ("b", 1)]
-    assert row.partition_counts == [100, 1]
-
-
-def test_nulls_are_counted_apart(keyed):
-    row = one(P.profile(keyed(["a", None, "b", None]), "k"))
-    assert (row.null_count, row.null_fraction, row.total_rows) == (2, 0.5, 4)
-    assert len(row.top_keys) == 2
-    counts = one(frequency.null_counts(keyed(["a", None, "b", None]), "k"))
-    assert (counts.total_rows, counts.null_count, counts.null_fraction) == (4, 2, 0.5)
+def drawn(seed, n):
+    """Keys of uneven frequency, some null."""
+    rng = random.Random(seed)
+    return [rng.choice([None, f"u{rng.randint(0, 40)}", f"p{int(rng.paretovariate(0.8))}"]) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_profile_against_counting(keyed, seed):
+    keys = drawn(seed, 700)
+    counts = Counter(k for k in keys if k is not None)
+    top = sorted(counts.items(), key=lambda kn: (-kn[1], kn[0]))[:20]
+    sizes = [n for _, n in top]
+    row = one(P.profile(keyed(keys), "k"))
+    assert [tuple(t) for t in row.top_keys] == top and row.partition_counts == sizes
+    assert (row.total_rows, row.null_count) == (len(keys), keys.count(None))
+    assert row.null_fraction == pytest.approx(keys.count(None) / len(keys))
+    assert row.cardinality_estimate == len(counts)
+    assert row.skew_ratio == pytest.approx(sizes[0] / (sum(sizes) / len(sizes)))
+    share = [n / sum(sizes) for n in sizes]
+    assert row.entropy == pytest.approx(-sum(p * math.log(p) for p in share))
+    nulls = one(frequency.null_counts(keyed(keys), "k"))
+    assert (nulls.total_rows, nulls.null_count) == (len(keys), keys.count(None))
 
 
 def test_several_columns_in_request_order(spark):
-    df = spark.createDataFrame([("a", "p1"), ("a", "p2"), ("b", "p1")], "user string, product string")
-    rows = P.profile(df, "product, user").orderBy("position").collect()
-    assert [r["column"] for r in rows] == ["product", "user"]
-    assert [r.total_rows for r in rows] == [3, 3]
+    rows = list(zip(drawn(8, 90), drawn(9, 90)))
+    df = spark.createDataFrame(rows, "first string, second string")
+    got = P.profile(df, "second, first").orderBy("position").collect()
+    assert [(r["column"], r.null_count) for r in got] == [
+        (name, [row[i] for row in rows].count(None)) for i, name in ((1, "second"), (0, "first"))
+    ]
 
 
-def test_entropy_of_uniform_and_single_key(keyed):
-    four = one(P.profile(keyed(list("abcd") * 100), "k"))
-    assert four.entropy == pytest.approx(math.log(4))
-    assert one(P.profile(keyed(["x"] * 1000), "k")).entropy == 0.0
+def test_entropy_of_one_key_is_zero(keyed):
+    assert one(P.profile(keyed(["only"] * 37), "k")).entropy == 0.0
 
 
 def test_column_requests(keyed):

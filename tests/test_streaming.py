@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from keybalance.operators import cms
+from keybalance.operators import cms, load
 from keybalance.operators.frequency import key_frequency
 from keybalance.operators.profile import profile
 from keybalance.sources import staging
@@ -126,36 +126,65 @@ def test_bounded_stream_is_exact_within_cap(spark, staged):
     assert sorted(S.cells_of_state(state).select(*order).collect()) == sorted(
         cms.cms_cells(freq).select(*order).collect()
     )
-    assert S.keys_of_state(state).where("slack > 0").count() == 0
+    assert S.keys_of_state(state).where("count_error > 0").count() == 0
+    assert [r.count_error for r in versions.latest(spark).collect()] == [0, 0]
 
 
-def test_bounded_stream_prunes_at_batch_end(spark):
-    batches = [["a"] * 5 + ["b"] * 4 + ["c"] * 3, ["c"] * 3 + ["d"] * 9, ["b"] * 2 + ["c"] * 2]
-    cap, tracked, expected = 2, {}, None
-    for batch in batches:
-        for key in batch:
-            tracked[key] = tracked.get(key, 0) + 1
-        tracked = dict(sorted(tracked.items(), key=lambda kv: (-kv[1], kv[0]))[:cap])
+def in_batches(spark, batches):
+    """A stream with one micro-batch per list of keys, in order."""
     path = fresh_dir(spark, "ordered")
     for i, batch in enumerate(batches):
         spark.createDataFrame([(k,) for k in batch], "user_id string").coalesce(1).write.parquet(
             f"{path}/part={i}"
         )
-    versions = Versions(fresh_dir(spark, "stream"))
     schema = spark.createDataFrame([("x",)], "user_id string").schema
-    stream = S.stream_files(spark, f"{path}/*", schema)
-    S.start_bounded_profile(stream, "user_id", versions, cap=cap).awaitTermination()
+    return S.stream_files(spark, f"{path}/*", schema)
+
+
+def merged(batches, cap):
+    """Counters and error after each batch, one batch merged at a time."""
+    counters, error = Counter(), 0
+    for batch in batches:
+        counters.update(k for k in batch if k is not None)
+        sizes = sorted(counters.values(), reverse=True)
+        cut = sizes[cap] if len(sizes) > cap else 0
+        error += cut
+        counters = Counter({k: n - cut for k, n in counters.items() if n > cut})
+    return counters, error
+
+
+@pytest.mark.parametrize("seed, cap", [(1, 2), (2, 5), (3, 11)])
+def test_bounded_stream_is_a_summary_with_its_error(spark, seed, cap):
+    rng = random.Random(seed)
+    key = lambda: rng.choice([None, f"k{int(rng.paretovariate(0.7))}", f"u{rng.randint(0, 60)}"])
+    batches = [[key() for _ in range(rng.randint(20, 120))] + ["hot"] * 30 for _ in range(4)]
+    counters, error = merged(batches, cap)
+    versions = Versions(fresh_dir(spark, "stream"))
+    S.start_bounded_profile(in_batches(spark, batches), "user_id", versions, cap=cap).awaitTermination()
     row = versions.latest(spark).first()
-    assert {t.key: t["count"] for t in row.top_keys} == tracked
-    true = Counter(k for batch in batches for k in batch)
-    kept = S.keys_of_state(versions.state(spark, versions.last_batch(spark))).collect()
-    bounds = {r.key: (r.n, r.n + r.slack) for r in kept}
-    slack = kept[0].slack
-    assert slack > 0 and set(bounds) == set(tracked)
-    for key, n in true.items():
-        low, high = bounds.get(key, (0, slack))
-        assert low <= n <= high
-    assert row.total_rows == sum(map(len, batches))
+    rows = [k for batch in batches for k in batch]
+    assert row.count_error == error and 0 < error * (cap + 1) <= len(rows)
+    assert (row.total_rows, row.null_count) == (len(rows), rows.count(None))
+    held = {r.key: r.n for r in S.keys_of_state(versions.state(spark, 3)).collect()}
+    assert held == counters and len(held) <= cap
+    for k, n in Counter(k for k in rows if k is not None).items():
+        assert held.get(k, 0) <= n <= held.get(k, 0) + error
+    assert row.top_keys[0].key == "hot"
+
+
+def test_load_of_a_stream_is_that_of_the_table(spark, staged):
+    columns = [*COLUMNS, ("event_type", "user_id")]
+    df, path = staged
+    for start in (S.start_profile, S.start_bounded_profile):
+        versions = Versions(fresh_dir(spark, "stream"))
+        start(S.stream_files(spark, path, df.schema), columns, versions).awaitTermination()
+        state = versions.state(spark, versions.last_batch(spark))
+        for n in (1, 7, 64):
+            got = S.load_of_state(state, n)
+            expected = load.hash_bucket_load(df, columns, n)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+        with pytest.raises(ValueError, match="divide"):
+            S.load_of_state(state, 11)
 
 
 def test_replayed_batch_gives_the_same_state(spark, staged):
@@ -200,3 +229,5 @@ def test_final_summary(spark, staged):
     row = S.final_summary(spark, versions, {"user_id": "bigint"}, workers=4).first()
     assert [c["column"] for c in row.column_stats] == COLUMNS
     assert row.loads[0].load.num_workers == 4 and len(row.hints) == 2
+    rows = staged[0].count()
+    assert [entry.load.total_rows for entry in row.loads] == [rows, rows]
