@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from keybalance.functions.hashing import sha256_cells
@@ -56,22 +60,94 @@ def cms_cells(freq: DataFrame, shape: CmsShape = CmsShape()) -> DataFrame:
     return _summed(_hashed(freq, shape, "n"))
 
 
+class KeyTable:
+    """Counts of a task's keys, hashed together when the table is full or the task ends.
+
+    A key that repeats within the table is hashed once. The table holds ``SLOTS`` keys and
+    ``SLOT_BYTES`` of their text at most; the cells are depth * width numbers.
+    """
+
+    SLOTS, SLOT_BYTES = 1 << 16, 32 << 20
+
+    def __init__(self, shape: CmsShape):
+        self.shape = shape
+        self.counts: dict[str, int] = {}
+        self.size = 0
+        self.cells = np.zeros((shape.depth, shape.width), np.int64)
+
+    def add(self, keys: pa.Array, counts: pa.Array) -> None:
+        held = self.counts
+        for key, n in zip(keys.to_pylist(), counts.to_pylist()):
+            if key is None:
+                continue
+            before = held.get(key)
+            if before is None:
+                self.size += len(key)
+                before = 0
+            held[key] = before + n
+            if len(held) >= self.SLOTS or self.size >= self.SLOT_BYTES:
+                self.flush()
+
+    def flush(self) -> None:
+        """The table's keys go to their cells: eight numbers of 32 bits from each digest."""
+        n = np.fromiter(self.counts.values(), np.int64, len(self.counts))
+        for first in range(0, self.shape.depth, 8):
+            suffix = f"#{first // 8}" if first else ""
+            digests = b"".join(sha256(f"{k}{suffix}".encode()).digest() for k in self.counts)
+            numbers = np.frombuffer(digests, ">u4").reshape(-1, 8).astype(np.int64) % self.shape.width
+            for row in range(first, min(first + 8, self.shape.depth)):
+                np.add.at(self.cells[row], numbers[:, row - first], n)
+        self.counts.clear()
+        self.size = 0
+
+    def rows(self, column: str) -> pa.RecordBatch:
+        self.flush()
+        row, cell = np.nonzero(self.cells)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([column] * len(row), pa.string()),
+                pa.array(row, pa.int32()),
+                pa.array(cell, pa.int32()),
+                pa.array(self.cells[row, cell]),
+            ],
+            names=["column", "row", "cell", "n"],
+        )
+
+
 def scan_cells(
     df: DataFrame,
     columns: str | Iterable[Candidate],
     shape: CmsShape = CmsShape(),
     weight: str | None = None,
 ) -> DataFrame:
-    """Sketch straight from the rows: the shuffle carries depth * width cells a task, no keys."""
-    n = F.lit(1).cast("bigint")
+    """Sketch straight from the rows: the shuffle carries depth * width cells a task, no keys.
+
+    Tasks count equal keys of an Arrow batch first, then in a table of bounded size, and hash
+    what the table holds: text is hashed once per distinct key and table, not once per row.
+    """
+    candidates = parse_candidates(columns, df.columns)
+    names = [candidate_name(c) for c in candidates]
+    inputs = [key_text(df, c).alias(f"k{i}") for i, c in enumerate(candidates)]
     if weight:
         w = column_ref(weight)
-        n = F.when(w < 1, F.raise_error(F.lit("weights must be at least 1"))).otherwise(w)
-    rows = [
-        F.struct(F.lit(candidate_name(c)).alias("column"), key_text(df, c).alias("key"), n.alias("n"))
-        for c in parse_candidates(columns, df.columns)
-    ]
-    return _summed(_hashed(df.select(F.inline(F.array(*rows))), shape, "n"))
+        checked = F.when(w < 1, F.raise_error(F.lit("weights must be at least 1"))).otherwise(w)
+        inputs.append(checked.cast("bigint").alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [KeyTable(shape) for _ in names]
+        for batch in batches:
+            for i, table in enumerate(tables):
+                if weight:
+                    pairs = pa.table({"k": batch.column(i), "n": batch.column("n")})
+                    summed = pairs.group_by("k").aggregate([("n", "sum")])
+                    table.add(summed.column("k"), summed.column("n_sum"))
+                else:
+                    counted = pc.value_counts(batch.column(i))
+                    table.add(counted.field("values"), counted.field("counts"))
+        for name, table in zip(names, tables):
+            yield table.rows(name)
+
+    return _summed(df.select(*inputs).mapInArrow(count, "column string, row int, cell int, n bigint"))
 
 
 def cms_total(cells: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from keybalance.functions.hashing import row_identity, row_salt
 from keybalance.functions.keys import column_ref
@@ -45,10 +47,10 @@ _MERGES = {
     "approx_distinct": (F.hll_sketch_agg, F.hll_union_agg, F.hll_sketch_estimate),
     "collect_list": (F.collect_list, F.collect_list, F.flatten),
 }
-# Functions that group by key and value first, which spreads a key over its values.
+# Functions of a key's distinct values and how often each occurs.
 _BY_VALUE = {
-    "count_distinct": lambda: F.count("__value"),
-    "median": lambda: F.percentile("__value", F.lit(0.5), F.col("__n")),
+    "count_distinct": lambda value, n: F.count(value),
+    "median": lambda value, n: F.percentile(value, F.lit(0.5), n),
 }
 
 
@@ -82,6 +84,41 @@ def _with_pieces(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFram
     )
 
 
+def _value_counts(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """(__key0.., __value0.., __n, __g): rows per key and value of each column, in one scan.
+
+    Row sets of several columns are told apart by ``__g``, the place of the column.
+    """
+    ks = [f"__key{i}" for i in range(len(keys))]
+    vs = [f"__value{i}" for i in range(len(values))]
+    wide = df.select(
+        *[column_ref(k).alias(n) for k, n in zip(keys, ks)],
+        *[column_ref(v).alias(n) for v, n in zip(values, vs)],
+    )
+    count = F.count(F.lit(1)).alias("__n")
+    if len(vs) == 1:
+        return wide.groupBy(*ks, *vs).agg(count).withColumn("__g", F.lit(0))
+    sets = wide.groupingSets([[*ks, v] for v in vs], *ks, *vs)
+    # Of the set with column i, every bit of the others is set.
+    every, last = (1 << len(vs)) - 1, len(vs) - 1
+    place = F.grouping_id()
+    number = F.coalesce(*[F.when(place == every - (1 << (last - i)), F.lit(i)) for i in range(len(vs))])
+    return sets.agg(count, number.alias("__g"))
+
+
+def _by_value(
+    df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, str]]
+) -> DataFrame:
+    """(__key0.., __rows, *wanted): functions of a key's values, which spreads a key over its values."""
+    values = list(dict.fromkeys(col for _, col in wanted.values()))
+    counted = _value_counts(df, keys, values)
+    of = lambda col: F.when(F.col("__g") == values.index(col), F.col(f"__value{values.index(col)}"))
+    return counted.groupBy(*[f"__key{i}" for i in range(len(keys))]).agg(
+        F.sum(F.when(F.col("__g") == 0, F.col("__n"))).alias("__rows"),
+        *[_BY_VALUE[func](of(col), F.col("__n")).alias(out) for out, (func, col) in wanted.items()],
+    )
+
+
 def salted_aggregate(
     df: DataFrame,
     keys: Sequence[str],
@@ -95,17 +132,20 @@ def salted_aggregate(
     approx_distinct, collect_list, count_distinct, median. ``count`` of ``*`` counts rows. A
     key with more than 1/``parts`` of the rows is cut into as many pieces as parts that it fills
     (twice the shuffle partitions by default); light keys have one. A hot null key is
-    cut as well. ``count_distinct`` and ``median`` count each value of a key first.
+    cut as well.
+
+    The input is scanned three times at most: ``count_distinct`` and ``median`` share one count of
+    keys and values, which also tells the hot keys; without them, finding these takes two scans.
 
     Spark's own partial aggregation already shrinks sums and counts before the shuffle;
-    this pays off where the state per group stays large, as for lists.
+    this pays off where the state per group stays large, as for lists. For other
+    functions see ``salted_apply``.
     """
-    partial, final, by_value = [], [], {}
+    partial, final = [], []
+    by_value = {out: wanted for out, wanted in aggregates.items() if wanted[0] in _BY_VALUE}
     for out, (func, col) in aggregates.items():
         value = F.lit(1) if col == "*" else column_ref(col)
-        if func in _BY_VALUE:
-            by_value[out] = (func, value)
-        elif func == "avg":
+        if func == "avg":
             partial += [F.sum(value).alias(f"{out}__s"), F.count(value).alias(f"{out}__c")]
             count = F.sum(f"{out}__c")
             final.append(F.when(count > 0, F.sum(f"{out}__s") / count).alias(out))
@@ -114,38 +154,79 @@ def salted_aggregate(
             partial.append(first(value).alias(f"{out}__p"))
             merged = merge(f"{out}__p")
             final.append((turn(merged) if turn else merged).alias(out))
-        else:
+        elif func not in _BY_VALUE:
             known = sorted([*_MERGES, *_BY_VALUE, "avg"])
             raise ValueError(f"no aggregate {func!r}; there are {known}")
     refs = [column_ref(k) for k in keys]
+    names = [f"__key{i}" for i in range(len(keys))]
     parts = _shares(df.sparkSession, parts)
+    values = _by_value(df, keys, by_value) if by_value else None
+    if by_value and not partial:
+        renamed = [F.col(n).alias(k) for n, k in zip(names, keys)]
+        return values.select(*renamed, *aggregates)
+    hot = hot_pieces(df, keys, parts) if values is None else _hot_of(values, df, names, parts)
     row = F.xxhash64(*row_identity(df, identity))
-    pieces = _with_pieces(df.withColumn("__row", row), keys, hot_pieces(df, keys, parts))
+    pieces = _with_pieces(df.withColumn("__row", row), keys, hot)
     merged = (
         pieces.groupBy(*refs, F.pmod("__row", "__pieces").alias("__salt"))
         .agg(F.count(F.lit(1)).alias("__rows"), *partial)
         .groupBy(*refs)
-        .agg(F.sum("__rows").alias("__rows"), *final)
+        .agg(*final)
     )
-    for out, (func, value) in by_value.items():
-        names = [f"__key{i}" for i in range(len(keys))]
-        counted = (
-            df.select(*[r.alias(n) for r, n in zip(refs, names)], value.alias("__value"))
-            .where(F.col("__value").isNotNull())
-            .groupBy(*names, "__value")
-            .agg(F.count(F.lit(1)).alias("__n"))
-            .groupBy(*names)
-            .agg(_BY_VALUE[func]().alias(out))
-        )
-        same = F.lit(True)
-        for r, n in zip(refs, names):
-            same = same & r.eqNullSafe(F.col(n))
-        merged = merged.join(counted, same, "left").drop(*names)
-        if func == "count_distinct":
-            merged = merged.withColumn(out, F.coalesce(out, F.lit(0)))
+    if values is not None:
+        same = reduce(lambda a, b: a & b, [r.eqNullSafe(F.col(n)) for r, n in zip(refs, names)])
+        merged = merged.join(values.drop("__rows"), same, "left").drop(*names)
     return merged.select(*refs, *aggregates)
 
 
+def _hot_of(values: DataFrame, df: DataFrame, names: list[str], parts: int) -> DataFrame:
+    """As ``hot_pieces``, from rows per key that are counted already; fewer than ``parts`` rows.
+
+    The number of all rows is a scalar subquery that reads no column.
+    """
+    total = df.agg(F.count(F.lit(1))).scalar()
+    rows = F.col("__rows") * parts
+    pieces = F.ceil(F.col("__rows") * parts / total).cast("int")
+    return values.where(rows > total).select(*names, pieces.alias("__pieces"))
+
+
+def salted_apply(
+    df: DataFrame,
+    keys: Sequence[str],
+    partial: Callable[[pd.DataFrame], pd.DataFrame],
+    merge: Callable[[pd.DataFrame], pd.DataFrame],
+    partial_schema: T.StructType | str,
+    schema: T.StructType | str,
+    parts: int | None = None,
+    identity: list[str] | None = None,
+) -> DataFrame:
+    """Group by ``keys`` with functions of your own: ``partial`` per piece of a key, then ``merge``.
+
+    ``partial`` gets rows of one key, at most about 1/``parts`` of the table, and returns what is to
+    be merged, with the key columns; ``merge`` gets all that of one key. Both are pandas functions as
+    in ``applyInPandas``. A light key has one piece.
+    """
+    refs = [column_ref(k) for k in keys]
+    row = F.xxhash64(*row_identity(df, identity))
+    parts = _shares(df.sparkSession, parts)
+    cut = _with_pieces(df.withColumn("__row", row), keys, hot_pieces(df, keys, parts))
+    salted = cut.withColumn("__salt", F.pmod("__row", "__pieces")).drop("__row", "__pieces")
+
+    def of_piece(rows: pd.DataFrame) -> pd.DataFrame:
+        return partial(rows.drop(columns="__salt"))
+
+    by_piece = salted.groupBy(*refs, "__salt").applyInPandas(of_piece, partial_schema)
+    return by_piece.groupBy(*refs).applyInPandas(merge, schema)
+
+
+#: Joins by the name that Spark gives them.
+_JOINS = {
+    "inner": "inner", "left": "left", "left_outer": "left", "right": "right", "right_outer": "right",
+    "outer": "full", "full": "full", "full_outer": "full", "left_semi": "left_semi", "semi": "left_semi",
+    "left_anti": "left_anti", "anti": "left_anti",
+}
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,
@@ -159,26 +240,36 @@ def salted_join(
     Hot keys hold more than 1/``hot_share`` of the rows of ``big`` (by default half of
     what a shuffle partition holds), so there are fewer than ``hot_share`` of them, and each is
     cut into as many pieces as it holds such shares. Only their rows in ``small`` are
-    copied, once per piece. Every row of ``big`` meets exactly one copy, which holds
-    for joins that keep or filter ``big`` only.
+    copied, once per piece, and every row of ``big`` meets exactly one copy.
+
+    Right and full joins also keep the rows of ``small`` that match nothing. A copied row always
+    matches: its key is hot, so ``big`` has it. So copies that met no row are dropped, and what
+    was not copied is kept as it is. Rows with a null in their key match nothing and are not copied.
     """
-    if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
-        raise ValueError(f"salted join supports inner, left, left_semi, left_anti; got {how!r}")
+    kind = _JOINS.get(how)
+    if kind is None:
+        raise ValueError(f"no join {how!r}; there are {sorted(_JOINS)}")
     on = list(on)
     hot = hot_pieces(big, on, _shares(big.sparkSession, hot_share))
     row = F.xxhash64(*row_identity(big, identity))
-    # A hot null key matches nothing, but a left join keeps its rows: it is cut as well.
+    # A hot null key matches nothing, but outer joins keep its rows: it is cut as well.
     left = (
         _with_pieces(big.withColumn("__row", row), on, hot)
         .withColumn("__salt", F.pmod("__row", "__pieces").cast("int"))
         .drop("__row", "__pieces")
     )
+    no_key = reduce(lambda a, b: a | b, [column_ref(c).isNull() for c in on])
     right = (
         _with_pieces(small, on, hot)
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1)))
+        .withColumn("__copies", F.when(no_key, F.lit(1)).otherwise(F.col("__pieces")))
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
         .drop("__pieces")
     )
-    return left.join(right, [*on, "__salt"], how).drop("__salt")
+    if kind not in ("right", "full"):
+        return left.join(right.drop("__copies"), [*on, "__salt"], kind).drop("__salt")
+    joined = left.withColumn("__met", F.lit(True)).join(right, [*on, "__salt"], kind)
+    unmet_copy = F.col("__met").isNull() & (F.col("__copies") > 1)
+    return joined.where(~unmet_copy).drop("__salt", "__met", "__copies")
 
 
 def repartition_by_key(

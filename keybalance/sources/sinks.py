@@ -31,14 +31,15 @@ def write_partitioned(
     small ones, where a plain ``repartition(n, key)`` leaves a hot key to one task.
     """
     refs = [column_ref(c) for c in columns]
-    keys = df.select(*refs).distinct()
-    if keys.limit(max_directories + 1).count() > max_directories:
+    # One pass over the key columns; the driver gets a row per directory at most.
+    keys = df.select(*refs).distinct().limit(max_directories + 1).collect()
+    if len(keys) > max_directories:
         raise ValueError(
             f"{list(columns)} has more distinct keys than the {max_directories} "
             "directories allowed; partition on a coarser key"
         )
-    for name, ref in zip(columns, refs):
-        if isinstance(df.schema[name].dataType, T.StringType) and not keys.where(ref == "").isEmpty():
+    for i, name in enumerate(columns):
+        if any(key[i] == "" for key in keys):
             raise ValueError(f"{name!r} holds empty strings, which no directory can tell from null")
     hint = [*([n] if n else []), *refs]
     (

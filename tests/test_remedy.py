@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,13 +73,16 @@ def test_salted_aggregate_equals_group_by(hot):
         remedy.salted_aggregate(hot, ["k"], {"x": ("mode", "value")})
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full", "left_semi", "left_anti"])
 def test_salted_join_equals_join(spark, hot, how):
     big = hot.select("event_id", "k")
     # Several rows per key, a key that is absent, and a null key.
     small = spark.createDataFrame(
-        [(i % 100, f"v{i}") for i in range(150)] + [(None, "null"), (-5, "absent")], "k bigint, v string"
+        [(i % 100, f"v{i}") for i in range(150)] + [(None, "null"), (None, "null"), (-5, "absent"), (-5, "absent")],
+        "k bigint, v string",
     )
+    # The null key and the zero key of the big side are hot, and so is what they are cut into.
+    assert {r["__key0"] for r in remedy.hot_pieces(big, ["k"], 20).collect()} == {None, 0}
     same(remedy.salted_join(big, small, ["k"], how, hot_share=20), big.join(small, ["k"], how))
 
 
@@ -106,9 +110,64 @@ def test_salted_join_on_two_columns(hot):
     same(remedy.salted_join(big, small, on, "left", hot_share=30), big.join(small, on, "left"))
 
 
+@pytest.mark.parametrize("how", ["right_outer", "full_outer"])
+def test_outer_joins_on_two_columns(hot, how):
+    big = hot.select("event_id", "k", "event_type")
+    small = hot.groupBy("k", "event_type").agg(F.max("value").alias("m"))
+    more = small.withColumn("k", F.col("k") + 10_000).unionByName(small).unionByName(small.limit(0))
+    on = ["k", "event_type"]
+    same(remedy.salted_join(big, more, on, how, hot_share=30), big.join(more, on, how))
+
+
+def test_outer_joins_without_rows_on_one_side(hot):
+    big, none = hot.select("event_id", "k"), hot.select("k", "value").limit(0)
+    for how in ("right", "full"):
+        same(remedy.salted_join(big, none, ["k"], how), big.join(none, ["k"], how))
+        same(remedy.salted_join(none, big, ["k"], how), none.join(big, ["k"], how))
+
+
 def test_salted_join_rejects_other_joins(hot):
     with pytest.raises(ValueError):
-        remedy.salted_join(hot, hot, ["k"], "full")
+        remedy.salted_join(hot, hot, ["k"], "cross")
+
+
+def scans(df):
+    """Scans of the input in the plan that ran; reused exchanges count once."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return plan.count("FileScan parquet")
+
+
+def test_salted_aggregate_scans_three_times_at_most(hot):
+    lists = {"types": ("collect_list", "event_type"), "n": ("count", "*")}
+    exact = {"d": ("count_distinct", "event_type"), "m": ("median", "value"), "d2": ("count_distinct", "value")}
+    for wanted in (lists, exact, lists | exact):
+        assert scans(remedy.salted_aggregate(hot, ["k"], wanted, parts=20)) <= 3
+
+
+def test_salted_apply_of_own_functions(hot):
+    """The three largest values and the number of rows of a key, merged from pieces."""
+    rows = hot.select(F.coalesce(F.col("k").cast("string"), F.lit("none")).alias("k"), "value", "event_id")
+
+    def partial(piece):
+        best = sorted(piece["value"], reverse=True)[:3]
+        return pd.DataFrame({"k": [piece["k"].iloc[0]], "n": [len(piece)], "best": [best]})
+
+    def merge(parts):
+        best = sorted((v for one in parts["best"] for v in one), reverse=True)[:3]
+        return pd.DataFrame(
+            {"k": [parts["k"].iloc[0]], "n": [parts["n"].sum()], "best": [best], "pieces": [len(parts)]}
+        )
+
+    schema = "k string, n bigint, best array<double>"
+    got = remedy.salted_apply(rows, ["k"], partial, merge, schema, f"{schema}, pieces int", 20, ["event_id"])
+    plain = rows.groupBy("k").agg(
+        F.count(F.lit(1)).alias("n"), F.slice(F.reverse(F.array_sort(F.collect_list("value"))), 1, 3).alias("best")
+    )
+    same(got.drop("pieces"), plain)
+    pieces = {r.k: r.pieces for r in got.collect()}
+    assert pieces["0"] > 1 and pieces["none"] > 1
+    assert min(pieces.values()) == 1
 
 
 def test_repartition_by_key(events):

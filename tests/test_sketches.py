@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keybalance.operators import bounded, cms, frequency
+from keybalance.operators.frequency import key_frequency
 
 
 def freq(df, **kw):
@@ -110,3 +111,26 @@ def test_cms_shape():
     for epsilon, delta in ((0, 0.05), (1, 0.05), (0.05, 0), (0.05, 1)):
         with pytest.raises(ValueError):
             cms.CmsShape(epsilon, delta)
+
+
+@pytest.mark.parametrize("slots", [1, 3, 1 << 16])
+def test_scanned_cells_are_those_of_the_counts(spark, events, slots, monkeypatch):
+    """Keys that repeat, keys that do not, nulls, and a table that is often full."""
+    df = events.limit(2000).withColumn("k", F.when(F.col("event_id") % 3 > 0, F.col("event_type")))
+    columns = ["k", "event_id", ("event_type", "user_id")]
+    shape = cms.CmsShape(0.05, 0.0001)  # more rows than one digest has numbers for
+    monkeypatch.setattr(cms.KeyTable, "SLOTS", slots)
+    order = ["column", "row", "cell", "cnt"]
+    found = cms.scan_cells(df, columns, shape).select(*order).collect()
+    assert shape.depth > 8
+    assert sorted(found) == sorted(cms.cms_cells(key_frequency(df, columns), shape).select(*order).collect())
+
+
+def test_scanned_weights(spark, events):
+    df = events.limit(500).withColumn("w", F.col("event_id") % 5 + 1)
+    order = ["column", "row", "cell", "cnt"]
+    found = cms.scan_cells(df, ["event_type"], weight="w").select(*order).collect()
+    counted = cms.cms_cells(key_frequency(df, ["event_type"], weight="w")).select(*order).collect()
+    assert sorted(found) == sorted(counted)
+    with pytest.raises(Exception, match="at least 1"):
+        cms.scan_cells(df, ["event_type"], weight="event_id").collect()

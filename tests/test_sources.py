@@ -66,6 +66,54 @@ def test_damaged_arrow_file_is_an_error(spark, tmp_path):
         arrow_ipc.read_arrow_ipc(spark, str(tmp_path), "k int").collect()
 
 
+def arrow_file(path, rows, size, opener=ipc.new_file, **options):
+    table = pa.table({"n": pa.array(range(rows), pa.int64()), "k": pa.array([f"k{i % 7}" for i in range(rows)]).dictionary_encode()})
+    with pa.OSFile(str(path), "wb") as sink, opener(sink, table.schema, options=ipc.IpcWriteOptions(**options)) as writer:
+        writer.write_table(table, max_chunksize=size)
+
+
+@pytest.mark.parametrize("options", [{}, {"compression": "zstd"}])
+def test_one_arrow_file_is_read_by_many_tasks(spark, tmp_path, options):
+    arrow_file(tmp_path / "big.arrow", 10_000, 100, **options)
+    df = arrow_ipc.read_arrow_ipc(spark, str(tmp_path / "big.arrow"), "n bigint, k string")
+    tasks = df.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in tasks) <= 3000
+    assert sorted(map(tuple, df.collect())) == [(i, f"k{i % 7}") for i in range(10_000)]
+    one_batch = arrow_ipc.read_arrow_ipc(spark, str(tmp_path), "n bigint", split_bytes=1)
+    assert 8 < one_batch.rdd.getNumPartitions() < 100 and one_batch.count() == 10_000
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+
+
+def test_arrow_streams_are_read_in_order_by_one_task(spark, tmp_path):
+    arrow_file(tmp_path / "s.arrows", 5000, 64, ipc.new_stream)
+    df = arrow_ipc.read_arrow_ipc(spark, str(tmp_path), split_bytes=1000)
+    assert df.select(F.spark_partition_id().alias("p")).distinct().count() == 1
+    assert [r.n for r in df.collect()] == list(range(5000))
+
+
+def test_arrow_files_that_only_spark_reaches(spark, tmp_path, monkeypatch):
+    arrow_file(tmp_path / "f.arrow", 500, 10)
+    arrow_file(tmp_path / "s.arrow", 300, 10, ipc.new_stream)
+    monkeypatch.setattr(arrow_ipc, "_reachable", lambda path: False)
+    df = arrow_ipc.read_arrow_ipc(spark, str(tmp_path))
+    assert df.columns == ["n", "k"] and df.count() == 800
+    assert "content" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_arrow_addresses(tmp_path):
+    assert arrow_ipc.located("file:/a b%20/c")[1] == "/a b%20/c"
+    assert arrow_ipc.located("file:///x")[1] == "/x"
+    assert not arrow_ipc._reachable("viewfs://store/in/x.arrow")
+    assert not arrow_ipc._reachable(f"file:{tmp_path}/absent.arrow")
+
+
+def test_empty_arrow_files(spark, tmp_path):
+    arrow_file(tmp_path / "none.arrow", 0, 10)
+    df = arrow_ipc.read_arrow_ipc(spark, str(tmp_path))
+    assert df.columns == ["n", "k"] and df.count() == 0
+
+
 def test_staged_arrow(spark, events):
     same(arrow_ipc.read_arrow_ipc(spark, staging.stage_arrow_ipc(events.repartition(3)), events.schema), events)
 
