@@ -137,17 +137,33 @@ def null_counts(spark, sf_dir):
     return rows.withColumn("null_fraction", F.round("null_fraction", 6))
 
 
+def footer_counts(spark, sf_dir):
+    """Row and null counts from footers, of a copy with null keys that Spark writes."""
+    path = fresh_dir(spark, "hot")
+    _hot(spark, sf_dir).write.parquet(path)
+    rows = tables.footer_counts(spark, path, ["hot_key", "event_type", "ts"])
+    return rows.withColumn("null_fraction", F.round("null_fraction", 6))
+
+
 def top_k_keys(spark, sf_dir):
     freq = frequency.key_frequency(_table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"])
     return frequency.top_keys(freq)
 
 
 def approx_top_k(spark, sf_dir):
-    """Exact top keys through hash buckets, of columns with few and with many keys."""
+    """Exact top keys of columns with few and with many keys; small input is counted at once."""
     lineitem = _table(spark, sf_dir, "lineitem")
     return bounded.bucketed_top_keys(lineitem, ["l_partkey", "l_orderkey", "l_returnflag"])
 
 
+def refined_top_k(spark, sf_dir):
+    """The same through hash buckets level by level, also of a column in which all counts are equal."""
+    lineitem = _table(spark, sf_dir, "lineitem").withColumn(
+        "line", F.concat_ws("-", "l_orderkey", "l_linenumber")
+    )
+    return bounded.bucketed_top_keys(lineitem, ["l_partkey", "l_orderkey", "line"], direct_bytes=0)
+
+
 def heavy_keys(spark, sf_dir):
     found = heavy.heavy_keys(_hot(spark, sf_dir), ["hot_key"], 25)
     return found.select(F.col("hot_key").cast("bigint").alias("hot_key"), "n", "total")
@@ -518,6 +534,32 @@ def salted_join(spark, sf_dir):
     return remedy.salted_join(events, customers, ["c_custkey"], "left", hot_share=50)
 
 
+def salted_outer_join(spark, sf_dir):
+    """Events without a customer, customers without an event, and a null key on both sides."""
+    events = _hot(spark, sf_dir).select("event_id", F.col("hot_key").alias("c_custkey"))
+    customers = _table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_custkey") % 10 > 0, F.col("c_custkey")).alias("c_custkey"), "c_name"
+    )
+    return remedy.salted_join(events, customers, ["c_custkey"], "full", hot_share=50)
+
+
+def salted_apply(spark, sf_dir):
+    """Own functions per key, hot keys in pieces: rows, and the three largest values."""
+    rows = _hot(spark, sf_dir).select(
+        F.coalesce(F.col("hot_key").cast("string"), F.lit("none")).alias("key"), "event_id", "value"
+    )
+
+    def partial(piece):
+        return piece.nlargest(3, "value")[["key", "value"]].assign(n=len(piece) / min(3, len(piece)))
+
+    def merge(parts):
+        best = ",".join(f"{v:.6f}" for v in parts["value"].nlargest(3))
+        return parts.head(1)[["key"]].assign(n=round(parts["n"].sum()), best=best)
+
+    schemas = "key string, value double, n double", "key string, n bigint, best string"
+    return remedy.salted_apply(rows, ["key"], partial, merge, *schemas, parts=20, identity=["event_id"])
+
+
 def repartition_by_key(spark, sf_dir):
     """Partitions that hold rows of a key, per key, and its rows."""
     laid_out = remedy.repartition_by_key(_table(spark, sf_dir, "orders"), ["o_custkey"], 16)
@@ -693,6 +735,8 @@ QUERIES = [
     null_counts,
     top_k_keys,
     approx_top_k,
+    refined_top_k,
+    footer_counts,
     heavy_keys,
     skew_ratio,
     entropy,
@@ -726,6 +770,8 @@ QUERIES = [
     salted_row_totals,
     salted_aggregate,
     salted_join,
+    salted_outer_join,
+    salted_apply,
     repartition_by_key,
     batch_snapshots,
     unique_key_snapshots,

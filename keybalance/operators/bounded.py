@@ -14,14 +14,20 @@ from keybalance.functions.keys import (
     parse_candidates,
     resolve_key,
 )
-from keybalance.operators.frequency import TOP_K, top_keys
+from keybalance.operators.frequency import TOP_K, key_frequency, top_keys
+from keybalance.sources.tables import input_bytes
 from keybalance.workdir import written
 
 #: Registers of the built-in distinct sketch, as a power of two.
 SKETCH_BITS = 14
-BUCKETS = 1 << 16
-#: The floor is taken among the keys of this many times k buckets.
-LEADERS = 4
+#: Bits of the key's hash that tell buckets apart, level by level.
+LEVELS = (18, 40, 64)
+#: Open buckets that the next level is limited to; with more of them it counts all rows.
+OPEN_BUCKETS = 1 << 17
+#: Keys of equal count that are looked at by text to bound the texts that can rank.
+TIED_KEYS = 4096
+#: Input up to this size is counted by key at once.
+DIRECT_BYTES = 1 << 30
 
 # Types that the built-in distinct sketch takes as they are.
 _SKETCHABLE = (T.IntegerType, T.LongType, T.StringType, T.BinaryType)
@@ -94,41 +100,114 @@ def merged_sketches(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.groupBy("column").agg(F.hll_union_agg("distinct").alias("distinct"))
 
 
+def _level(rows: DataFrame, bits: int) -> DataFrame:
+    """Rows per bucket of the first ``bits`` of the key's hash, with the smallest and largest hash in it."""
+    counts = rows.groupBy("column", _bucket(bits).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("h").alias("low"), F.max("h").alias("high")
+    )
+    return written(counts, f"buckets-{bits}")
+
+
+def _bucket(bits: int) -> Column:
+    return F.shiftrightunsigned("h", 64 - bits) if bits < 64 else F.col("h")
+
+
+def _floors(known: DataFrame, k: int) -> DataFrame:
+    """(column, floor): the k-th largest count per column; no row for a column with fewer."""
+    order = Window.partitionBy("column").orderBy(F.desc("n"), "h")
+    ranked = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.where(F.col("rank") == k).select("column", F.col("n").alias("floor"))
+
+
+def _resolved(rows: DataFrame, k: int, levels: tuple[int, ...]) -> DataFrame:
+    """(column, h, n): rows per key hash, for all keys that can be among the first k."""
+    known, within, bits_before = None, None, 0
+    for bits in levels:
+        asked = rows
+        if within is not None:
+            asked = rows.withColumn("bucket", _bucket(bits_before)).join(
+                F.broadcast(within), ["column", "bucket"], "left_semi"
+            )
+        counts = _level(asked, bits)
+        single = counts.where("low = high").select("column", F.col("low").alias("h"), "n")
+        known = single if known is None or within is None else known.unionByName(single)
+        # Two keys or more share the bucket's rows, so each has fewer than all of them.
+        shared = counts.where("low <> high").join(F.broadcast(_floors(known, k)), "column", "left")
+        open_ = written(
+            shared.where(F.col("n") > F.coalesce("floor", F.lit(0))).select("column", "bucket"), "open"
+        )
+        number = open_.count()
+        if number == 0:
+            return known
+        within, bits_before = (open_ if number <= OPEN_BUCKETS else None), bits
+    raise ValueError(f"the last level must have 64 bits, got {levels}")
+
+
 def bucketed_top_keys(
-    df: DataFrame, columns: str | Iterable[Candidate], k: int = TOP_K, buckets: int = BUCKETS
+    df: DataFrame,
+    columns: str | Iterable[Candidate],
+    k: int = TOP_K,
+    levels: tuple[int, ...] = LEVELS,
+    direct_bytes: int = DIRECT_BYTES,
 ) -> DataFrame:
-    """(column, rank, key, n): the exact top k keys, counting by key only where it matters.
+    """(column, rank, key, n): the exact top k keys; only keys that can rank are counted by text.
+
+    Rows are counted per bucket of the key's hash, with the smallest and the largest hash in it. A
+    bucket with one hash has one key, whose count is then known; the k-th of those is a floor. A bucket of
+    several keys is split by further bits of the hash only if its rows, less one, still reach the
+    floor. What tasks send at a level are numbers, as many as buckets have rows, no text.
 
-    A key cannot be more frequent than its hash bucket. Rows are counted per bucket
-    first (a fixed number of small rows per task); the keys of the fullest buckets are
-    counted exactly, and the k-th of them is a floor for the k-th of all. Then only rows
-    of buckets at or above the floor are counted by key. No key above the floor can be
-    missed; a column of many equally frequent keys costs as much as a full count.
+    Keys above the floor are fewer than k. If a great many have just its count, the smallest
+    texts rank: the k-th smallest of a fixed number of those keys bounds the texts that are counted.
+    So neither many keys nor equal counts make the keys themselves move.
+
+    Keys are told apart by 64 bits of hash until they are counted by text. Input of up to
+    ``direct_bytes`` is counted by key at once.
     """
+    if k < 1:
+        raise ValueError(f"k must be at least 1, got {k}")
+    requested = parse_candidates(columns, df.columns)
+    size = input_bytes(df)
+    if size is not None and size <= direct_bytes:
+        return top_keys(key_frequency(df, requested), k)
     named = [
         F.struct(F.lit(candidate_name(c)).alias("column"), key_text(df, c).alias("key"))
-        for c in parse_candidates(columns, df.columns)
+        for c in requested
     ]
     rows = (
         df.select(F.inline(F.array(*named)))
         .where(F.col("key").isNotNull())
-        .withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+        .withColumn("h", F.xxhash64("key"))
     )
-    counts = written(
-        rows.groupBy("column", "bucket").agg(F.count(F.lit(1)).alias("n")), "bucket-counts"
+    known = _resolved(rows, k, levels)
+    over = F.col("n") > F.coalesce("floor", F.lit(0))
+    ranking = written(
+        known.join(F.broadcast(_floors(known, k)), "column", "left")
+        .where(F.col("n") >= F.coalesce("floor", F.lit(0)))
+        .select("column", "h", (over & F.col("floor").isNotNull()).alias("sure"))
+        .withColumn("place", F.row_number().over(Window.partitionBy("column", "sure").orderBy("h")))
+        .where(F.col("sure") | (F.col("place") <= TIED_KEYS + 1)),
+        "ranking",
     )
-
-    def counted(chosen: DataFrame) -> DataFrame:
-        """Counts by key in the chosen buckets: ``buckets`` rows a column at most, so broadcast."""
-        return (
-            rows.join(F.broadcast(chosen.select("column", "bucket")), ["column", "bucket"])
-            .groupBy("column", "key")
-            .agg(F.count(F.lit(1)).alias("n"))
+    # At most k + TIED_KEYS + 1 rows per column, as are the keys below.
+    wanted = F.broadcast(ranking.select("column", "h", F.lit(True).alias("wanted")))
+    crowded = ranking.where(F.col("place") > TIED_KEYS).select("column").distinct()
+    tied = ranking.where(~F.col("sure")).join(F.broadcast(crowded), "column", "left_semi")
+    texts = rows.join(F.broadcast(tied.select("column", "h")), ["column", "h"], "left_semi")
+    by_text = Window.partitionBy("column").orderBy("key")
+    last = (
+        texts.select("column", "key")
+        .distinct()
+        .withColumn("place", F.row_number().over(by_text))
+        .where(F.col("place") <= k)
+        .groupBy("column")
+        .agg(F.max("key").alias("last"))
+    )
+    counted = rows.join(wanted, ["column", "h"], "left")
+    if not crowded.isEmpty():
+        counted = counted.join(F.broadcast(last), "column", "left").where(
+            F.col("wanted") | (F.col("key") <= F.col("last"))
         )
-
-    fullest = Window.partitionBy("column").orderBy(F.desc("n"), "bucket")
-    leaders = counts.withColumn("rank", F.row_number().over(fullest)).where(F.col("rank") <= LEADERS * k)
-    kth = F.when(F.count(F.lit(1)) == k, F.min("n")).otherwise(F.lit(0))
-    floor = top_keys(counted(leaders), k).groupBy("column").agg(kth.alias("floor"))
-    suspects = counts.join(F.broadcast(floor), "column").where(F.col("n") >= F.col("floor"))
-    return top_keys(counted(suspects), k)
+    else:
+        counted = counted.where("wanted")
+    return top_keys(counted.groupBy("column", "key").agg(F.count(F.lit(1)).alias("n")), k)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from keybalance.functions.keys import column_ref
 from keybalance.sources.arrow_ipc import read_arrow_ipc
 
 
@@ -51,6 +54,50 @@ def load_table(spark: SparkSession, path: str, **csv_options) -> DataFrame:
             ) from csv_error
 
 
+#: Sizes from here on stand for "not known" in a plan.
+_UNKNOWN = 1 << 60
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the tables that ``df`` comes from, by Spark's plan; None where it does not know."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(s >= _UNKNOWN for s in sizes) else sum(sizes)
+
+
+def footer_counts(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """(column, total_rows, null_count, null_fraction) of Parquet files from their footers.
+
+    Counts are pushed down to Spark's Parquet reader (version 2), so no column is read. That
+    takes settings that hold while the query is planned, so the one row of counts is taken here. Columns of
+    nested types have no counts in a footer and are an error.
+    """
+    settings = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        counted = _counts(spark.read.parquet(path), columns)
+        row = counted.first()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    total, *held = (n or 0 for n in row)  # without any row group there is no count
+    rows = [(c, total, total - n) for c, n in zip(columns, held)]
+    out = spark.createDataFrame(rows, "column string, total_rows bigint, null_count bigint")
+    share = F.col("null_count") / F.col("total_rows")
+    return out.withColumn("null_fraction", F.when(F.col("total_rows") > 0, share).otherwise(F.lit(0.0)))
+
+
+def _counts(table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: rows, and values that are not null of each column."""
+    for name in columns:
+        if isinstance(table.schema[name].dataType, (T.ArrayType, T.MapType, T.StructType)):
+            raise ValueError(f"column {name!r} is nested: a footer has no count of it")
+    counts = [F.count(column_ref(c)).alias(f"c{i}") for i, c in enumerate(columns)]
+    return table.agg(F.count(F.lit(1)).alias("total"), *counts)
+
+
 def schema_info(df: DataFrame) -> dict[str, str]:
     """Column name -> type name."""
     return {f.name: f.dataType.simpleString() for f in df.schema.fields}

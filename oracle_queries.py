@@ -222,6 +222,16 @@ SELECT col AS "column", total AS total_rows, nulls AS null_count,
     "approx_top_k": "WITH "
     + _long("lineitem", "l_partkey", "l_orderkey", "l_returnflag")
     + f', {FREQ}, {TOP} SELECT col AS "column", key, n, CAST(rnk AS INT) AS rank FROM top',
+    "refined_top_k": """WITH long AS (
+  SELECT 'l_partkey' AS col, CAST(l_partkey AS VARCHAR) AS key FROM lineitem
+  UNION ALL SELECT 'l_orderkey', CAST(l_orderkey AS VARCHAR) FROM lineitem
+  UNION ALL SELECT 'line', l_orderkey || '-' || l_linenumber FROM lineitem), """
+    + f'{FREQ}, {TOP} SELECT col AS "column", key, n, CAST(rnk AS INT) AS rank FROM top',
+    "footer_counts": f"""WITH {HOT}, long AS (
+  SELECT 'hot_key' AS col, CAST(hot_key AS VARCHAR) AS key FROM hot
+  UNION ALL SELECT 'event_type', event_type FROM hot UNION ALL SELECT 'ts', CAST(ts AS VARCHAR) FROM hot), {TOTALS}
+SELECT col AS "column", total AS total_rows, nulls AS null_count,
+  round(nulls / total, 6) AS null_fraction FROM totals""",
     "heavy_keys": f"""WITH {HOT} SELECT hot_key, count(*) AS n, (SELECT count(*) FROM hot) AS total
 FROM hot GROUP BY hot_key HAVING count(*) * 25 > (SELECT count(*) FROM hot)""",
     "skew_ratio": SHAPES
@@ -327,6 +337,14 @@ FROM hot GROUP BY hot_key""",
 FROM hot GROUP BY hot_key""",
     "salted_join": f"""WITH {HOT} SELECT hot_key AS c_custkey, event_id, c_nationkey
 FROM hot LEFT JOIN customer ON hot_key = c_custkey""",
+    "salted_outer_join": f"""WITH {HOT}, c AS (
+  SELECT CASE WHEN c_custkey % 10 > 0 THEN c_custkey END AS k, c_name FROM customer)
+SELECT coalesce(hot_key, k) AS c_custkey, event_id, c_name FROM hot FULL JOIN c ON hot_key = k""",
+    "salted_apply": f"""WITH {HOT}, v AS (
+  SELECT coalesce({_SALTED_KEY}, 'none') AS key, value,
+    row_number() OVER (PARTITION BY hot_key ORDER BY value DESC) AS place FROM hot)
+SELECT key, count(*) AS n, string_agg(printf('%.6f', value), ',' ORDER BY place) FILTER (place <= 3) AS best
+FROM v GROUP BY key""",
     "repartition_by_key": """SELECT o_custkey, 1::BIGINT AS partitions, count(*) AS n
 FROM orders GROUP BY o_custkey""",
     "batch_snapshots": SNAPSHOTS.replace("LONG", HOT_BATCHES),

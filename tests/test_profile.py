@@ -188,16 +188,42 @@ def test_bounded_profile_equals_exact(events):
     assert exact == fixed
 
 
-@pytest.mark.parametrize("buckets", [1, 7, 1 << 16])
-@pytest.mark.parametrize("seed", range(2))
-def test_bucketed_top_keys_are_exact(keyed, seed, buckets):
-    rng = random.Random(seed)
-    keys = [None] * 50 + [f"k{int(rng.paretovariate(0.6))}" for _ in range(3000)]
-    keys += [f"u{i}" for i in range(1000)]
-    top = bounded.bucketed_top_keys(keyed(keys), "k", 15, buckets)
-    assert sorted(top.collect()) == sorted(
-        frequency.top_keys(frequency.key_frequency(keyed(keys), "k"), 15).select(*top.columns).collect()
-    )
+def top_of(df):
+    return sorted((r["column"], r["rank"], r["key"], r["n"]) for r in df.collect())
+
+
+@pytest.mark.parametrize(
+    "levels, tied, open_buckets", [((1, 4, 64), 3, 2), ((6, 64), 4096, 1 << 17), ((18, 40, 64), 3, 1 << 17)]
+)
+def test_refined_top_keys_are_exact(keyed, levels, tied, open_buckets, monkeypatch):
+    """Skewed keys, flat ones, ties at the floor; few bits, few open buckets, few tied keys looked at."""
+    monkeypatch.setattr(bounded, "TIED_KEYS", tied)
+    monkeypatch.setattr(bounded, "OPEN_BUCKETS", open_buckets)
+    rng = random.Random(len(levels) * tied)
+    skewed = [None] * 50 + [f"k{int(rng.paretovariate(0.6))}" for _ in range(1500)] + [f"u{i}" for i in range(500)]
+    flat = [f"f{i % 300}" for i in range(900)]
+    for keys in (skewed + flat, flat, ["a", "b", "b", None]):
+        df = keyed(keys)
+        exact = frequency.top_keys(frequency.key_frequency(df, "k"), 15)
+        assert top_of(bounded.bucketed_top_keys(df, "k", 15, levels, direct_bytes=0)) == top_of(exact)
+
+
+def test_equal_counts_move_few_keys(spark, monkeypatch):
+    """Of many keys with one count only those below a bound are counted by text."""
+    monkeypatch.setattr(bounded, "TIED_KEYS", 1000)
+    df = spark.range(40_000).select((F.col("id") % 20_000).cast("string").alias("k"))
+    counted = []
+    whole = bounded.top_keys
+    monkeypatch.setattr(bounded, "top_keys", lambda freq, k: counted.append(freq.count()) or whole(freq, k))
+    top = bounded.bucketed_top_keys(df, "k", 10, direct_bytes=0).orderBy("rank").collect()
+    assert [(r.key, r.n) for r in top] == [(k, 2) for k in sorted(str(i) for i in range(20_000))[:10]]
+    assert counted[0] < 3000
+
+
+def test_small_input_is_counted_at_once(events):
+    assert bounded.input_bytes(events) < bounded.DIRECT_BYTES
+    plan = bounded.bucketed_top_keys(events, "user_id")._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64" not in plan
 
 
 def test_bounded_top_keys_with_a_heavy_key(spark):
@@ -205,7 +231,7 @@ def test_bounded_top_keys_with_a_heavy_key(spark):
     df = spark.range(90_000).select(
         F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k")
     )
-    top = bounded.bucketed_top_keys(df, "k", k=1).first()
+    top = bounded.bucketed_top_keys(df, "k", k=1, direct_bytes=0).first()
     assert (top.key, top.n) == ("-1", 30_000)
     row, exact = P.profile_bounded(df, "k").first(), P.profile(df, "k").first()
     assert row.partition_counts == exact.partition_counts == [30_000] + [1] * 19

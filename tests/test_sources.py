@@ -191,3 +191,29 @@ def test_top_keys_of_a_csv_equal_those_of_its_source(spark, events):
     path = staging.stage_csv(events.select("user_id"))
     back = tables.read_csv(spark, path, schema="user_id bigint")
     same(top_keys(key_frequency(back, "user_id")), top_keys(key_frequency(events, "user_id")))
+
+
+def test_footer_counts_read_no_column(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(1000).select(
+        F.when(F.col("id") % 7 > 0, F.col("id")).alias("a.b"), F.lit(None).cast("string").alias("none"), F.array("id").alias("list")
+    )
+    df.repartition(3).write.parquet(path)
+    got = [tuple(r) for r in tables.footer_counts(spark, path, ["a.b", "none"]).collect()]
+    nulls = len(range(0, 1000, 7))
+    assert got == [("a.b", 1000, nulls, nulls / 1000), ("none", 1000, 1000, 1.0)]
+    with pytest.raises(ValueError, match="nested"):
+        tables.footer_counts(spark, path, ["list"])
+    settings = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        plan = tables._counts(spark.read.parquet(path), ["a.b"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert "COUNT(*)" in plan.split("PushedAggregation: ")[1]
+    assert {name: spark.conf.get(name) for name in settings} == before
+    spark.range(0).write.parquet(str(tmp_path / "no-rows"))
+    assert tuple(tables.footer_counts(spark, str(tmp_path / "no-rows"), ["id"]).first()) == ("id", 0, 0, 0.0)
