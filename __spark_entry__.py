@@ -21,6 +21,7 @@ from keybalance.operators import (  # noqa: E402
     advisor,
     bounded,
     cms,
+    composite,
     frequency,
     heavy,
     load,
@@ -240,6 +241,15 @@ def composite_key_profile(spark, sf_dir):
     return _flat_profile(profiles.profile(_hot(spark, sf_dir), [("event_type", "hot_key")]))
 
 
+def composite_key_search(spark, sf_dir):
+    """The best of all sets of up to three columns for a thousand partitions."""
+    columns = ["l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"]
+    best = composite.best_composite(_table(spark, sf_dir, "lineitem"), columns, 1000)
+    return best.select(
+        F.array_join("columns", "|").alias("columns"), "hottest_rows", "total_rows", "fits"
+    )
+
+
 def not_null_profile(spark, sf_dir):
     kept = frequency.not_null(_hot(spark, sf_dir), "hot_key")
     return _flat_profile(profiles.profile(kept, ["hot_key"]))
@@ -745,6 +755,7 @@ QUERIES = [
     one_column_profile,
     bounded_profile,
     composite_key_profile,
+    composite_key_search,
     not_null_profile,
     hll_registers,
     hll_estimate,

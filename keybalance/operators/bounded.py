@@ -119,7 +119,7 @@ def _floors(known: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") == k).select("column", F.col("n").alias("floor"))
 
 
-def _resolved(rows: DataFrame, k: int, levels: tuple[int, ...]) -> DataFrame:
+def key_hash_counts(rows: DataFrame, k: int, levels: tuple[int, ...]) -> DataFrame:
     """(column, h, n): rows per key hash, for all keys that can be among the first k."""
     known, within, bits_before = None, None, 0
     for bits in levels:
@@ -179,7 +179,7 @@ def bucketed_top_keys(
         .where(F.col("key").isNotNull())
         .withColumn("h", F.xxhash64("key"))
     )
-    known = _resolved(rows, k, levels)
+    known = key_hash_counts(rows, k, levels)
     over = F.col("n") > F.coalesce("floor", F.lit(0))
     ranking = written(
         known.join(F.broadcast(_floors(known, k)), "column", "left")

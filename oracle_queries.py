@@ -6,6 +6,8 @@ Spark side beyond column names.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 # events with a skewed, partly null key.
 HOT = """hot AS (
   SELECT *, CASE WHEN event_id % 20 = 0 THEN NULL
@@ -197,6 +199,14 @@ def _within(source: str) -> str:
     return f"""SELECT col AS "column", count(DISTINCT key) AS distinct_keys, true AS within_bound
 FROM {source} GROUP BY col"""
 
+_KEY_COLUMNS = ["l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"]
+_KEY_SETS = [s for n in (1, 2, 3) for s in combinations(range(4), n)]
+SETS = "sets AS (" + " UNION ALL ".join(
+    f"SELECT '{'|'.join(_KEY_COLUMNS[i] for i in s)}' AS columns, {len(s)} AS size, {list(s)} AS place, "
+    f"max(n) AS hottest_rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY {', '.join(_KEY_COLUMNS[i] for i in s)})"
+    for s in _KEY_SETS
+) + ")"
+
 _SALTED_KEY = "CAST(hot_key AS VARCHAR)"
 
 ORACLES = {
@@ -255,6 +265,12 @@ SELECT * EXCLUDE (cardinality_estimate, hll_error), true AS within_bound FROM fl
   SELECT 'event_type|hot_key' AS col, CASE WHEN event_type IS NULL AND hot_key IS NULL THEN NULL
     ELSE coalesce(event_type, '\\N') || '|' || coalesce({_SALTED_KEY}, '\\N') END AS key FROM hot),
 {PROFILE_CTES} {_profile_select()}""",
+    "composite_key_search": f"""WITH {SETS}, judged AS (
+  SELECT *, (SELECT count(*) FROM lineitem) AS total_rows,
+    hottest_rows * 1000 <= (SELECT count(*) FROM lineitem) AS fits FROM sets)
+SELECT columns, hottest_rows, total_rows, fits FROM judged
+ORDER BY NOT fits, CASE WHEN fits THEN size ELSE hottest_rows END,
+  CASE WHEN fits THEN hottest_rows ELSE size END, place LIMIT 1""",
     "not_null_profile": f"""WITH {HOT}, long AS (
   SELECT 'hot_key' AS col, {_SALTED_KEY} AS key FROM hot WHERE hot_key IS NOT NULL),
 {PROFILE_CTES} {_profile_select()}""",
