@@ -2,64 +2,87 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from keybalance.functions.keys import column_ref
 
-# The cumulative table is two numbers per rank and is broadcast up to this size.
-BROADCAST_RANKS = 1 << 20
-_CHUNK = 1 << 16
+#: Numbers drawn for one row at most.
+ATTEMPTS = 12
 _UNIT = float(1 << 52)
 
 
-def uniform(identity: Sequence[str], seed: str) -> Column:
+def uniform(identity: Sequence[str], seed: str | Column) -> Column:
     """A number in [0, 1) per row, from the SHA-256 of its identity and a seed."""
-    text = F.concat_ws(":", F.lit(seed), *[column_ref(c).cast("string") for c in identity])
+    text = F.concat_ws(":", F.lit(seed) if isinstance(seed, str) else seed, *[column_ref(c).cast("string") for c in identity])
     bits = F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("bigint")
     return bits.cast("double") / F.lit(_UNIT)
 
 
-def zipf_cumulative(spark: SparkSession, n: int, exponent: float) -> DataFrame:
-    """(rank, low, high): the share of [0, 1) of each rank, weight 1 / rank^exponent.
+@dataclass(frozen=True)
+class Zipf:
+    """Rejection-inversion for weights 1 / rank^exponent over ranks 1..n, after Hoermann and Derflinger.
 
-    The running sum is taken per chunk of ranks and over the chunks, so that no task
-    sorts all ranks.
+    A rank comes from inverting the integral of the weights at a uniform number, and is taken
+    unless the number falls where integral and sum differ. So it takes no table of ranks.
     """
-    if n < 1:
-        raise ValueError("n must be >= 1")
-    weights = spark.range(1, n + 1).select(
-        F.col("id").alias("rank"),
-        F.expr(f"id div {_CHUNK}").alias("chunk"),
-        F.pow(F.col("id").cast("double"), F.lit(-float(exponent))).alias("w"),
-    )
-    chunks = weights.groupBy("chunk").agg(F.sum("w").alias("of_chunk"))
-    in_order = Window.partitionBy(F.lit(0)).orderBy("chunk")
-    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    up_to_here = in_order.rowsBetween(Window.unboundedPreceding, 0)
-    offsets = chunks.select(
-        "chunk",
-        F.coalesce(F.sum("of_chunk").over(earlier), F.lit(0.0)).alias("offset"),
-        F.sum("of_chunk").over(up_to_here).alias("next_offset"),
-        F.sum("of_chunk").over(Window.partitionBy(F.lit(0))).alias("all"),
-    )
-    within = Window.partitionBy("chunk").orderBy("rank")
-    upto, before = F.sum("w").over(within), within.rowsBetween(Window.unboundedPreceding, -1)
-    running = weights.select(
-        "rank",
-        "chunk",
-        upto.alias("upto"),
-        F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("before"),
-    ).join(F.broadcast(offsets), "chunk")
-    # A rank ends exactly where the next one starts, also across chunks.
-    ends_chunk = F.col("rank") % _CHUNK == _CHUNK - 1
-    end = F.when(ends_chunk, F.col("next_offset")).otherwise(F.col("offset") + F.col("upto"))
-    return running.select(
-        "rank",
-        ((F.col("offset") + F.col("before")) / F.col("all")).alias("low"),
-        F.when(F.col("rank") == n, F.lit(1.0)).otherwise(end / F.col("all")).alias("high"),
-    )
+
+    n: int
+    exponent: float
+
+    def __post_init__(self):
+        if self.n < 1 or self.exponent <= 0:
+            raise ValueError(f"need n >= 1 and exponent > 0, got {self.n} and {self.exponent}")
+
+    def _integral(self, x: float) -> float:
+        e = 1 - self.exponent
+        return math.log(x) if e == 0 else (x**e - 1) / e
+
+    def _inverse(self, y: float) -> float:
+        e = 1 - self.exponent
+        return math.exp(y) if e == 0 else (1 + y * e) ** (1 / e)
+
+    @property
+    def first(self) -> float:
+        return self._integral(1.5) - 1
+
+    @property
+    def last(self) -> float:
+        return self._integral(self.n + 0.5)
+
+    @property
+    def sure(self) -> float:
+        """Ranks this little above the inverted point need no look at the weights."""
+        return 2 - self._inverse(self._integral(2.5) - 2**-self.exponent)
+
+    def draw(self, u: Column) -> Column:
+        """The rank that a uniform number of [0, 1) gives, null if it is rejected."""
+        e = 1 - self.exponent
+        log = e == 0
+        integral = lambda x: F.log(x) if log else (F.pow(x, F.lit(e)) - 1) / e
+        inverse = lambda y: F.exp(y) if log else F.pow(1 + y * e, F.lit(1 / e))
+
+        def taken(row: Column) -> Column:
+            rank, y, x = row["rank"], row["y"], row["x"]
+            weight = F.pow(rank.cast("double"), F.lit(-self.exponent))
+            accepted = (rank - x <= self.sure) | (y >= integral(rank + 0.5) - weight)
+            return F.when(accepted, rank)
+
+        def ranked(row: Column) -> Column:
+            whole = F.floor(row["x"] + 0.5).cast("bigint")
+            rank = F.greatest(F.least(whole, F.lit(self.n)), F.lit(1))
+            return _once(F.struct(row["y"].alias("y"), row["x"].alias("x"), rank.alias("rank")), taken)
+
+        y = F.lit(self.last) + u * F.lit(self.first - self.last)
+        return _once(y, lambda y: _once(F.struct(y.alias("y"), inverse(y).alias("x")), ranked))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is referred to."""
+    return F.transform(F.array(value), use)[0]
 
 
 def zipf_keys(
@@ -70,33 +93,20 @@ def zipf_keys(
     seed: str = "42",
     name: str = "rank",
 ) -> DataFrame:
-    """``df`` with a Zipf-distributed rank 1..n per row.
+    """``df`` with a Zipf-distributed rank 1..n per row: an expression over the row's identity.
 
-    The rank is where the row's uniform number falls in the cumulative shares. Both
-    sides are cut into n equal ranges of [0, 1): an equi-join on the range, with
-    two candidate ranks per row on average, instead of comparing every rank.
+    Numbers are drawn until one is taken, ``ATTEMPTS`` at most; nine in ten are. Rank 1 stands
+    for the rest, less than one row in 10^10.
     """
-    spark = df.sparkSession
-    low_cell = F.least(F.floor(F.col("low") * n), F.lit(n - 1))
-    high_cell = F.least(F.floor(F.col("high") * n), F.lit(n - 1))
-    shares = zipf_cumulative(spark, n, exponent).select(
-        F.col("rank").alias("__rank"),
-        F.col("low").alias("__low"),
-        F.col("high").alias("__high"),
-        F.explode(F.sequence(low_cell, high_cell)).alias("__cell"),
-    )
-    if n <= BROADCAST_RANKS:
-        shares = F.broadcast(shares)
-    drawn = df.withColumn("__u", uniform(identity, seed)).withColumn(
-        "__cell", F.floor(F.col("__u") * n)
-    )
-    inside = (F.col("__u") >= F.col("__low")) & (F.col("__u") < F.col("__high"))
-    return (
-        drawn.join(shares, "__cell")
-        .where(inside)
-        .withColumn(name, F.col("__rank"))
-        .drop("__cell", "__u", "__rank", "__low", "__high")
-    )
+    zipf = Zipf(n, exponent)
+
+    def attempt(rank: Column, i: Column) -> Column:
+        u = uniform(identity, F.concat(F.lit(f"{seed}/"), i.cast("string")))
+        return F.coalesce(rank, zipf.draw(u))
+
+    attempts = F.sequence(F.lit(0), F.lit(ATTEMPTS - 1))
+    rank = F.aggregate(attempts, F.lit(None).cast("bigint"), attempt)
+    return df.withColumn(name, F.coalesce(rank, F.lit(1).cast("bigint")))
 
 
 def weighted_choice(u: Column, choices: Sequence[tuple[str, float]]) -> Column:

@@ -130,23 +130,31 @@ def _uniform(purpose: str) -> str:
     return f"(('0x' || substr(sha256({text}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
-def _shares(name: str, n: int, exponent: float) -> str:
-    return f"""{name}_w AS (
-  SELECT i AS rnk, pow(i::DOUBLE, -{exponent}::DOUBLE) AS w FROM range(1, {n + 1}) AS r(i)),
-{name}_c AS (
-  SELECT rnk, sum(w) OVER (ORDER BY rnk ROWS UNBOUNDED PRECEDING) / sum(w) OVER () AS high
-  FROM {name}_w),
+def _ranks(name: str, purpose: str, n: int, exponent: float) -> str:
+    """Per event the first of twelve draws that is taken."""
+    e = f"(1 - {exponent}::DOUBLE)"
+    integral = lambda x: f"((pow({x}, {e}) - 1) / {e})"
+    inverse = lambda y: f"pow(1 + ({y}) * {e}, 1 / {e})"
+    text = f"'42/{purpose}/' || i || ':' || CAST(event_id AS VARCHAR)"
+    u = f"(('0x' || substr(sha256({text}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+    last, first = integral(f"{n}.5::DOUBLE"), f"({integral('1.5::DOUBLE')} - 1)"
+    sure = f"(2 - {inverse(integral('2.5::DOUBLE') + f' - pow(2::DOUBLE, -{exponent}::DOUBLE)')})"
+    return f"""{name}_y AS (
+  SELECT event_id, i, {last} + {u} * ({first} - {last}) AS y FROM events, range(12) AS r(i)),
+{name}_x AS (SELECT *, {inverse('y')} AS x FROM {name}_y),
+{name}_k AS (SELECT *, greatest(least(CAST(floor(x + 0.5) AS BIGINT), {n}), 1) AS k FROM {name}_x),
 {name} AS (
-  SELECT rnk, coalesce(lag(high) OVER (ORDER BY rnk), 0) AS low,
-    CASE WHEN rnk = {n} THEN 1.0 ELSE high END AS high FROM {name}_c)"""
+  SELECT event_id, arg_min(k, i) AS rnk FROM {name}_k
+  WHERE k - x <= {sure} OR y >= {integral('(k + 0.5::DOUBLE)')} - pow(k::DOUBLE, -{exponent}::DOUBLE)
+  GROUP BY event_id)"""
 
 
 ZIPF = f"""WITH drawn AS (
-  SELECT event_id, {_uniform('user')} AS uu, {_uniform('product')} AS up,
+  SELECT event_id,
     {_uniform('null')} AS un, {_uniform('region')} AS ur, {_uniform('event_type')} AS ue,
     {_uniform('session')} AS us, {_uniform('timestamp')} AS ut
   FROM events),
-{_shares('users', 10000, 1.5)}, {_shares('products', 5000, 1.1)}
+{_ranks('users', 'user', 10000, 1.5)}, {_ranks('products', 'product', 5000, 1.1)}
 SELECT d.event_id,
   CASE WHEN un >= 0.05 THEN 'user_' || (u.rnk - 1) END AS user_id,
   'prod_' || (p.rnk - 1) AS product_id,
@@ -157,9 +165,7 @@ SELECT d.event_id,
        WHEN ue < 0.9 THEN 'search' WHEN ue < 0.97 THEN 'wishlist' ELSE 'review' END AS event_type,
   'sess_' || CAST(floor(us * 49999) + 1 AS BIGINT) AS session_id,
   CAST(1700000000 + floor(ut * 20000000) AS BIGINT) AS "timestamp"
-FROM drawn d
-JOIN users u ON uu >= u.low AND uu < u.high
-JOIN products p ON up >= p.low AND up < p.high"""
+FROM drawn d JOIN users u USING (event_id) JOIN products p USING (event_id)"""
 
 # Every batch joined to all rows up to it, then profiled on its own.
 SNAPSHOTS = """WITH LONG,

@@ -139,34 +139,46 @@ def test_partition_keys_keep_type_and_value(spark, tmp_path):
         sinks.write_partitioned(df.unionByName(spark.createDataFrame([("", 4)], df.schema)), ["k"], str(tmp_path / "u"))
 
 
-def test_zipf_shares(spark):
+@pytest.mark.parametrize("exponent", [0.7, 1.0, 1.5, 3.0])
+def test_zipf_shares(spark, exponent):
     rows = spark.range(200_000)
-    drawn = zipf.zipf_keys(rows, ["id"], 1000, 1.5)
-    assert drawn.count() == 200_000
-    weights = [r**-1.5 for r in range(1, 1001)]
+    drawn = zipf.zipf_keys(rows, ["id"], 1000, exponent)
     counts = {r["rank"]: r["count"] for r in drawn.groupBy("rank").count().collect()}
-    assert min(counts) >= 1 and max(counts) <= 1000
-    for rank in (1, 2, 3, 10):
+    assert sum(counts.values()) == 200_000 and min(counts) >= 1 and max(counts) <= 1000
+    weights = [r**-exponent for r in range(1, 1001)]
+    for rank in (1, 2, 3, 10, 100):
         expected = 200_000 * weights[rank - 1] / sum(weights)
-        assert abs(counts[rank] - expected) < 5 * expected**0.5
-    with pytest.raises(ValueError):
-        zipf.zipf_cumulative(spark, 0, 1.5)
-
-
-def test_zipf_equals_linear_search(spark):
-    n, rows = 50, spark.range(2000)
-    drawn = zipf.zipf_keys(rows, ["id"], n, 1.1, "s").withColumn("u", zipf.uniform(["id"], "s"))
-    table = zipf.zipf_cumulative(spark, n, 1.1).orderBy("rank").collect()
-    for row in drawn.collect():
-        assert row["rank"] == next(t["rank"] for t in table if row.u < t.high)
-
-
-def test_zipf_shares_cover_the_unit_range(spark, monkeypatch):
-    monkeypatch.setattr(zipf, "_CHUNK", 7)
-    rows = zipf.zipf_cumulative(spark, 100, 1.1).orderBy("rank").collect()
-    assert [r["rank"] for r in rows] == list(range(1, 101))
-    assert rows[0].low == 0.0 and rows[-1].high == 1.0
-    assert all(a.high == b.low and a.low < a.high for a, b in zip(rows, rows[1:]))
+        assert abs(counts.get(rank, 0) - expected) < 5 * expected**0.5 + 1
+    tail = sum(n for r, n in counts.items() if r > 500)
+    expected = 200_000 * sum(weights[500:]) / sum(weights)
+    assert abs(tail - expected) < 5 * expected**0.5 + 1
+
+
+def test_zipf_over_many_keys_needs_no_table(spark):
+    n, rows = 10**9, 100_000
+    drawn = zipf.zipf_keys(spark.range(rows), ["id"], n, 1.1)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    # Euler-Maclaurin: all weights, and those of the ranks beyond a million.
+    total = sum(r**-1.1 for r in range(1, 1001)) + sum(
+        sign * (x**-0.1 / 0.1 - 0.5 * x**-1.1) for sign, x in ((1, 1000.0), (-1, float(n)))
+    )
+    row = drawn.agg(
+        F.count_if(F.col("rank") == 1).alias("first"), F.count_if(F.col("rank") > 10**6).alias("rare"), F.max("rank").alias("most")
+    ).first()
+    rare = rows * ((1e6**-0.1 - n**-0.1) / 0.1) / total
+    for got, expected in ((row["first"], rows / total), (row["rare"], rare)):
+        assert abs(got - expected) < 5 * expected**0.5
+    assert 10**8 < row["most"] <= n
+
+
+def test_zipf_draws_are_repeatable_and_need_sense(spark):
+    rows = spark.range(5000)
+    same(zipf.zipf_keys(rows, ["id"], 50), zipf.zipf_keys(rows.repartition(7), ["id"], 50))
+    assert zipf.zipf_keys(rows, ["id"], 1).agg(F.max("rank")).first()[0] == 1
+    for n, exponent in ((0, 1.5), (10, 0.0)):
+        with pytest.raises(ValueError):
+            zipf.zipf_keys(rows, ["id"], n, exponent)
 
 
 def test_skewed_table_matches_published_figures(spark):
