@@ -217,3 +217,73 @@ def divergence(rows, min_docs=30, top=50):
             for part, found in (("pair", sorted(pairs)), ("term", sorted(own)[:top])):
                 out += [(lang, s, part, item, -v, r) for r, (v, item) in enumerate(found, 1)]
     return out
+
+
+ALPHABETS = {
+    "hex": ("[0-9a-f]+|[0-9A-F]+", "0123456789abcdef", 0.26),
+    "base32": ("[A-Z2-7]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.066),
+    "base62": ("[A-Za-z0-9]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 0.066),
+    "base64": ("[A-Za-z0-9+/_-]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.066),
+}
+
+
+def battery(run):
+    """(chi-squared, runs, serial correlation, distance from text), each as a z; None for digits only."""
+    if re.fullmatch("[0-9]+", run):
+        return None
+    kind = next(k for k, (pattern, _, _) in ALPHABETS.items() if re.fullmatch(pattern, run))
+    _, letters, share = ALPHABETS[kind]
+    symbols = run.lower() if kind == "hex" else run.replace("-", "+").replace("_", "/")
+    values, n, a = [letters.index(c) for c in symbols], len(run), len(letters)
+    chi = a / n * sum(c * c for c in Counter(values).values()) - n
+    df, middle = a - 1, (a - 1) / 2
+    changes = sum((x < a / 2) != (y < a / 2) for x, y in zip(values, values[1:]))
+    product = sum((x - middle) * (y - middle) for x, y in zip(values, values[1:]))
+    spread = n * (a * share - 1)
+    return (
+        ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)),
+        (changes - (n - 1) / 2) / math.sqrt((n - 1) / 4),
+        product / ((a * a - 1) / 12) / math.sqrt(n - 1),
+        (df + spread - chi) / math.sqrt(2 * (df + 2 * spread)),
+    )
+
+
+def secret_spans(texts, level=0.01):
+    """Per text (start, end, kind) of all spans: patterns, and what the battery discovers in the whole table."""
+    base, tested = [], []
+    for text in texts:
+        assign = re.finditer(
+            r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text
+        )
+        spans = [(*m.span(), "assign") for m in assign if len(m[2]) >= 8]
+        spans += [(*m.span(), "access") for m in re.finditer(r"AKIA[A-Z0-9]{12,}", text)]
+        spans += [(*m.span(), "hex") for m in re.finditer(r"[0-9a-f]{32,}", text)]
+        base.append(spans)
+        runs = []
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text):
+            if (z := battery(m[0])) is not None:
+                band = min(math.floor(2 * math.log2(len(m[0]))), 24)
+                x = max(z[3], 0)
+                # an upper bound of the normal tail, in tenths of its decimal logarithm
+                tail = x * x / 2 / math.log(10) + math.log10((x + math.sqrt(x * x + 8 / math.pi)) / 2 * math.sqrt(2 * math.pi))
+                place = min(max(math.floor(tail * 10), 0), 400)
+                runs.append((*m.span(), band, place, z[0] < 3 and abs(z[1]) < 3 and abs(z[2]) < 3))
+        tested.append(runs)
+    limit = {}
+    for band in {r[2] for runs in tested for r in runs}:
+        own = [r for runs in tested for r in runs if r[2] == band]
+        for place in sorted({r[3] for r in own}):
+            found = sum(r[4] and r[3] >= place for r in own)
+            if any(r[4] and r[3] == place for r in own) and len(own) * 10 ** (-place / 10) <= level * found:
+                limit[band] = place
+                break
+    order = {"assign": 0, "access": 1, "hex": 2, "random": 3}
+    out = []
+    for spans, runs in zip(base, tested):
+        new = [
+            (a, b, "random")
+            for a, b, band, place, random in runs
+            if random and place >= limit.get(band, math.inf) and not any(x < b and a < y for x, y, _ in spans)
+        ]
+        out.append(sorted(spans + new, key=lambda s: (s[0], order[s[2]])))
+    return out

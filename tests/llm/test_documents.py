@@ -334,3 +334,25 @@ def test_simhash_keeps_the_same_row_of_repeats(documents):
             tuple(simhash.drop_near_duplicates(docs.repartition(n).orderBy(F.rand(n))).first()) for n in (1, 3, 7)
         }
         assert len(kept) == 1
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_added_secrets_span_by_span(documents, seed):
+    """Keys of several encodings and lengths among words, with patterns beside and over them."""
+    rng = random.Random(seed)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    key = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    word = lambda: "".join(rng.choices("etaoinshrdlu", weights=range(12, 0, -1), k=rng.randint(2, 30)))
+    texts = []
+    for i in range(120):
+        parts = [word() for _ in range(30)]
+        if i % 3 == 0:
+            alphabet = rng.choice([letters, letters[:62], letters[:26] + "234567", "0123456789abcdef", "0123456789ABCDEF"])
+            parts.insert(rng.randrange(30), rng.choice(["", "token=", "é"]) + key(alphabet, rng.randint(20, 90)))
+        if i % 7 == 0:
+            parts += ["1234567890" * 3, "x" * 50, "AKIA" + key("ABCDEF0123", 16)]
+        texts.append(" ".join(parts))
+    found = {r.doc_id: r.spans for r in secret_scan.scan(documents(list(enumerate(texts)))).collect()}
+    expected = brute.secret_spans(texts)
+    assert [[tuple(s) for s in found[i]] for i in range(len(texts))] == expected
+    assert sum(kind == "random" for spans in expected for *_, kind in spans) > 10
