@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import heapq
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keybalance.functions.keys import Candidate, parse_candidates
 from keybalance.operators.distribution import ranked_keys, with_shape
@@ -18,16 +20,22 @@ from keybalance.operators.frequency import (
 from keybalance.workdir import written
 
 
+#: Batches of one block, which one task folds over.
+BLOCK = 256
+
+
 def batch_snapshots(
     df: DataFrame, columns: str | Iterable[Candidate], batch: str, k: int = TOP_K
 ) -> DataFrame:
     """Per column and batch: the cumulative profile up to and including that batch.
 
-    A key's running count holds from one of its batches to the next. Running counts
-    only grow, so a key that is among the first k at some batch, and was last touched
-    at batch s, is among the first k of the keys touched at s. So at most k intervals
-    per column and batch are kept, whatever the number of keys, and only those are
-    spread over their batches.
+    Running counts only grow. So a key that is among the first k at some batch, and was last touched
+    at batch s, is among the first k of the keys touched at s; and a key not touched since
+    some batch ranks no better than it did then. The first k at a batch follow from the first k of the
+    batch before and of the keys that it touched. Batches are folded like that in blocks: first
+    over the ends of the blocks, which gives the state each block starts from, then within
+    every block on its own. A task sees k keys per batch of its block, whatever the number of keys and
+    of batches.
 
     The counts per batch are written once to the shared folder, so the input is
     scanned once.
@@ -36,14 +44,10 @@ def batch_snapshots(
     freq = key_frequency(df, candidates, by=batch).withColumnRenamed(batch, "batch")
     given = F.when(F.col("batch").isNull(), F.raise_error(F.lit("batch id is null")))
     freq = written(freq.withColumn("batch", given.otherwise(F.col("batch"))), "batch-counts")
-    totals = _running_totals(freq)
-    held = leading_intervals(freq, k).join(
-        totals.select("column", F.col("batch").alias("at")), "column"
-    )
-    spread = held.where(
-        (F.col("at") >= F.col("batch")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
-    ).select("column", F.col("at").alias("batch"), "key", "n")
-    ranked = ranked_keys(top_keys(spread, k, ("column", "batch")), ("column", "batch"))
+    totals = written(_running_totals(freq), "batch-totals")
+    places = totals.select("column", "batch", (F.col("batch_count") - 1).alias("place"))
+    leaders = folded(running_counts(freq, places), places, k).join(places, ["column", "place"])
+    ranked = ranked_keys(top_keys(leaders, k, ("column", "batch")), ("column", "batch"))
     return (
         with_shape(totals.join(ranked, ["column", "batch"], "left"))
         .withColumn("null_fraction", null_fraction())
@@ -80,17 +84,79 @@ def _running_totals(freq: DataFrame) -> DataFrame:
     )
 
 
-def leading_intervals(freq: DataFrame, k: int) -> DataFrame:
-    """(column, key, n, batch, until): running counts that can be ranked, and how long they hold.
+def running_counts(freq: DataFrame, places: DataFrame) -> DataFrame:
+    """(column, key, place, n, until): a key's rows up to each of its batches, and the next of them.
 
-    ``until`` is the key's next batch, null for its last. At most k rows per column and batch.
+    ``place`` is the batch's number in order; ``until`` is null at a key's last batch.
     """
-    per_key = Window.partitionBy("column", "key").orderBy("batch")
-    running = present_keys(freq).select(
+    per_key = Window.partitionBy("column", "key").orderBy("place")
+    return present_keys(freq).join(places, ["column", "batch"]).select(
         "column",
         "key",
-        "batch",
+        "place",
         F.sum("n").over(per_key).alias("n"),
-        F.lead("batch").over(per_key).alias("until"),
+        F.lead("place").over(per_key).alias("until"),
     )
-    return top_keys(running, k, ("column", "batch")).drop("rank")
+
+
+def block_of(place: str) -> Column:
+    return F.floor(F.col(place) / BLOCK).cast("int")
+
+
+def leading_counts(running: DataFrame, k: int) -> DataFrame:
+    """The running counts that can rank: at most k keys per column and batch."""
+    return top_keys(running, k, ("column", "place")).select("column", "place", "key", "n")
+
+
+def block_ends(running: DataFrame, k: int) -> DataFrame:
+    """(column, block, key, n): counts at the end of a block of the keys it touched, k at most."""
+    at_end = F.col("until").isNull() | (block_of("until") > block_of("place"))
+    ends = running.where(at_end).withColumn("block", block_of("place"))
+    return top_keys(ends, k, ("column", "block")).select("column", "block", "key", "n")
+
+
+def _states(rows: pd.DataFrame, k: int, before: bool) -> Iterator[tuple[int, dict[str, int]]]:
+    """The first k keys at each place in order: before its rows or, by default, with them."""
+    state: dict[str, int] = {}
+    for place, some in rows.sort_values("place").groupby("place", sort=True):
+        if before:
+            yield place, state
+        new = {key: n for key, n in zip(some["key"], some["n"]) if key is not None}
+        state = state | new
+        if len(state) > k:
+            state = dict(heapq.nsmallest(k, state.items(), key=lambda kn: (-kn[1], kn[0])))
+        if not before:
+            yield place, state
+
+
+def _fold(k: int, before: bool):
+    """For ``applyInPandas``: rows of a column (and block) to the first k keys at each place."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        column = rows["column"].iloc[0]
+        out = [
+            (column, int(place), key, n)
+            for place, state in _states(rows, k, before)
+            for key, n in state.items()
+            if place >= 0
+        ]
+        return pd.DataFrame(out, columns=["column", "place", "key", "n"])
+
+    return fold
+
+
+_STATE = "column string, place int, key string, n bigint"
+
+
+def folded(running: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """(column, place, key, n): the first k keys at every batch."""
+    # A row without a key for each place, so that a batch that touched no key has its state too.
+    no_key = [F.lit(None).cast("string").alias("key"), F.lit(0).cast("bigint").alias("n")]
+    blocks = places.select("column", block_of("place").alias("place")).distinct().select("*", *no_key)
+    ends = block_ends(running, k).withColumnRenamed("block", "place")
+    carried = ends.unionByName(blocks).groupBy("column").applyInPandas(_fold(k, before=True), _STATE)
+    # What a block starts from stands at a place before all of its own.
+    starts = carried.select("column", F.col("place").alias("block"), F.lit(-1).alias("place"), "key", "n")
+    inside = leading_counts(running, k).unionByName(places.select("column", "place", *no_key))
+    rows = inside.withColumn("block", block_of("place")).unionByName(starts)
+    return rows.groupBy("column", "block").applyInPandas(_fold(k, before=False), _STATE)

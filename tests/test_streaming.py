@@ -9,7 +9,8 @@ from keybalance.operators.frequency import key_frequency
 from keybalance.operators.profile import profile
 from keybalance.sources import staging
 from keybalance.streaming import profile_stream as S
-from keybalance.streaming.snapshots import batch_snapshots, leading_intervals
+from keybalance.streaming import snapshots
+from keybalance.streaming.snapshots import batch_snapshots
 from keybalance.streaming.versions import Versions
 from keybalance.workdir import child_names, fresh_dir
 
@@ -30,8 +31,9 @@ def brute(rows, batch, k):
     return sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:k]
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_snapshots_against_counting(spark, seed):
+@pytest.mark.parametrize("seed, block", [(0, 256), (1, 3), (2, 1), (3, 5)])
+def test_snapshots_against_counting(spark, seed, block, monkeypatch):
+    monkeypatch.setattr(snapshots, "BLOCK", block)
     rng = random.Random(seed)
     # Keys come and go, batches are sparse, and ranks change over time.
     batches = sorted(rng.sample(range(-5, 200), 12))
@@ -66,10 +68,13 @@ def test_snapshots_of_null_batches(spark):
     assert (second.null_count, second.partition_counts) == (1, [1])
 
 
-def test_snapshots_of_unique_keys_keep_k_intervals_a_batch(spark):
+def test_snapshots_of_unique_keys_keep_k_keys_a_batch(spark):
     df = spark.range(5000).select((F.col("id") % 25).cast("int").alias("b"), F.col("id").alias("k"))
     freq = key_frequency(df, "k", by="b").withColumnRenamed("b", "batch")
-    assert leading_intervals(freq, 4).count() == 4 * 25
+    places = spark.range(25).select(F.lit("k").alias("column"), F.col("id").cast("int").alias("batch"), F.col("id").cast("int").alias("place"))
+    running = snapshots.running_counts(freq, places)
+    assert snapshots.leading_counts(running, 4).count() == 4 * 25
+    assert snapshots.block_ends(running, 4).count() == 4
     rows = batch_snapshots(df, "k", "b", 4).orderBy("batch").collect()
     assert [r.total_rows for r in rows] == [200 * (i + 1) for i in range(25)]
     keys = [str(i) for i in range(5000)]
@@ -77,6 +82,22 @@ def test_snapshots_of_unique_keys_keep_k_intervals_a_batch(spark):
         assert [t.key for t in r.top_keys] == sorted(k for k in keys if int(k) % 25 <= r.batch)[:4]
 
 
+def test_snapshots_of_many_batches_join_on_equal_keys_only(spark):
+    """2,000 batches in 8 blocks; no batch is compared with all others."""
+    df = spark.range(20_000).select(
+        F.expr("id div 10").alias("b"), F.expr("cast(pow(id * 7919 % 1000, 2) / 5000 as int)").alias("k")
+    )
+    found = batch_snapshots(df, "k", "b", 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    rows = {r.batch: [tuple(t) for t in r.top_keys] for r in found.collect()}
+    keys = [r.k for r in df.orderBy("b").collect()]
+    counts = Counter()
+    for b in range(2000):
+        counts.update(str(k) for k in keys[10 * b : 10 * b + 10])
+        assert rows[b] == sorted(counts.items(), key=lambda kn: (-kn[1], kn[0]))[:3]
+
+
 def test_snapshots_need_a_batch_id(spark):
     df = spark.createDataFrame([(1, "a"), (None, "b")], "b int, k string")
     with pytest.raises(Exception, match="batch id is null"):
