@@ -1,6 +1,7 @@
 """Secrets, personal data, quality, contamination and near-duplicates against their definitions."""
 
 import base64
+import itertools
 import random
 
 import brute
@@ -356,3 +357,40 @@ def test_added_secrets_span_by_span(documents, seed):
     expected = brute.secret_spans(texts)
     assert [[tuple(s) for s in found[i]] for i in range(len(texts))] == expected
     assert sum(kind == "random" for spans in expected for *_, kind in spans) > 10
+
+
+def exact_marginals(g, w):
+    """Label distributions by summing over all labelings."""
+    n, total = len(g.start), None
+    for labels in itertools.product(range(pii.LABELS), repeat=n):
+        if any(s >= 0 and s != y for s, y in zip(g.label, labels)):
+            continue
+        score = sum(g.x[i] @ w.unary[:, y] for i, y in enumerate(labels))
+        for edges, gain in ((g.chain, w.chain), (g.skip, w.skip)):
+            score += sum(gain[labels[a]] for a, b in edges if labels[a] == labels[b])
+        weight = np.exp(score) * np.eye(pii.LABELS)[list(labels)]
+        total = weight if total is None else total + weight
+    return total / total.sum(1, keepdims=True)
+
+
+def small_graph(rng, n, loops):
+    edges = [(rng.randrange(i), i) for i in range(1, n)]
+    edges += [e for e in itertools.combinations(range(n), 2) if e not in edges][:loops]
+    rng.shuffle(edges)
+    pairs = lambda e: np.array(e, np.int64).reshape(-1, 2)
+    x = np.array([[rng.randint(0, 1) for _ in range(pii.FEATURES)] for _ in range(n)], float)
+    label = np.array([rng.choice([-1, -1, rng.randrange(4)]) for _ in range(n)])
+    graph = pii.Graph(list(range(n)), list(range(n)), x, label, pairs(edges[::2]), pairs(edges[1::2]))
+    numbers = lambda *shape: np.random.default_rng(rng.randrange(10**6)).normal(size=shape)
+    return graph, pii.Weights(numbers(pii.FEATURES, pii.LABELS) / 3, abs(numbers(pii.LABELS)), abs(numbers(pii.LABELS)))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_messages_are_exact_without_loops_and_near_with_them(seed):
+    rng = random.Random(seed)
+    for loops in (0, 1, 2):
+        g, w = small_graph(rng, 5, loops)
+        got, want = pii.marginals(g, w), exact_marginals(g, w)
+        assert np.abs(got - want).max() < (1e-4 if loops == 0 else 0.1)
+        clear = np.sort(want, 1)[:, -1] - np.sort(want, 1)[:, -2] > 0.25
+        assert (got.argmax(1) == want.argmax(1))[clear].all()
