@@ -260,7 +260,7 @@ def secret_spans(texts, level=0.01):
         spans += [(*m.span(), "hex") for m in re.finditer(r"[0-9a-f]{32,}", text)]
         base.append(spans)
         runs = []
-        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text):
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{12,}", text):
             if (z := battery(m[0])) is not None:
                 band = min(math.floor(2 * math.log2(len(m[0]))), 24)
                 x = max(z[3], 0)

@@ -349,7 +349,7 @@ def test_added_secrets_span_by_span(documents, seed):
         parts = [word() for _ in range(30)]
         if i % 3 == 0:
             alphabet = rng.choice([letters, letters[:62], letters[:26] + "234567", "0123456789abcdef", "0123456789ABCDEF"])
-            parts.insert(rng.randrange(30), rng.choice(["", "token=", "é"]) + key(alphabet, rng.randint(20, 90)))
+            parts.insert(rng.randrange(30), rng.choice(["", "token=", "é"]) + key(alphabet, rng.randint(12, 90)))
         if i % 7 == 0:
             parts += ["1234567890" * 3, "x" * 50, "AKIA" + key("ABCDEF0123", 16)]
         texts.append(" ".join(parts))
@@ -394,3 +394,13 @@ def test_messages_are_exact_without_loops_and_near_with_them(seed):
         assert np.abs(got - want).max() < (1e-4 if loops == 0 else 0.1)
         clear = np.sort(want, 1)[:, -1] - np.sort(want, 1)[:, -2] > 0.25
         assert (got.argmax(1) == want.argmax(1))[clear].all()
+
+
+def test_short_keys_where_they_are_common(documents):
+    """Runs of 12 to 19 symbols are discoveries where most runs of their length look random."""
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts = [f"id {''.join(rng.sample(letters, rng.randint(12, 19)))} and words of text" for _ in range(150)]
+    found = {r.doc_id: r.spans for r in secret_scan.scan(documents(list(enumerate(texts)))).collect()}
+    assert [[tuple(s) for s in found[i]] for i in range(len(texts))] == brute.secret_spans(texts)
+    assert sum(bool(s) for s in found.values()) > 75
