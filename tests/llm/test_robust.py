@@ -92,7 +92,8 @@ def test_cutting_a_text(spark):
 
 
 def test_many_matches_in_one_text(documents):
-    text = " ".join(f"token=abcdefgh{i:05d}" for i in range(64_000))
+    text = " ".join(f"token=abcd.fgh{i:05d}" for i in range(64_000))
+    text += " " + " ".join(f"of-sixteen-{i:05d}" for i in range(2000))  # these are tested for randomness
     start = time.perf_counter()
     row = secret_scan.digest(secret_scan.scan(documents([(1, text)]))).first()
     assert tuple(row)[1:5] == brute.secrets(text)
