@@ -14,7 +14,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F  # noqa: E402
 
 from keybalance.functions.keys import parse_candidates  # noqa: E402
 from keybalance.operators import (  # noqa: E402
@@ -62,6 +62,15 @@ def _hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").withColumn("hot_key", key)
 
 
+def _hot_prop() -> Column:
+    """A skewed, partly null key of few values."""
+    return (
+        F.when(F.col("event_id") % 20 == 0, None)
+        .when(F.col("event_id") % 5 < 2, F.lit("none"))
+        .otherwise(F.col("props"))
+    )
+
+
 def _joined(array: str):
     return F.array_join(F.col(array).cast("array<string>"), ",")
 
@@ -398,16 +407,23 @@ def _hottest(spark, sf_dir):
 
 
 def hash_bucket_load(spark, sf_dir):
-    """Every row is in one slot, and some slot holds all rows of the hottest key."""
-    per_column = _measured_load(spark, sf_dir).groupBy("column").agg(
-        F.sum("rows").alias("total_rows"),
-        F.max("rows").alias("most"),
-        ((F.min("slot") >= 0) & (F.max("slot") < WORKERS)).alias("slots_in_range"),
-        (F.count_distinct("slot") == F.count("slot")).alias("one_row_a_slot"),
-    )
-    # One row per column on both sides.
-    return per_column.join(F.broadcast(_hottest(spark, sf_dir)), "column").select(
+    """Rows of every slot; each row is in one slot, and some slot holds all rows of the hottest key."""
+    # At most WORKERS rows per column.
+    own = Window.partitionBy("column")
+    slots = _measured_load(spark, sf_dir).select(
+        "column",
+        "slot",
+        "rows",
+        F.sum("rows").over(own).alias("total_rows"),
+        F.max("rows").over(own).alias("most"),
+        F.col("slot").between(0, WORKERS - 1).alias("slots_in_range"),
+        (F.size(F.collect_set("slot").over(own)) == F.count("slot").over(own)).alias("one_row_a_slot"),
+    )
+    # One row per column on the right.
+    return slots.join(F.broadcast(_hottest(spark, sf_dir)), "column").select(
         "column",
+        "slot",
+        "rows",
         "total_rows",
         "slots_in_range",
         "one_row_a_slot",
@@ -618,7 +634,7 @@ def _event_stream(spark, sf_dir) -> DataFrame:
     return stream.withColumns(
         {
             "hot_key": F.when(missing, None).when(hot, F.lit(0)).otherwise(F.col("user_id")),
-            "hot_prop": F.when(missing, None).when(hot, F.lit("none")).otherwise(F.col("props")),
+            "hot_prop": _hot_prop(),
         }
     )
 

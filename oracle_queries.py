@@ -124,6 +124,60 @@ LOADED = HOT + """, long AS (
   UNION ALL SELECT 'event_type', event_type FROM hot
   UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR) FROM hot)"""
 
+BOUNDED = LOADED[:-1] + """
+  UNION ALL SELECT 'hot_prop', CASE WHEN event_id % 20 = 0 THEN NULL
+    WHEN event_id % 5 < 2 THEN 'none' ELSE props END FROM hot)"""
+
+_32 = "4294967296"
+
+
+def _times(x: str, factor: int) -> str:
+    return f"(({x}) * {factor}::UBIGINT % {_32})"
+
+
+def _turned(x: str, bits: int) -> str:
+    """32 bits turned left."""
+    return f"({_times(x, 1 << bits)} + ({x}) // {1 << (32 - bits)})"
+
+
+def _byte(i: str) -> str:
+    return f"('0x' || substr(hex(encode(key)), 2 * ({i}) - 1, 2))::BIGINT"
+
+
+# The hash partition of a key among 8: MurmurHash3 in 32 bits with seed 42, over numbers as two
+# words, over texts as little-endian words, then each byte left over as a signed word. Null leaves the seed.
+SLOTS = f"""words AS (
+  SELECT col, key, n, CASE WHEN col = 'event_type' THEN octet_length(encode(key)) ELSE 8 END AS size,
+    CASE WHEN col = 'event_type' THEN list_concat(
+      list_transform(range(1, octet_length(encode(key)) // 4 + 1), lambda i:
+        {_byte('4 * i - 3')} + {_byte('4 * i - 2')} * 256 + {_byte('4 * i - 1')} * 65536 + {_byte('4 * i')} * 16777216),
+      list_transform(range(octet_length(encode(key)) // 4 * 4 + 1, octet_length(encode(key)) + 1), lambda i:
+        {_byte('i')} + CASE WHEN {_byte('i')} > 127 THEN 4294967040 ELSE 0 END))
+    ELSE [TRY_CAST(key AS BIGINT) & 4294967295, (TRY_CAST(key AS BIGINT) >> 32) & 4294967295] END AS ws
+  FROM freq),
+mixed AS (
+  SELECT col, key, n, xor(size::UBIGINT, list_reduce(
+    list_prepend(42::UBIGINT, list_transform(ws::UBIGINT[], lambda w:
+      {_times(_turned(_times('w', 0xCC9E2D51), 15), 0x1B873593)})),
+    lambda h, k: ({_turned('xor(h, k)', 13)} * 5 + {0xE6546B64}) % {_32})) AS h
+  FROM words),
+mixed_2 AS (SELECT col, key, n, {_times('xor(h, h // 65536)', 0x85EBCA6B)} AS h FROM mixed),
+mixed_3 AS (SELECT col, key, n, {_times('xor(h, h // 8192)', 0xC2B2AE35)} AS h FROM mixed_2),
+slots AS (
+  SELECT col, CAST(CASE WHEN key IS NULL THEN 42 ELSE xor(h, h // 65536) END % 8 AS INT) AS slot,
+    CAST(sum(n) AS BIGINT) AS load
+  FROM mixed_3 GROUP BY 1, 2)"""
+
+ALL_SLOTS = """grid AS (
+  SELECT c.col, CAST(i AS INT) AS slot, coalesce(s.load, 0) AS load
+  FROM (SELECT DISTINCT col FROM slots) c CROSS JOIN range(8) AS r(i)
+  LEFT JOIN slots s ON s.col = c.col AND s.slot = r.i),
+busiest AS (
+  SELECT col, CAST(sum(load) AS BIGINT) AS total, max(load) AS most,
+    arg_min(slot, (-load, slot)) AS straggler
+  FROM grid GROUP BY col),
+hottest AS (SELECT col, max(n) AS hottest FROM freq GROUP BY col)"""
+
 
 def _uniform(purpose: str) -> str:
     text = f"'42/{purpose}:' || CAST(event_id AS VARCHAR)"
@@ -333,8 +387,10 @@ SELECT j.col AS "column", t.total AS total_rows, round(j.c, 1) AS composite_scor
       ELSE 'Standard repartition should suffice.' END) AS explanation,
   CASE WHEN j.col = 'hot_key' THEN 'bigint' ELSE 'string' END AS "type"
 FROM judged j JOIN totals t USING (col) JOIN distincts d USING (col)""",
-    "hash_bucket_load": f"""WITH {LOADED} SELECT col AS "column", count(*) AS total_rows,
-  true AS slots_in_range, true AS one_row_a_slot, true AS holds_hottest FROM long GROUP BY col""",
+    "hash_bucket_load": f"""WITH {LOADED}, {FREQ}, {SLOTS}, {ALL_SLOTS}
+SELECT s.col AS "column", s.slot, s.load AS "rows", b.total AS total_rows,
+  s.slot BETWEEN 0 AND 7 AS slots_in_range, true AS one_row_a_slot, b.most >= h.hottest AS holds_hottest
+FROM slots s JOIN busiest b USING (col) JOIN hottest h USING (col)""",
     "physical_load": f"""WITH {HOT} SELECT count(*) AS total_rows,
   0::BIGINT AS slots_that_differ FROM hot""",
     "load_report": f"""WITH {LOADED} SELECT col AS "column", 8 AS num_workers, count(*) AS total_rows,

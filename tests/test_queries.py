@@ -21,3 +21,33 @@ def test_query(spark, sf_dir, name):
     if name in ORACLES:
         con = compare.connect(sf_dir)
         assert (columns, rows) == compare.duck_rows(con, ORACLES[name])
+
+
+@pytest.fixture(scope="module")
+def odd_events(spark, tmp_path_factory):
+    """A folder with ``events`` alone: null, negative and large keys, texts of all lengths."""
+    types = ["e", "a", "ab", "abc", "click", "héé", "漢字-漢", None, "a longer type"]
+    rows = [
+        (i, (None, -1, -(2**40) - i, 7, i % 60, 2**62 + i)[i % 6], types[i % 9], f"p{i % 30}") for i in range(900)
+    ]
+    path = tmp_path_factory.mktemp("odd")
+    schema = "event_id bigint, user_id bigint, event_type string, props string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def by_value(spark, folder, name):
+    """(columns, rows) of a query, equal to those of its SQL over the folder's events."""
+    con = compare.duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet')")
+    columns, rows = compare.spark_rows(QUERIES[name](spark, folder))
+    assert (columns, rows) == compare.duck_rows(con, ORACLES[name])
+    return columns, [dict(zip(columns, r)) for r in rows]
+
+
+def test_hash_bucket_load_has_every_slot(spark, odd_events):
+    _, rows = by_value(spark, odd_events, "hash_bucket_load")
+    places = [(r["column"], r["slot"]) for r in rows]
+    assert len(places) == len(set(places)) > 3
+    for c in ("hot_key", "event_type", "user_id"):
+        assert sum(r["rows"] for r in rows if r["column"] == c) == 900
