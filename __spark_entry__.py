@@ -448,7 +448,7 @@ def physical_load(spark, sf_dir):
 
 
 def load_report(spark, sf_dir):
-    """Totals and means by value; the other figures as what they follow from."""
+    """All figures by value, and whether they follow from each other."""
     rows = load.load_report(_measured_load(spark, sf_dir), WORKERS)
     near = lambda a, b: F.abs(a - b) < 1e-9
     straggler = F.col("straggler_worker_id")
@@ -457,7 +457,11 @@ def load_report(spark, sf_dir):
         "column",
         "num_workers",
         "total_rows",
+        "max_rows",
         F.round("mean_rows", 9).alias("mean_rows"),
+        F.round("slowdown_factor", 9).alias("slowdown_factor"),
+        "straggler_worker_id",
+        F.round("idle_fraction", 9).alias("idle_fraction"),
         ((F.col("max_rows") >= F.col("hottest")) & (F.col("max_rows") <= F.col("total_rows"))).alias("max_in_range"),
         near(F.col("slowdown_factor"), F.col("max_rows") / F.col("mean_rows")).alias("slowdown_agrees"),
         near(F.col("idle_fraction"), 1 - 1 / F.col("slowdown_factor")).alias("idle_agrees"),

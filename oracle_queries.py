@@ -393,9 +393,13 @@ SELECT s.col AS "column", s.slot, s.load AS "rows", b.total AS total_rows,
 FROM slots s JOIN busiest b USING (col) JOIN hottest h USING (col)""",
     "physical_load": f"""WITH {HOT} SELECT count(*) AS total_rows,
   0::BIGINT AS slots_that_differ FROM hot""",
-    "load_report": f"""WITH {LOADED} SELECT col AS "column", 8 AS num_workers, count(*) AS total_rows,
-  round(count(*) / 8, 9) AS mean_rows, true AS max_in_range, true AS slowdown_agrees, true AS idle_agrees,
-  true AS straggler_in_range FROM long GROUP BY col""",
+    "load_report": f"""WITH {LOADED}, {FREQ}, {SLOTS}, {ALL_SLOTS}
+SELECT col AS "column", 8 AS num_workers, total AS total_rows, most AS max_rows,
+  round(total / 8, 9) AS mean_rows, round(most / (total / 8), 9) AS slowdown_factor,
+  straggler AS straggler_worker_id, round(1 - (total / 8) / most, 9) AS idle_fraction,
+  most BETWEEN hottest AND total AS max_in_range, true AS slowdown_agrees, true AS idle_agrees,
+  straggler BETWEEN 0 AND 7 AS straggler_in_range
+FROM busiest JOIN hottest USING (col)""",
     "worker_load": f"""WITH {LOADED} SELECT col AS "column", 8::BIGINT AS workers, count(*) AS assigned_rows,
   1::BIGINT AS stragglers, true AS fullest_straggles, true AS idle_agrees FROM long GROUP BY col""",
     "top_key_packing": f"""WITH {HOT} SELECT CAST(hot_key AS VARCHAR) AS key, count(*) AS "rows",

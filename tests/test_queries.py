@@ -51,3 +51,9 @@ def test_hash_bucket_load_has_every_slot(spark, odd_events):
     assert len(places) == len(set(places)) > 3
     for c in ("hot_key", "event_type", "user_id"):
         assert sum(r["rows"] for r in rows if r["column"] == c) == 900
+
+
+def test_load_report_has_every_figure(spark, odd_events):
+    columns, rows = by_value(spark, odd_events, "load_report")
+    assert {"max_rows", "slowdown_factor", "straggler_worker_id", "idle_fraction"} <= set(columns)
+    assert all(abs(r["slowdown_factor"] - r["max_rows"] / 112.5) < 1e-6 for r in rows) and len(rows) == 3
