@@ -470,15 +470,23 @@ def load_report(spark, sf_dir):
 
 
 def worker_load(spark, sf_dir):
-    """All workers of a column: they add up, one straggles, and none is idle but by its lack of rows."""
+    """Every worker's load; a column's add up, one straggles, and none is idle but by its lack of rows."""
     rows = load.worker_load(_measured_load(spark, sf_dir), WORKERS)
-    most = F.max("assigned_rows")
-    return rows.groupBy("column").agg(
-        F.count_distinct("worker_id").alias("workers"),
-        F.sum("assigned_rows").alias("assigned_rows"),
-        F.count_if("is_straggler").alias("stragglers"),
-        (F.max_by("is_straggler", F.struct("assigned_rows", -F.col("worker_id")))).alias("fullest_straggles"),
-        (F.sum("idle_rows") == most * WORKERS - F.sum("assigned_rows")).alias("idle_agrees"),
+    # WORKERS rows per column.
+    own = Window.partitionBy("column")
+    total, most = F.sum("assigned_rows").over(own), F.max("assigned_rows").over(own)
+    fullest = F.max_by("is_straggler", F.struct("assigned_rows", -F.col("worker_id"))).over(own)
+    return rows.select(
+        "column",
+        "worker_id",
+        "assigned_rows",
+        "is_straggler",
+        "idle_rows",
+        F.size(F.collect_set("worker_id").over(own)).cast("bigint").alias("workers"),
+        total.alias("total_rows"),
+        F.count_if("is_straggler").over(own).alias("stragglers"),
+        fullest.alias("fullest_straggles"),
+        (F.sum("idle_rows").over(own) == most * WORKERS - total).alias("idle_agrees"),
     )
 
 

@@ -400,8 +400,13 @@ SELECT col AS "column", 8 AS num_workers, total AS total_rows, most AS max_rows,
   most BETWEEN hottest AND total AS max_in_range, true AS slowdown_agrees, true AS idle_agrees,
   straggler BETWEEN 0 AND 7 AS straggler_in_range
 FROM busiest JOIN hottest USING (col)""",
-    "worker_load": f"""WITH {LOADED} SELECT col AS "column", 8::BIGINT AS workers, count(*) AS assigned_rows,
-  1::BIGINT AS stragglers, true AS fullest_straggles, true AS idle_agrees FROM long GROUP BY col""",
+    "worker_load": f"""WITH {LOADED}, {FREQ}, {SLOTS}, {ALL_SLOTS}
+SELECT g.col AS "column", g.slot AS worker_id, g.load AS assigned_rows,
+  g.slot = b.straggler AS is_straggler, b.most - g.load AS idle_rows,
+  count(*) OVER w AS workers, b.total AS total_rows,
+  count(*) FILTER (g.slot = b.straggler) OVER w AS stragglers, true AS fullest_straggles,
+  CAST(sum(b.most - g.load) OVER w AS BIGINT) = 8 * b.most - b.total AS idle_agrees
+FROM grid g JOIN busiest b USING (col) WINDOW w AS (PARTITION BY g.col)""",
     "top_key_packing": f"""WITH {HOT} SELECT CAST(hot_key AS VARCHAR) AS key, count(*) AS "rows",
   count(*) * 8 > (SELECT count(*) FROM hot) AS is_cut FROM hot GROUP BY hot_key""",
     "balanced_repartition": """SELECT 'balanced' AS layout, count(*) AS total_rows, true AS even FROM events

@@ -57,3 +57,9 @@ def test_load_report_has_every_figure(spark, odd_events):
     columns, rows = by_value(spark, odd_events, "load_report")
     assert {"max_rows", "slowdown_factor", "straggler_worker_id", "idle_fraction"} <= set(columns)
     assert all(abs(r["slowdown_factor"] - r["max_rows"] / 112.5) < 1e-6 for r in rows) and len(rows) == 3
+
+
+def test_worker_load_has_every_worker(spark, odd_events):
+    _, rows = by_value(spark, odd_events, "worker_load")
+    assert len(rows) == 3 * 8 and sum(r["is_straggler"] for r in rows) == 3
+    assert sum(r["assigned_rows"] for r in rows) == 3 * 900
