@@ -665,43 +665,69 @@ def stream_profile(spark, sf_dir):
 BOUNDED_CAP = 40
 
 
-def _bounded_stream(spark, sf_dir, columns: list[str]) -> Versions:
+def _bounded_stream(spark, sf_dir, columns: list[str], cap: int = BOUNDED_CAP) -> Versions:
     versions = Versions(fresh_dir(spark, "bounded"))
     start = streams.start_bounded_profile(
-        _event_stream(spark, sf_dir), columns, versions, cap=BOUNDED_CAP
+        _event_stream(spark, sf_dir), columns, versions, cap=cap
     )
     start.awaitTermination()
     return versions
 
 
-def stream_bounded_state(spark, sf_dir):
-    """The snapshot of a stream with far more keys than counters.
+def _bounded_profile(spark, sf_dir, columns: list[str], cap: int) -> DataFrame:
+    """The snapshot of a stream with ``cap`` counters per column, against the true counts.
 
-    Row and null counts are exact, the error it carries is within its bound, the top keys'
-    true counts are within that error, and a key with a tenth of the rows leads.
+    What depends on counters is given by value where none was cut.
     """
-    snapshot = _bounded_stream(spark, sf_dir, LOAD_COLUMNS).latest(spark)
-    freq = frequency.key_frequency(_hot(spark, sf_dir), LOAD_COLUMNS)
-    true = freq.select("column", "key", F.col("n").alias("true_n"))
+    snapshot = _bounded_stream(spark, sf_dir, columns, cap).latest(spark)
+    hot = _hot(spark, sf_dir).withColumn("hot_prop", _hot_prop())
+    true = frequency.present_keys(frequency.key_frequency(hot, columns)).select(
+        "column", "key", F.col("n").alias("true_n")
+    )
     counters = snapshot.select("column", "count_error", F.inline("top_keys"))
     over = F.col("true_n") - F.col("count")
     within = (
-        counters.join(true, ["column", "key"])
+        true.join(F.broadcast(counters), ["column", "key"], "left")
         .groupBy("column")
-        .agg(F.bool_and((over >= 0) & (over <= F.col("count_error"))).alias("within_error"))
-    )
-    first = F.get("top_keys", 0)
-    # One row per column on both sides.
-    return snapshot.join(F.broadcast(within), "column").select(
+        .agg(
+            F.count(F.lit(1)).alias("distinct_keys"),
+            F.bool_and((over >= 0) & (over <= F.col("count_error"))).alias("within_error"),
+        )
+    )
+    first, distinct = F.get("top_keys", 0), F.col("distinct_keys")
+    leader = F.when(first["count"] * 10 > F.col("total_rows"), first["key"])
+    flat = _flat_profile(snapshot)
+    more = snapshot.select("column", "count_error", leader.alias("leader"))
+    whole = lambda name: F.when(F.col("count_error") == 0, F.col(name)).alias(name)
+    # One row per column on all sides.
+    return flat.join(F.broadcast(more), "column").join(F.broadcast(within), "column").select(
         "column",
+        F.lit(cap).alias("cap"),
         "total_rows",
         "null_count",
-        (F.col("count_error") * (BOUNDED_CAP + 1) <= F.col("total_rows")).alias("error_in_bound"),
+        "null_fraction",
+        "hll_error",
+        (F.abs(F.col("cardinality_estimate") - distinct) <= 5 * F.col("hll_error") * distinct).alias(
+            "cardinality_near"
+        ),
+        *[whole(c) for c in ("cardinality_estimate", "skew_ratio", "top_keys", "partition_counts")],
+        (F.col("count_error") * (cap + 1) <= F.col("total_rows")).alias("error_in_bound"),
         "within_error",
-        F.when(first["count"] * 10 > F.col("total_rows"), first["key"]).alias("leader"),
+        "leader",
     )
 
 
+def stream_bounded_state(spark, sf_dir):
+    """The snapshots of two streams: of fewer keys than counters, and of far more.
+
+    Row and null counts are exact, the error a snapshot carries is within its bound, the top keys'
+    true counts are within that error, and a key with a tenth of the rows leads. Columns that fit
+    have their whole profile, exact.
+    """
+    fits = _bounded_profile(spark, sf_dir, ["hot_prop", "event_type"], summary.CAP)
+    return fits.unionByName(_bounded_profile(spark, sf_dir, LOAD_COLUMNS, BOUNDED_CAP))
+
+
 def stream_bounds(spark, sf_dir):
     """Every key of the table against the counters of the state, held or not."""
     columns = ["user_id", "event_type"]

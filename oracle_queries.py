@@ -437,10 +437,17 @@ FROM orders GROUP BY o_custkey""",
     "batch_snapshots": SNAPSHOTS.replace("LONG", HOT_BATCHES),
     "unique_key_snapshots": SNAPSHOTS.replace("LONG", UNIQUE_BATCHES),
     "stream_profile": f"WITH {HOT_LONG}, {PROFILE_CTES} {_profile_select(batches=False)}",
-    "stream_bounded_state": f"""WITH {LOADED}, {FREQ}, {TOP}, {TOTALS}
-SELECT t.col AS "column", total AS total_rows, nulls AS null_count, true AS error_in_bound,
-  true AS within_error, CASE WHEN f.n * 10 > total THEN f.key END AS leader
-FROM totals t JOIN top f ON f.col = t.col AND f.rnk = 1""",
+    "stream_bounded_state": f"""WITH {BOUNDED}, {FREQ}, {TOP}, {SHAPE}, {TOTALS}, {DISTINCTS},
+caps(col, cap) AS (VALUES ('hot_prop', 500), ('event_type', 500),
+  ('hot_key', 40), ('event_type', 40), ('user_id', 40)),
+whole AS (SELECT col, cap, estimate, estimate <= cap AS uncut FROM caps JOIN distincts USING (col))
+SELECT w.col AS "column", w.cap, total AS total_rows, nulls AS null_count,
+  round(nulls / total, 6) AS null_fraction, round({SKETCH_ERROR}, 6) AS hll_error, true AS cardinality_near,
+  CASE WHEN uncut THEN round(estimate, 6) END AS cardinality_estimate,
+  CASE WHEN uncut THEN round(s.skew, 6) END AS skew_ratio,
+  CASE WHEN uncut THEN s.keys END AS top_keys, CASE WHEN uncut THEN s.counts END AS partition_counts,
+  true AS error_in_bound, true AS within_error, CASE WHEN f.n * 10 > total THEN f.key END AS leader
+FROM whole w JOIN totals t USING (col) JOIN shape s USING (col) JOIN top f ON f.col = w.col AND f.rnk = 1""",
     "stream_bounds": """SELECT 'user_id' AS "column", count(DISTINCT user_id) AS distinct_keys,
   count(*) AS n_rows, true AS held_in_cap, true AS within FROM events
 UNION ALL SELECT 'event_type', count(DISTINCT event_type), count(*), true, true FROM events""",

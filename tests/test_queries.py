@@ -63,3 +63,13 @@ def test_worker_load_has_every_worker(spark, odd_events):
     _, rows = by_value(spark, odd_events, "worker_load")
     assert len(rows) == 3 * 8 and sum(r["is_straggler"] for r in rows) == 3
     assert sum(r["assigned_rows"] for r in rows) == 3 * 900
+
+
+def test_stream_bounded_state_has_the_profile_of_columns_that_fit(spark, odd_events):
+    _, rows = by_value(spark, odd_events, "stream_bounded_state")
+    of = {(r["column"], r["cap"]): r for r in rows}
+    assert len(rows) == len(of) == 5
+    fits = of["hot_prop", 500]
+    assert fits["cardinality_estimate"] == 19 and fits["top_keys"].startswith("none,")
+    assert of["event_type", 40]["partition_counts"] == of["event_type", 500]["partition_counts"] != None  # noqa: E711
+    assert of["user_id", 40]["top_keys"] is None and of["user_id", 40]["within_error"]
