@@ -740,11 +740,15 @@ def stream_bounds(spark, sf_dir):
         kept.drop("count_error"), ["column", "key"], "left"
     ).join(F.broadcast(error), "column")
     low = F.coalesce("n", F.lit(0))
+    within = (low <= F.col("true_n")) & (F.col("true_n") <= low + F.col("bound"))
     return both.groupBy("column").agg(
         F.count(F.lit(1)).alias("distinct_keys"),
         F.sum("true_n").alias("n_rows"),
+        # By value while no counter was cut; it then is the number of keys.
+        F.when(F.max("bound") == 0, F.count("n")).alias("tracked"),
+        F.count_if(within).alias("keys_within"),
         (F.count("n") <= BOUNDED_CAP).alias("held_in_cap"),
-        F.bool_and((low <= F.col("true_n")) & (F.col("true_n") <= low + F.col("bound"))).alias("within"),
+        F.bool_and(within).alias("within"),
     )
 
 

@@ -449,8 +449,11 @@ SELECT w.col AS "column", w.cap, total AS total_rows, nulls AS null_count,
   true AS error_in_bound, true AS within_error, CASE WHEN f.n * 10 > total THEN f.key END AS leader
 FROM whole w JOIN totals t USING (col) JOIN shape s USING (col) JOIN top f ON f.col = w.col AND f.rnk = 1""",
     "stream_bounds": """SELECT 'user_id' AS "column", count(DISTINCT user_id) AS distinct_keys,
-  count(*) AS n_rows, true AS held_in_cap, true AS within FROM events
-UNION ALL SELECT 'event_type', count(DISTINCT event_type), count(*), true, true FROM events""",
+  count(user_id) AS n_rows, CASE WHEN count(DISTINCT user_id) <= 40 THEN count(DISTINCT user_id) END AS tracked,
+  count(DISTINCT user_id) AS keys_within, true AS held_in_cap, true AS within FROM events
+UNION ALL SELECT 'event_type', count(DISTINCT event_type), count(event_type),
+  CASE WHEN count(DISTINCT event_type) <= 40 THEN count(DISTINCT event_type) END,
+  count(DISTINCT event_type), true, true FROM events""",
     "stream_summary": f"""WITH {HOT_LONG}, {SCORE_CTES}, s AS ({SCORES})
 SELECT s.*, total AS load_rows, 8 AS workers, true AS load_as_table FROM s JOIN totals ON col = "column\"""",
     "heavy_hitter_summary": "WITH "

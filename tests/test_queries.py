@@ -73,3 +73,10 @@ def test_stream_bounded_state_has_the_profile_of_columns_that_fit(spark, odd_eve
     assert fits["cardinality_estimate"] == 19 and fits["top_keys"].startswith("none,")
     assert of["event_type", 40]["partition_counts"] == of["event_type", 500]["partition_counts"] != None  # noqa: E711
     assert of["user_id", 40]["top_keys"] is None and of["user_id", 40]["within_error"]
+
+
+def test_stream_bounds_counts_tracked_keys(spark, odd_events):
+    _, rows = by_value(spark, odd_events, "stream_bounds")
+    of = {r["column"]: r for r in rows}
+    assert of["event_type"]["tracked"] == 8 and of["user_id"]["tracked"] is None
+    assert of["user_id"]["keys_within"] == of["user_id"]["distinct_keys"] > 40
