@@ -66,18 +66,19 @@ class Versions:
         return spark.read.schema(STATE_SCHEMA).parquet(self._state(batch_id))
 
     def save_state(self, state: DataFrame, batch_id: int) -> DataFrame:
-        # A state is at most a few ten thousand rows per column: few files.
-        state.coalesce(4).write.mode("overwrite").parquet(self._state(batch_id))
+        # A state is at most a few ten thousand rows per column: few files. They are shuffled, as
+        # coalescing would run all partitions of the query before in these few tasks.
+        state.repartition(4).write.mode("overwrite").parquet(self._state(batch_id))
         # A replay reads the version before its own; older ones are done with.
         remove(state.sparkSession, self._state(batch_id - 2))
         return self.state(state.sparkSession, batch_id)
 
     def save_blank(self, profiles: DataFrame) -> None:
         """The profile of no rows, for a stream that never has any."""
-        profiles.coalesce(1).write.mode("overwrite").parquet(self._blank)
+        profiles.repartition(1).write.mode("overwrite").parquet(self._blank)
 
     def save_snapshot(self, profiles: DataFrame, batch_id: int) -> None:
-        profiles.coalesce(1).write.mode("overwrite").parquet(
+        profiles.repartition(1).write.mode("overwrite").parquet(
             f"{self.snapshots}/batch_id={batch_id}"
         )
 

@@ -11,7 +11,7 @@ from keybalance.sources import staging
 from keybalance.streaming import profile_stream as S
 from keybalance.streaming import snapshots
 from keybalance.streaming.snapshots import batch_snapshots
-from keybalance.streaming.versions import Versions
+from keybalance.streaming.versions import Versions, state_rows
 from keybalance.workdir import child_names, fresh_dir
 
 COLUMNS = ["user_id", "event_type"]
@@ -252,3 +252,17 @@ def test_final_summary(spark, staged):
     assert row.loads[0].load.num_workers == 4 and len(row.hints) == 2
     rows = staged[0].count()
     assert [entry.load.total_rows for entry in row.loads] == [rows, rows]
+
+
+def test_state_files_do_not_join_tasks(spark, tmp_path):
+    """Few files of a state must not make few tasks of the query before."""
+    from pyspark import TaskContext
+
+    task = F.udf(lambda _: TaskContext.get().taskAttemptId(), "bigint")
+    rows = spark.range(0, 30, 1, 30).select(F.lit("k").alias("column"), task("id").alias("n"))
+    versions = Versions(str(tmp_path / "v"))
+    state = versions.save_state(state_rows(rows, "load"), 0)
+    assert state.select("n").distinct().count() == 30
+    versions.save_snapshot(rows, 0)
+    assert versions.latest(spark).select("n").distinct().count() == 30
+    assert len(list((tmp_path / "v/snapshots/batch_id=0").glob("*.parquet"))) == 1
