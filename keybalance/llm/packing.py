@@ -9,7 +9,9 @@ that its offset names. Only the last sequence of the stream is padded.
 
 Words between blanks are tokenized independently of each other by the vocabularies
 this is made for, so a worker keeps the ids of words it has seen, up to a fixed
-number of words, and looks words up instead of tokenizing them again.
+number of words, and looks words up instead of tokenizing them again. Arrow splits a
+shard's texts and tells its distinct words, so only those are looked up; pieces of words
+are remembered apart, and longer than the words.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed
 like any other; a null id is carried along; extra columns are ignored; an empty table
@@ -19,12 +21,13 @@ gives no pieces.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from keybalance.llm import batches as B
@@ -32,7 +35,7 @@ from keybalance.workdir import written
 
 LENGTH = 2048
 END_ID = 1
-#: Words whose ids one task remembers; then it starts over.
+#: Words, and pieces of words, whose ids one task remembers; then it starts over.
 KNOWN_WORDS = 1 << 19
 
 
@@ -58,6 +61,10 @@ def _byte_letters() -> dict[int, str]:
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([.,;:!?#$%&*()-]*)")
 
 
+def _raw(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class WordIds:
     """Token ids of words between blanks, remembered per word.
 
@@ -77,47 +84,50 @@ class WordIds:
     def _splits_like_words(self) -> bool:
         """Whether words may be taken apart: the tokenizer agrees on words of every kind."""
         samples = ["Word", "\u00c9t\u00e9", "no,", "\u00e9t\u00e9...", "x!?", "##", "a", "Stra\u00dfe;", "\u00d1and\u00fa):"]
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         return all(
-            self._plain(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in samples
+            self._plain(w) == _raw(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in samples
         )
 
     def _forget(self) -> None:
-        self.known = _Numbers()
-        self.pieces = {}
-        self.start = np.zeros(1 << 10, np.int64)
-        self.arena = np.empty(1 << 12, np.uint32)
-        self.learned = self.used = 0
+        self.known = _Numbers({None: 0})  # no word has number 0, which closes a text
+        self.start = np.zeros(1 << 10, np.int32)
+        self.start[1] = 1
+        self.arena = np.full(1 << 12, END_ID, np.uint32)
+        self.learned = self.used = 1
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            text = piece.encode().decode("latin-1").translate(self.letters)
-            ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(text)]
+            text = piece if piece.isascii() else piece.encode().decode("latin-1")
+            tokens = self.tokenizer.model.tokenize(text.translate(self.letters))
+            ids = self.pieces[piece] = _raw([t.id for t in tokens])
         return ids
 
-    def _plain(self, word: str) -> list[int] | None:
+    def _plain(self, word: str) -> bytes | None:
         m = _PLAIN.fullmatch(word)
         if m is None:
             return None
         letters, marks = m.groups()
-        ids = self._piece(letters.lower()) if letters else []
+        ids = self._piece(letters.lower()) if letters else b""
         return ids + self._piece(marks) if marks else ids
 
     def _learn(self, words: list[bytes]) -> None:
+        if len(self.pieces) > self.limit:
+            self.pieces = {}
         texts = [w.decode("utf-8", "replace") for w in words]
         lists = [self._plain(t) if self.by_piece else None for t in texts]
         other = [i for i, ids in enumerate(lists) if ids is None]
         encoded = self.tokenizer.encode_batch([texts[i] for i in other], add_special_tokens=False)
         for i, e in zip(other, encoded):
-            lists[i] = e.ids
-        flat = np.fromiter(chain.from_iterable(lists), np.uint32)
+            lists[i] = _raw(e.ids)
+        flat = np.frombuffer(b"".join(lists), np.uint32)
         need = self.learned + len(words) + 1
         if need > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros(need, np.int64)])
+            self.start = np.concatenate([self.start, np.zeros(need, np.int32)])
         while self.used + len(flat) > len(self.arena):
             self.arena = np.concatenate([self.arena, np.empty_like(self.arena)])
-        self.start[self.learned + 1 : need] = self.used + np.cumsum([len(x) for x in lists])
+        self.start[self.learned + 1 : need] = self.used + np.cumsum([len(x) >> 2 for x in lists])
         self.arena[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
         self.learned += len(words)
@@ -126,24 +136,23 @@ class WordIds:
         """Ids of all texts behind one another, each closed by END_ID, and the texts' bounds."""
         if self.learned > self.limit:
             self._forget()
-        split = [t.split() for t in texts]
-        counts = np.array([len(w) for w in split], np.int64)
+        # Seen as text without a check: the split looks at single bytes. Two blanks enclose an empty word.
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        first = split.offsets.to_numpy()
+        coded = split.values.dictionary_encode()
+        distinct = coded.dictionary.view(pa.large_binary()).to_pylist()
         self.known.fresh = []
-        words = chain.from_iterable(split)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, int(counts.sum()))
+        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
         if self.known.fresh:
             self._learn(self.known.fresh)
+        at = np.insert(number[coded.indices.to_numpy()], first[1:], 0)
         begin = self.start[at]
         size = self.start[at + 1] - begin
         before = np.concatenate([[0], np.cumsum(size)])
-        first = np.concatenate([[0], np.cumsum(counts)])
-        bounds = before[first] + np.arange(len(texts) + 1)  # one end id a text
-        out = np.empty(int(bounds[-1]), np.uint32)
-        inside = np.ones(len(out), bool)
-        inside[bounds[1:] - 1] = False
-        source = np.repeat(begin - before[:-1], size) + np.arange(int(before[-1]))
-        out[inside] = self.arena[source]
-        out[bounds[1:] - 1] = END_ID
+        bounds = before[first + np.arange(len(first))]  # one end id a text
+        source = np.repeat(begin - before[:-1], size)
+        source += np.arange(len(source))
+        out = self.arena[source]
         return out, bounds
 
 

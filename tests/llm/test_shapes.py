@@ -79,6 +79,34 @@ def test_word_ids_are_the_tokenizers(sf_dir):
                 assert ids[a:b].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_words_are_looked_up_once_a_shard():
+    """Distinct words only, odd blanks and bytes included; pieces outlast the words."""
+    from tokenizers import Tokenizer
+
+    class Counted(packing._Numbers):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return super().__getitem__(word)
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    words = packing.WordIds(tokenizer_path(), 5)
+    words.known = Counted(words.known)
+    texts = ["", " ", " red  blue\t\n", "\x0bred\x1cblue\x0c café x", "red, blue. red, blue", *["red blue"] * 200]
+    for _ in range(2):
+        ids, bounds = words([t.encode() for t in texts])
+        for t, a, b in zip(texts, bounds, bounds[1:]):
+            assert ids[a:b].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        assert {"red", "blue"} <= set(words.pieces)
+    assert 0 < Counted.asked < 20
+    kept = dict(words.pieces)
+    words._forget()
+    assert words.pieces == kept
+    ids, bounds = words([b"\xff\xfe red", b"red"])
+    assert ids[bounds[1] :].tolist() == [*tokenizer.encode("red", add_special_tokens=False).ids, 1]
+
+
 def test_packing(spark, documents):
     from tokenizers import Tokenizer
 
